@@ -68,6 +68,10 @@ def _pieces(text: Column, wanted: Column, rule: Rule, order: int) -> Column:
     return F.when(wanted & text.rlike(rule.pattern), rows)
 
 
+def _count_of(spans: str, order: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["order"] == order)).cast("bigint")
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, ledger afterwards).
 
@@ -123,7 +127,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         .agg(F.array_sort(F.collect_list(F.struct("s.start", "order", "s.stop"))).alias("all"))
         .select(
             F.col("blob").alias("to_blob"),
-            *[F.size(F.filter("all", lambda s, i=i: s["order"] == i)).cast("bigint").alias(f"n_{r.kind}") for i, r in enumerate(rules)],
+            *[_count_of("all", i).alias(f"n_{r.kind}") for i, r in enumerate(rules)],
             F.array_join(F.transform("all", lambda s: F.concat_ws(":", kinds[s["order"]], s["start"], s["stop"])), ",").alias("spans"),
         )
     )

@@ -1,0 +1,66 @@
+"""Secret scans against Python's re, and the ledger's economy."""
+
+import hashlib
+import re
+
+from quern.llm import secret_scans as S
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+TEXTS = [
+    None, "", "plain", 'é token = "abcdefgh" x', "secret=token:abcdef", "TOKEN: short", "password=='a=b=c=d'", "api_key:x12345 APIKEY=y67890 apikey = z",
+    "AKIA" + "A" * 15 + " AKIA" + "B" * 16 + "AKIA", "f" * 24 + " " + "f" * 23 + "g" + "0123456789abcdef" * 3, "token=" + "a" * 24, "ſecret=abcdef1",
+    "toKen=abcdef1", "ok\n" * 30000 + "passwd:  deadbeef99", "token=aaaaaa " * 3000, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### 47',
+    "secret=", "secret = \"'abcdefg", "\U0001f600 token=abcdef", "tokentoken=abcdef=token=abcdefg",
+]
+
+
+def plain(text):
+    text = text or ""
+    spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    order = ["assign", "access", "hex"]
+    joined = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order.index(s[0]))))
+    return (*(sum(s[0] == k for s in spans) for k in order), hashlib.sha256(joined.encode()).hexdigest(), joined)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "p", b"b") for r in rows], "doc_id bigint, text string, path string, blob binary")
+
+
+def rows_of(df):
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in df.collect())
+
+
+def test_matches_re(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[3]), (100, TEXTS[3]), (100, TEXTS[3]), (100, TEXTS[15])]
+    got = rows_of(S.scan(table(spark, rows))[0])
+    assert got == sorted((-1 if i is None else i, *plain(t)) for i, t in rows)
+    assert S.scan(table(spark, rows).limit(0))[0].count() == 0
+
+
+def test_ledger_skips_seen_pairs(spark):
+    first, later = [(i, t) for i, t in enumerate(TEXTS[:12])], [(i + 50, t) for i, t in enumerate(TEXTS)]
+    _, ledger = S.scan(table(spark, first))
+    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
+    assert ledger.count() == 3 * len({t or "" for _, t in first})
+    report, after = S.scan(table(spark, later), ledger)
+    assert rows_of(report) == sorted((i, *plain(t)) for i, t in later)
+    assert after.count() == 3 * len({t or "" for _, t in later})
+    # A ledger that claims to have found nothing shows which pairs are not scanned again.
+    emptied = spark.createDataFrame([(r.blob, r.rule, []) for r in ledger.collect()], ledger.schema)
+    got = {r[0]: r[1:4] for r in rows_of(S.scan(table(spark, later), emptied)[0])}
+    seen = {t or "" for _, t in first}
+    for i, t in later:
+        assert got[i] == ((0, 0, 0) if (t or "") in seen else plain(t)[:3])
+
+
+def test_new_rule_version_is_scanned_alone(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS[:8])]
+    _, ledger = S.scan(table(spark, rows))
+    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
+    newer = (S.Rule("assign", "2", S.ASSIGN, S.ASSIGN_LEAD, 8), *S.BASE_RULES[1:])
+    report, after = S.scan(table(spark, rows), ledger, newer)
+    assert after.count() == ledger.count() + len({t or "" for _, t in rows})
+    want = [sum(len(m[2]) >= 8 for m in ASSIGN.finditer(t or "")) for _, t in rows]
+    assert [r.n_assign for r in report.orderBy("doc_id").collect()] == want
