@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import line_dedup, media_columns, quality_rules, secret_scans, warc_zstd
+from quern.llm import line_dedup, media_columns, quality_rules, secret_scans, source_mixing, warc_zstd
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))[0]
 
@@ -35,8 +39,12 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op3_line_dedup, op8_secret_scans, op9_quality_rules, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_media_columns, op3_line_dedup, op4_source_mixing, op8_secret_scans, op9_quality_rules, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_secret_scans": secret_scans.ORACLE_SQL}
+    return {
+        "op3_line_dedup": line_dedup.ORACLE_SQL,
+        "op4_source_mixing": source_mixing.ORACLE_SQL,
+        "op8_secret_scans": secret_scans.ORACLE_SQL,
+    }
