@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import line_dedup, media_columns, quality_rules, secret_scans, source_mixing, warc_zstd
+from quern.llm import line_dedup, media_columns, quality_rules, secret_scans, sequence_packing, source_mixing, warc_zstd
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sequence_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))[0]
 
@@ -39,7 +45,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op3_line_dedup, op4_source_mixing, op8_secret_scans, op9_quality_rules, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_media_columns, op3_line_dedup, op4_source_mixing, op5_sequence_packing, op8_secret_scans, op9_quality_rules, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:

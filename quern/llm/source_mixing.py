@@ -211,7 +211,7 @@ v AS (SELECT *, (sum(source_size) OVER () * {Mix.share}::double
 f AS (SELECT level FROM v WHERE ratio >= level ORDER BY ratio, src LIMIT 1),
 t AS (SELECT src, source_size, least(source_size * {Mix.cap}::double, coalesce(w * (SELECT level FROM f), 0)) AS target FROM v),
 o AS (SELECT d.*, source_size, target, floor(target)::bigint AS words,
-  (sum(size) OVER (PARTITION BY src ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::bigint AS at FROM d JOIN t USING (src)),
+  (sum(size) OVER (PARTITION BY src ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::bigint AS place FROM d JOIN t USING (src)),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM o)
-SELECT doc_id, size, source_size, target, (passes * size + least(size, greatest(0, words - passes * source_size - at)))::bigint AS taken FROM g
+SELECT doc_id, size, source_size, target, (passes * size + least(size, greatest(0, words - passes * source_size - place)))::bigint AS taken FROM g
 """
