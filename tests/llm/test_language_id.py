@@ -1,0 +1,82 @@
+"""Language id: gradients, held-out accuracy, and what is never an input."""
+
+import zlib
+from dataclasses import replace
+
+import numpy as np
+import pytest
+
+from quern.llm import language_id as L
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_gradients_match_differences():
+    p = replace(L.LangParams(), window=24, dim=3, filters=4, widths=(2, 3))
+    net = L.ByteCNN(["a", "b", "c"], p)
+    for name in ("emb", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.conv, net.bias = [c.astype(np.float64) for c in net.conv], [b.astype(np.float64) for b in net.bias]
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 256, (5, 24)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+
+    def loss():
+        return -np.log(net.probabilities(x)[np.arange(5), y]).mean()
+
+    for a, g in zip(net.params(), net.gradients(x, y), strict=True):
+        flat, grad = a.reshape(-1), g.reshape(-1)
+        for i in rng.choice(len(flat), min(12, len(flat)), replace=False):
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            down = loss()
+            flat[i] = old
+            assert grad[i] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def predicted(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return docs, L.fit(docs)
+
+
+def test_held_out_accuracy(spark, predicted):
+    docs, net = predicted
+    rows = L.predict(docs, net).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == r.lang for r in held) / len(held) >= 0.95
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_inputs_are_texts_alone(spark, predicted):
+    docs, net = predicted
+    few = docs.limit(40)
+    a = sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in L.predict(few, net).collect())
+    other = few.selectExpr("doc_id", "text", "'zz' as lang", "null as source", "1 as key", "2 as held_out")
+    assert a == sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in L.predict(other, net).collect())
+
+
+def test_edges(spark, predicted):
+    _, net = predicted
+    texts = [None, "", "123 ... \n", "the and with of ing", "é", "1" * 300_000, "日本", "the and of " * 60_000, "²³"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "the and")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in L.predict(df, net).collect()}
+    assert [got[i].lang_pred == "und" for i in range(9)] == [True, True, True, False, False, True, False, False, True]
+    assert got[7].lang_pred == "en" and got[7].score > 0.8 and got[None].held_out is False
+    assert L.predict(df.limit(0), net).count() == 0
+
+
+def test_sample_is_bounded_and_leaves_out(spark):
+    p = replace(L.LangParams(), docs_per_lang=3, windows_per_doc=2, steps=2)
+    rows = [(i, f"only{i} " * 200, "aa" if i % 2 else None) for i in range(60)] + [(7, None, "bb"), (None, "text", "cc"), (8, "12", "dd")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    windows, labels, langs = L.training_sample(df, p, "doc_id", "text", "lang")
+    assert langs in (["aa"], ["aa", "dd"]) and len(windows) <= 6
+    for w in windows:
+        i = int(bytes(w).split(b"only")[1].split()[0])
+        assert zlib.crc32(str(i).encode()) % 3 != 1 and i % 2
+    assert L.fit(df.limit(0)) is None
+    assert L.predict(df, None).filter("lang_pred <> 'und'").count() == 0
