@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_id, line_dedup, media_columns, quality_rules, secret_scans, sequence_packing, source_mixing, substring_dedup, warc_zstd
+from quern.llm import language_id, line_dedup, media_columns, ngram_jaccard, quality_rules, secret_scans, sequence_packing, source_mixing, substring_dedup, warc_zstd
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_table(table(spark, sf_dir, "documents"), heavy=False)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op3_line_dedup, op4_source_mixing, op5_sequence_packing, op6_language_id, op7_substring_dedup, op8_secret_scans, op9_quality_rules, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_media_columns, op2_ngram_jaccard, op3_line_dedup, op4_source_mixing, op5_sequence_packing, op6_language_id, op7_substring_dedup, op8_secret_scans, op9_quality_rules, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
