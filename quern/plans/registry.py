@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quern.plans import profile_queries, search_queries, text_queries
+
+_ALL = {**search_queries.QUERIES, **profile_queries.QUERIES, **text_queries.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: plan for name, (plan, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
