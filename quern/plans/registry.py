@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import profile_queries, search_queries, text_queries
+from quern.plans import profile_queries, request_queries, search_queries, text_queries
 
-_ALL = {**search_queries.QUERIES, **profile_queries.QUERIES, **text_queries.QUERIES}
+_ALL = {**search_queries.QUERIES, **profile_queries.QUERIES, **text_queries.QUERIES, **request_queries.QUERIES}
 
 
 def queries() -> dict:
