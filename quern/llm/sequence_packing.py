@@ -18,6 +18,7 @@ from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +34,27 @@ class Packing:
     end_id: int = 1
     group_tokens: int = 1 << 20  # ids packed together, about
     step_sequences: int = 16  # sequences of a step group
-    cache_words: int = 400_000  # words whose ids a worker keeps
+    cache_words: int = 900_000  # words whose ids a worker keeps
     cache_ids: int = 4_000_000
 
 
 # --- ids ---------------------------------------------------------------------------------
 
-# Bytes in which nothing but a-z, 0-9 and the letters of Latin-1 stands before ASCII marks at
-# a word's end. There the tokenizer's pattern cuts anyway, so a space changes no id.
+# ASCII marks that the tokenizer's pattern cuts from a letter or digit before them, and the
+# bytes of Latin-1 letters.
+_MARKS = b".,;:!?*&%$#"
 _LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-_MARKS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=" + _LATIN + rb"))([.,;:!?*&%$#]+)(?=[ \t-\r]|$)")
 _LETTERS = re.compile(rb"(?:[a-z]|" + _LATIN + rb")+").fullmatch
+_ENDS_IN_LETTER = re.compile(rb"(?:[a-z0-9]|" + _LATIN + rb")\Z").search
 
 
 class WordIds:
     """Ids of texts by a word-end BPE file of ``tokenizers``, with the ids of words kept.
 
     The file's pre-tokenizer never joins what white space separates, and its normalizer acts
-    within words, so a text's ids are those of its words in order. Three kinds of text are
-    not treated word by word or not folded: those with combining marks (composing them
-    depends on case) or with the lead of a special token go to the library whole.
+    within words, so a text's ids are those of its words in order; and a word that ends in
+    marks after a letter has the ids of the two parts. Texts with combining marks (composing
+    them depends on case) or with the lead of a special token go to the library whole.
     """
 
     def __init__(self, path: str, cache_words: int, cache_ids: int):
@@ -65,53 +67,104 @@ class WordIds:
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
         self.letters = _byte_letters()
         self.limits = cache_words, cache_ids
-        self.clear()
-
-    def clear(self) -> None:
+        #: Word to entry; an entry has two runs of the pool, the second often empty.
         self.index: dict[bytes, int] = {}
-        self.start, self.length, self.pool = array("q"), array("i"), array("H")
-
-    def _learn(self, words: list[bytes]) -> None:
-        simple = [w for w in words if _LETTERS(w)]
-        mapped = [w.decode().lower().encode().decode("latin-1").translate(self.letters) for w in simple]
-        simple_set = set(simple)
-        other = [w for w in words if w not in simple_set]
-        for tool, keys, texts in ((self.bare, simple, mapped), (self.full, other, [w.decode("utf-8", "replace") for w in other])):
-            for at in range(0, len(keys), 4096):
-                for key, found in zip(keys[at : at + 4096], tool.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False), strict=True):
-                    self.index[key] = len(self.start)
-                    self.start.append(len(self.pool))
-                    ids = found.ids
-                    self.length.append(len(ids))
-                    self.pool.extend(ids)
+        self.runs = array("q")
+        self.pool = array("H")
+        self.used = np.zeros(0, np.int64)  # how often an entry has been looked up
+
+    def shrink(self) -> None:
+        """Forget the words met once or twice; all of them, where more than half would stay."""
+        keep = np.flatnonzero(self.used >= 3)
+        runs = np.frombuffer(self.runs, np.int64).reshape(-1, 4)[keep]
+        if 2 * len(keep) > self.limits[0] or 2 * int(runs[:, 1::2].sum()) > self.limits[1]:
+            keep, runs = keep[:0], runs[:0]
+        place = np.full(len(self.used), -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        old = place.tolist()
+        self.index = {w: old[i] for w, i in self.index.items() if i < len(old) and old[i] >= 0}
+        flat = runs.reshape(-1, 2)
+        n = flat[:, 1]
+        ends = np.cumsum(n)
+        at = np.repeat(flat[:, 0] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        pool = np.frombuffer(self.pool, np.uint16)[at]
+        table = np.column_stack([ends - n, n])
+        self.runs, self.pool = array("q", table.tobytes()), array("H", pool.tobytes())
+        self.used = self.used[keep] // 2
+
+    def _add(self, keys: list[bytes], tool, texts: list[str]) -> None:
+        for at in range(0, len(keys), 4096):
+            found = [e.ids for e in tool.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+            first = len(self.runs) // 4
+            self.index.update(zip(keys[at : at + 4096], range(first, first + len(found)), strict=True))
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            table = np.zeros((len(found), 4), np.int64)
+            table[:, 0] = len(self.pool) + np.cumsum(lengths) - lengths
+            table[:, 1] = lengths
+            self.runs.frombytes(table.tobytes())
+            self.pool.extend(chain.from_iterable(found))
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        index = self.index
+        parts, single = [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core and _ENDS_IN_LETTER(core):
+                parts.append((w, core, w[len(core) :]))
+            else:
+                single.append(w)
+        known = {x for _, core, marks in parts for x in (core, marks)}
+        new = [w for w in known.union(single) if w not in index]
+        plain = [w for w in new if w.isalpha()]
+        latin = [w for w in new if not w.isalpha() and _LETTERS(w)]
+        shown = set(plain).union(latin)
+        other = [w for w in new if w not in shown]
+        self._add(plain, self.bare, [w.decode() for w in plain])
+        self._add(latin, self.bare, [w.decode().lower().encode().decode("latin-1").translate(self.letters) for w in latin])
+        self._add(other, self.full, [w.decode("utf-8", "replace") for w in other])
+        if parts:
+            whole, cores, marks = zip(*parts, strict=True)
+            runs = np.frombuffer(self.runs, np.int64).reshape(-1, 4)
+            rows = [np.fromiter(map(index.__getitem__, keys), np.int64, len(keys)) for keys in (cores, marks)]
+            table = np.concatenate([runs[rows[0], :2], runs[rows[1], :2]], axis=1)
+            del runs
+            first = len(self.runs) // 4
+            index.update(zip(whole, range(first, first + len(whole)), strict=True))
+            self.runs.frombytes(table.tobytes())
 
     def many(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """The ids of each text (uint16), with ``end_id`` after them."""
         if len(self.index) > self.limits[0] or len(self.pool) > self.limits[1]:
-            self.clear()
-        cut: list[list[bytes] | np.ndarray] = []
-        new: dict[bytes, None] = {}
-        index = self.index
-        for data in texts:
+            self.shrink()
+        whole: dict[int, np.ndarray] = {}
+        cut: list[list[bytes]] = []
+        for i, data in enumerate(texts):
             if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
-                cut.append(np.array(self.full.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint16))
-                continue
-            words = _MARKS.sub(rb" \1", data.lower()).split()
-            cut.append(words)
-            new.update((w, None) for w in words if w not in index)
-        if new:
-            self._learn(list(new))
-        start, length, pool = (np.frombuffer(a, t) for a, t in ((self.start, np.int64), (self.length, np.int32), (self.pool, np.uint16)))
-        out = []
-        for words in cut:
-            if isinstance(words, list):
-                at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                n = length[at].astype(np.int64)
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                words = pool[np.repeat(start[at] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.uint16)
-            out.append(np.append(words, np.uint16(end_id)))
-        return out
+                whole[i] = np.array(self.full.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint16)
+                cut.append([])
+            else:
+                cut.append(data.lower().split())
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        words = list(chain.from_iterable(cut))
+        del cut
+        get = self.index.get
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            lost = [words[i] for i in missing]
+            self._learn(set(lost))
+            at[missing] = np.fromiter(map(get, lost), np.int64, len(lost))
+        del words
+        met = np.bincount(at, minlength=len(self.runs) // 4) if len(at) else np.zeros(len(self.runs) // 4, np.int64)
+        met[: len(self.used)] += self.used
+        self.used = met
+        runs, pool = np.frombuffer(self.runs, np.int64).reshape(-1, 4)[at].reshape(-1, 2), np.frombuffer(self.pool, np.uint16)
+        n = runs[:, 1]
+        ends = np.cumsum(n)
+        flat = pool[np.repeat(runs[:, 0] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(n) else np.zeros(0, np.uint16)
+        edges = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
+        end = np.uint16(end_id)
+        return [np.append(whole[i] if i in whole else flat[edges[i] : edges[i + 1]], end) for i in range(len(texts))]
 
 
 def _byte_letters() -> dict[int, int]:

@@ -30,6 +30,12 @@ def test_ids_are_the_library_s(library):
         for text, got in zip(TEXTS, words.many([(t or "").encode() for t in TEXTS], 1), strict=True):
             assert got.tolist() == library.encode(text or "", add_special_tokens=False).ids + [1], text
     rng = random.Random(3)
+    small = P.WordIds(PATH, 60, 10_000_000)
+    vocabulary = [f"w{i}a," for i in range(30)] + [f"rare{i}" for i in range(400)]
+    for _ in range(40):
+        text = " ".join(rng.choice(vocabulary[:30] if rng.random() < 0.7 else vocabulary) for _ in range(60))
+        assert small.many([text.encode()], 1)[0].tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+    assert len(small.index) < 300
     alphabet = "aAbZ zé É.ß,;'s \n\t!?*&#1 9<>|Å '…ñ"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
     for text, got in zip(texts, words.many([t.encode() for t in texts], 1), strict=True):
