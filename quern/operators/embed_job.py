@@ -20,10 +20,9 @@ def missing(texts: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
 
 
 def guarded(texts: DataFrame, key: str) -> DataFrame:
-    """``texts`` with their token estimate; a text beyond the input limit raises, naming its row."""
-    n = token_estimate("text")
-    over = F.raise_error(F.concat(F.lit("row "), F.col(key).cast("string"), F.lit(f" has more than {MAX_INPUT_TOKENS} tokens"))).cast("bigint")
-    return texts.withColumn("tokens", F.when(n > MAX_INPUT_TOKENS, over).otherwise(n))
+    """``texts``; reading one beyond the input limit raises, naming its row."""
+    over = F.raise_error(F.concat(F.lit("row "), F.col(key).cast("string"), F.lit(f" has more than {MAX_INPUT_TOKENS} tokens"))).cast("string")
+    return texts.withColumn("text", F.when(token_estimate("text") > MAX_INPUT_TOKENS, over).otherwise(F.col("text")))
 
 
 def audit(embedded: DataFrame, dimensions: int) -> dict:

@@ -7,7 +7,7 @@ import json
 import os
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import has_text, strip
@@ -29,9 +29,14 @@ def raw_lines(spark: SparkSession, path: str, partitions: int | None = None) ->
 
 
 def indexed(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """``df`` with the place of every row in the order it is read, without gaps."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, df.schema.add(name, "bigint", False))
+    """``df`` with the place of every row in the order it is read, without gaps: the place within
+    its partition, plus the rows of all partitions before (one small row for each)."""
+    at = F.monotonically_increasing_id()
+    part, within = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
+    sizes = df.select(part.alias("part")).groupBy("part").count()
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    placed = df.withColumns({"part": part, name: within}).join(F.broadcast(before), "part")
+    return placed.withColumn(name, F.col(name) + F.col("before")).drop("part", "before")
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,95 @@
+"""Requests to responses, the command line, streaming, and the driver's contract."""
+
+import json
+
+import pytest
+
+from quern import cli
+from quern import providers as M
+from quern.operators import ingest
+from quern.pipeline import Recommender, load_checked
+from quern.streaming.ingest import stream_products
+
+
+@pytest.fixture(scope="module")
+def raw(tmp_path_factory):
+    where = tmp_path_factory.mktemp("raw")
+    rows = []
+    for i in range(60):
+        rows.append({
+            "parent_asin": f"A{i:03d}", "title": f"{('Red', 'Blue', 'Green')[i % 3]} {('Dress', 'Shirt')[i % 2]} {i // 6}", "store": f"s{i % 4}", "average_rating": 3.5 + i % 4 / 2,
+            "rating_number": 5 + i, "price": None if i % 5 else 10.0 + i, "images": [{"large": f"https://i/{i}"}], "features": ["soft", "linen"], "details": {"Style": "casual"},
+        })
+    (where / "raw.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n{bad")
+    return where
+
+
+@pytest.fixture(scope="module")
+def built(spark, raw):
+    assert cli.main(["ingest", "--input", str(raw / "raw.jsonl"), "--output", str(raw / "products")]) == 0
+    args = ["--input", str(raw / "products"), "--output", str(raw / "vectors"), "--manifest", str(raw / "m.json")]
+    assert cli.main(["embed", *args]) == 0
+    return spark.read.parquet(str(raw / "products")), spark.read.parquet(str(raw / "vectors"))
+
+
+class Silent(M.TemplateExplainer):
+    def explain(self, prompt, ranks):
+        return [(r + 1, "x") for r in ranks]
+
+
+def recommender(built, explainer=M.TemplateExplainer(), **more):
+    return Recommender(*built, M.HashEmbedder(), M.LexiconParser(), explainer, **more)
+
+
+def test_responses(spark, built):
+    asked = spark.createDataFrame([(1, " red linen dress ", 5), (2, "x", 5), (3, "blue shirt", None)], "query_id bigint, query string, max_results int")
+    got = {r.query_id: r for r in recommender(built).answer(asked).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "ok", 2: "invalid_request", 3: "ok"}
+    one = got[1]
+    assert one.query == "red linen dress" and one.intent.original_query == "red linen dress" and one.intent.garment_types == ["dress"]
+    ranks = [x["rank"] for x in one.results]
+    assert ranks == sorted(ranks) and len(ranks) <= 5 and len(got[3].results) <= 8
+    assert all(x.product.rating_number >= 10 and x.product.average_rating >= 4 for x in one.results)
+    assert "retrieval_text" not in one.results[0].product.asDict() and "Red Dress" in one.results[0].product.title
+
+
+def test_outcomes(spark, built):
+    asked = spark.createDataFrame([(1, "red dress", 5)], "query_id bigint, query string, max_results int")
+    assert recommender(built, min_count=10_000).answer(asked).first().status == "no_results"
+    assert recommender(built, Silent()).answer(asked).first().status == "upstream_error"
+
+
+def test_loading_checks_every_row(spark, built):
+    n = built[1].count()
+    good = {"product_count": n, "dimensions": 64, "normalized": True}
+    assert load_checked(built[1], good, 64) is built[1]
+    with pytest.raises(ValueError):
+        load_checked(built[1].selectExpr("row_index", "transform(embedding, x -> cast(x * 2 as float)) as embedding"), good, 64)
+
+
+def test_profile_report(spark, raw):
+    assert cli.main(["profile", "--input", str(raw / "raw.jsonl"), "--output", str(raw / "report.md")]) == 0
+    text = (raw / "report.md").read_text()
+    assert "| base_title_image | 60 |" in text and "| malformed | 1 |" in text and "## Quantiles" in text
+
+
+def test_streaming_takes_each_file_once(spark, raw, tmp_path):
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.jsonl").write_text((raw / "raw.jsonl").read_text())
+    args = (spark, str(lines), str(tmp_path / "products"), str(tmp_path / "rejects"), str(tmp_path / "checkpoint"))
+    for expected in (1, 1, 2):
+        if expected == 2:
+            (lines / "b.jsonl").write_text((raw / "raw.jsonl").read_text())
+        query = stream_products(*args)
+        query.awaitTermination(120)
+        whole = spark.read.parquet(str(tmp_path / "products"))
+        assert whole.count() == expected * whole.select("parent_asin").distinct().count() and whole.columns == list(ingest.PRODUCT_COLUMNS)
+
+
+def test_contract(spark):
+    import __spark_entry__ as e
+
+    queries, oracles = e.queries(), e.oracle_sql()
+    assert set(oracles) <= set(queries) and len(queries) > 40
+    assert e.entry(spark).count() > 0
