@@ -62,3 +62,9 @@ def test_files_round_trip(spark, tmp_path):
     back = files.read_products(spark, str(tmp_path / "products"))
     assert sorted(map(str, back.collect())) == sorted(map(str, out.collect()))
     assert '"price":9.5' in "".join(p.read_text() for p in (tmp_path / "products").glob("part*"))
+
+
+def test_indexed_places_have_no_gaps(spark):
+    df = spark.createDataFrame([(f"v{i:04d}",) for i in range(997)], "value string").repartitionByRange(7, "value")
+    rows = files.indexed(df).orderBy("row_index").collect()
+    assert [r.row_index for r in rows] == list(range(997)) and [r.value for r in rows] == sorted(r.value for r in rows)
