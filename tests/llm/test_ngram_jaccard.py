@@ -157,3 +157,39 @@ def test_components_match_union_find(spark):
             parent[max(find(a), find(b))] = min(find(a), find(b))
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {x: find(x) for x in list(parent)}
+
+
+@pytest.mark.parametrize("rows_per_batch", [1, 3, 1000])
+def test_lists_do_not_depend_on_batches(spark, rows_per_batch):
+    rng = random.Random(9)
+    p = J.JaccardJoin()
+    classes = {c: rng.randint(4, 40) for c in range(60)}
+    rows = set()
+    for c, s in classes.items():
+        for token in rng.sample(range(40), 6):
+            rows.add((token, c, (s << 32) + rng.randint(0, p.probe(s) - 1)))
+    rows = list({(t, c): (t, c, sp) for t, c, sp in rows}.values())
+    rows += rng.choices(rows, k=50) + [(100 + i, 5, (10 << 32)) for i in range(9)]
+    want = {}
+    for token in {t for t, _, _ in rows}:
+        group = sorted({(sp, c) for t, c, sp in rows if t == token})
+        lead = None
+        for at, (sp, c) in enumerate(group):
+            s, i = sp >> 32, sp & 0xFFFFFFFF
+            if len(group) > 1:
+                pred = None
+                if lead:
+                    t, j = lead[0] >> 32, lead[0] & 0xFFFFFFFF
+                    if 100 * t >= 80 * s and 1 + min(s - i - 1, t - j - 1) >= p.overlap(s, t):
+                        pred = lead[1]
+                want[token, c] = (s, i, pred)
+            if i < p.index(s):
+                lead = (sp, c)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    try:
+        got = J._lists(spark.createDataFrame(rows, "token bigint, cls bigint, sp bigint"), p).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want)
+    assert {(r.token, r.cls): (r.size, r.pos, r.pred) for r in got} == want
+    assert all(r.pred is None or r.pred_size == next(s for (t, c), (s, _, _) in want.items() if (t, c) == (r.token, r.pred)) for r in got)
