@@ -13,9 +13,10 @@ T(s, t) = ceil(percent * (s + t) / (100 + percent)) of them. The join finds them
 4. Candidates are verified by T-occurrence search in blocks (``search``): DivideSkip
    merges the short inverted lists of a query with a heap, skipping what cannot reach the
    threshold, and probes the long ones by binary search.
-5. Links give components. Lists whose classes lie in one component are finished; in the others
-   all pairs from different components that pass the size and position filters are verified
-   too, and the components are drawn again. So no link between different components is lost.
+5. Links give components. Lists whose classes lie in one component are finished. In the others
+   every class is held against the list's few classes that stand on most lists; what is then
+   still apart, in all pairs from different components that pass the size and position
+   filters. So no link between different components is lost.
 
 Texts are read twice for shingles; only texts of candidates move, compressed.
 """
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
@@ -45,6 +46,7 @@ class JaccardJoin:
     sketch_bits: int = 19  # log2 of the sketch's counters, 4 bytes each
     block_shingles: int = 1_500_000  # of an index block, about
     block_queries: int = 20_000  # beyond which a block is split
+    hubs: int = 3  # classes of a list that all others are held against before all pairs are
     broadcast_rows: int = 200_000  # classes whose texts are wanted are broadcast up to this many
 
     def overlap(self, s, t):
@@ -67,7 +69,7 @@ def shingles(data: bytes, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; A-Z count as a-z. A text with fewer words than
     ``width`` has one shingle, all its words."""
     hashes = W.word_hashes(data.lower())
-    return np.unique(W.grams(hashes, min(width, len(hashes)))) if len(hashes) else hashes
+    return W.distinct(W.grams(hashes, min(width, len(hashes)))) if len(hashes) else hashes
 
 
 def class_of(found: np.ndarray) -> int:
@@ -145,9 +147,8 @@ def divide_skip(index: BlockIndex, query: np.ndarray, wanted: np.ndarray, p: Jac
     need = p.overlap(len(query), index.sizes[wanted])
     least = int(need.min())
     at = np.searchsorted(index.keys, query)
-    at = at[at < len(index.keys)] if len(index.keys) else at[:0]
-    at = at[np.isin(index.keys[at], query)]
-    at = np.unique(at)
+    at[at == len(index.keys)] = 0
+    at = at[index.keys[at] == query]
     if len(at) < least:
         return []
     begin, end = index.bounds[at], index.bounds[at + 1]
@@ -161,7 +162,9 @@ def divide_skip(index: BlockIndex, query: np.ndarray, wanted: np.ndarray, p: Jac
     ends = np.cumsum(n)
     flat = index.docs[np.repeat(begin[short] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
     owner = np.repeat(np.arange(len(short)), n)
-    keep = np.isin(flat, wanted)
+    mask = np.zeros(len(index.names), bool)
+    mask[wanted] = True
+    keep = mask[flat]
     flat, owner = flat[keep].tolist(), owner[keep].tolist()
     lists: list[list[int]] = []
     last = -1
@@ -194,8 +197,9 @@ def _profile(docs: DataFrame, p: JaccardJoin, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << p.sketch_bits, np.uint32), set()
+        slots: list[np.ndarray] = []
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, held = [], [], 0
             for data in W.binary_column(batch, "data"):
                 found = shingles(data, p.width)
                 cls = class_of(found) if len(found) else None
@@ -203,7 +207,14 @@ def _profile(docs: DataFrame, p: JaccardJoin, key: str, text: str) -> DataFrame:
                 classes.append(cls)
                 if cls is not None and cls not in seen:
                     seen.add(cls)
-                    np.add.at(counts, slot_of(found, p.sketch_bits), 1)
+                    slots.append(slot_of(found, p.sketch_bits))
+                    held += len(found)
+                if held > 1 << 20:
+                    counts += np.bincount(np.concatenate(slots), minlength=len(counts)).astype(np.uint32)
+                    slots, held = [], 0
+            if slots:
+                counts += np.bincount(np.concatenate(slots), minlength=len(counts)).astype(np.uint32)
+                slots = []
             empty = pa.nulls(len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), empty], ["id", "n", "cls", "sketch"])
         if seen:
@@ -335,6 +346,17 @@ def _store(docs: DataFrame, reps: DataFrame, wanted: DataFrame, p: JaccardJoin,
     small = wanted.count() <= p.broadcast_rows
     width = p.width
 
+    # Rows of other texts may share the id, so every text is held against its class.
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            keep, packed = [], []
+            for cls, data in zip(batch.column("cls").to_pylist(), W.binary_column(batch, "data"), strict=True):
+                keep.append(class_of(shingles(data, width)) == cls)
+                packed.append(packer.compress(data) if keep[-1] else None)
+            rows = pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(packed, pa.binary())], ["cls", "n", "z"])
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -342,7 +364,6 @@ def _store(docs: DataFrame, reps: DataFrame, wanted: DataFrame, p: JaccardJoin,
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "z"])
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of other texts may share the id.
         reader = zstandard.ZstdDecompressor()
         for batch in batches:
             same = [class_of(shingles(reader.decompress(z), width)) == c for z, c in zip(batch.column("z").to_pylist(), batch.column("cls").to_pylist(), strict=True)]
@@ -350,14 +371,13 @@ def _store(docs: DataFrame, reps: DataFrame, wanted: DataFrame, p: JaccardJoin,
 
     texts = _texts(docs, key, text)
     to = F.col("id").eqNullSafe(F.col("to"))
+    ddl = "cls bigint, n bigint, z binary"
     if small:
-        joined = texts.join(F.broadcast(wanted), to).select("id", "data", "cls", "n")
-        packed = joined.select("cls", "n", "data").withColumn("id", F.struct("cls", "n")).select("id", "data").mapInArrow(squeeze, "id struct<cls:bigint,n:bigint>, z binary")
-        rows = packed.select("id.cls", "id.n", "z")
+        rows = texts.join(F.broadcast(wanted), to).select("cls", "n", "data").mapInArrow(pack, ddl)
     else:
         packed = texts.mapInArrow(squeeze, "id bigint, z binary")
-        rows = packed.join(wanted.hint("shuffle_hash"), to).select("cls", "n", "z")
-    return stash(rows.mapInArrow(check, "cls bigint, n bigint, z binary"), "jaccard-store")
+        rows = packed.join(wanted.hint("shuffle_hash"), to).select("cls", "n", "z").mapInArrow(check, ddl)
+    return stash(rows, "jaccard-store")
 
 
 def search(pairs: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
@@ -435,21 +455,17 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     rows = profile.filter("sketch is null").drop("sketch")
     reps = rows.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("rep"))
     lists = _lists(_postings(docs, _levels(profile, p), p, key, text), p)
-    first = stash(lists.filter("pred is not null").select(F.col("cls").alias("x"), F.col("pred").alias("y")).distinct(), "jaccard-pairs")
-    links, labels = None, None
-    if not first.isEmpty():
-        store = _store(docs, reps, first.select(F.col("x").alias("cls")).unionByName(first.select(F.col("y").alias("cls"))), p, key, text)
-        links = search(first, store, p)
-        labels = components(links)
-    second = _across(lists, labels, first, p)
-    if not second.isEmpty():
-        store = _store(docs, reps, second.select(F.col("x").alias("cls")).unionByName(second.select(F.col("y").alias("cls"))), p, key, text)
-        more = search(second, store, p)
-        links = more if links is None else stash(links.unionByName(more), "jaccard-links")
-        labels = components(links)
-    if links is None:
-        links = first.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("overlap")).limit(0)
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    pairs = stash(lists.filter("pred is not null").select(F.col("cls").alias("x"), F.col("pred").alias("y")).distinct(), "jaccard-pairs")
+    empty = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("overlap")).limit(0)
+    links, labels, done = empty, empty.select(F.col("a").alias("node"), F.col("b").alias("label")), pairs.limit(0)
+    for step in (_to_hubs, _across, None):
+        if not pairs.isEmpty():
+            ends = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls")))
+            more = search(pairs, _store(docs, reps, ends, p, key, text), p)
+            links = stash(links.unionByName(more), "jaccard-links")
+            labels, done = components(links), done.unionByName(pairs)
+        if step:
+            pairs = stash(step(_open(lists, labels), p).join(done, ["x", "y"], "left_anti"), "jaccard-pairs")
     named = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = stash(named.join(smallest, "label").select("cls", "component_id"), "jaccard-classes")
@@ -459,26 +475,42 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     return documents, links
 
 
-def _across(lists: DataFrame, labels: DataFrame | None, done: DataFrame, p: JaccardJoin) -> DataFrame:
-    """x, y: pairs of a list from different components that may link and have not been verified."""
-    rows = lists.select("token", "cls", "size", "pos")
-    if labels is None:
-        rows = rows.withColumn("label", F.col("cls"))
-    else:
-        rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rows = stash(rows, "jaccard-labelled")
-    mixed = stash(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"), "jaccard-mixed")
-    open_rows = stash(rows.join(mixed, "token", "left_semi"), "jaccard-open")
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, cls, size, pos, label: the lists whose classes
+    lie in more than one component."""
+    rows = lists.select("token", "cls", "size", "pos").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = stash(rows.withColumn("label", F.coalesce("label", "cls")), "jaccard-labelled")
+    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+    return stash(rows.join(mixed, "token", "left_semi"), "jaccard-open")
+
+
+def _meeting(a: DataFrame, b: DataFrame, p: JaccardJoin) -> DataFrame:
+    """x, y: pairs of a row of ``a`` and one of ``b`` on a list, from different components, that size
+    and positions allow to link; x is the larger, and y leads its list."""
     q = p.percent
-    lead = F.expr(f"size - (({2 * q} * size + {99 + q}) div {100 + q}) + 1")  # JaccardJoin.index
-    y = open_rows.filter(F.col("pos") < lead).select("token", F.col("cls").alias("y"), F.col("size").alias("t"), F.col("pos").alias("j"), F.col("label").alias("y_label"))
-    x = open_rows.select("token", F.col("cls").alias("x"), F.col("size").alias("s"), F.col("pos").alias("i"), F.col("label").alias("x_label"))
+    lead = f"pos < size - (({2 * q} * size + {99 + q}) div {100 + q}) + 1"  # JaccardJoin.index
+    x = a.select("token", F.col("cls").alias("x"), F.col("size").alias("s"), F.col("pos").alias("i"), F.col("label").alias("x_label"))
+    y = b.filter(lead).select("token", F.col("cls").alias("y"), F.col("size").alias("t"), F.col("pos").alias("j"), F.col("label").alias("y_label"))
     fits = (
-        "x_label <> y_label and (t < s or (t = s and y < x)) and 100 * t >= {q} * s"
-        " and (1 + least(s - i - 1, t - j - 1)) * (100 + {q}) >= {q} * (s + t)"
-    ).format(q=q)
-    pairs = x.join(y, "token").filter(fits).select("x", "y").distinct()
-    return stash(pairs.join(done, ["x", "y"], "left_anti"), "jaccard-pairs")
+        f"x_label <> y_label and (t < s or (t = s and y < x)) and 100 * t >= {q} * s"
+        f" and (1 + least(s - i - 1, t - j - 1)) * {100 + q} >= {q} * (s + t)"
+    )
+    return x.join(y, "token").filter(fits).select("x", "y").distinct()
+
+
+def _to_hubs(rows: DataFrame, p: JaccardJoin) -> DataFrame:
+    """Pairs of all rows of a list with its few classes that stand on most lists. In a group of
+    near copies those have the fewest edits, and what links at all mostly links with them."""
+    on = rows.groupBy("cls").agg(F.count("*").alias("on"))
+    place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("on"), "cls"))
+    hubs = rows.join(on, "cls").withColumn("place", place).filter(F.col("place") <= p.hubs).drop("place", "on")
+    hubs = stash(hubs, "jaccard-hubs")
+    return _meeting(rows, hubs, p).unionByName(_meeting(hubs, rows, p)).distinct()
+
+
+def _across(rows: DataFrame, p: JaccardJoin) -> DataFrame:
+    """All pairs that may still link components."""
+    return _meeting(rows, rows, p)
 
 
 def keep_one(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:

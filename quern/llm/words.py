@@ -94,18 +94,24 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def repeated(values: np.ndarray) -> np.ndarray:
     """Positions whose value occurs at least twice."""
-    if len(values) < 2:
+    ordered = np.sort(values)
+    if not (ordered[1:] == ordered[:-1]).any():
         return np.zeros(0, np.int64)
     order = np.argsort(values, kind="stable")
     same = values[order[1:]] == values[order[:-1]]
-    if not same.any():
-        return np.zeros(0, np.int64)
     hit = np.zeros(len(values), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
     return np.flatnonzero(hit)
 
 
-def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """The column's values as bytes; null is empty."""
-    return [v or b"" for v in batch.column(name).to_pylist()]
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values. numpy's own hashes them, which is slower than its sort."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def binary_column(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
+    """The column's values as bytes, one at a time; null is empty."""
+    for value in batch.column(name):
+        yield value.as_py() or b""
