@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "quern") -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
-    return (
+    return importable(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,6 +25,17 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """``spark``, whose Python workers will find this package where the driver has it. On a cluster
+    the package is installed, or passed with --py-files; there this changes nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
