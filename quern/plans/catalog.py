@@ -13,21 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ratings(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def ratings(spark: SparkSession, sf_dir: str, only: DataFrame | list[int] | None = None) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity")
     if only is not None:
-        lines = lines.join(only, lines["l_partkey"] == only["product_id"], "left_semi")
+        lines = _within(lines, "l_partkey", only)
     return lines.groupBy("l_partkey").agg(F.count("*").alias("rating_number"), F.round(F.avg("l_quantity") / 6.25, 1).alias("average_rating"))
 
 
-def products(spark: SparkSession, sf_dir: str, pool: DataFrame | None = None) -> DataFrame:
+def _within(rows: DataFrame, key: str, only: DataFrame | list[int]) -> DataFrame:
+    """The rows with a key in ``only``: a list becomes a filter that reaches the Parquet scan."""
+    if isinstance(only, list):
+        return rows.filter(F.col(key).isin(only))
+    return rows.join(only, rows[key] == only["product_id"], "left_semi")
+
+
+def products(spark: SparkSession, sf_dir: str, pool: DataFrame | list[int] | None = None) -> DataFrame:
     """product_id, title, store, price, average_rating, rating_number of every part, or of those in
-    ``pool``: the pools of a request batch, whose size the batch bounds. They are broadcast, so
-    only their ratings are grouped and no large table is shuffled."""
-    part, only = table(spark, sf_dir, "part"), None
-    if pool is not None:
+    ``pool``: the ids of one pool, or the pools of a request batch, whose size the batch bounds.
+    Pools of a batch are broadcast; in both cases only their ratings are grouped and no large
+    table is shuffled."""
+    part, only = table(spark, sf_dir, "part"), pool
+    if isinstance(pool, DataFrame):
         only = F.broadcast(pool.select("product_id").distinct())
-        part = part.join(only, part["p_partkey"] == only["product_id"], "left_semi")
+    if only is not None:
+        part = _within(part, "p_partkey", only)
     rated = part.join(ratings(spark, sf_dir, only), part["p_partkey"] == F.col("l_partkey"), "left")
     return rated.select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("store"),
