@@ -34,8 +34,8 @@ class Packing:
     end_id: int = 1
     group_tokens: int = 1 << 20  # ids packed together, about
     step_sequences: int = 16  # sequences of a step group
-    cache_words: int = 900_000  # words whose ids a worker keeps
-    cache_ids: int = 4_000_000
+    cache_words: int = 400_000  # words whose ids a worker keeps
+    cache_ids: int = 2_000_000
 
 
 # --- ids ---------------------------------------------------------------------------------
