@@ -8,17 +8,23 @@ covered. Units are grouped by digest over all documents, the earliest document k
 and stretches of at least ``min_words`` covered words are removed from the others. Spans are
 reported as offsets into the original text.
 
+Two options take the whole repeat. ``widen`` groups, in a second round, every unit that
+stands next to a repeated one, chosen or not, so a repeat goes up to its true ends. With
+``block_words`` whole lines, paragraphs and texts are units too, and go at any length from there.
+
 Only (document, digest) pairs are grouped, with a partial aggregate, so a passage that a
-third of all documents share costs a row per task. Texts move once.
+third of all documents share costs a row per task. Texts move once, with ``widen`` those
+that share a unit twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +39,80 @@ class SubstringDedup:
     #: Covered words in a row that make a repeat. With the defaults a repeat of 50 words is
     #: always covered over 28 or more, and nothing shorter than 28 words is ever removed.
     min_words: int = 28
+    #: Whether all units beside a repeated one are grouped as well. Every repeat of
+    #: ``min_words`` then goes whole (unit + spread - 1 words always hold a chosen unit).
+    widen: bool = False
+    #: Least words of a line, paragraph or text that goes as a whole; 0: none does.
+    block_words: int = 0
+
+
+#: What the query runs: whole repeats, and whole lines of a unit's length.
+WHOLE = SubstringDedup(widen=True, block_words=12)
 
 
 def units(data: bytes, p: SubstringDedup) -> tuple[np.ndarray, np.ndarray, int]:
     """(first words of the chosen units, their digests as int64, number of words). Letters A-Z count as a-z."""
+    g, n = _all_units(data, p)
+    at = _chosen(g, p)
+    return at, g[at].view(np.int64), n
+
+
+def _all_units(data: bytes, p: SubstringDedup) -> tuple[np.ndarray, int]:
     hashes = W.word_hashes(data.lower())
-    g = W.grams(hashes, p.unit)
+    return W.grams(hashes, p.unit), len(hashes)
+
+
+def _chosen(g: np.ndarray, p: SubstringDedup) -> np.ndarray:
     if len(g) < p.spread:
         at = np.array([int(g.argmin())]) if len(g) else np.zeros(0, np.int64)
     else:
         chosen = [np.arange(a, b) + np.lib.stride_tricks.sliding_window_view(g[a : b + p.spread - 1], p.spread).argmin(axis=1) for a, b in _runs(len(g) - p.spread + 1)]
         at = np.unique(np.concatenate(chosen))
-    return at, g[at].view(np.int64), len(hashes)
+    return at
+
+
+def blocks(data: bytes, p: SubstringDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, end words, digests) of the lines, paragraphs and the text that have
+    ``block_words`` words, each stretch once, the whole text last. However the words are spaced, they
+    give the same digest."""
+    found: dict[tuple[int, int], int] = {}
+
+    def add(begin: int, words: list[bytes]) -> None:
+        if len(words) >= p.block_words:
+            found.setdefault((begin, begin + len(words)), xxhash.xxh3_64_intdigest(b" ".join(words)))
+
+    at, text, paragraph = 0, [], []
+    for line in data.lower().split(b"\n") if p.block_words else ():
+        words = line.split()
+        add(at, words)
+        at += len(words)
+        if words:
+            paragraph += words
+        elif paragraph:
+            add(at - len(paragraph), paragraph)
+            text += paragraph
+            paragraph = []
+    if p.block_words:
+        add(at - len(paragraph), paragraph)
+        add(0, text + paragraph)
+    bounds = np.array(sorted(found, key=lambda b: b[1] - b[0]), np.int64).reshape(-1, 2)
+    digests = np.array([found[a, b] for a, b in bounds.tolist()], np.uint64).view(np.int64)
+    return bounds[:, 0], bounds[:, 1], digests
+
+
+def beside(data: bytes, later: np.ndarray, own: np.ndarray, p: SubstringDedup) -> np.ndarray:
+    """Digests for the second round: all units that begin within ``spread`` - 1 words of a chosen
+    one that other documents have (earlier ones ``later``, none but later ones ``own``), and the shared blocks. Of a text
+    that an earlier one has whole, only that."""
+    g, n = _all_units(data, p)
+    first, end, digests = blocks(data, p)
+    if len(digests) and end[-1] - first[-1] == n and (digests[-1] == later).any():
+        return digests[-1:]
+    shared = np.concatenate([later, own])
+    at = _chosen(g, p)
+    hit = at[np.isin(g[at].view(np.int64), shared)]
+    near = W.covered(np.maximum(hit - p.spread + 1, 0), 2 * p.spread - 1, len(g) + 2 * p.spread)[: len(g)]
+    return W.distinct(np.concatenate([g.view(np.int64)[near], digests[np.isin(digests, shared)]]))
 
 
 def _runs(n: int, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
@@ -54,26 +122,47 @@ def _runs(n: int, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
 
 def spans(data: bytes, repeated: np.ndarray, p: SubstringDedup) -> list[tuple[int, int, int, int]]:
     """(first byte, end byte, first word, end word) of what goes: stretches covered by units
-    whose digest is in ``repeated``, or that the text itself has had before."""
-    at, digests, n = units(data, p)
-    if not len(at):
+    whose digest is in ``repeated``, or that the text itself has had before; and such blocks."""
+    if p.widen:
+        g, n = _all_units(data, p)
+        at, digests = np.arange(len(g)), g.view(np.int64)
+    else:
+        at, digests, n = units(data, p)
+    first, stop, whole = blocks(data, p)
+    if not len(at) and not len(whole):
         return []
-    _, first = np.unique(digests, return_index=True)
-    again = np.ones(len(at), bool)
-    again[first] = False
-    hit = again | np.isin(digests, repeated)
-    if not hit.any():
+    hit = at[_again(digests) | np.isin(digests, repeated)]
+    # Blocks of one digest have as many words: the earliest begins first.
+    order = np.argsort(first, kind="stable")
+    gone = order[_again(whole[order]) | np.isin(whole[order], repeated)]
+    if not len(hit) and not len(gone):
         return []
-    mask = np.concatenate([[0], W.covered(at[hit], p.unit, n).astype(np.int8), [0]])
-    step = np.diff(mask)
-    begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    begin, end = _stretches(W.covered(hit, p.unit, n))
     long = end - begin >= p.min_words
+    if len(gone):
+        mask = np.zeros(n, bool)
+        for a, b in [*zip(begin[long], end[long], strict=True), *zip(first[gone], stop[gone], strict=True)]:
+            mask[a:b] = True
+        begin, end = _stretches(mask)
+        long = np.ones(len(begin), bool)
     if not long.any():
         return []
     starts, ends = W.word_bounds(np.frombuffer(data, np.uint8))
     return [(int(starts[a]), int(ends[b - 1]), int(a), int(b)) for a, b in zip(begin[long], end[long], strict=True)]
 
 
+def _again(digests: np.ndarray) -> np.ndarray:
+    """Mask of the digests that stand further left as well."""
+    again = np.ones(len(digests), bool)
+    again[np.unique(digests, return_index=True)[1]] = False
+    return again
+
+
+def _stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
 #: Stands for a null id, the earliest of all.
 NULL_ID = -(1 << 63)
 SPAN_DDL = "array<struct<start:bigint,stop:bigint,first_word:bigint,end_word:bigint>>"
@@ -82,12 +171,27 @@ _SPAN = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "stop", "first_wo
 
 def _digests(docs: DataFrame, p: SubstringDedup, key: str, text: str) -> DataFrame:
     """id, digest: a row for each digest of a document."""
+    body = F.col(f"`{text}`")
+    inner = docs.filter(body.isNotNull()).select(_id(key).alias("id"), body.cast("binary").alias("data"))
+    return _pairs(inner, lambda data: np.unique(np.concatenate([units(data, p)[1], blocks(data, p)[2]])))
+
+
+def _beside(docs: DataFrame, hits: DataFrame, p: SubstringDedup, key: str, text: str) -> DataFrame:
+    """id, digest: a row for each digest of ``beside``, of the documents in ``hits``."""
+    body = F.col(f"`{text}`")
+    inner = docs.filter(body.isNotNull()).select(_id(key).alias("id"), body.cast("binary").alias("data")).join(hits, "id")
+    return _pairs(inner, lambda data, later, own: beside(data, later, own, p), "later", "own")
+
+
+def _pairs(rows: DataFrame, found_in: Callable[..., np.ndarray], *lists: str) -> DataFrame:
+    """id, digest from rows with id, data and columns of digest lists."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found, held = [], [], 0
-            for name, data in zip(batch.column("id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                d = np.unique(units(data, p)[1])
+            rest = [[np.array(x.values, np.int64) for x in batch.column(c)] for c in lists]
+            for name, data, *more in zip(batch.column("id").to_pylist(), batch.column("data").to_pylist(), *rest, strict=True):
+                d = found_in(data, *more)
                 ids.append(np.full(len(d), name, np.int64))
                 found.append(d)
                 held += len(d)
@@ -97,22 +201,29 @@ def _digests(docs: DataFrame, p: SubstringDedup, key: str, text: str) -> DataFra
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], ["id", "digest"])
 
-    body = F.col(f"`{text}`")
-    inner = docs.filter(body.isNotNull()).select(_id(key).alias("id"), body.cast("binary").alias("data"))
-    return inner.mapInArrow(run, "id bigint, digest bigint")
+    return rows.mapInArrow(run, "id bigint, digest bigint")
 
 
 def _id(key: str) -> F.Column:
     return F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NULL_ID))
 
 
+def _shared(pairs: DataFrame) -> DataFrame:
+    """digest, keeper (its earliest document) of the digests that several documents have."""
+    return stash(
+        pairs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "substring-firsts"
+    )
+
+
 def repeated_units(docs: DataFrame, p: SubstringDedup = SubstringDedup(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, digests (array): for each document, the units that an earlier document has."""
     pairs = _digests(docs, p, key, text)
-    firsts = stash(
-        pairs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "substring-firsts"
-    )
-    later = pairs.join(firsts, "digest").filter("id > keeper").select("id", "digest")
+    if p.widen:
+        met = pairs.join(_shared(pairs), "digest")
+        kept = F.col("id") == F.col("keeper")
+        hits = met.groupBy("id").agg(F.collect_set(F.when(~kept, F.col("digest"))).alias("later"), F.collect_set(F.when(kept, F.col("digest"))).alias("own"))
+        pairs = stash(_beside(docs, hits, p, key, text), "substring-beside")
+    later = pairs.join(_shared(pairs), "digest").filter("id > keeper").select("id", "digest")
     return later.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
 
@@ -123,7 +234,8 @@ def dedup_substrings(docs: DataFrame, p: SubstringDedup = SubstringDedup(), key:
     The rank of a document is its id, an integer, null first; rows that share an id are one
     document and keep what none with a smaller id has. Within a text the first occurrence
     stays. A removed span takes the space before it along, so words never run together. A
-    null text stays null and has nothing removed. Texts shorter than a unit are left alone.
+    null text stays null and has nothing removed. Texts shorter than a unit (and, if there are
+    any, than a block) are left alone.
     Other columns pass through, whatever their names, unless called ``removed`` or
     ``removed_words``, which are replaced. An empty table gives an empty one.
     """
@@ -172,6 +284,6 @@ def _in_points(data: bytes | None, gone: list[tuple[int, int, int, int]]) -> lis
     return [{"start": int(points[a]), "stop": int(points[b]), "first_word": c, "end_word": d} for a, b, c, d in gone]
 
 
-def report(docs: DataFrame, p: SubstringDedup = SubstringDedup()) -> DataFrame:
+def report(docs: DataFrame, p: SubstringDedup = WHOLE) -> DataFrame:
     """doc_id, cleaned text, removed spans and removed words of every document."""
     return dedup_substrings(docs.select("doc_id", "text"), p)

@@ -110,3 +110,65 @@ def test_long_text_in_runs_agrees():
     g = W.grams(W.word_hashes(data), p.unit)
     want = sorted({i + int(np.argmin(g[i : i + p.spread])) for i in range(0, 70_000, 1)})
     assert set(want) <= set(at.tolist()) and n == 140_000
+
+
+def test_report_removes_repeats_whole(spark):
+    """Passages of 28 words and more to both ends, wherever they begin; whole lines, paragraphs and texts from 12."""
+    rng = random.Random(12)
+    passage, line, paragraph, short = fresh(rng, 90), fresh(rng, 12), fresh(rng, 20), fresh(rng, 11)
+    rows, want = [], []
+    seen = [False] * 90  # of the passage, by 12-word units
+    for i in range(60):
+        a = rng.randint(0, 62)
+        part = passage[a : a + rng.randint(28, 90)]
+        before, after = fresh(rng, rng.randint(0, 40)), fresh(rng, rng.randint(0, 40))
+        gone = [False] * len(part)
+        for at in range(len(part) - 11):
+            if seen[a + at]:
+                gone[at : at + 12] = [True] * 12
+            seen[a + at] = True
+        stretches = "".join("x" if g else " " for g in gone).split(" ")
+        assert all(len(s) == 0 or len(s) >= 12 for s in stretches)
+        # Stretches under 28 words stay.
+        at = 0
+        while at < len(gone):
+            end = at
+            while end < len(gone) and gone[end]:
+                end += 1
+            if end - at < 28:
+                gone[at:end] = [False] * (end - at)
+            at = max(end, at + 1)
+        rows.append((i, " ".join(before + part + after)))
+        want.append((before + [w for w, g in zip(part, gone, strict=True) if not g] + after, sum(gone)))
+    for i in range(60, 64):
+        own = [fresh(rng, 30), fresh(rng, 30), fresh(rng, 30)]
+        text = [" ".join(own[0]), " ".join(line).upper() if i % 2 else "\t" + " ".join(line), " ".join(own[1]), "", " ".join(paragraph[:9]), " ".join(paragraph[9:]), "", " ".join(own[2]), " ".join(short)]
+        rows.append((i, "\n".join(text)))
+        want.append((own[0] + ([] if i > 60 else line) + own[1] + ([] if i > 60 else paragraph) + own[2] + short, 32 if i > 60 else 0))
+    rows += [(64, " ".join(line)), (65, "é " + " ".join(line)), (66, rows[3][1]), (67, None), (68, " ".join(short)), (69, " ".join(short))]
+    want += [([], 12), (["é", *line], 0), ([], len(rows[3][1].split())), ([], 0), (short, 0), (short, 0)]
+    got = {r.doc_id: r for r in S.report(table(spark, rows).repartition(5)).collect()}
+    assert len(got) == len(rows)
+    for (i, text), (left, removed) in zip(rows, want, strict=True):
+        assert ((got[i].text or "").split(), got[i].removed_words) == (left, removed), i
+        for s in got[i].removed:
+            assert text[s.start : s.stop].split() == text.split()[s.first_word : s.end_word]
+
+
+def test_an_edge_is_found_in_any_earlier_text(spark):
+    """The document that holds the edge is neither the keeper of the units beside it nor cut there itself."""
+    rng = random.Random(13)
+    for _ in range(3):
+        passage = fresh(rng, 60)
+        lead = rng.randint(1, 11)
+        rows = [(1, " ".join(passage[lead:])), (2, " ".join(fresh(rng, 40) + passage)), (3, " ".join([*fresh(rng, 40), *passage, "end"]))]
+        got = {r.doc_id: r for r in S.report(table(spark, rows)).collect()}
+        assert got[2].removed_words == 60 - lead and got[3].removed_words == 60
+
+
+def test_blocks_are_counted_once():
+    p = S.SubstringDedup(block_words=2)
+    first, end, digests = S.blocks(b"a b\nc\n\nd  E\n\nf\n", p)
+    assert list(zip(first.tolist(), end.tolist(), strict=True)) == [(0, 2), (3, 5), (0, 3), (0, 6)] and len(set(digests.tolist())) == 4
+    assert S.blocks(b"D\te", p)[2].tolist() == digests[1:2].tolist()
+    assert [len(x) for x in S.blocks(b"a b", S.SubstringDedup())] == [0, 0, 0] == [len(x) for x in S.blocks(b"", p)]
