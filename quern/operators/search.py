@@ -15,6 +15,9 @@ from quern.functions.vectors import dot
 #: whatever order a sum was taken in.
 SCORE_DECIMALS = 6
 
+#: Queries scored together against a block; a worker holds this many times the block's rows of scores.
+AT_ONCE = 256
+
 
 def pool_size(pool: int, k: int, n: int) -> int:
     """Candidates taken: the pool, at least min(k, n), at most n."""
@@ -67,20 +70,20 @@ def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, qu
             keys = batch.column(key)
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             block = flat.reshape(batch.num_rows, -1).astype(np.float64)
-            scores = np.round(vectors @ block.T, SCORE_DECIMALS) + 0.0
             order_key = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"))
-            picked, query_at = [], []
-            for q in range(len(ids)):
-                s = scores[q]
-                rows = np.arange(len(s))
-                if len(s) > n:
-                    floor = np.partition(s, len(s) - n)[len(s) - n]
-                    rows = np.flatnonzero(s >= floor)
-                rows = rows[np.lexsort((order_key[rows], -s[rows]))][:n]
-                picked.append(rows)
-                query_at.append(np.full(len(rows), q))
-            at, query = np.concatenate(picked), np.concatenate(query_at)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query]), keys.take(pa.array(at)), pa.array(scores[query, at])], [query_key, key, "score"])
+            for begin in range(0, len(ids), AT_ONCE):
+                scores = np.round(vectors[begin : begin + AT_ONCE] @ block.T, SCORE_DECIMALS) + 0.0
+                picked, query_at = [], []
+                for q, s in enumerate(scores):
+                    rows = np.arange(len(s))
+                    if len(s) > n:
+                        floor = np.partition(s, len(s) - n)[len(s) - n]
+                        rows = np.flatnonzero(s >= floor)
+                    rows = rows[np.lexsort((order_key[rows], -s[rows]))][:n]
+                    picked.append(rows)
+                    query_at.append(np.full(len(rows), q))
+                at, query = np.concatenate(picked), np.concatenate(query_at)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[begin + q] for q in query]), keys.take(pa.array(at)), pa.array(scores[query, at])], [query_key, key, "score"])
 
     found = corpus.select(key, "embedding").mapInArrow(best, f"{query_key} {query_type}, {key} {types[key]}, score double")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))

@@ -85,7 +85,16 @@ def category_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_signals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog's own lexicon over the first lines of English documents."""
-    lines = C.table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.element_at(T.first_lines("text"), 1).alias("line"))
+    return _text_categories(C.table(spark, sf_dir, "documents").filter("lang = 'en'"))
+
+
+def category_signals_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for documents of all languages, and of none."""
+    return _text_categories(C.table(spark, sf_dir, "documents"))
+
+
+def _text_categories(docs: DataFrame) -> DataFrame:
+    lines = docs.select(F.element_at(T.first_lines("text"), 1).alias("line"))
     return lines.select(F.explode(T.categories("line")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -176,6 +185,7 @@ QUERIES = {
     ),
     "category_signals": (category_signals, _category_sql(LEXICON, ("p_name", "part"))),
     "category_signals_text": (category_signals_text, _category_sql(T.CATEGORY_KEYWORDS, ("string_split(text, chr(10))[1]", "documents WHERE lang = 'en'"))),
+    "category_signals_text_all": (category_signals_text_all, _category_sql(T.CATEGORY_KEYWORDS, ("string_split(text, chr(10))[1]", "documents"))),
     "deterministic_sample": (deterministic_sample, f"SELECT p_partkey, p_name, {_MARK.format(k='p_partkey')} AS mark FROM part ORDER BY mark, p_partkey LIMIT {SAMPLE_SIZE}"),
     "compact_samples": (
         compact_samples,

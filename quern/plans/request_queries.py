@@ -36,6 +36,14 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.outcomes(requests, results, "conv_id", errors).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def request_outcomes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the requests of all turns."""
+    requests = explain.validate_requests(_requests(spark, sf_dir)).withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    results = requests.filter("conv_id % 3 <> 0").select("id")
+    errors = requests.filter("conv_id % 7 = 0").select("id", F.when(F.col("conv_id") % 2 == 0, "upstream_error").otherwise("missing_api_key").alias("status"))
+    return explain.outcomes(requests, results, "id", errors.distinct()).groupBy("status").agg(F.count("*").alias("n"))
+
+
 def intent_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = C.table(spark, sf_dir, "conversations").filter("role = 'user'")
     words = F.split("text", " ")
@@ -57,14 +65,24 @@ def query_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_all(spark, sf_dir).filter("product_id < 400")
+
+
+def _ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 20 products in a row as the ranked products of a query."""
     k = F.col("product_id")
-    rows = C.products(spark, sf_dir).filter(k < 400)
-    return rows.withColumns({"query_id": F.floor(k / 20).cast("bigint"), "rank": (k % 20 + 1).cast("int")})
+    return C.products(spark, sf_dir).withColumns({"query_id": F.floor(k / 20).cast("bigint"), "rank": (k % 20 + 1).cast("int")})
 
 
 def explain_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).filter("rank <= 8")
+    return _prompts(_ranked(spark, sf_dir).filter("rank <= 8"))
+
+
+def explain_prompt_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompts(_ranked_all(spark, sf_dir))
+
+
+def _prompts(rows: DataFrame) -> DataFrame:
     text = F.lit(None).cast("string")
     intent = {
         "original_query": F.concat(F.lit("query "), F.col("query_id").cast("string")), "occasion": F.lit(" party "), "season": F.lit(" "), "audience": text, "price_preference": text,
@@ -77,8 +95,16 @@ def explain_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explanation_merge_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _integrity(_ranked(spark, sf_dir).filter("rank <= 5"))
+
+
+def explanation_merge_integrity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _integrity(_ranked_all(spark, sf_dir))
+
+
+def _integrity(rows: DataFrame) -> DataFrame:
     """Verdicts on explanations that miss, add, repeat or blank a rank."""
-    ranked = _ranked(spark, sf_dir).filter("rank <= 5").select("query_id", "rank", "product_id")
+    ranked = rows.select("query_id", "rank", "product_id")
     q, r = F.col("query_id"), F.col("rank")
     said = ranked.select(
         "query_id", F.when((q % 5 == 1) & (r == 5), F.lit(99)).when((q % 5 == 2) & (r == 5), F.lit(4)).otherwise(r).alias("rank"),
@@ -140,10 +166,17 @@ def parse_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _explained(_ranked(spark, sf_dir).filter("rank <= 8"))
+
+
+def explain_offline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _explained(_ranked_all(spark, sf_dir))
+
+
+def _explained(ranked: DataFrame) -> DataFrame:
     """Prompts to explanations to merged rows, offline."""
-    ranked = _ranked(spark, sf_dir).filter("rank <= 8")
     ranks = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-    prompts = explain_prompt(spark, sf_dir).join(ranks, "query_id")
+    prompts = _prompts(ranked).join(ranks, "query_id")
     said = M.explain_column(prompts, M.TemplateExplainer(), "query_id")
     merged, _ = explain.merge_explanations(ranked.select("query_id", "rank", "product_id"), said, ["query_id"])
     return merged
@@ -220,3 +253,20 @@ QUERIES = {
     "parse_offline": (parse_offline, None),
     "explain_offline": (explain_offline, f"WITH {_RANKED} SELECT query_id, rank, product_id, 'Matches the request at rank ' || rank || '.' AS why_this_matches FROM ranked WHERE rank <= 8"),
 }
+
+
+def _whole(name: str, *filters: str) -> str:
+    """The twin of a query without its filters on ids, ranks or turns."""
+    sql = QUERIES[name][1]
+    for f in filters:
+        assert sql.count(f) == 1, (name, f)
+        sql = sql.replace(f, "")
+    return sql
+
+
+QUERIES |= {
+    "request_outcomes_all": (request_outcomes_all, _whole("request_outcomes", " WHERE turn = 0")),
+    "explain_prompt_all": (explain_prompt_all, _whole("explain_prompt", " WHERE product_id < 400", " WHERE rank <= 8")),
+    "explanation_merge_integrity_all": (explanation_merge_integrity_all, _whole("explanation_merge_integrity", " WHERE product_id < 400", " WHERE rank <= 5")),
+    "explain_offline_all": (explain_offline_all, _whole("explain_offline", " WHERE product_id < 400", " WHERE rank <= 8")),
+}

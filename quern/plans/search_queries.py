@@ -12,6 +12,8 @@ from quern.session import stash
 
 K, POOL = 8, 40
 BATCH = 20
+#: Of all vectors one in so many is a query, in requests of at most REQUEST queries.
+EVERY, REQUEST = 50, 65_536
 
 
 def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -75,6 +77,24 @@ def recommend_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.quality_gate(curation.curate(rows, K, ["query_id"])).select("query_id", *RESULT)
 
 
+def recommend_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector as a query, against all products: queries grow with the table, and go in
+    requests of bounded size. Their pools cover most products, so parts and ratings are read whole."""
+    vectors = C.vectors(spark, sf_dir)
+    known = C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
+    corpus, query = vectors.join(known, "product_id", "left_semi"), F.col("product_id") % EVERY == 0
+    asked = vectors.filter(query).select(F.col("product_id").alias("query_id"), "embedding")
+    n = asked.count()
+    # Dealt out by hash: twice as many requests as would just hold all.
+    requests = 1 if n <= REQUEST else 2 * -(-n // REQUEST)
+    best = None
+    for i in range(requests):
+        one = search.batch_candidates(corpus, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(requests)) == i), POOL, "product_id", max_queries=REQUEST)
+        best = one if best is None else best.unionByName(one)
+    rows = C.keyed(stash(best, "batch-pools").join(C.products(spark, sf_dir), "product_id"))
+    return curation.quality_gate(curation.curate(rows, K, ["query_id"])).select("query_id", *RESULT)
+
+
 def dedup_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curation with stores uncapped: the best row of each title."""
     best = _pool(spark, sf_dir, C.catalog(spark, sf_dir), POOL, K).drop("embedding").withColumn("query_id", F.lit(0))
@@ -116,7 +136,11 @@ def artifact_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether vectors may be queries: as they are, cut short, zeroed."""
-    e = C.table(spark, sf_dir, "embeddings").filter("vec_id < 50")
+    return query_validation_all(spark, sf_dir).filter("vec_id < 50")
+
+
+def query_validation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.table(spark, sf_dir, "embeddings")
     v = F.when(F.col("vec_id") % 3 == 1, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 3 == 2, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
     return e.select("vec_id", V.is_query(v, 64).alias("valid"))
 
@@ -183,6 +207,7 @@ tp AS (SELECT * FROM sc ORDER BY score DESC, vec_id LIMIT {POOL}),
 rk AS (SELECT qid, products.*, score, row_number() OVER (ORDER BY score DESC, product_id) AS o FROM tp JOIN products ON product_id = vec_id)"""
 _RK_BATCH = f"""sc AS (SELECT q.vec_id AS qid, cat.*, {_score('cat.embedding', 'q.embedding::double[]')} AS score FROM cat, embeddings q WHERE q.vec_id < {BATCH}),
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, product_id) AS o FROM sc) WHERE o <= {POOL})"""
+_RK_EVERY = _RK_BATCH.replace(f"q.vec_id < {BATCH}", f"q.vec_id % {EVERY} = 0")
 
 
 def _clamp_sql(kind: str, n: str) -> str:
@@ -196,6 +221,7 @@ _SPOT = "vec_id IN (0, n // 2, n - 1)"
 QUERIES = {
     "recommend_top8": (recommend_top8, _recommend_sql(_RK_ALL, "")),
     "recommend_batch": (recommend_batch, _recommend_sql(_RK_BATCH, "qid AS query_id, ")),
+    "recommend_batch_all": (recommend_batch_all, _recommend_sql(_RK_EVERY, "qid AS query_id, ")),
     "vector_scores_round": (vector_scores_round, f"SELECT vec_id, {_score('embedding', _Q0)} AS score FROM embeddings"),
     "vector_topn": (vector_topn, f"SELECT vec_id AS product_id, {_score('embedding', _Q0)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {POOL}"),
     "vector_pool_clamp": (vector_pool_clamp, " UNION ALL ".join((_clamp_sql("below_k", "12"), _clamp_sql("above_n", "1000000"), _clamp_sql("usual", str(POOL))))),
@@ -225,6 +251,7 @@ QUERIES = {
         count(*) FILTER (vec_id IS NOT NULL AND p_partkey IS NOT NULL) AS aligned FROM part FULL OUTER JOIN embeddings ON p_partkey = vec_id""",
     ),
     "query_validation": (query_validation, "SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings WHERE vec_id < 50"),
+    "query_validation_all": (query_validation_all, "SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings"),
     "memory_estimate": (
         memory_estimate,
         f"""WITH {C.CATALOG_SQL}, m AS (SELECT count(*) AS n, sum(len(embedding) * 4) / 1048576.0::double AS v,
