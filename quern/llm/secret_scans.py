@@ -7,12 +7,13 @@ the findings back to all paths.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import stash
+from quern.session import stash, work_dir
 
 # The base rules. Letters of the key words match in either case, spelled out
 # because engines differ in which non-ASCII letters fold to ASCII ones.
@@ -84,6 +85,42 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     with a partial aggregate, so a blob with very many paths costs one row per task, and
     the texts to scan are shuffled once by a hash join that builds on the addresses.
     """
+    paths, pairs, spans = _scanned(docs, ledger, rules, key, text)
+    fresh = _entries(pairs, spans)
+    known = spans if ledger is None else spans.unionByName(ledger.select("blob", "rule", "spans"))
+    after = fresh if ledger is None else ledger.select("blob", "rule", "spans").unionByName(fresh)
+    return _report(paths, known, rules, key), after
+
+
+LEDGER_DDL = "blob binary, rule string, spans array<struct<start:bigint,stop:bigint>>"
+
+
+def scan_stored(docs: DataFrame, path: str, rules: tuple[Rule, ...] = BASE_RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The findings, by way of a ledger stored as Parquet at ``path``, made where there is none.
+
+    What it lacks is scanned and appended, and the findings come from the table read back. An
+    append that was cut off has left whole rows or none: the next run scans what is missing.
+    Runs at the same time may both append a pair; it counts once.
+    """
+    spark = docs.sparkSession
+    spark.createDataFrame([], LEDGER_DDL).write.mode("ignore").parquet(path)
+    paths, pairs, spans = _scanned(docs, spark.read.schema(LEDGER_DDL).parquet(path), rules, key, text)
+    _entries(pairs, spans).write.mode("append").parquet(path)
+    stored = spark.read.schema(LEDGER_DDL).parquet(path)
+    known = stored.filter(F.size("spans") > 0).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
+    return _report(paths, known, rules, key)
+
+
+def stored_report(docs: DataFrame) -> DataFrame:
+    """Findings by way of the ledger that spark.quern.secretLedger names. Without that setting every
+    call begins a ledger in the shared folder, so that it scans all blobs."""
+    spark = docs.sparkSession
+    path = spark.conf.get("spark.quern.secretLedger", None) or f"{work_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    return scan_stored(docs, path)
+
+
+def _scanned(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path, blob) of all rows; (blob, rule) pairs that the ledger lacks; and the spans of those that have any."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     address = F.unhex(F.sha2(body, 256))
     paths = stash(docs.select(F.col(f"`{key}`").alias("path"), address.alias("blob")), "secret-paths")
@@ -112,11 +149,15 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         .groupBy("blob", "rule")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("n")).cast("bigint").alias("stop")))).alias("spans"))
     )
-    known = spans if ledger is None else spans.unionByName(ledger.select("blob", "rule", "spans"))
+    return paths, pairs, spans
+
+
+def _entries(pairs: DataFrame, spans: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    fresh = pairs.select("blob", "rule").join(spans, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", none).alias("spans"))
-    after = fresh if ledger is None else ledger.select("blob", "rule", "spans").unionByName(fresh)
+    return pairs.select("blob", "rule").join(spans, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", none).alias("spans"))
+
 
+def _report(paths: DataFrame, known: DataFrame, rules: tuple[Rule, ...], key: str) -> DataFrame:
     # A blob's spans of all rules of this run, in order.
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
@@ -131,14 +172,13 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
             F.array_join(F.transform("all", lambda s: F.concat_ws(":", kinds[s["order"]], s["start"], s["stop"])), ",").alias("spans"),
         )
     )
-    report = paths.join(of_blob, F.col("blob") == F.col("to_blob"), "left").select(
+    return paths.join(of_blob, F.col("blob") == F.col("to_blob"), "left").select(
         F.col("path").alias(key),
         F.lower(F.hex("blob")).alias("blob"),
         *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in rules],
         F.sha2(F.coalesce("spans", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     )
-    return report, after
 
 
 def _duck(kind: str, order: int, pattern: str, ok: str) -> str:

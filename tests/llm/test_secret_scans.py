@@ -64,3 +64,32 @@ def test_new_rule_version_is_scanned_alone(spark):
     assert after.count() == ledger.count() + len({t or "" for _, t in rows})
     want = [sum(len(m[2]) >= 8 for m in ASSIGN.finditer(t or "")) for _, t in rows]
     assert [r.n_assign for r in report.orderBy("doc_id").collect()] == want
+
+
+def test_query_goes_through_the_stored_ledger(spark, tmp_path):
+    from quern.llm import registry
+
+    where, tables = f"file://{tmp_path}/ledger", tmp_path / "tables"
+    rows = [(i, t) for i, t in enumerate(TEXTS[:12])]
+    table(spark, rows).write.parquet(f"{tables}/documents.parquet")
+    spark.conf.set("spark.quern.secretLedger", where)
+    try:
+        want = sorted((i, *plain(t)) for i, t in rows)
+        blobs = len({t or "" for _, t in rows})
+        assert rows_of(registry.op8_secret_scans(spark, str(tables))) == want
+        assert spark.read.parquet(where).count() == 3 * blobs
+        # Once more with new texts: only their pairs are added.
+        rows += [(i + 50, t) for i, t in enumerate(TEXTS)]
+        table(spark, rows).write.mode("overwrite").parquet(f"{tables}/documents.parquet")
+        assert rows_of(registry.op8_secret_scans(spark, str(tables))) == sorted((i, *plain(t)) for i, t in rows)
+        stored = spark.read.parquet(where)
+        assert stored.count() == 3 * len({t or "" for _, t in rows}) == stored.select("blob", "rule").distinct().count()
+        # Pairs that a run at the same time has appended as well count once.
+        spark.createDataFrame(stored.collect(), stored.schema).write.mode("append").parquet(where)
+        assert rows_of(registry.op8_secret_scans(spark, str(tables))) == sorted((i, *plain(t)) for i, t in rows)
+        # What the ledger says is taken from it.
+        emptied = f"file://{tmp_path}/emptied"
+        spark.createDataFrame([(r.blob, r.rule, []) for r in stored.collect()], S.LEDGER_DDL).write.parquet(emptied)
+        assert sum(r.n_assign + r.n_access + r.n_hex for r in S.scan_stored(table(spark, rows), emptied).collect()) == 0
+    finally:
+        spark.conf.unset("spark.quern.secretLedger")
