@@ -5,7 +5,8 @@ A payload is stored as an 8-bit mono WAV file held in a binary column, read back
 of every frame are paired with the peaks that follow, and every pair becomes one long whose
 upper half is the time of its first peak and whose lower half codes (f1, f2, dt).
 
-One narrow pass without a shuffle. A payload is transformed block by block, so memory is a
+One narrow pass without a shuffle; the query writes its columns to the shared folder and takes
+the digests from what it reads back. A payload is transformed block by block, so memory is a
 few MB plus the payload and its fingerprints, whatever its length.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import binary_column
+from quern.session import stash
 
 
 @dataclass(frozen=True)
@@ -114,16 +116,20 @@ def store_and_describe(data: bytes, p: Spectrum) -> dict:
     back = from_wav(stored)
     times, freqs = peaks_of(np.frombuffer(back, np.uint8), p)
     marks = fingerprints(times, freqs, p)
+    return describe(len(data), stored, len(times), marks, p) | {"media": stored, "marks": marks}
+
+
+def describe(n_bytes: int, stored: bytes, n_peaks: int, marks: np.ndarray, p: Spectrum) -> dict:
+    """The digests of a stored file and its fingerprints."""
+    back = from_wav(stored)
     return {
-        "n_bytes": len(data),
+        "n_bytes": n_bytes,
         "payload_bytes": len(back),
         "payload_sha256": hashlib.sha256(back).hexdigest(),
         "tail_crc32": zlib.crc32(back[-p.unit :]),
         "media_bytes": len(stored),
         "media_sha256": hashlib.sha256(stored).hexdigest(),
-        "feature": f"{len(times)}:{len(marks)}:{xxhash.xxh3_64_hexdigest(marks.tobytes())}",
-        "media": stored,
-        "marks": marks,
+        "feature": f"{n_peaks}:{len(marks)}:{xxhash.xxh3_64_hexdigest(marks.tobytes())}",
     }
 
 
@@ -162,3 +168,19 @@ def media_table(docs: DataFrame, p: Spectrum = Spectrum(), key: str = "doc_id",
     kind = inner.schema["key"].dataType.simpleString()
     out = inner.mapInArrow(run, f"key {kind}, {DIGESTS}" + (", media binary, marks array<bigint>" if heavy else ""))
     return out.withColumnRenamed("key", key)
+
+
+def media_report(docs: DataFrame, p: Spectrum = Spectrum(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and the digests, of the media and marks columns as they are stored."""
+    fields = [f.split() for f in DIGESTS.split(", ")]
+    built = media_table(docs, p, key, text)
+    n_peaks = F.split_part("feature", F.lit(":"), F.lit(1)).cast("bigint").alias("n_peaks")
+    stored = stash(built.select(F.col(f"`{key}`").alias("key"), "n_bytes", n_peaks, "media", "marks"), "media-columns", compression="zstd")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("n_bytes", "media", "n_peaks", "marks")]
+            rows = [describe(n.as_py(), m.as_py(), k.as_py(), np.array(x.values, np.int64), p) for n, m, k, x in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields]], ["key", *[n for n, _ in fields]])
+
+    return stored.mapInArrow(run, f"key {stored.schema['key'].dataType.simpleString()}, {DIGESTS}").withColumnRenamed("key", key)

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns.media_table(table(spark, sf_dir, "documents"), heavy=False)
+    return media_columns.media_report(table(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,10 +53,10 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage is cut
     and what was computed survives the loss of executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

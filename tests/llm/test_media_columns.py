@@ -51,3 +51,25 @@ def test_pairs_match_brute_force():
             if 0 < dt <= p.reach:
                 want.append(int(times[i]) << 32 | int(freqs[i]) << 20 | int(freqs[j]) << 8 | dt)
     assert M.fingerprints(times, freqs, p).tolist() == sorted(want)
+
+
+def test_query_reads_stored_columns(spark, tmp_path, monkeypatch):
+    from quern.llm import media_columns, registry
+    from quern.session import stash
+
+    written = []
+
+    def kept(df, label, **options):
+        written.append(stash(df, label, **options))
+        return written[-1]
+
+    monkeypatch.setattr(media_columns, "stash", kept, raising=False)
+    docs = spark.createDataFrame([(1, "some text " * 90), (2, None), (None, "é"), (1, "some text " * 90)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op1_media_columns(spark, str(tmp_path))
+    want = media_columns.media_table(docs, heavy=False)
+    assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert len(written) == 1
+    heavy = media_columns.media_table(docs)
+    columns = ["doc_id", "media", "marks"]
+    assert sorted(map(repr, written[0].withColumnRenamed("key", "doc_id").select(columns).collect())) == sorted(map(repr, heavy.select(columns).collect()))
