@@ -8,17 +8,18 @@ T(s, t) = ceil(percent * (s + t) / (100 + percent)) of them. The join finds them
 2. Shingles are ordered by rising frequency, from a fixed-size sketch of all documents. A pair
    must meet in the first s - T + 1 shingles of either set, so only these are shuffled, as
    inverted lists. Frequent shingles (boilerplate) stand last and seldom lead a list.
-3. Within a list, sorted by size, each class becomes a candidate of the one before it alone:
-   a list of n near copies gives n - 1 candidates, not n * n.
-4. Candidates are verified by T-occurrence search in blocks (``search``): DivideSkip
-   merges the short inverted lists of a query with a heap, skipping what cannot reach the
-   threshold, and probes the long ones by binary search.
-5. Links give components. Lists whose classes lie in one component are finished. In the others
-   every class is held against the list's few classes that stand on most lists; what is then
-   still apart, in all pairs from different components that pass the size and position
-   filters. So no link between different components is lost.
-
-Texts are read twice for shingles; only texts of candidates move, compressed.
+3. Within a list, sorted by size, each class is held against the one before it alone: a list
+   of n near copies gives n - 1 pairs, not n * n. These links give components.
+4. What they leave apart is searched for (``_residual``). On a list of several components all but
+   the largest one's classes become queries. Every class is indexed once, in the block of its most
+   populated list and its band of sizes, and a query goes once to each block that its lists, sizes
+   and positions point to. There DivideSkip (``divide_skip``) merges the short inverted lists of
+   the query with a heap, skipping what cannot reach the required overlap, probes the long ones by
+   binary search, and returns every document of another component that reaches it. A link between
+   two components is given once in a block. No pair is ever built as a row.
+
+Texts are read three times: for the sketch, for the leading shingles, and to store, compressed,
+those of classes that share a leading shingle with a class of fitting size. Only stored texts move.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
@@ -46,7 +47,8 @@ class JaccardJoin:
     sketch_bits: int = 19  # log2 of the sketch's counters, 4 bytes each
     block_shingles: int = 1_500_000  # of an index block, about
     block_queries: int = 20_000  # beyond which a block is split
-    hubs: int = 3  # classes of a list that all others are held against before all pairs are
+    long_list: int = 64  # entries beyond which a list is probed rather than merged, as far as the threshold allows
+    central: int = 8  # documents of a component in a block from which on its most central one is tried first
     broadcast_rows: int = 200_000  # classes whose texts are wanted are broadcast up to this many
 
     def overlap(self, s, t):
@@ -109,6 +111,21 @@ class BlockIndex:
         # (list, document) as one number, for binary probes.
         self.probes = np.repeat(np.arange(len(self.keys), dtype=np.int64), np.diff(self.bounds)) * max(1, len(sets)) + self.docs
 
+    def lists(self, query: np.ndarray) -> np.ndarray:
+        """Numbers of the lists that the query's shingles have here."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.searchsorted(self.keys, query)
+        at[at == len(self.keys)] = 0
+        return at[self.keys[at] == query]
+
+    def probe(self, lists: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """For each document, on how many of the lists it stands, by binary search."""
+        wanted = (lists[None, :] * max(1, len(self.names)) + docs[:, None]).ravel()
+        hit = np.searchsorted(self.probes, wanted)
+        hit[hit == len(self.probes)] = 0
+        return (self.probes[hit] == wanted).reshape(len(docs), len(lists)).sum(axis=1)
+
 
 def merge_skip(lists: list[list[int]], threshold: int) -> dict[int, int]:
     """Documents on at least ``threshold`` of the sorted lists, with how many. Lists are merged
@@ -144,18 +161,18 @@ def merge_skip(lists: list[list[int]], threshold: int) -> dict[int, int]:
 
 def divide_skip(index: BlockIndex, query: np.ndarray, wanted: np.ndarray, p: JaccardJoin, mu: float = 0.01) -> list[tuple[int, int]]:
     """(document, overlap) of the documents in ``wanted`` (rising numbers) that share enough shingles with the query."""
-    need = p.overlap(len(query), index.sizes[wanted])
-    least = int(need.min())
-    at = np.searchsorted(index.keys, query)
-    at[at == len(index.keys)] = 0
-    at = at[index.keys[at] == query]
+    if not len(wanted):
+        return []
+    least = int(p.overlap(len(query), index.sizes[wanted]).min())
+    at = index.lists(query)
     if len(at) < least:
         return []
     begin, end = index.bounds[at], index.bounds[at + 1]
     length = end - begin
     by_length = np.argsort(length, kind="stable")
     longest = int(length.max())
-    n_long = min(least - 1, int(least / (mu * np.log2(longest + 1) + 1)), len(at))
+    n_long = max(int(least / (mu * np.log2(longest + 1) + 1)), int((length > p.long_list).sum()))
+    n_long = min(least - 1, n_long)
     short, long = by_length[: len(at) - n_long], by_length[len(at) - n_long :]
     # The short lists, without documents that are not wanted.
     n = length[short]
@@ -174,21 +191,58 @@ def divide_skip(index: BlockIndex, query: np.ndarray, wanted: np.ndarray, p: Jac
             last = i
         lists[-1].append(doc)
     found = merge_skip(lists, max(1, least - n_long))
-    limit = dict(zip(wanted.tolist(), need.tolist(), strict=True))
     out = []
-    rows = at[long] * max(1, len(index.names))
     for doc, count in found.items():
-        if count + n_long < limit[doc]:
+        need = int(p.overlap(len(query), index.sizes[doc]))
+        if count + n_long < need:
             continue
-        probe = rows + doc
-        hit = np.searchsorted(index.probes, probe)
-        hit[hit == len(index.probes)] = 0
-        count += int((index.probes[hit] == probe).sum())
-        if count >= limit[doc]:
+        count += int(index.probe(at[long], np.array([doc]))[0])
+        if count >= need:
             out.append((doc, count))
     return out
 
 
+class Elsewhere:
+    """Searches of a block for what links with a query from another component. Components that a
+    link joins count as one from then on, in this block."""
+
+    def __init__(self, index: BlockIndex, labels: list[int], p: JaccardJoin):
+        self.index, self.p = index, p
+        values, of = np.unique(np.array(labels, np.int64), return_inverse=True)
+        self.label_of = values
+        self.number = {label: i for i, label in enumerate(values.tolist())}
+        self.root = np.arange(len(values) + 1)  # the last stands for a query's own, where the block has none of it
+        self.of = of
+        # The document of a component on the most populated lists, for components of some size.
+        length = np.diff(index.bounds)
+        weight = np.bincount(index.docs, weights=np.repeat(length, length), minlength=len(labels)) / np.maximum(1, index.sizes)
+        order = np.lexsort((-weight, of))
+        first = order[np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))]
+        self.centres = first[np.bincount(of)[of[first]] >= p.central]
+
+    def links(self, query: np.ndarray, label: int) -> list[tuple[int, int]]:
+        """(document, overlap): a link to each component that has any with the query."""
+        index, p, n = self.index, self.p, len(query)
+        own = self.number.get(label, len(self.label_of))
+        self.root[-1] = len(self.label_of)
+        fits = (p.percent * index.sizes <= 100 * n) & (p.percent * n <= 100 * index.sizes)
+        out = []
+
+        def join(docs: list[tuple[int, int]]) -> None:
+            for doc, count in docs:
+                here, there = self.root[own], self.root[self.of[doc]]
+                if here != there:
+                    self.root[self.root == here] = there
+                    out.append((doc, count))
+
+        centres = self.centres[fits[self.centres] & (self.root[self.of[self.centres]] != self.root[own])]
+        if len(centres):
+            counts = index.probe(index.lists(query), centres)
+            join([(d, c) for d, c in zip(centres.tolist(), counts.tolist(), strict=True) if c >= p.overlap(n, index.sizes[d])])
+        join(divide_skip(index, query, np.flatnonzero(fits & (self.root[self.of] != self.root[own])), p))
+        return out
+
+
 # --- passes over texts -------------------------------------------------------------------
 
 
@@ -380,8 +434,8 @@ def _store(docs: DataFrame, reps: DataFrame, wanted: DataFrame, p: JaccardJoin,
     return stash(rows, "jaccard-store")
 
 
-def search(pairs: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
-    """a, b, overlap: the ``pairs`` (x, y: classes) that link.
+def _chained(pairs: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
+    """a, b, overlap: the ``pairs`` (x, y: classes, size: of x) that link.
 
     Index documents are spread over blocks by hash; a query goes to the blocks of its
     candidates once each, with their names. A block with very many queries is split, its
@@ -395,44 +449,69 @@ def search(pairs: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
     def block(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(blocks))
 
-    asks = stash(pairs.select("x", "y", block("y").alias("block")).groupBy("x", "block").agg(F.collect_set("y").alias("wanted")), "jaccard-asks")
-    parts = asks.groupBy("block").agg((F.floor(F.count("*") / p.block_queries) + 1).cast("int").alias("parts"))
-    queries = asks.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    queries = queries.join(store, F.col("x") == F.col("cls")).select("block", "part", F.lit(1).alias("role"), "cls", "z", "wanted")
+    asks = pairs.select("x", "y", "size", block("y").alias("block")).groupBy("x", "block").agg(F.first("size").alias("n"), F.collect_set("y").alias("wanted"))
+    asks = stash(asks, "jaccard-asks")
+    parts = asks.groupBy("block").agg(_query_parts(p))
+    queries = asks.drop("n").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    queries = queries.join(store, F.col("x") == F.col("cls")).select("block", "part", F.lit(1).alias("role"), "cls", _null("label", "bigint"), "z", "wanted")
     index = pairs.select(F.col("y").alias("cls")).distinct().join(store, "cls").withColumn("block", block("cls")).join(parts, "block")
-    index = index.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls", "z", F.array().cast("array<bigint>").alias("wanted"))
+    index = index.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls", _null("label", "bigint"), "z", _null("wanted", "array<bigint>"))
+    return stash(_search_blocks(index, queries, p).select("a", "b", "overlap"), "jaccard-links")
+
+
+def _null(name: str, kind: str) -> Column:
+    return F.lit(None).cast(kind).alias(name)
+
+
+def _query_parts(p: JaccardJoin) -> Column:
+    """Into how many parts the queries (n: their sizes) of a block go."""
+    return (F.greatest(F.floor(F.count("*") / p.block_queries), F.floor(F.sum("n") / p.block_shingles)) + 1).cast("int").alias("parts")
+
+
+def _search_blocks(index: DataFrame, queries: DataFrame, p: JaccardJoin) -> DataFrame:
+    """a, b, overlap, a_label, b_label: what the queries link with in their blocks: those in ``wanted``,
+    or where that is null one document of each other component. Both tables have block, part,
+    role (0: index, 1: query), cls, label, z, wanted."""
     rows = index.unionByName(queries).repartition("block", "part").sortWithinPartitions("block", "part", "role")
     width = p.width
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, here = zstandard.ZstdDecompressor(), None
         names: list[int] = []
+        labels: list[int] = []
         sets: list[np.ndarray] = []
         known: set[int] = set()
         index: BlockIndex | None = None
+        other: Elsewhere | None = None
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("block", "part", "role", "cls", "z", "wanted")]
-            for at_block, part, role, cls, z, wanted in zip(*columns, strict=True):
+            found: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("block", "part", "role", "cls", "label", "z", "wanted")]
+            for at_block, part, role, cls, label, z, wanted in zip(*columns, strict=True):
                 if (at_block, part) != here:
-                    here, names, sets, known, index = (at_block, part), [], [], set(), None
+                    here, names, labels, sets, known, index, other = (at_block, part), [], [], [], set(), None, None
+                if role == 1 and not names:
+                    continue
                 own = shingles(reader.decompress(z), width)
                 if role == 0:
                     if cls not in known:
                         known.add(cls)
                         names.append(cls)
+                        labels.append(label)
                         sets.append(own)
                     continue
                 if index is None:
                     index = BlockIndex(names, sets)
                     sets = []
-                numbers = np.array(sorted(index.place[w] for w in wanted if w in index.place), np.int64)
-                if len(numbers):
-                    found += [(cls, index.names[doc], count) for doc, count in divide_skip(index, own, numbers, p)]
-            a, b, n = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "overlap"])
+                if wanted is not None:
+                    numbers = np.array(sorted(index.place[w] for w in wanted if w in index.place), np.int64)
+                    found += [(cls, names[doc], count, None, None) for doc, count in divide_skip(index, own, numbers, p)]
+                else:
+                    other = other or Elsewhere(index, labels, p)
+                    found += [(cls, names[doc], count, label, labels[doc]) for doc, count in other.links(own, label)]
+            columns = list(zip(*found, strict=True)) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "overlap", "a_label", "b_label"])
 
-    return stash(rows.mapInArrow(run, "a bigint, b bigint, overlap bigint"), "jaccard-links")
+    return rows.mapInArrow(run, "a bigint, b bigint, overlap bigint, a_label bigint, b_label bigint")
 
 
 # --- the join ----------------------------------------------------------------------------
@@ -442,8 +521,8 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     """(documents, links).
 
     Documents: doc_id, n_shingles, component_id (the smallest id that links lead to), class_id of
-    every row. Links: a, b (classes), overlap; enough of them to connect every component,
-    and all that were verified.
+    every row. Links: a, b (classes), overlap; enough of them to connect every component, and
+    all that were verified: of a group of many near copies that is a small part of all.
 
     A text that is null or has no word has no shingle and links with nothing: its component is
     its own id. Rows with equal sets are one class, whatever their ids; rows may repeat. Ids
@@ -455,18 +534,15 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     rows = profile.filter("sketch is null").drop("sketch")
     reps = rows.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("rep"))
     lists = _lists(_postings(docs, _levels(profile, p), p, key, text), p)
-    pairs = stash(lists.filter("pred is not null").select(F.col("cls").alias("x"), F.col("pred").alias("y")).distinct(), "jaccard-pairs")
-    empty = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("bigint").alias("overlap")).limit(0)
-    links, labels, done = empty, empty.select(F.col("a").alias("node"), F.col("b").alias("label")), pairs.limit(0)
-    for step in (_to_hubs, _across, None):
-        if not pairs.isEmpty():
-            ends = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls")))
-            more = search(pairs, _store(docs, reps, ends, p, key, text), p)
-            links = stash(links.unionByName(more), "jaccard-links")
-            labels, done = components(links), done.unionByName(pairs)
-        if step:
-            pairs = stash(step(_open(lists, labels), p).join(done, ["x", "y"], "left_anti"), "jaccard-pairs")
-    named = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    store = _store(docs, reps, _near(lists, p), p, key, text)
+    pairs = lists.filter("pred is not null").select(F.col("cls").alias("x"), F.col("pred").alias("y"), "size").distinct()
+    first = _chained(stash(pairs, "jaccard-pairs"), store, p)
+    labels = components(first)
+    more = _residual(lists, labels, store, p)
+    joined = components(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    links = stash(first.unionByName(more.select("a", "b", "overlap")), "jaccard-all-links")
+    named = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("near"))
+    named = named.join(joined, F.col("near") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "near").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = stash(named.join(smallest, "label").select("cls", "component_id"), "jaccard-classes")
     documents = rows.join(classes.withColumnRenamed("cls", "to_cls"), F.col("cls") == F.col("to_cls"), "left").select(
@@ -475,42 +551,74 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     return documents, links
 
 
-def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, cls, size, pos, label: the lists whose classes
-    lie in more than one component."""
-    rows = lists.select("token", "cls", "size", "pos").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    rows = stash(rows.withColumn("label", F.coalesce("label", "cls")), "jaccard-labelled")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    return stash(rows.join(mixed, "token", "left_semi"), "jaccard-open")
+#: Sizes of a band differ by less than a quarter.
+_BAND = "cast(floor(ln(size) / ln(1.25)) as int)"
 
 
-def _meeting(a: DataFrame, b: DataFrame, p: JaccardJoin) -> DataFrame:
-    """x, y: pairs of a row of ``a`` and one of ``b`` on a list, from different components, that size
-    and positions allow to link; x is the larger, and y leads its list."""
-    q = p.percent
-    lead = f"pos < size - (({2 * q} * size + {99 + q}) div {100 + q}) + 1"  # JaccardJoin.index
-    x = a.select("token", F.col("cls").alias("x"), F.col("size").alias("s"), F.col("pos").alias("i"), F.col("label").alias("x_label"))
-    y = b.filter(lead).select("token", F.col("cls").alias("y"), F.col("size").alias("t"), F.col("pos").alias("j"), F.col("label").alias("y_label"))
-    fits = (
-        f"x_label <> y_label and (t < s or (t = s and y < x)) and 100 * t >= {q} * s"
-        f" and (1 + least(s - i - 1, t - j - 1)) * {100 + q} >= {q} * (s + t)"
-    )
-    return x.join(y, "token").filter(fits).select("x", "y").distinct()
+def _groups(p: JaccardJoin) -> list[Column]:
+    """What ``_fits`` needs to know of a group of rows of one list."""
+    left = F.col("size") - F.col("pos")  # shingles from the list's on
+    return [
+        F.min("size").alias("lo"), F.max("size").alias("hi"), F.max(left).alias("room"), F.max(F.when(F.expr(_lead(p)), left)).alias("lead_room"),
+    ]
 
 
-def _to_hubs(rows: DataFrame, p: JaccardJoin) -> DataFrame:
-    """Pairs of all rows of a list with its few classes that stand on most lists. In a group of
-    near copies those have the fewest edits, and what links at all mostly links with them."""
-    on = rows.groupBy("cls").agg(F.count("*").alias("on"))
-    place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("on"), "cls"))
-    hubs = rows.join(on, "cls").withColumn("place", place).filter(F.col("place") <= p.hubs).drop("place", "on")
-    hubs = stash(hubs, "jaccard-hubs")
-    return _meeting(rows, hubs, p).unionByName(_meeting(hubs, rows, p)).distinct()
+def _lead(p: JaccardJoin) -> str:
+    return f"pos < size - (({2 * p.percent} * size + {99 + p.percent}) div {100 + p.percent}) + 1"  # JaccardJoin.index
 
 
-def _across(rows: DataFrame, p: JaccardJoin) -> DataFrame:
-    """All pairs that may still link components."""
-    return _meeting(rows, rows, p)
+def _fits(p: JaccardJoin) -> Column:
+    """Whether a row (size, pos) of a list may link, by sizes and positions, with one of a group of its rows:
+    with one that is not larger, if that leads the list, or one that is not smaller, if this does."""
+    q = p.percent
+    enough = f"least(size - pos, {{room}}) * {100 + q} >= {q} * (size + greatest(lo, {{least}}))"
+    smaller = f"(100 * hi >= {q} * size and lo <= size and lead_room is not null and {enough.format(room='lead_room', least=f'({q} * size + 99) div 100')})"
+    larger = f"({_lead(p)} and hi >= size and 100 * size >= {q} * lo and {enough.format(room='room', least='size')})"
+    return F.expr(f"{smaller} or {larger}")
+
+
+def _near(lists: DataFrame, p: JaccardJoin) -> DataFrame:
+    """cls: the classes that have on some list another one that fits. All that are ever compared are among these."""
+    rows = lists.select("token", "cls", "size", "pos")
+    groups = rows.groupBy("token", F.expr(_BAND).alias("band")).agg(*_groups(p), F.min("cls").alias("lo_cls"), F.max("cls").alias("hi_cls"))
+    groups = groups.select(F.col("token").alias("to_token"), "lo", "hi", "room", "lead_room", "lo_cls", "hi_cls")
+    others = "token = to_token and (lo_cls <> cls or hi_cls <> cls)"
+    return rows.join(groups, F.expr(others) & _fits(p), "left_semi").select("cls")
+
+
+def _residual(lists: DataFrame, labels: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
+    """a, b, overlap, a_label, b_label: links between the components that ``labels`` (node, label) gives, enough to
+    join all that have any. A class without a label is a component of its own."""
+    rows = lists.select("token", "cls", "size", "pos").join(labels, F.col("cls") == F.col("node"), "left")
+    rows = stash(rows.select("token", "cls", "size", "pos", F.coalesce("label", "cls").alias("label")), "jaccard-labelled")
+    per = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    per = per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("members"), F.count("*").alias("several"))
+    rows = rows.join(per.filter("several > 1").drop("several"), "token")
+    home = rows.groupBy("cls").agg(F.max_by("token", F.struct("members", "token")).alias("home"))
+    rows = rows.drop("members").join(home, "cls").withColumn("band", F.expr(_BAND))
+    rows = stash(rows, "jaccard-open")
+    groups = rows.groupBy("token", "home", "band").agg(*_groups(p), F.min("label").alias("lo_label"), F.max("label").alias("hi_label"))
+    groups = groups.withColumnsRenamed({"token": "to_token", "home": "to_home", "band": "to_band"})
+    others = "token = to_token and (lo_label <> label or hi_label <> label)"
+    routes = rows.filter("label <> major").join(groups, F.expr(others) & _fits(p))
+    routes = routes.select("cls", F.col("size").alias("n"), "label", F.col("to_home").alias("home"), F.col("to_band").alias("band")).distinct()
+    routes = stash(routes, "jaccard-routes")
+    classes = rows.select("cls", F.col("size").alias("n"), "label", "home", "band").distinct()
+    blocks = routes.groupBy("home", "band").agg(_query_parts(p)).join(
+        classes.groupBy("home", "band").agg((F.floor(F.sum("n") / p.block_shingles) + 1).cast("int").alias("shards")), ["home", "band"]
+    )
+    blocks = stash(blocks, "jaccard-blocks")
+    texts = store.select("cls", "z")
+
+    def dealt(side: DataFrame, role: int) -> DataFrame:
+        """A query goes to one part of every shard of its block, an index document to every part of its shard."""
+        own, every = ("parts", "shards") if role else ("shards", "parts")
+        mine = F.pmod(F.xxhash64("cls"), F.col(own)).cast("int").alias("mine")
+        side = side.join(blocks, ["home", "band"]).select("cls", "label", "home", "band", mine, F.explode(F.sequence(F.lit(0), F.col(every) - 1)).alias("each"))
+        shard, part = ("each", "mine") if role else ("mine", "each")
+        return side.join(texts, "cls").select(F.xxhash64("home", "band", shard).alias("block"), F.col(part).alias("part"), F.lit(role).alias("role"), "cls", "label", "z", _null("wanted", "array<bigint>"))
+
+    return stash(_search_blocks(dealt(classes, 0), dealt(routes, 1), p), "jaccard-residual")
 
 
 def keep_one(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
