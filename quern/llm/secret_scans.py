@@ -35,13 +35,15 @@ class Rule:
     #: Matches are dropped unless at least ``least`` characters follow the part that ``lead`` matches.
     lead: str | None = None
     least: int = 0
+    #: Whether its spans count for ``base_sha256``.
+    base: bool = False
 
     @property
     def name(self) -> str:
         return f"{self.kind}@{self.version}"
 
 
-BASE_RULES = (Rule("assign", "1", ASSIGN, ASSIGN_LEAD, 6), Rule("access", "1", ACCESS), Rule("hex", "1", HEX))
+BASE_RULES = (Rule("assign", "1", ASSIGN, ASSIGN_LEAD, 6, base=True), Rule("access", "1", ACCESS, base=True), Rule("hex", "1", HEX, base=True))
 
 #: Columns of a ledger: what was scanned and what was found there, code points, end exclusive.
 LEDGER_DDL = "blob binary, rule string, spans array<struct<start:bigint,stop:bigint>>"
@@ -76,8 +78,9 @@ def _count_of(spans: str, order: int) -> Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, ledger afterwards).
 
-    Findings: ``key``, blob (hex), n_<kind> per rule, base_sha256 and spans
-    (kind:start:end by start, then rule order) of every row. A null text is the empty blob;
+    Findings: ``key``, blob (hex), a count per rule, base_sha256 (of the base rules' spans) and
+    spans (of all rules; kind:start:end by start, then rule order) of every row. A rule's count is
+    n_<kind>; where rules share a kind, those that are not base rules have n_<kind>_<version>. A null text is the empty blob;
     a null key is a path like any other; repeated rows get equal findings and are scanned
     once; an empty table gives empty results. Only ``key`` and ``text`` are read.
 
@@ -92,9 +95,6 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return _report(paths, known, rules, key), after
 
 
-LEDGER_DDL = "blob binary, rule string, spans array<struct<start:bigint,stop:bigint>>"
-
-
 def scan_stored(docs: DataFrame, path: str, rules: tuple[Rule, ...] = BASE_RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The findings, by way of a ledger stored as Parquet at ``path``, made where there is none.
 
@@ -157,10 +157,22 @@ def _entries(pairs: DataFrame, spans: DataFrame) -> DataFrame:
     return pairs.select("blob", "rule").join(spans, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", none).alias("spans"))
 
 
+def _columns(rules: tuple[Rule, ...]) -> list[str]:
+    """The names of the rules' counts."""
+    shared = [r.kind for r in rules]
+    return [f"n_{r.kind}" if r.base or shared.count(r.kind) == 1 else f"n_{r.kind}_{r.version}" for r in rules]
+
+
 def _report(paths: DataFrame, known: DataFrame, rules: tuple[Rule, ...], key: str) -> DataFrame:
     # A blob's spans of all rules of this run, in order.
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
+    base = [i for i, r in enumerate(rules) if r.base]
+    columns = _columns(rules)
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["order"]], s["start"], s["stop"])), ",")
+
     of_blob = (
         known.filter(F.col("rule").isin([r.name for r in rules]))
         .select("blob", F.element_at(place, F.col("rule")).alias("order"), F.explode("spans").alias("s"))
@@ -168,15 +180,16 @@ def _report(paths: DataFrame, known: DataFrame, rules: tuple[Rule, ...], key: st
         .agg(F.array_sort(F.collect_list(F.struct("s.start", "order", "s.stop"))).alias("all"))
         .select(
             F.col("blob").alias("to_blob"),
-            *[_count_of("all", i).alias(f"n_{r.kind}") for i, r in enumerate(rules)],
-            F.array_join(F.transform("all", lambda s: F.concat_ws(":", kinds[s["order"]], s["start"], s["stop"])), ",").alias("spans"),
+            *[_count_of("all", i).alias(c) for i, c in enumerate(columns)],
+            joined(F.col("all")).alias("spans"),
+            joined(F.filter("all", lambda s: s["order"].isin(base))).alias("base_spans"),
         )
     )
     return paths.join(of_blob, F.col("blob") == F.col("to_blob"), "left").select(
         F.col("path").alias(key),
         F.lower(F.hex("blob")).alias("blob"),
-        *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in rules],
-        F.sha2(F.coalesce("spans", F.lit("")), 256).alias("base_sha256"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in columns],
+        F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     )
 

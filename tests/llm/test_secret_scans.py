@@ -66,6 +66,20 @@ def test_new_rule_version_is_scanned_alone(spark):
     assert [r.n_assign for r in report.orderBy("doc_id").collect()] == want
 
 
+def test_rules_beside_the_base_ones_leave_its_hash_alone(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    more = (*S.BASE_RULES, S.Rule("word", "1", "token"), S.Rule("assign", "2", S.ASSIGN, S.ASSIGN_LEAD, 8))
+    found = {r.doc_id: r for r in S.scan(table(spark, rows), None, more)[0].collect()}
+    for i, t in rows:
+        text, r, want = t or "", found[i], plain(t)
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == want[:4]
+        assert r.n_word == text.count("token") and r.n_assign_2 == sum(len(m[2]) >= 8 for m in ASSIGN.finditer(text))
+        spans = r.spans.split(",") if r.spans else []
+        assert len(spans) == sum(want[:3]) + r.n_word + r.n_assign_2
+        assert set(want[4].split(",") if want[4] else []) <= set(spans)
+        assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+
+
 def test_query_goes_through_the_stored_ledger(spark, tmp_path):
     from quern.llm import registry
 
