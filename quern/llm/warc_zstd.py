@@ -29,7 +29,9 @@ from quern.session import stash
 SKIPPABLE_FIRST, SKIPPABLE_LAST, DICTIONARY_MAGIC = 0x184D2A50, 0x184D2A5F, 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", b"WARC/1.1")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+REVISIT_PROFILES = tuple(f"http://netpreserve.org/warc/{v}/revisit/{k}" for v in ("1.0", "1.1") for k in ("identical-payload-digest", "server-not-modified"))
 
 
 @dataclass(frozen=True)
@@ -72,51 +74,115 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> dict:
-    """The fields of one record; raises WarcError where version, lengths or digest are wrong."""
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not gap or lines[0] != VERSION:
-        raise WarcError("no WARC/1.1 header")
-    fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.decode("utf-8").partition(":")
+def _header_fields(lines: list[bytes]) -> dict[str, str]:
+    """Names in lower case to values; a line that begins with a space goes on with the one before."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last:
+            fields[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise WarcError("a header line without a colon")
-        fields[name.strip().lower()] = value.strip()
+        last = name.strip().lower()
+        fields[last] = value.strip()
+    return fields
+
+
+def _page_of(uri: str | None) -> int | None:
+    """The page id of a record id that this module wrote, else null."""
+    own = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
+    return int(own[1]) if own else None
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        start = end + 2
+        if size < 0 or start + size > len(body):
+            raise WarcError("a chunked body that breaks off")
+        if size == 0:
+            return b"".join(out)
+        out.append(body[start : start + size])
+        at = start + size + 2
+
+
+def _agrees(payload: bytes, digest: str) -> bool:
+    """Whether a labelled digest (base32 or hex) is the payload's; algorithms unknown here pass."""
+    name, _, value = digest.partition(":")
+    try:
+        made = hashlib.new(name.lower().replace("-", ""), payload).digest()
+    except (ValueError, TypeError):
+        return True
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def parse(raw: bytes) -> dict:
+    """The fields of one record of WARC 1.0 or 1.1; raises WarcError where version, lengths or digest are wrong.
+
+    A response's payload is its HTTP body, its chunks joined; that of a record without HTTP
+    (warcinfo, metadata, resource, and requests as well) is the whole block. A revisit has
+    none: its length comes from the HTTP header, where there is one. A digest that is not
+    given is taken from the payload. page_id and refers_to are those of ``record``; other
+    record ids are given as they are, in record_id and refers_to_id.
+    """
+    head, gap, rest = raw.partition(b"\r\n\r\n")
+    version, *lines = head.split(b"\r\n")
+    if not gap or version not in VERSIONS:
+        raise WarcError("no WARC/1.0 or WARC/1.1 header")
+    fields = _header_fields(lines)
     try:
-        kind, length = fields["warc-type"], int(fields["content-length"])
-        page = re.fullmatch(r"<urn:page:(-?\d*)>", fields["warc-record-id"])[1]
-    except (KeyError, ValueError, TypeError):
+        kind, length, name = fields["warc-type"].lower(), int(fields["content-length"]), fields["warc-record-id"]
+    except (KeyError, ValueError):
         raise WarcError("a header is missing or malformed") from None
+    if not name.startswith("<") or not name.endswith(">"):
+        raise WarcError("a record id that is no URI in angle brackets")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError("the block's length differs from Content-Length")
-    http, gap, payload = rest[:length].partition(b"\r\n\r\n")
-    size = re.search(rb"(?i)^content-length:\s*(\d+)\s*$", http, re.M)
-    if not gap or not http.startswith(b"HTTP/1.1 ") or not size:
-        raise WarcError("the block is not an HTTP response")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    refers = None
-    if kind == "response":
-        if int(size[1]) != len(payload):
+    block, given = rest[:length], fields.get("warc-payload-digest")
+    payload, size = block, len(block)
+    if kind in ("response", "revisit") and (block or kind == "response") and fields.get("content-type", "application/http").startswith("application/http"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        if not http.startswith(b"HTTP/") or (kind == "response" and not gap):
+            raise WarcError("the block is not an HTTP response")
+        web = _header_fields(http.split(b"\r\n")[1:])
+        told = web.get("content-length", "")
+        told = int(told) if told.isdigit() else None
+        if kind == "response" and "chunked" in web.get("transfer-encoding", "").lower():
+            # Writers differ in whether the digest is of the body as it was sent.
+            sent, payload, told = payload, _unchunked(payload), None
+            given = None if given and _agrees(sent, given) else given
+        if kind == "response" and told is not None and told != len(payload) and "warc-truncated" not in fields:
             raise WarcError("the payload's length differs from the HTTP header")
-        if digest_of(payload) != digest:
-            raise WarcError("the payload's digest differs from its header")
-    elif kind == "revisit":
-        to = re.fullmatch(r"<urn:page:(-?\d*)>", fields.get("warc-refers-to", ""))
-        if payload or not to or fields.get("warc-profile") != REVISIT_PROFILE:
-            raise WarcError("a revisit record with a payload, or without what it refers to")
-        refers = int(to[1]) if to[1] else None
+        size = len(payload) if kind == "response" else told
+    refers = fields.get("warc-refers-to")
+    if kind == "revisit":
+        if payload and block:
+            raise WarcError("a revisit record with a payload")
+        if not refers and not fields.get("warc-refers-to-target-uri") or fields.get("warc-profile") not in REVISIT_PROFILES:
+            raise WarcError("a revisit record without a known profile, or without what it refers to")
+    elif given and "warc-truncated" not in fields and not _agrees(payload, given):
+        raise WarcError("the payload's digest differs from its header")
+    if kind != "revisit":
+        digest = digest_of(payload)
     else:
-        raise WarcError(f"a record of type {kind}")
+        digest = given.removeprefix("sha1:") if given else None
     return {
-        "page_id": int(page) if page else None,
+        "page_id": _page_of(name),
         "url": fields.get("warc-target-uri"),
-        "payload_bytes": int(size[1]),
+        "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": refers,
-        "payload": payload if kind == "response" else None,
+        "refers_to": _page_of(refers) if kind == "revisit" else None,
+        "record_id": name[1:-1],
+        "refers_to_id": refers.strip("<>") if refers else None,
+        "payload": payload if kind != "revisit" else None,
     }
 
 
@@ -174,10 +240,10 @@ def unpack_archive(data: bytes, window: int = 1 << 16) -> Iterator[bytes]:
 
 # --- tables ------------------------------------------------------------------------------
 
-RECORD_DDL = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+RECORD_DDL = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, refers_to_id string"
 _RECORD = [
     ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-    ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary()), ("error", pa.string()),
 ]
 
 
@@ -239,6 +305,17 @@ def write_archives(pages: DataFrame, o: ArchiveOptions = ArchiveOptions()) -> Da
     return stash(with_revisits(pages, o).mapInArrow(run, "n_records bigint, archive binary"), "warc-archives")
 
 
+def unmet_revisits(records: DataFrame) -> DataFrame:
+    """The revisits of ``read_archives`` whose response is not among the records, or has another digest or length."""
+    found = records.filter("record_type = 'response'").select(
+        F.col("record_id").alias("to_id"), F.col("payload_digest").alias("to_digest"), F.col("payload_bytes").alias("to_bytes"), F.lit(True).alias("met")
+    )
+    revisits = records.filter("record_type = 'revisit'")
+    same = F.col("met") & F.coalesce(F.col("payload_digest") == F.col("to_digest"), F.lit(True)) & F.coalesce(F.col("payload_bytes") == F.col("to_bytes"), F.lit(True))
+    joined = revisits.join(found.dropDuplicates(["to_id"]), F.col("refers_to_id") == F.col("to_id"), "left")
+    return joined.filter(~F.coalesce(same, F.lit(False))).select(*records.columns)
+
+
 def read_archives(archives: DataFrame, content: str = "archive", payloads: bool = True) -> DataFrame:
     """One row per record of the archives in column ``content``: RECORD_DDL, payload (with
     ``payloads``; null for revisits) and error (null for a valid record).
