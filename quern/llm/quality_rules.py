@@ -93,20 +93,23 @@ def with_measures(docs: DataFrame, rules: QualityRules = QualityRules(), text: s
     called ``quality``, which is replaced. Equal rows get equal measures.
     """
     carried = [c for c in docs.columns if c != "quality"]
-    inner = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("data")
-    )
-    row_type = inner.schema["row"].dataType.simpleString()
+    row = F.struct(*[F.col(f"`{c}`") for c in carried])
+    return _measured(docs.select(row.alias("row")), carried.index(text), rules).select("row.*", "quality")
+
+
+def _measured(rows: DataFrame, at: int, rules: QualityRules) -> DataFrame:
+    """``rows`` (row: a struct whose field ``at`` is the text) with the struct column ``quality``."""
+    row_type = rows.schema["row"].dataType.simpleString()
     kind = pa.struct([pa.field(k, t) for k, t in MEASURES])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [k for k, _ in MEASURES]
         for batch in batches:
-            found = [dict(zip(names, measure(d, rules), strict=True)) for d in W.binary_column(batch, "data")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], ["row", "quality"])
+            row = batch.column("row")
+            found = [dict(zip(names, measure(d.as_py() or b"", rules), strict=True)) for d in row.field(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([row, pa.array(found, kind)], ["row", "quality"])
 
-    out = inner.mapInArrow(run, f"row {row_type}, quality struct<{MEASURES_DDL.replace(' ', ':').replace(',:', ',')}>")
-    return out.select("row.*", "quality")
+    return rows.mapInArrow(run, f"row {row_type}, quality struct<{MEASURES_DDL.replace(' ', ':').replace(',:', ',')}>")
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
