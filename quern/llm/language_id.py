@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import stash
+
 UNKNOWN = "und"
 
 
@@ -34,6 +36,7 @@ class LangParams:
     rate: float = 0.01
     seed: int = 7
     predict_batch: int = 512  # windows
+    broadcast_langs: int = 10_000  # languages are broadcast with their counts up to this many
 
 
 def windows_of(data: bytes, size: int) -> np.ndarray:
@@ -205,7 +208,14 @@ def training_sample(docs: DataFrame, p: LangParams, key: str, text: str, lang: s
         F.xxhash64(F.col(f"`{key}`").cast("string"), body).alias("h"), F.col(f"`{lang}`").cast("string").alias("label"), body.alias("body")
     ).filter(body.isNotNull() & F.col(f"`{lang}`").isNotNull() & F.col(f"`{key}`").isNotNull() & ~is_held_out(key))
     order = Window.partitionBy("label").orderBy("h")
-    chosen = labelled.select("h", "label").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.docs_per_lang).select("h").distinct()
+    # Of a language with n rows those with hashes in the lowest 4 * docs_per_lang / n can alone be chosen, so that
+    # its tasks do not each send docs_per_lang rows to the one that ranks them.
+    few = labelled.select("h", "label")
+    counts = stash(labelled.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "to_label"), "language-counts")
+    if counts.count() <= p.broadcast_langs:
+        low = (F.col("h").cast("double") / float(1 << 64) + 0.5) * F.col("n") <= 4.0 * p.docs_per_lang + 64
+        few = few.join(F.broadcast(counts), F.col("label") == F.col("to_label")).filter(low)
+    chosen = few.select("h", "label").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.docs_per_lang).select("h").distinct()
     size, most = p.window, p.windows_per_doc
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
