@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.words import WORD_SQL
@@ -40,13 +40,17 @@ class Mix:
     broadcast_rows: int = 50_000  # the sources' cells are broadcast up to this many rows
 
 
+def _src(name: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), name.cast("string")), F.lit("t"))  # null sorts last
+
+
 def sizes_of(docs: DataFrame, p: Mix, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, src (source as a non-null key), size, h (place in the shuffled order), written once."""
-    name = F.col(f"`{source}`")
+    """doc_id, src (source as a non-null key), body (the text's hash), size, h (place in the shuffled order), written once."""
     return stash(
         docs.select(
             F.col(f"`{key}`").alias("doc_id"),
-            F.coalesce(F.concat(F.lit("s"), name.cast("string")), F.lit("t")).alias("src"),  # null sorts last
+            _src(F.col(f"`{source}`")).alias("src"),
+            F.xxhash64(f"`{text}`").alias("body"),
             F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD_SQL)), F.lit(0)).cast("bigint").alias("size"),
             F.conv(F.substring(F.md5(F.concat(F.lit(p.seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))), 1, ORDER_BITS // 4), 16, 10)
             .cast("bigint")
@@ -84,17 +88,20 @@ def targets(sizes: DataFrame, p: Mix) -> DataFrame:
     return stash(per.select("src", "source_size", "target", words.alias("words"), blocks.alias("blocks"), slots.alias("slots")), "mix-targets")
 
 
-def offsets(sizes: DataFrame, p: Mix) -> DataFrame:
-    """doc_id, src, size, at: the words before a document in its source's stream."""
+def offsets(sizes: DataFrame, p: Mix, twins: bool = False) -> DataFrame:
+    """doc_id, src, body, size, at (the words before a document in its source's stream), twin (its number among
+    rows that share id, source and text)."""
     runs = max(1, -(-sizes.count() // p.run_rows))
     run = F.floor(F.col("h") / F.lit(float(1 << ORDER_BITS)) * runs).cast("bigint")
     held = sizes.withColumn("run", run)
     totals = held.groupBy("src", "run").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(Window.partitionBy("src").orderBy("run")) - F.col("total")
-    within = F.sum("size").over(Window.partitionBy("src", "run").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    inner = held.withColumn("within", within)
+    within = F.sum("size").over(Window.partitionBy("src", "run").orderBy("h", "doc_id", "size", "body").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    # Twins share h, and so a run.
+    twin = F.row_number().over(Window.partitionBy("src", "run", "h", "doc_id", "body").orderBy("size")) if twins else F.lit(1)
+    inner = held.withColumn("within", within).withColumn("twin", twin)
     return inner.join(totals.withColumn("before", before).drop("total"), ["src", "run"]).select(
-        "doc_id", "src", "size", (F.col("before") + F.col("within")).cast("bigint").alias("at")
+        "doc_id", "src", "body", "size", (F.col("before") + F.col("within")).cast("bigint").alias("at"), "twin"
     )
 
 
@@ -141,9 +148,22 @@ def mix(docs: DataFrame, p: Mix = Mix(), key: str = "doc_id", text: str = "text"
     or one without words, takes nothing. Other columns are not read. The order depends on
     doc_id, size and seed alone, so reruns agree.
     """
-    sizes = sizes_of(docs, p, key, text, source)
+    placed, sources, pieces = _pieces(sizes_of(docs, p, key, text, source), p)
+    # A document with words is known by its source and its place there.
+    sums = pieces.groupBy("src", "at").agg(F.sum("n").alias("taken"), F.countDistinct("slot").alias("n_slots"), F.min("slot").alias("first_slot"))
+    sums = sums.withColumn("some", F.lit(True))
+    full = placed.withColumn("some", F.col("size") > 0).join(sums, ["src", "at", "some"], "left")
+    documents = full.join(sources.select("src", "source_size", "target"), "src").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), "first_slot",
+    )
+    return documents, pieces.drop("src", "at")
+
+
+def _pieces(sizes: DataFrame, p: Mix, twins: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``offsets``, ``targets``, pieces: slot, turn, doc_id, src, at, start, n)."""
     sources = targets(sizes, p)
-    placed = stash(offsets(sizes, p), "mix-offsets")
+    placed = stash(offsets(sizes, p, twins), "mix-offsets")
     size, at = F.col("size"), F.col("at")
     parts = (
         placed.filter("size > 0")
@@ -161,45 +181,52 @@ def mix(docs: DataFrame, p: Mix = Mix(), key: str = "doc_id", text: str = "text"
         .select("slot", "turn", "doc_id", "src", "at", (begin - at).alias("start"), (end - begin).alias("n"))
         .filter("n > 0")
     )
-    # A document with words is known by its source and its place there.
-    sums = pieces.groupBy("src", "at").agg(F.sum("n").alias("taken"), F.countDistinct("slot").alias("n_slots"), F.min("slot").alias("first_slot"))
-    sums = sums.withColumn("some", F.lit(True))
-    full = placed.withColumn("some", F.col("size") > 0).join(sums, ["src", "at", "some"], "left")
-    documents = full.join(sources.select("src", "source_size", "target"), "src").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
-        F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), "first_slot",
-    )
-    return documents, pieces.drop("src", "at")
+    return placed, sources, pieces
+
+
+def _row_key(key: str, src: str, body: str) -> list[Column]:
+    """What a row is joined by, without nulls."""
+    return [F.coalesce(key, F.lit(0)).alias("k_id"), F.isnull(key).alias("k_null"), F.col(src).alias("k_src"), F.col(body).alias("k_body")]
 
 
 def mixed_documents(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
-    """``docs`` as the mix takes them: a row per whole pass over a document, and one with its
-    first words where the last pass ends inside it; documents not taken are left out.
+    """``docs`` in the order of the mix: for each pass over a document a row, at the slot of its first
+    word; where the source's last pass ends inside it, its first words. Documents not taken are
+    left out. Partitions, and the files written of them, are consecutive stretches of the mix.
 
-    A document is known by its doc_id and size here, so that texts move once; rows that share
-    both are taken alike, by the most that any of them is.
+    A row is known by its id, source and text; rows that share all three are told apart by a
+    number, and either may be the one that is taken once more. Texts move twice: to their
+    copies, and to their stretches.
     """
-    documents, _ = mix(docs, p)
-    how = documents.filter("taken > 0").groupBy(F.col("doc_id").alias("to_id"), F.col("size").alias("to_size")).agg(F.max("taken").alias("taken"))
-    size = F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD_SQL)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("size", size)
-    rows = rows.join(how, F.col("row.doc_id").eqNullSafe(F.col("to_id")) & (F.col("size") == F.col("to_size")))
-    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
-    rest = (F.col("taken") - whole * F.col("size")).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    placed, sources, pieces = _pieces(sizes_of(docs, p), p, twins=True)
+    copies = pieces.groupBy("src", "at", "turn").agg(F.sum("n").alias("first"), F.min("slot").alias("slot"))
+    copies = stash(placed.filter("size > 0").join(copies, ["src", "at"]).select(*_row_key("doc_id", "src", "body"), "twin", "size", "at", "first", "slot"), "mix-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("id"), _src(F.col("row.source")).alias("src"), F.xxhash64("row.text").alias("body"))
+    rows = rows.select("row", *_row_key("id", "src", "body"))
+    rows = rows.withColumn("mine", F.row_number().over(Window.partitionBy("k_id", "k_null", "k_src", "k_body").orderBy("k_src")))
+    # The number is no key of the join, so that it can use the window's shuffle.
+    rows = rows.join(copies, ["k_id", "k_null", "k_src", "k_body"]).filter("mine <= twin and mine >= twin").select("row", "size", "first", "slot", "at")
     # A word together with the space before it: the text up to any word is a prefix of these.
     spaced = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
-    rows = rows.select("row", F.explode(copies).alias("first"))
-    text = F.when(F.col("first") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(spaced, 1, F.greatest("first", F.lit(0))), ""))
+    text = F.when(F.col("first") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(spaced, 1, F.col("first").cast("int")), ""))
+    stretches = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = max(1, sources.agg(F.sum("slots")).first()[0] or 0)
+    # Slots after the sequence's end belong to the last stretch.
+    to = F.least(F.floor(F.col("slot") * stretches / total), F.lit(stretches - 1)).cast("int")
+    rows = rows.repartitionById(stretches, to).sortWithinPartitions("slot", "at")
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
-    return mix(docs, p)[0].select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, n_slots and first_slot of every document."""
+    return mix(docs, p)[0]
 
 
 _W = ", ".join(map(str, Mix.weights))
-#: DuckDB twin of the query: what the slots add up to, by arithmetic on each source's stream.
+_BLOCK = Mix.block
+#: DuckDB twin of the query: the slots that the golden-ratio sequence gives each source, the blocks
+#: of its stream that stand there, and the words of each document in them.
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce('s' || source, 't') AS src, coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0)::bigint AS size,
   ('0x' || substr(md5('{Mix.seed}' || coalesce(doc_id::varchar, '')), 1, {ORDER_BITS // 4}))::bigint AS h FROM documents),
@@ -210,8 +237,24 @@ v AS (SELECT *, (sum(source_size) OVER () * {Mix.share}::double
   / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
 f AS (SELECT level FROM v WHERE ratio >= level ORDER BY ratio, src LIMIT 1),
 t AS (SELECT src, source_size, least(source_size * {Mix.cap}::double, coalesce(w * (SELECT level FROM f), 0)) AS target FROM v),
-o AS (SELECT d.*, source_size, target, floor(target)::bigint AS words,
+w AS (SELECT *, floor(target)::bigint AS words, ceil(source_size / {_BLOCK})::bigint AS blocks,
+  CASE WHEN source_size > 0 THEN floor(target)::bigint // source_size ELSE 0 END AS passes FROM t),
+n AS (SELECT *, (passes * blocks + ceil((words - passes * source_size) / {_BLOCK}))::bigint AS slots FROM w),
+share AS (SELECT *, sum(slots) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) / greatest(1, sum(slots) OVER ())::double AS hi,
+  slots / greatest(1, sum(slots) OVER ())::double AS wide FROM n),
+points AS (SELECT slot, x - floor(x) AS u FROM (SELECT range AS slot, (range >> 20)::double * {PHI_20!r}::double + (range & {(1 << 20) - 1})::double * {PHI!r}::double AS x
+  FROM range((SELECT coalesce(sum(slots), 0)::bigint FROM n)))),
+ranked AS (SELECT slot, src, slots, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS k FROM points JOIN share ON u >= hi - wide AND u < hi),
+given AS (SELECT src, count(*) AS given FROM ranked GROUP BY src),
+late AS (SELECT src, coalesce(given, 0) AS given, unnest(range(coalesce(given, 0), slots)) AS k FROM n LEFT JOIN given USING (src)),
+slots AS (SELECT slot, src, k FROM ranked WHERE k < slots
+  UNION ALL SELECT (SELECT sum(slots) FROM n)::bigint + k - given, src, k FROM late),
+o AS (SELECT d.*, source_size, target,
   (sum(size) OVER (PARTITION BY src ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::bigint AS place FROM d JOIN t USING (src)),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM o)
-SELECT doc_id, size, source_size, target, (passes * size + least(size, greatest(0, words - passes * source_size - place)))::bigint AS taken FROM g
+b AS (SELECT slot, src, k % blocks AS block, words - k // blocks * source_size AS cut FROM slots JOIN n USING (src)),
+pieces AS (SELECT o.doc_id, o.src, o.place, slot, least(place + size, (block + 1) * {_BLOCK}, cut) - greatest(place, block * {_BLOCK}) AS n
+  FROM (SELECT *, unnest(range(place // {_BLOCK}, (place + size - 1) // {_BLOCK} + 1)) AS block FROM o WHERE size > 0) o JOIN b USING (src, block)),
+sums AS (SELECT src, place, true AS spoken, sum(n)::bigint AS taken, count(DISTINCT slot) AS n_slots, min(slot) AS first_slot FROM pieces WHERE n > 0 GROUP BY src, place)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::bigint AS taken, coalesce(n_slots, 0)::bigint AS n_slots, first_slot
+FROM (SELECT *, size > 0 AS spoken FROM o) LEFT JOIN sums USING (src, place, spoken)
 """

@@ -84,6 +84,44 @@ def test_mixed_documents_have_the_taken_words(spark):
     assert words == want
 
 
+def test_rows_that_share_an_id_are_taken_as_documents_of_their_own(spark):
+    rows = [(5, "a b c d e f g h", "s"), (5, "i j k l m n o", "s"), (5, "a b c d e f g h", "s"), (None, "p q", "s"), (None, "p q", None), (6, None, "s"), (7, "", None)]
+    rows += [(10 + i, f"w{i} " * (i % 9 + 1), f"s{i % 4}") for i in range(80)]
+    df = table(spark, rows)
+    for p in (X.Mix(), X.Mix(block=4, run_rows=20)):
+        documents, _ = X.mix(df, p)
+        want = Counter()
+        for r in documents.collect():
+            want[r.doc_id, r.size] += r.taken
+        got, copies = Counter(), Counter()
+        for r in X.mixed_documents(df, p).collect():
+            mine = [t for i, t, s in rows if i == r.doc_id and s == r.source and t and t.startswith(r.text)]
+            assert mine and r.text.split()
+            copies[r.doc_id, r.source, mine[0]] += len(r.text.split())
+            got[r.doc_id, len(mine[0].split())] += len(r.text.split())
+        assert got == +want
+        for (i, s, t), n in copies.items():
+            assert n <= 2 * len(t.split()) * sum(row == (i, t, s) for row in rows)
+
+
+def test_stage_is_in_the_order_of_the_mix(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (20 + i * 7 % 60)), f"src{i % 5 if i % 3 else 0}") for i in range(1500)]
+    df = table(spark, rows)
+    p = X.Mix(block=32)
+    X.mixed_documents(df, p).write.parquet(f"{tmp_path}/out")
+    want = {s: 0 for s in {s for _, _, s in rows}}
+    for r in X.mixed_documents(df, p).collect():
+        want[r.source] += len(r.text.split())
+    total, seen, done = sum(want.values()), Counter(), 0
+    for path in sorted(tmp_path.glob("out/part-*.parquet")):
+        for r in spark.read.parquet(str(path)).collect():
+            seen[r.source] += len(r.text.split())
+            done += len(r.text.split())
+            if done > 2000:
+                assert all(abs(seen[s] / done - want[s] / total) < 0.05 for s in want)
+    assert done == total and len(list(tmp_path.glob("out/part-*.parquet"))) > 1
+
+
 def test_golden_points_keep_their_precision():
     from decimal import Decimal, getcontext
 
