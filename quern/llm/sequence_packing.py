@@ -1,10 +1,12 @@
 """Hierarchical multi-length packing of tokenized documents.
 
 A document's ids are cut into full windows and a remainder. Remainders go to the tier of the
-smallest context size that holds them; a window is opened by the longest tier's remainders,
-and its gap is filled from the shorter tiers, whole pieces first, the last one cut to fit.
-What is left at the end of a task is laid out on powers of two, which need no padding.
-Finished sequences are dealt out to step groups of about equal attention cost.
+smallest context size that holds them, and every tier is packed into sequences of its own
+size, the longest first: each is opened by one of the tier's remainders, and its gap is
+filled from this tier and the shorter ones, whole pieces first, the last one cut to fit. What
+is left at the end of a task is laid out on powers of two. All sizes are full, so there is
+no padding. Finished sequences of all sizes are dealt out to step groups of about equal
+attention cost.
 
 Every task packs what it reads: there is no shuffle, the ids are made once, and memory is
 bounded by ``group_tokens`` and one Arrow batch. A repeated task packs the same way.
@@ -13,8 +15,10 @@ bounded by ``group_tokens`` and one Arrow batch. A repeated task packs the same
 from __future__ import annotations
 
 import re
+import threading
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -36,6 +40,7 @@ class Packing:
     step_sequences: int = 16  # sequences of a step group
     cache_words: int = 400_000  # words whose ids a worker keeps
     cache_ids: int = 2_000_000
+    idle_seconds: float = 1.0  # without a task, after which a worker forgets them
 
 
 # --- ids ---------------------------------------------------------------------------------
@@ -58,13 +63,11 @@ class WordIds:
     """
 
     def __init__(self, path: str, cache_words: int, cache_ids: int):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        # Words of letters alone are one piece: the model takes them as they are.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
+        # Words of letters alone are one piece: the model, which both share, takes them as they are.
+        self.bare = Tokenizer(self.full.model)
         self.letters = _byte_letters()
         self.limits = cache_words, cache_ids
         #: Word to entry; an entry has two runs of the pool, the second often empty.
@@ -74,11 +77,13 @@ class WordIds:
         self.used = np.zeros(0, np.int64)  # how often an entry has been looked up
 
     def shrink(self) -> None:
-        """Forget the words met once or twice; all of them, where more than half would stay."""
-        keep = np.flatnonzero(self.used >= 3)
-        runs = np.frombuffer(self.runs, np.int64).reshape(-1, 4)[keep]
-        if 2 * len(keep) > self.limits[0] or 2 * int(runs[:, 1::2].sum()) > self.limits[1]:
-            keep, runs = keep[:0], runs[:0]
+        """Forget the words met once or twice, and of the others what half the limits cannot hold, the rarest first."""
+        table = np.frombuffer(self.runs, np.int64).reshape(-1, 4)
+        order = np.argsort(-self.used, kind="stable")[: int((self.used >= 3).sum())]
+        fits = np.cumsum(table[order, 1] + table[order, 3]) <= self.limits[1] // 2
+        keep = np.sort(order[: min(int(fits.sum()), self.limits[0] // 2)])
+        runs = table[keep]
+        del table
         place = np.full(len(self.used), -1, np.int64)
         place[keep] = np.arange(len(keep))
         old = place.tolist()
@@ -184,7 +189,7 @@ class Packer:
     def __init__(self, tiers: tuple[int, ...]):
         self.tiers, self.window = tiers, tiers[-1]
         self.waiting: list[deque] = [deque() for _ in tiers]
-        self.held = 0
+        self.held = [0] * len(tiers)
         self.done: list[list[tuple[int, int, int]]] = []
 
     def add(self, doc: int, n: int) -> None:
@@ -194,45 +199,50 @@ class Packer:
             self._wait((doc, full, n - full))
 
     def _wait(self, piece: tuple[int, int, int]) -> None:
-        self.waiting[next(i for i, t in enumerate(self.tiers) if piece[2] <= t)].append(piece)
-        self.held += piece[2]
-
-    def _take(self, gap: int) -> tuple[int, int, int] | None:
-        """A waiting piece of at most ``gap``, from the longest tier that has one at its head; else
-        the head of the shortest tier, cut to fit, its rest waiting again."""
-        for queue in reversed(self.waiting):
+        tier = bisect_left(self.tiers, piece[2])
+        self.waiting[tier].append(piece)
+        self.held[tier] += piece[2]
+
+    def _pop(self, tier: int) -> tuple[int, int, int]:
+        piece = self.waiting[tier].popleft()
+        self.held[tier] -= piece[2]
+        return piece
+
+    def _take(self, gap: int, top: int) -> tuple[int, int, int] | None:
+        """A waiting piece of at most ``gap``, from the longest tier up to ``top`` that has one at its head;
+        else the head of the shortest tier, cut to fit, its rest waiting again."""
+        for tier in range(top, -1, -1):
+            queue = self.waiting[tier]
             if queue and queue[0][2] <= gap:
-                piece = queue.popleft()
-                self.held -= piece[2]
-                return piece
-        for queue in self.waiting:
-            if queue:
-                doc, start, n = queue.popleft()
-                self.held -= n
+                return self._pop(tier)
+        for tier in range(top + 1):
+            if self.waiting[tier]:
+                doc, start, n = self._pop(tier)
                 self._wait((doc, start + gap, n - gap))
                 return doc, start, gap
         return None
 
-    def _fill(self, size: int) -> None:
+    def _fill(self, size: int, top: int) -> None:
         sequence, gap = [], size
-        while gap and (piece := self._take(gap)):
+        while gap and (piece := self._take(gap, top)):
             sequence.append(piece)
             gap -= piece[2]
         self.done.append(sequence)
 
     def pack(self) -> None:
-        """Full windows as long as there is enough for them."""
-        while self.held >= self.window:
-            self._fill(self.window)
+        """Full sequences of every tier, as long as it and the shorter ones have enough for them."""
+        for tier in range(len(self.tiers) - 1, -1, -1):
+            while self.waiting[tier] and sum(self.held[: tier + 1]) >= self.tiers[tier]:
+                self._fill(self.tiers[tier], tier)
 
     def finish(self) -> None:
         """The rest, less than a window, as sequences whose sizes are powers of two."""
         self.pack()
         size = self.window
-        while self.held:
+        while held := sum(self.held):
             size //= 2
-            if size <= self.held:
-                self._fill(size)
+            if size <= held:
+                self._fill(size, len(self.tiers) - 1)
 
 
 def step_groups(lengths: list[list[int]], per_group: int) -> list[int]:
@@ -261,7 +271,8 @@ def pack(docs: DataFrame, tokenizer: str, p: Packing = Packing(), key: str = "do
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _cached_ids(tokenizer, p)
+        kept = (tokenizer, p.cache_words, p.cache_ids)
+        words = _take_ids(kept)
         base = TaskContext.get().partitionId() * TASK_SPAN
         packer, ids, keys = Packer(p.tiers), {}, {}
         given = sequences = groups = fresh = 0
@@ -312,13 +323,14 @@ def pack(docs: DataFrame, tokenizer: str, p: Packing = Packing(), key: str = "do
         packer.finish()
         if packer.done:
             yield from emit(kind)
+        _give_ids(kept, words, p.idle_seconds)
 
     inner = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("data"))
     kind = inner.schema["key"].dataType.simpleString()
     return inner.mapInArrow(run, f"key {kind}, {PIECE_DDL}" + (", ids array<int>" if with_ids else "")).withColumnRenamed("key", key)
 
 
-def _slices(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of about ``size`` bytes of text."""
     lengths = batch.column("data")
     first = held = 0
@@ -331,13 +343,40 @@ def _slices(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[int, i
         yield first, batch.num_rows - first
 
 
-_KEPT: dict[tuple, WordIds] = {}
+class _Kept:
+    """Word ids that a worker process keeps from task to task, and drops when it has been without one for a while."""
+
+    def __init__(self) -> None:
+        self.lock = threading.Lock()
+        self.held: dict[tuple, WordIds] = {}
+        self.timer: threading.Timer | None = None
+
+    def take(self, at: tuple) -> WordIds:
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            found = self.held.pop(at, None)
+            self.held.clear()
+        return found or WordIds(*at)
+
+    def give(self, at: tuple, words: WordIds, seconds: float) -> None:
+        with self.lock:
+            self.held[at] = words
+            self.timer = threading.Timer(seconds, self.drop)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def drop(self) -> None:
+        with self.lock:
+            self.held.clear()
+
+
+_KEPT = _Kept()
+
+
+def _take_ids(at: tuple) -> WordIds:
+    return _KEPT.take(at)
 
 
-def _cached_ids(path: str, p: Packing) -> WordIds:
-    """A worker process keeps its word ids between tasks."""
-    at = (path, p.cache_words, p.cache_ids)
-    if at not in _KEPT:
-        _KEPT.clear()
-        _KEPT[at] = WordIds(*at)
-    return _KEPT[at]
+def _give_ids(at: tuple, words: WordIds, seconds: float) -> None:
+    _KEPT.give(at, words, seconds)

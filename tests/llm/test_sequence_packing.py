@@ -85,12 +85,59 @@ def test_pieces_cover_every_id_once(spark, library):
     assert P.pack(df.limit(0), PATH).count() == 0
 
 
+def test_every_tier_has_sequences_of_its_size():
+    rng = random.Random(4)
+    sizes = [int(rng.paretovariate(0.7) * 40) % 5000 + 1 for _ in range(4000)]
+    packer = P.Packer((256, 512, 1024, 2048))
+    for doc, n in enumerate(sizes):
+        packer.add(doc, n)
+        if doc % 500 == 499:
+            packer.pack()
+    packer.pack()
+    rest = sum(packer.held)
+    by_size, pieces = defaultdict(list), defaultdict(list)
+    for sequence in packer.done:
+        by_size[sum(n for _, _, n in sequence)].append(sequence)
+        for doc, start, n in sequence:
+            pieces[doc].append((start, n))
+    assert set(by_size) == {256, 512, 1024, 2048} and rest < 2048
+    # A sequence is opened by a piece that needs its size.
+    for size, below in ((512, 256), (1024, 512), (2048, 1024)):
+        assert all(below < s[0][2] <= size for s in by_size[size])
+    # Gaps of the long windows are filled from shorter tiers.
+    assert sum(len(s) > 1 for s in by_size[2048]) > 20
+    packer.finish()
+    for sequence in packer.done[sum(map(len, by_size.values())) :]:
+        for doc, start, n in sequence:
+            pieces[doc].append((start, n))
+    for doc, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(pieces[doc]):
+            assert start == at
+            at += length
+        assert at == n
+
+
 def test_equal_rows_are_documents_of_their_own(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id bigint, text string")
     rows = P.pack(df, PATH).collect()
     assert sum(r.length for r in rows if r.doc_id is None) == 6 and sum(r.length for r in rows) == 7
 
 
+def test_kept_words_go_when_the_worker_is_idle():
+    import time
+
+    kept = P._Kept()
+    at = (PATH, 100, 1000)
+    words = kept.take(at)
+    kept.give(at, words, 0.2)
+    assert kept.take(at) is words
+    time.sleep(0.5)  # taken again in time: nothing is dropped under a task
+    kept.give(at, words, 0.1)
+    time.sleep(0.5)
+    assert not kept.held and kept.take(at) is not words
+
+
 def test_step_groups_balance():
     rng = random.Random(2)
     lengths = [[rng.randint(1, 2048)] for _ in range(160)]
