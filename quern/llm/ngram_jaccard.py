@@ -534,11 +534,12 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     rows = profile.filter("sketch is null").drop("sketch")
     reps = rows.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("rep"))
     lists = _lists(_postings(docs, _levels(profile, p), p, key, text), p)
-    store = _store(docs, reps, _near(lists, p), p, key, text)
+    near = stash(_near(lists, p), "jaccard-near")
+    store = _store(docs, reps, near.select("cls"), p, key, text)
     pairs = lists.filter("pred is not null").select(F.col("cls").alias("x"), F.col("pred").alias("y"), "size").distinct()
     first = _chained(stash(pairs, "jaccard-pairs"), store, p)
     labels = components(first)
-    more = _residual(lists, labels, store, p)
+    more = _residual(near, labels, store, p)
     joined = components(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
     links = stash(first.unionByName(more.select("a", "b", "overlap")), "jaccard-all-links")
     named = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("near"))
@@ -578,18 +579,19 @@ def _fits(p: JaccardJoin) -> Column:
 
 
 def _near(lists: DataFrame, p: JaccardJoin) -> DataFrame:
-    """cls: the classes that have on some list another one that fits. All that are ever compared are among these."""
+    """token, cls, size, pos: the rows that another class of their list fits. Where two classes link, their rows
+    on the first list that they share are among these."""
     rows = lists.select("token", "cls", "size", "pos")
     groups = rows.groupBy("token", F.expr(_BAND).alias("band")).agg(*_groups(p), F.min("cls").alias("lo_cls"), F.max("cls").alias("hi_cls"))
     groups = groups.select(F.col("token").alias("to_token"), "lo", "hi", "room", "lead_room", "lo_cls", "hi_cls")
     others = "token = to_token and (lo_cls <> cls or hi_cls <> cls)"
-    return rows.join(groups, F.expr(others) & _fits(p), "left_semi").select("cls")
+    return rows.join(groups, F.expr(others) & _fits(p), "left_semi")
 
 
-def _residual(lists: DataFrame, labels: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
+def _residual(near: DataFrame, labels: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
     """a, b, overlap, a_label, b_label: links between the components that ``labels`` (node, label) gives, enough to
     join all that have any. A class without a label is a component of its own."""
-    rows = lists.select("token", "cls", "size", "pos").join(labels, F.col("cls") == F.col("node"), "left")
+    rows = near.join(labels, F.col("cls") == F.col("node"), "left")
     rows = stash(rows.select("token", "cls", "size", "pos", F.coalesce("label", "cls").alias("label")), "jaccard-labelled")
     per = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     per = per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("members"), F.count("*").alias("several"))
