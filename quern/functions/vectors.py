@@ -26,7 +26,9 @@ def is_finite(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; null for a vector that is empty, not finite or zero."""
-    return F.when(is_finite(v) & (norm(v) > 0), F.transform(v, lambda x: x.cast("double") / norm(v)))
+    # Bound to a lambda's variable, the norm is taken once and not for every entry.
+    scaled = F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))
+    return F.when(is_finite(v), F.element_at(scaled, 1))
 
 
 def is_unit(v: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,10 @@ from quern.functions.vectors import dot
 #: whatever order a sum was taken in.
 SCORE_DECIMALS = 6
 
-#: Queries scored together against a block; a worker holds this many times the block's rows of scores.
-AT_ONCE = 256
+#: Bytes of the rows that a worker multiplies at once, and of their scores.
+ROW_BYTES, SCORE_BYTES = 32 << 20, 32 << 20
+#: Bytes of the query vectors that go to all tasks; more of them go in several passes over the corpus.
+QUERY_BYTES = 64 << 20
 
 
 def pool_size(pool: int, k: int, n: int) -> int:
@@ -38,7 +41,8 @@ def unit(vector: list[float], dimensions: int | None = None) -> list[float]:
 
 
 def score(embedding: Column, query: list[float]) -> Column:
-    return F.round(dot(embedding, F.array(*[F.lit(float(x)) for x in query])), SCORE_DECIMALS)
+    # Parsed from text the vector is one literal of the plan, not one for each dimension.
+    return F.round(dot(embedding, F.from_json(F.lit(json.dumps([float(x) for x in query])), "array<double>")), SCORE_DECIMALS)
 
 
 def top_candidates(corpus: DataFrame, query: list[float], n: int, key: str) -> DataFrame:
@@ -46,16 +50,31 @@ def top_candidates(corpus: DataFrame, query: list[float], n: int, key: str) -> D
     return corpus.withColumn("score", score(F.col("embedding"), query)).orderBy(F.desc("score"), F.asc(key)).limit(n)
 
 
-def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", max_queries: int = 65_536) -> DataFrame:
+def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", max_queries: int = 65_536, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, key, score and place (from 1) of the ``n`` best rows for each query.
 
-    Queries are a request batch, checked to be at most ``max_queries`` vectors, and go to all
-    tasks; corpus blocks are multiplied with them in numpy, and a block gives up to n rows for
-    each query. Only those are shuffled; Spark limits them per task again before the window.
+    Queries are a request batch, checked to be at most ``max_queries`` vectors. They go to all
+    tasks, ``query_bytes`` of them at once: a batch that has more is dealt out by hash to several
+    passes over the corpus. Blocks of rows and queries of fixed size are multiplied in numpy, and
+    a block gives up to n rows for each query. Only those are shuffled; Spark limits them per
+    task again before the window.
     """
-    rows = queries.select(query_key, "embedding").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    if size.n > max_queries:
         raise ValueError(f"a batch holds at most {max_queries} queries")
+    passes = max(1, -(-size.n * size.d * 8 // query_bytes))
+    found = None
+    for i in range(passes):
+        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(passes)) == i)
+        one = _scored(corpus, part, n, key, query_key)
+        found = one if found is None else found.unionByName(one)
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
+def _scored(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str) -> DataFrame:
+    """query_id, key, score: the ``n`` best rows of every block for each query."""
+    rows = queries.select(query_key, "embedding").collect()
     names = [r[0] for r in rows]
     matrix = np.array([unit(r[1]) for r in rows], np.float64) if rows else np.zeros((0, 0))
     types = {f.name: f.dataType.simpleString() for f in corpus.schema}
@@ -65,26 +84,29 @@ def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, qu
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            keys = batch.column(key)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            block = flat.reshape(batch.num_rows, -1).astype(np.float64)
-            order_key = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"))
-            for begin in range(0, len(ids), AT_ONCE):
-                scores = np.round(vectors[begin : begin + AT_ONCE] @ block.T, SCORE_DECIMALS) + 0.0
-                picked, query_at = [], []
-                for q, s in enumerate(scores):
-                    rows = np.arange(len(s))
-                    if len(s) > n:
-                        floor = np.partition(s, len(s) - n)[len(s) - n]
-                        rows = np.flatnonzero(s >= floor)
-                    rows = rows[np.lexsort((order_key[rows], -s[rows]))][:n]
-                    picked.append(rows)
-                    query_at.append(np.full(len(rows), q))
-                at, query = np.concatenate(picked), np.concatenate(query_at)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[begin + q] for q in query]), keys.take(pa.array(at)), pa.array(scores[query, at])], [query_key, key, "score"])
-
-    found = corpus.select(key, "embedding").mapInArrow(best, f"{query_key} {query_type}, {key} {types[key]}, score double")
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+            if batch.num_rows and len(ids):
+                step = max(1, ROW_BYTES // (8 * vectors.shape[1]))
+                for first in range(0, batch.num_rows, step):
+                    yield from best_of(batch.slice(first, step), ids, vectors)
+
+    def best_of(batch: pa.RecordBatch, ids: list, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = batch.column(key)
+        flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+        block = flat.reshape(batch.num_rows, -1).astype(np.float64)
+        order_key = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"))
+        together = max(1, SCORE_BYTES // (8 * batch.num_rows))
+        for begin in range(0, len(ids), together):
+            scores = np.round(vectors[begin : begin + together] @ block.T, SCORE_DECIMALS) + 0.0
+            picked, query_at = [], []
+            for q, s in enumerate(scores):
+                rows = np.arange(len(s))
+                if len(s) > n:
+                    floor = np.partition(s, len(s) - n)[len(s) - n]
+                    rows = np.flatnonzero(s >= floor)
+                rows = rows[np.lexsort((order_key[rows], -s[rows]))][:n]
+                picked.append(rows)
+                query_at.append(np.full(len(rows), q))
+            at, query = np.concatenate(picked), np.concatenate(query_at)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[begin + q] for q in query]), keys.take(pa.array(at)), pa.array(scores[query, at])], [query_key, key, "score"])
+
+    return corpus.select(key, "embedding").mapInArrow(best, f"{query_key} {query_type}, {key} {types[key]}, score double")
