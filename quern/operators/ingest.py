@@ -6,7 +6,7 @@ is read with a guard on its type, and casts that can fail give null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -18,29 +18,28 @@ PRODUCT_COLUMNS = (
 )
 
 
-def _get(v: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(v, path, kind)
+#: The fields of a line that are read.
+RAW_FIELDS = ("parent_asin", "title", "store", "average_rating", "rating_number", "price", "images", "features", "details")
 
 
-def _kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(_get(v, path, "variant"))
+def _get(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
 
 
-def _string(v: Column, path: str) -> Column:
+def _string(v: Column) -> Column:
     """The value where it is a JSON string."""
-    return F.when(_kind(v, path) == "STRING", _get(v, path, "string"))
+    return F.when(F.schema_of_variant(v) == "STRING", _get(v, "string"))
 
 
-def _list(v: Column, path: str) -> Column:
+def _list(v: Column) -> Column:
     """The value where it is a JSON array, else an empty one."""
-    return F.coalesce(_get(v, path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    return F.coalesce(_get(v, "array<variant>"), F.expr("cast(array() as array<variant>)"))
 
 
-def _number(v: Column, path: str, kind: str) -> Column:
+def _number(v: Column, kind: str) -> Column:
     """A number, a numeric string, or a boolean as 0 or 1."""
-    text = F.try_variant_get(v, path, "string")
-    as_double = F.when(_kind(v, path) == "BOOLEAN", _get(v, path, "boolean").cast("double")).otherwise(
-        F.coalesce(_get(v, path, "double"), T.strip(text).try_cast("double"))
+    as_double = F.when(F.schema_of_variant(v) == "BOOLEAN", _get(v, "boolean").cast("double")).otherwise(
+        F.coalesce(_get(v, "double"), T.strip(_get(v, "string")).try_cast("double"))
     )
     return as_double if kind == "double" else F.when(~F.isnan(as_double) & (F.abs(as_double) < 9.0e18), as_double.cast("bigint"))
 
@@ -56,6 +55,17 @@ def first_image_url(images: Column) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(first, f"$.{k}", "string"), F.lit("")) for k in ("large", "hi_res", "thumb")])
 
 
+def eligible_column(title: Column, images: Column, features: Column, count: Column, average: Column) -> Column:
+    """Whether a row has a title, images and features (the first three), and ratings enough; never null.
+    An average that is NaN passes, as it is not below."""
+    rated = F.coalesce(count >= MIN_COUNT, F.lit(False)) & F.coalesce(average >= MIN_AVERAGE, F.lit(False))
+    return F.coalesce(title & images & features, F.lit(False)) & rated
+
+
+def status_column(malformed: Column, eligible: Column, key: Column) -> Column:
+    return F.when(malformed, "malformed").when(~eligible, "ineligible").when(~key, "missing_key").otherwise("ok")
+
+
 def silver(raw: DataFrame) -> DataFrame:
     """All columns of ``raw`` but v, PRODUCT_COLUMNS and ``status``: ok, malformed, ineligible, missing_key.
 
@@ -63,20 +73,22 @@ def silver(raw: DataFrame) -> DataFrame:
     an average of at least MIN_AVERAGE (NaN passes, as it is not below). An image address
     that is no URL becomes null and sets ``image_dropped``; so does a price that is no number.
     """
-    v = F.col("v")
-    title, features, images = _string(v, "$.title"), _list(v, "$.features"), _list(v, "$.images")
-    count, average = _number(v, "$.rating_number", "bigint"), _number(v, "$.average_rating", "double")
-    eligible = T.has_text(title) & (F.size(images) > 0) & (F.size(features) > 0) & F.coalesce(count >= MIN_COUNT, F.lit(False))
-    eligible = eligible & F.coalesce(average >= MIN_AVERAGE, F.lit(False))
-    key = _string(v, "$.parent_asin")
-    status = (
-        F.when(v.isNull(), "malformed").when(~eligible, "ineligible").when(~T.has_text(key), "missing_key").otherwise("ok")
-    )
+    carried = [F.col(f"`{c}`") for c in raw.columns if c not in ("v", "value")]
+    # Every field is taken from the line once, and once cast to what it is used as.
+    fields = F.try_variant_get("v", "$", f"struct<{', '.join(f'{f}: variant' for f in RAW_FIELDS)}>")
+    raw = raw.select(*carried, F.col("v").isNull().alias("_bad"), fields.alias("_f"))
+    f = {name: F.col(f"_f.{name}") for name in RAW_FIELDS}
+    cast = {"title": _string(f["title"]), "features": _list(f["features"]), "images": _list(f["images"]), "key": _string(f["parent_asin"]), "store": _string(f["store"])}
+    cast |= {"count": _number(f["rating_number"], "bigint"), "average": _number(f["average_rating"], "double"), "price": _number(f["price"], "double")}
+    cast |= {"details": _get(f["details"], "map<string, variant>")}
+    raw = raw.select(*carried, "_bad", *[c.alias(f"_{name}") for name, c in cast.items()])
+    title, features, images, key, store, count, average = (F.col(f"_{c}") for c in ("title", "features", "images", "key", "store", "count", "average"))
+    eligible = eligible_column(T.has_text(title), F.size(images) > 0, F.size(features) > 0, count, average)
+    status = status_column(F.col("_bad"), eligible, T.has_text(key))
     texts = F.transform(features, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
-    store, image = _string(v, "$.store"), first_image_url(images)
-    details = [(k, _string(v, f"$.details['{k}']")) for k in T.DETAIL_KEYS]
+    image = first_image_url(images)
+    details = [(k, _string(F.try_element_at("_details", F.lit(k)))) for k in T.DETAIL_KEYS]
     valid = T.is_http_url(image)
-    carried = [F.col(f"`{c}`") for c in raw.columns if c not in ("v", "value")]
     return raw.select(
         *carried,
         status.alias("status"),
@@ -85,7 +97,7 @@ def silver(raw: DataFrame) -> DataFrame:
         T.blank_to_null(store).alias("store"),
         average.alias("average_rating"),
         count.alias("rating_number"),
-        _number(v, "$.price", "double").alias("price"),
+        F.col("_price").alias("price"),
         F.when(valid, image).alias("image_url"),
         T.clean_list(texts).alias("features"),
         T.normalize_title(T.strip(title)).alias("normalized_title"),
@@ -98,6 +110,12 @@ def products(silvered: DataFrame) -> DataFrame:
     return silvered.filter("status = 'ok'").select(*PRODUCT_COLUMNS)
 
 
+def reject_samples(silvered: DataFrame, order: str, n: int = 3) -> DataFrame:
+    """status, order, parent_asin: the first ``n`` rows of every status but ok."""
+    first = F.row_number().over(Window.partitionBy("status").orderBy(order))
+    return silvered.filter("status <> 'ok'").select("status", order, "parent_asin").withColumn("_place", first).filter(F.col("_place") <= n).drop("_place")
+
+
 def reject_counts(silvered: DataFrame) -> DataFrame:
     """reason, n: rows per status, and rows whose image was dropped."""
     kept = F.when((F.col("status") == "ok") & F.col("image_dropped"), F.lit("dropped_image_url"))
