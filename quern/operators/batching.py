@@ -42,7 +42,8 @@ def batch_ids(df: DataFrame, order: str, tokens: str, max_inputs: int = MAX_INPU
     task in constant memory, so it is for reports, not for jobs.
     """
     slim = df.select(F.col(order).alias("order"), F.col(tokens).cast("bigint").alias("tokens"))
-    ranged = slim.coalesce(1) if single else slim.repartitionByRange("order")
+    # The scan stays parallel; only (order, tokens) meet in the one task.
+    ranged = slim.repartition(1) if single else slim.repartitionByRange("order")
     kind = slim.schema["order"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,17 +1,35 @@
-"""The embedding job: what is missing is batched, embedded, checked and appended."""
+"""The embedding job: what is missing is batched by inputs and tokens, embedded, checked and added.
+
+Requests are formed inside the tasks that read the texts, so their limits hold without a
+shuffle. New rows go to a staging table beside the output; a stopped run leaves whole files
+there, and the next one takes up what neither table has. Staged rows are checked before they
+are added, and the whole table again before the manifest is written.
+"""
 
 from __future__ import annotations
 
+import sys
 import time
+from collections.abc import Callable, Iterable, Iterator
+from importlib import metadata
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.functions.text import token_estimate
-from quern.operators.batching import MAX_INPUT_TOKENS, MAX_INPUTS, MAX_TOKENS, check_budget
-from quern.providers import Embedder, embed_column
-from quern.sources.files import manifest_of, write_json_atomically
+from quern.operators.batching import MAX_INPUT_TOKENS, MAX_INPUTS, MAX_TOKENS, NextFit, check_budget
+from quern.providers import Embedder, ask_vectors
+from quern.sources import shared
+from quern.sources.files import PRICE_PER_MILLION, manifest_of, write_json_atomically
+
+DEFAULT_OUTPUT = "data/vectors"
+#: Of a checkpoint, what must agree with the run that goes on from it.
+COMPARED = (
+    "model", "dimensions", "key", "input_path", "limit", "max_inputs_per_request", "max_estimated_tokens_per_request", "request_timeout_seconds",
+)
 
 
 def missing(texts: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
@@ -34,30 +52,142 @@ def audit(embedded: DataFrame, dimensions: int) -> dict:
     return row.asDict()
 
 
-def run(spark: SparkSession, texts: DataFrame, embedder: Embedder, output: str, key: str = "row_index", max_inputs: int = MAX_INPUTS, max_tokens: int = MAX_TOKENS, manifest_path: str | None = None, timeout: float = 60.0) -> dict:
-    """Embeds the rows of ``texts`` (key, text) that the Parquet table at ``output`` lacks, appends
+def paths_of(output: str) -> dict[str, str]:
+    """Where a job keeps its staging table and checkpoint."""
+    base = output.rstrip("/")
+    return {"staging": f"{base}.staging", "checkpoint": f"{base}.checkpoint.json"}
+
+
+def check_output(output: str, limit: int | None) -> None:
+    """A run over part of the rows must not go to the default output."""
+    if limit is not None and output.rstrip("/") == DEFAULT_OUTPUT:
+        raise ValueError("a limited run needs an output of its own")
+
+
+def check_checkpoint(found: dict, now: dict, rows_done: int, rows: int) -> None:
+    """Raises where the checkpoint is of another job, or counts more rows than there are."""
+    if differ := [k for k in COMPARED if found.get(k) != now.get(k)]:
+        raise ValueError(f"the checkpoint is of another run: {', '.join(differ)} differ")
+    if not 0 <= rows_done <= rows:
+        raise ValueError(f"the checkpoint has {rows_done} rows, the input {rows}")
+
+
+def requests(texts: DataFrame, key: str, max_inputs: int, max_tokens: int, serve: Callable[[list[str]], tuple[list, list[int]]]) -> DataFrame:
+    """key, embedding, request (its number within the task), estimated_tokens, prompt_tokens, total_tokens: the rows of
+    ``texts`` (key, text), taken in order by requests that next-fit fills up to ``max_inputs`` texts
+    and ``max_tokens`` estimated tokens. A request's usage stands on its first row. What is held is
+    one request's texts, whatever the size of a task."""
+    kind = texts.schema[key].dataType.simpleString()
+    names = [key, "embedding", "request", "estimated_tokens", "prompt_tokens", "total_tokens"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, held, open_batch = NextFit(max_inputs, max_tokens), [], 0
+        key_type = None
+
+        def send() -> pa.RecordBatch:
+            rows, usage = serve([t for _, t, _ in held])
+            first = [[n] + [0] * (len(held) - 1) for n in usage]
+            arrays = [
+                pa.array([k for k, _, _ in held], key_type), pa.array(rows, pa.list_(pa.float32())), pa.array([open_batch] * len(held), pa.int64()),
+                pa.array([n for _, _, n in held], pa.int64()), *[pa.array(x, pa.int64()) for x in first],
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        for b in batches:
+            key_type = b.column(0).type
+            for k, text, tokens in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                placed = fit.place(tokens)
+                if placed != open_batch:
+                    yield send()
+                    held, open_batch = [], placed
+                held.append((k, text, tokens))
+        if held:
+            yield send()
+
+    ddl = f"{key} {kind}, embedding array<float>, request bigint, estimated_tokens bigint, prompt_tokens bigint, total_tokens bigint"
+    slim = texts.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", token_estimate("text").cast("bigint"))
+    return slim.mapInArrow(run, ddl)
+
+
+def embedded(texts: DataFrame, embedder: Embedder, key: str, max_inputs: int = MAX_INPUTS, max_tokens: int = MAX_TOKENS, timeout: float = 60.0) -> DataFrame:
+    """``requests`` answered by ``embedder``."""
+    check_budget(max_tokens, timeout)
+
+    def serve(part: list[str]) -> tuple[list, list[int]]:
+        rows, *usage = ask_vectors(embedder, part, timeout)
+        return list(np.asarray(rows, np.float32)), usage
+
+    return requests(texts, key, max_inputs, max_tokens, serve)
+
+
+def digest(embedded: DataFrame, key: str) -> str:
+    """Of the rows, in whatever order and files they lie: the xor and the sum of their hashes."""
+    h = F.xxhash64(key, "embedding")
+    row = embedded.agg(F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("s")).first()
+    return f"{(row.x or 0) & (1 << 64) - 1:016x}-{row.s or 0:x}"
+
+
+def version_of(package: str) -> str | None:
+    try:
+        return metadata.version(package)
+    except metadata.PackageNotFoundError:
+        return None
+
+
+def run(spark: SparkSession, texts: DataFrame, embedder: Embedder, output: str, key: str = "row_index", max_inputs: int = MAX_INPUTS, max_tokens: int = MAX_TOKENS, manifest_path: str | None = None, timeout: float = 60.0, input_path: str | None = None, limit: int | None = None, log: Callable[[str], None] | None = None) -> dict:
+    """Embeds the rows of ``texts`` (key, text) that the Parquet table at ``output`` lacks, adds
     them, checks the whole table and returns its manifest.
 
-    Tasks commit whole files, so a run that stops leaves only finished rows, and the next one
-    takes up what is missing.
+    A run that stops leaves a staging table and a checkpoint beside the output; the next run
+    with the same settings goes on from there, one with others raises.
     """
     check_budget(max_tokens, timeout)
-    began = time.time()
-    done = spark.read.parquet(output) if _exists(spark, output) else None
-    todo = guarded(missing(texts, done, key), key)
-    embed_column(todo, embedder, key, "text", max_inputs).write.mode("append").parquet(output)
+    check_output(output, limit)
+    tell = log or (lambda line: print(line, file=sys.stderr))
+    began, at = time.time(), paths_of(output)
+    settings = {
+        "model": getattr(embedder, "model", type(embedder).__name__), "dimensions": embedder.dimensions, "key": key, "input_path": input_path, "limit": limit,
+        "max_inputs_per_request": max_inputs, "max_estimated_tokens_per_request": max_tokens, "request_timeout_seconds": timeout,
+    }
+    rows = texts.count()
+    finished = spark.read.parquet(output) if shared.exists(spark, output) else None
+    kind = {f.name: f.dataType.simpleString() for f in texts.schema}[key]
+    table = f"{key} {kind}, embedding array<float>, request bigint, estimated_tokens bigint, prompt_tokens bigint, total_tokens bigint"
+    staged = spark.createDataFrame([], table)
+    if found := shared.read_json(spark, at["checkpoint"]):
+        # A run that stopped before its first file was whole has no staging table.
+        if shared.exists(spark, f"{at['staging']}"):
+            staged = spark.read.schema(table).parquet(at["staging"])
+        check_checkpoint(found, settings, staged.count(), rows)
+    else:
+        shared.delete(spark, at["staging"])
+    left = guarded(missing(missing(texts, finished, key), staged, key), key)
+    shared.write_json(spark, settings | {"product_count": rows}, at["checkpoint"])
+    seen = Observation("embedded")
+    fresh = embedded(left, embedder, key, max_inputs, max_tokens, timeout)
+    fresh.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("tokens")).write.mode("append").parquet(at["staging"])
+    tell(f"{seen.get['rows']:,} of {rows:,} rows embedded, {seen.get['tokens']:,} tokens, ${seen.get['tokens'] / 1e6 * PRICE_PER_MILLION:.4f}")
+    checked = spark.read.schema(table).parquet(at["staging"])
+    found = audit(checked, embedder.dimensions)
+    if found["not_unit"] or found["other_size"]:
+        raise ValueError(f"the vectors at {at['staging']} are not unit vectors of {embedder.dimensions}: {found}")
+    if finished is None:
+        shared.rename(spark, at["staging"], output)
+    else:
+        # After a stop between these two steps rows would be there twice without the anti-join.
+        missing(checked, finished, key).write.mode("append").parquet(output)
+        shared.delete(spark, at["staging"])
     whole = spark.read.parquet(output)
     found = audit(whole, embedder.dimensions)
-    rows = texts.count()
-    if found["not_unit"] or found["other_size"] or found["rows"] != rows:
+    if found["not_unit"] or found["other_size"] or found["rows"] != rows or whole.select(key).distinct().count() != rows:
         raise ValueError(f"the vectors at {output} are not whole: {found}, {rows} texts")
-    tokens = texts.agg(F.sum(token_estimate("text"))).first()[0] or 0
-    manifest = manifest_of(type(embedder).__name__, embedder.dimensions, rows, tokens, time.time() - began)
+    used = whole.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("p"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("t")).first()
+    manifest = manifest_of(
+        settings["model"], embedder.dimensions, rows, used.p, time.time() - began, total_tokens=used.t, output_path=output, vectors_digest=digest(whole, key),
+        texts_digest=digest(texts.select(key, F.col("text").alias("embedding")), key), spark_version=spark.version, numpy_version=version_of("numpy"),
+        **{k: settings[k] for k in COMPARED if k not in ("model", "dimensions", "key")},
+    )
     if manifest_path:
         write_json_atomically(manifest, manifest_path)
+    shared.delete(spark, at["checkpoint"])
     return manifest
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import curation, explain, search
-from quern.providers import Embedder, Explainer, IntentParser, embed_column, explain_column, parse_column
-from quern.session import stash
+from quern.providers import INTENT_DDL, Embedder, Explainer, IntentParser, embed_column, explain_column, parse_column
+from quern.session import bounded, stash
 
 #: What a response shows of a product: all but the internal texts.
 SHOWN = ("parent_asin", "title", "store", "average_rating", "rating_number", "price", "image_url", "features")
 
+INTENT_FIELDS = (*(f.split()[0] for f in INTENT_DDL.split(", ")), "original_query")
+INTENT_TYPE = "struct<" + ",".join(f.replace(" ", ":") for f in f"{INTENT_DDL}, original_query string".split(", ")) + ">"
+
 
 @dataclass
 class Recommender:
@@ -22,26 +25,40 @@ class Recommender:
 
     products: DataFrame
     vectors: DataFrame
-    embedder: Embedder
-    parser: IntentParser
-    explainer: Explainer
+    embedder: Embedder | None
+    parser: IntentParser | None
+    explainer: Explainer | None
     pool: int = 40
     min_count: int = 10
     min_average: float = 4.0
+    broadcast_rows: int = 200_000  # pools are broadcast to the products up to this many rows
 
     def answer(self, requests: DataFrame) -> DataFrame:
         """query_id, status, query, intent and results (product, score, rank, why_this_matches, by
         rank) of every request (query_id, query, max_results).
 
-        Statuses: ok, no_results, invalid_request, upstream_error (explanations that do not fit).
-        The batch bounds what is written between steps: its requests and their pools.
+        Statuses: ok, no_results, invalid_request, missing_api_key (a provider is None, or has no
+        key), upstream_error (a model's answer is missing or does not fit), internal_error (an
+        intent beyond its limits). One request's failure leaves the others alone. The batch
+        bounds what is written between steps: its requests and their pools.
         """
         checked = stash(explain.validate_requests(requests), "requests")
         valid = checked.filter("status = 'ok'").select("query_id", "query")
-        intents = stash(explain.clean_intent(parse_column(valid, self.parser, "query_id", "query")), "intents")
-        asked = embed_column(intents, self.embedder, "query_id", "retrieval_text")
-        found = stash(search.batch_candidates(self.vectors, asked, max(self.pool, explain.RESULTS_MAX), "row_index"), "pools")
-        rows = F.broadcast(found).join(self.products, "row_index")
+        if None in (self.embedder, self.parser, self.explainer):
+            absent = valid.select("query_id", F.lit("missing_api_key").alias("status"))
+            none = self.products.select(F.struct(*SHOWN).alias("product")).schema.simpleString()
+            empty = F.lit(None).cast(f"array<struct<rank:int,product:{none[len('struct<product:'):-1]},score:double,why_this_matches:string>>")
+            status = explain.outcomes(checked, valid.limit(0), "query_id", absent)
+            return status.join(checked.select("query_id", "query"), "query_id").withColumns({"intent": F.lit(None).cast(INTENT_TYPE), "results": empty})
+        parsed = stash(explain.clean_intent(parse_column(valid, self.parser, "query_id", "query")), "intents")
+        fits = F.length("retrieval_text").between(1, explain.INTENT_MAX)
+        failed = parsed.select("query_id", F.coalesce("error", F.when(~fits, "internal_error")).alias("status")).filter("status is not null")
+        intents = parsed.filter(F.col("error").isNull() & fits).drop("error")
+        asked = stash(embed_column(intents, self.embedder, "query_id", "retrieval_text", errors=True), "asked")
+        failed = failed.unionByName(asked.filter("error is not null").select("query_id", F.col("error").alias("status")))
+        best = search.batch_candidates(self.vectors, asked.filter("error is null"), max(self.pool, explain.RESULTS_MAX), "row_index")
+        found = stash(best, "pools")
+        rows = bounded(found, self.broadcast_rows).join(self.products, "row_index")
         keys = {"title_key": curation.title_key(F.col("normalized_title"), F.col("parent_asin")), "store_key": curation.store_key(F.col("store"))}
         rows = rows.withColumns(keys).join(checked.select("query_id", F.col("max_results").alias("k")), "query_id")
         chosen = curation.curate(rows, F.element_at("pool", 1)["row"]["k"], ["query_id"])
@@ -51,12 +68,13 @@ class Recommender:
         prompts = explain.explain_prompts(ranked.join(intents.drop("query", "retrieval_text"), "query_id"), ["query_id"], intent, product)
         ranks = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
         said = stash(explain_column(prompts.join(ranks, "query_id"), self.explainer, "query_id"), "said")
-        merged, verdicts = explain.merge_explanations(ranked, said, ["query_id"])
-        errors = verdicts.filter("verdict <> 'ok'").select("query_id", F.lit("upstream_error").alias("status"))
+        silent = said.filter("error is not null").select("query_id", F.col("error").alias("status"))
+        merged, verdicts = explain.merge_explanations(ranked.join(silent, "query_id", "left_anti"), said.filter("error is null").drop("error"), ["query_id"])
+        failed = failed.unionByName(silent).unionByName(verdicts.filter("verdict <> 'ok'").select("query_id", F.lit("upstream_error").alias("status")))
         entry = F.struct(F.col("rank"), F.struct(*SHOWN).alias("product"), F.col("score"), F.col("why_this_matches"))
         results = merged.groupBy("query_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"]).alias("results"))
-        status = explain.outcomes(checked, ranked.select("query_id"), "query_id", errors)
-        told = intents.select("query_id", F.struct(*[c for c in intents.columns if c not in ("query_id", "query")]).alias("intent"))
+        status = explain.outcomes(checked, ranked.select("query_id"), "query_id", failed)
+        told = intents.select("query_id", F.struct(*INTENT_FIELDS).alias("intent"))
         return status.join(checked.select("query_id", "query"), "query_id").join(told, "query_id", "left").join(results, "query_id", "left")
 
 

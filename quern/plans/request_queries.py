@@ -12,6 +12,7 @@ from quern.plans import catalog as C
 from quern.sources.files import PRICE_PER_MILLION
 
 DONE_BELOW = 300
+REQUEST_TOKENS = 400
 BATCH_INPUTS, BATCH_TOKENS = 16, 20_000
 
 
@@ -165,6 +166,56 @@ def parse_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "original_query", "audience", F.size("attributes").alias("n_attributes"), "retrieval_text")
 
 
+def embed_job_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that the embedding job forms of all turns, read in order by one task, and what they use."""
+    turns = C.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), "text")
+    axis = [1.0]
+    serve = lambda texts: ([axis] * len(texts), [len(texts), sum(map(len, texts))])
+    found = embed_job.requests(turns.repartition(1).sortWithinPartitions("row_index"), "row_index", BATCH_INPUTS, REQUEST_TOKENS, serve)
+    return found.drop("embedding")
+
+
+class FaultyParser(M.LexiconParser):
+    """Fails on some queries, and has too long an intent for others."""
+
+    def parse(self, query: str) -> dict:
+        if query.startswith("a"):
+            raise M.ProviderError("no intent")
+        if query.startswith("b"):
+            raise M.MissingKeyError("no key")
+        return super().parse(query) | ({"retrieval_text": "long " * 300} if query.startswith("c") else {})
+
+
+class FaultyEmbedder(M.HashEmbedder):
+    """One vector for all texts; a request with a text that begins with d fails whole."""
+
+    def embed(self, texts: list[str]):
+        if any(t.startswith("d") for t in texts):
+            raise M.ProviderError("no vectors")
+        return [[1.0] + [0.0] * (self.dimensions - 1)] * len(texts)
+
+
+class FaultyExplainer(M.TemplateExplainer):
+    def explain(self, prompt: str, ranks: list[int]) -> list[tuple[int, str]]:
+        if "original_query: e" in prompt:
+            raise M.ProviderError("no explanations")
+        return super().explain(prompt, ranks if "original_query: f" not in prompt else [r + 1 for r in ranks])
+
+
+def requests_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns as one batch of requests, with providers that fail on some of them: query_id, status and
+    whether there are results."""
+    from quern.pipeline import Recommender
+
+    rows = C.products(spark, sf_dir).withColumnsRenamed({"product_id": "row_index"})
+    rows = rows.withColumns({"parent_asin": F.col("row_index").cast("string"), "normalized_title": T.normalize_title("title")})
+    rows = rows.withColumns({"image_url": F.lit(None).cast("string"), "features": F.array(F.lit("soft"))})
+    vectors = C.vectors(spark, sf_dir).withColumnRenamed("product_id", "row_index")
+    asked = _requests(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.lower("query").alias("query"), "max_results")
+    answers = Recommender(rows, vectors, FaultyEmbedder(), FaultyParser(), FaultyExplainer()).answer(asked)
+    return answers.select("query_id", "status", F.col("results").isNotNull().alias("answered"))
+
+
 def explain_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _explained(_ranked(spark, sf_dir).filter("rank <= 8"))
 
@@ -182,6 +233,13 @@ def _explained(ranked: DataFrame) -> DataFrame:
     return merged
 
 
+LEXICON = M.LexiconParser()
+
+
+def _quoted(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 _TRIM = r"regexp_replace({c}, '^[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')"
 _Q = _TRIM.format(c="'  ' || text || chr(10)")
 _REQUESTS = f"""WITH r AS (SELECT conv_id, turn, {_Q} AS query, coalesce(CASE WHEN conv_id % 25 = 0 THEN 21 WHEN conv_id % 2 = 0 THEN 5 END, 8) AS max_results
@@ -244,13 +302,38 @@ QUERIES = {
         f"""SELECT doc_id AS row_index, greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS tokens FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND (e.doc_id < {DONE_BELOW} OR e.doc_id % 10 = 0))""",
     ),
+    "embed_job_batches": (
+        embed_job_batches,
+        f"""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS id, length(coalesce(text, '')) AS l, greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS n FROM conversations),
+        c AS (SELECT list(n ORDER BY id) AS c, list(id ORDER BY id) AS d, list(l ORDER BY id) AS l FROM t),
+        f(i, b, k, s) AS (SELECT 0::bigint, 0::bigint, 0::bigint, 0::bigint UNION ALL
+          SELECT i + 1, CASE WHEN new THEN b + 1 ELSE b END, CASE WHEN new THEN 1 ELSE k + 1 END, CASE WHEN new THEN n ELSE s + n END
+          FROM (SELECT *, k >= {BATCH_INPUTS} OR (k > 0 AND s + n > {REQUEST_TOKENS}) AS new FROM (SELECT f.*, c[i + 1] AS n, len(c) AS total FROM f, c) g WHERE i < total) h),
+        r AS (SELECT d[i] AS row_index, b AS request, c[i] AS estimated_tokens, l[i] AS chars, k FROM f, c WHERE i > 0)
+        SELECT row_index, request, estimated_tokens, CASE WHEN k = 1 THEN count(*) OVER (PARTITION BY request) ELSE 0 END::bigint AS prompt_tokens,
+          CASE WHEN k = 1 THEN sum(chars) OVER (PARTITION BY request) ELSE 0 END::bigint AS total_tokens FROM r""",
+    ),
+    "requests_answered": (
+        requests_answered,
+        rf"""{_REQUESTS}, s AS (SELECT conv_id || ':' || turn AS query_id, CASE WHEN status <> 'ok' THEN status ELSE CASE left(lower(query), 1)
+          WHEN 'a' THEN 'upstream_error' WHEN 'b' THEN 'missing_api_key' WHEN 'c' THEN 'internal_error' WHEN 'e' THEN 'upstream_error' WHEN 'f' THEN 'upstream_error'
+          ELSE CASE WHEN regexp_matches(lower(query), '^[^\pL\pN_]*d') THEN 'upstream_error' ELSE 'ok' END END END AS status FROM v)
+        SELECT query_id, status, status = 'ok' AS answered FROM s""",
+    ),
     "manifest_stats": (
         manifest_stats,
         f"""WITH t AS (SELECT greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS n FROM documents)
         SELECT count(*) AS product_count, sum(n)::bigint AS total_tokens, round(sum(n)::double / 1e6::double * {PRICE_PER_MILLION}::double, 6) AS estimated_cost_usd FROM t""",
     ),
     "embed_offline": (embed_offline, "SELECT doc_id AS row_index, 64 AS dimensions, 1.0::double AS norm FROM documents"),
-    "parse_offline": (parse_offline, None),
+    "parse_offline": (
+        parse_offline,
+        rf"""WITH q AS (SELECT conv_id || ':' || turn AS id, {_TRIM.format(c='text')} AS own, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') AS w
+          FROM conversations WHERE role = 'user')
+        SELECT id, own AS original_query, list_filter(w, lambda x: x IN ({_quoted(LEXICON.audiences)}))[1] AS audience,
+          len(list_filter(w, lambda x: length(x) > 3 AND x NOT IN ({_quoted((*LEXICON.occasions, *LEXICON.seasons, *LEXICON.garments, *LEXICON.audiences))})))::int AS n_attributes,
+          coalesce(nullif(array_to_string(w, ' '), ''), own) AS retrieval_text FROM q""",
+    ),
     "explain_offline": (explain_offline, f"WITH {_RANKED} SELECT query_id, rank, product_id, 'Matches the request at rank ' || rank || '.' AS why_this_matches FROM ranked WHERE rank <= 8"),
 }
 

@@ -33,7 +33,22 @@ class ProviderError(RuntimeError):
     """A provider's answer cannot be used."""
 
 
+class MissingKeyError(ProviderError):
+    """A provider has no key to ask its model with."""
+
+
+@dataclass(frozen=True)
+class Vectors:
+    """An answer to a request of texts: (index of the text, vector) in any order, and what it used."""
+
+    rows: list[tuple[int, Any]]
+    prompt_tokens: int = 0
+    total_tokens: int = 0
+
+
 class Embedder(Protocol):
+    """Has ``embed``; where it has ``request(texts, timeout) -> Vectors`` as well, jobs ask by that."""
+
     dimensions: int
 
     def embed(self, texts: list[str]) -> np.ndarray: ...
@@ -145,6 +160,104 @@ def checked_rows(vectors: np.ndarray, rows: int, dimensions: int) -> np.ndarray:
     return (v / norms).astype(np.float32)
 
 
+def in_order(answer: Vectors, n: int) -> list:
+    """The vectors by index; raises unless there is exactly one for each of the n texts."""
+    if sorted(i for i, _ in answer.rows) != list(range(n)):
+        raise ProviderError(f"expected answers to {n} texts, got those to {sorted(i for i, _ in answer.rows)[:10]}")
+    return [v for _, v in sorted(answer.rows, key=lambda r: r[0])]
+
+
+def ask_vectors(embedder: Embedder, texts: list[str], timeout: float = 60.0) -> tuple[np.ndarray, int, int]:
+    """(unit rows in the order of the texts, prompt tokens, total tokens) of one request, retried."""
+    ask = getattr(embedder, "request", None)
+    answer = with_retry((lambda: ask(texts, timeout)) if ask else (lambda: Vectors(list(enumerate(embedder.embed(texts))))))
+    return checked_rows(in_order(answer, len(texts)), len(texts), embedder.dimensions), answer.prompt_tokens, answer.total_tokens
+
+
+def status_of(error: Exception) -> str:
+    return "missing_api_key" if isinstance(error, MissingKeyError) else "upstream_error"
+
+
+# --- clients -----------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class ClientEmbedder:
+    """Embeds through a client with ``embeddings.create``; ``connect`` makes one in each process."""
+
+    model: str
+    dimensions: int
+    connect: Callable[[], Any]
+
+    def request(self, texts: list[str], timeout: float) -> Vectors:
+        answer = self.connect().embeddings.create(model=self.model, input=texts, dimensions=self.dimensions, encoding_format="float", timeout=timeout)
+        usage = field_of(answer, "usage")
+        used = [int(field_of(usage, name, 0) or 0) for name in ("prompt_tokens", "total_tokens")]
+        return Vectors([(int(field_of(d, "index")), field_of(d, "embedding")) for d in field_of(answer, "data")], *used)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return np.asarray(in_order(self.request(texts, 60.0), len(texts)))
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """Asks a client with ``responses``: the first of ``models``, or the next where it cannot be used."""
+
+    models: tuple[str, ...]
+    connect: Callable[[], Any]
+
+    def _asked(self, system: str, user: str) -> list[dict[str, str]]:
+        return [{"role": "system", "content": system}, {"role": "user", "content": user}]
+
+    def parse_structured(self, system: str, user: str, shape: Any) -> Any:
+        """The answer in ``shape``; a refusal, or an answer without one, raises."""
+        client = self.connect()
+        answer = with_fallback(lambda model: client.responses.parse(model=model, input=self._asked(system, user), text_format=shape), self.models)
+        found = field_of(answer, "output_parsed")
+        return found if found is not None else self._none(answer)
+
+    def complete_text(self, system: str, user: str) -> str:
+        """A short text of at most COMPLETION_TOKENS; only the first model is told to think little."""
+        client = self.connect()
+
+        def ask(model: str) -> Any:
+            more = {"reasoning": {"effort": "minimal"}} if model == self.models[0] else {}
+            return client.responses.create(model=model, input=self._asked(system, user), store=False, max_output_tokens=COMPLETION_TOKENS, **more)
+
+        answer = with_fallback(ask, self.models)
+        return " ".join(str(field_of(answer, "output_text") or "").split()) or self._none(answer)
+
+    def _none(self, answer: Any) -> Any:
+        refusal = refusal_of(answer)
+        raise ProviderError(f"the model refused: {refusal}" if refusal else f"an answer without content: {summary_of(answer)}")
+
+
+@dataclass(frozen=True)
+class ModelParser:
+    """Intent by a text model; ``shape`` is what its answers are parsed to."""
+
+    model: TextModel
+    system: str
+    shape: Any = None
+
+    def parse(self, query: str) -> dict[str, Any]:
+        found = self.model.parse_structured(self.system, f"Shopper query: {query}", self.shape)
+        return {name: field_of(found, name) for name in (f.split()[0] for f in INTENT_DDL.split(", "))}
+
+
+@dataclass(frozen=True)
+class ModelExplainer:
+    """Explanations of all products of a prompt in one answer."""
+
+    model: TextModel
+    system: str
+    shape: Any = None
+
+    def explain(self, prompt: str, ranks: list[int]) -> list[tuple[int, str]]:
+        found = field_of(self.model.parse_structured(self.system, prompt, self.shape), "explanations") or []
+        return [(field_of(e, "rank"), field_of(e, "why_this_matches")) for e in found]
+
+
 # --- offline -----------------------------------------------------------------------------
 
 
@@ -153,6 +266,7 @@ class HashEmbedder:
     """Signed feature hashing of words; a text without words has the first axis."""
 
     dimensions: int = 64
+    model: str = "hashed-words"
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions), np.float64)
@@ -202,48 +316,78 @@ INTENT_DDL = (
 )
 
 
-def embed_column(df: DataFrame, embedder: Embedder, key: str, text: str, batch: int = 256) -> DataFrame:
-    """key, embedding (unit vectors): requests of at most ``batch`` texts, checked and retried."""
+def embed_column(df: DataFrame, embedder: Embedder, key: str, text: str, batch: int = 256, errors: bool = False) -> DataFrame:
+    """key, embedding (unit vectors): requests of at most ``batch`` texts, checked and retried.
+
+    With ``errors`` a failure does not end the task: the texts of a failed request are asked
+    for one by one, and those that fail have a null vector and their status in ``error``.
+    """
     kind = df.schema[key].dataType.simpleString()
 
+    def one(text: str) -> tuple[Any, str | None]:
+        try:
+            return ask_vectors(embedder, [text])[0][0], None
+        except Exception as e:
+            return None, status_of(e)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
                 texts = [t or "" for t in part.column("t").to_pylist()]
-                rows = checked_rows(with_retry(lambda t=texts: embedder.embed(t)), len(texts), embedder.dimensions)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(list(rows), pa.list_(pa.float32()))], [key, "embedding"])
+                try:
+                    found = [(v, None) for v in ask_vectors(embedder, texts)[0]]
+                except Exception:
+                    if not errors:
+                        raise
+                    found = [one(t) for t in texts]
+                arrays = [part.column(key), pa.array([v for v, _ in found], pa.list_(pa.float32()))]
+                if errors:
+                    arrays.append(pa.array([e for _, e in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, [key, "embedding", "error"][: len(arrays)])
 
-    return df.select(key, F.col(text).alias("t")).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+    ddl = f"{key} {kind}, embedding array<float>" + (", error string" if errors else "")
+    return df.select(key, F.col(text).alias("t")).mapInArrow(run, ddl)
 
 
 def parse_column(df: DataFrame, parser: IntentParser, key: str, query: str) -> DataFrame:
-    """key, query and INTENT_DDL of every query."""
+    """key, query, INTENT_DDL and error of every query: a query that fails has nulls and its status in ``error``."""
     kind = df.schema[key].dataType.simpleString()
     types = {"array<string>": pa.list_(pa.string()), "string": pa.string()}
-    fields = [f.split() for f in INTENT_DDL.split(", ")]
+    fields = [f.split() for f in f"{INTENT_DDL}, error string".split(", ")]
+
+    def one(query: str) -> dict[str, Any]:
+        try:
+            return with_retry(lambda: parser.parse(query)) | {"error": None}
+        except Exception as e:
+            return {"error": status_of(e)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [with_retry(lambda q=q: parser.parse(q or "")) for q in b.column("query").to_pylist()]
+            found = [one(q or "") for q in b.column("query").to_pylist()]
             arrays = [pa.array([f.get(n) for f in found], types[t]) for n, t in fields]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("query"), *arrays], [key, "query", *[n for n, _ in fields]])
 
-    return df.select(key, F.col(query).alias("query")).mapInArrow(run, f"{key} {kind}, query string, {INTENT_DDL}")
+    return df.select(key, F.col(query).alias("query")).mapInArrow(run, f"{key} {kind}, query string, {INTENT_DDL}, error string")
 
 
 def explain_column(prompts: DataFrame, explainer: Explainer, key: str) -> DataFrame:
-    """key, rank, why_this_matches, place: one request per prompt (key, prompt, ranks)."""
+    """key, rank, why_this_matches, place, error: one request per prompt (key, prompt, ranks). A prompt that
+    fails has one row, with its status in ``error`` and no rank."""
     kind = prompts.schema[key].dataType.simpleString()
 
+    def one(k: Any, prompt: str, ranks: list[int]) -> list[tuple]:
+        try:
+            said = with_retry(lambda: explainer.explain(prompt, ranks))
+            return [(k, r, why, at, None) for at, (r, why) in enumerate(said)]
+        except Exception as e:
+            return [(k, None, None, None, status_of(e))]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, prompt, ranks in zip(*[b.column(c).to_pylist() for c in (key, "prompt", "ranks")], strict=True):
-                said = with_retry(lambda p=prompt, r=ranks: explainer.explain(p, r))
-                rows += [(k, r, why, at) for at, (r, why) in enumerate(said)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            types = [b.column(key).type, pa.int32(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "rank", "why_this_matches", "place"])
-
-    return prompts.select(key, "prompt", "ranks").mapInArrow(run, f"{key} {kind}, rank int, why_this_matches string, place int")
+            rows = [row for asked in zip(*[b.column(c).to_pylist() for c in (key, "prompt", "ranks")], strict=True) for row in one(*asked)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = [b.column(key).type, pa.int32(), pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "rank", "why_this_matches", "place", "error"])
+
+    return prompts.select(key, "prompt", "ranks").mapInArrow(run, f"{key} {kind}, rank int, why_this_matches string, place int, error string")

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "quern") -> SparkSession:
@@ -60,3 +61,8 @@ def stash(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(side: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for broadcast when it has at most ``rows`` rows."""
+    return F.broadcast(side) if side.count() <= rows else side

@@ -1,0 +1,106 @@
+"""Requests fail one by one; text models, fallbacks and refusals."""
+
+from types import SimpleNamespace
+
+import pytest
+
+from quern import providers as M
+from quern.pipeline import Recommender
+from quern.plans.request_queries import FaultyEmbedder, FaultyExplainer, FaultyParser
+
+QUERIES = ["anything", "blue dress", "coat", "dotted dress", "every dress", "fine dress", "green dress", "x", "", None]
+STATUSES = ["upstream_error", "missing_api_key", "internal_error", "upstream_error", "upstream_error", "upstream_error", "ok", *["invalid_request"] * 3]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    ddl = "row_index bigint, parent_asin string, title string, store string, average_rating double, rating_number bigint, price double, image_url string, features array<string>, normalized_title string"
+    rows = [(i, f"A{i}", f"title {i}", f"s{i}", 4.5, 20, None, None, ["soft"], f"title {i}") for i in range(30)]
+    vectors = [(i, [1.0 - i / 100, *[0.0] * 63]) for i in range(30)]
+    return spark.createDataFrame(rows, ddl), spark.createDataFrame(vectors, "row_index bigint, embedding array<float>")
+
+
+def asked(spark):
+    return spark.createDataFrame([(i, q, 3) for i, q in enumerate(QUERIES)], "query_id bigint, query string, max_results int").coalesce(1)
+
+
+def test_one_failing_request_leaves_the_others_alone(spark, data):
+    got = sorted(Recommender(*data, FaultyEmbedder(), FaultyParser(), FaultyExplainer()).answer(asked(spark)).collect(), key=lambda r: r.query_id)
+    assert [r.status for r in got] == STATUSES
+    assert [bool(r.results) for r in got] == [s == "ok" for s in STATUSES] and len(got[6].results) == 3
+
+
+def test_without_a_model_valid_requests_lack_a_key(spark, data):
+    frame = Recommender(*data, None, M.LexiconParser(), M.TemplateExplainer()).answer(asked(spark))
+    full = Recommender(*data, M.HashEmbedder(), M.LexiconParser(), M.TemplateExplainer()).answer(asked(spark))
+    assert frame.columns == full.columns
+    got = sorted(frame.collect(), key=lambda r: r.query_id)
+    assert [r.status for r in got] == ["missing_api_key"] * 7 + ["invalid_request"] * 3 and not any(r.results for r in got)
+
+
+class NotFoundError(Exception):
+    pass
+
+
+class BadRequestError(Exception):
+    pass
+
+
+class Client:
+    def __init__(self, answers):
+        self.answers, self.calls = answers, []
+        self.responses = SimpleNamespace(parse=self.ask, create=self.ask)
+        self.embeddings = SimpleNamespace(create=self.ask)
+
+    def ask(self, **more):
+        self.calls.append(more)
+        found = self.answers[more["model"]]
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+
+def model(**answers):
+    client = Client(answers)
+    return M.TextModel(tuple(answers), lambda: client), client
+
+
+def test_text_models_fall_back_once_and_pass_other_failures_on():
+    shape = object()
+    asker, client = model(a=NotFoundError("gone"), b=SimpleNamespace(output_parsed={"occasion": "party"}))
+    assert asker.parse_structured("be brief", "hello", shape) == {"occasion": "party"}
+    assert [c["model"] for c in client.calls] == ["a", "b"] and client.calls[0]["text_format"] is shape
+    assert client.calls[0]["input"] == [{"role": "system", "content": "be brief"}, {"role": "user", "content": "hello"}]
+    for answers in ({"a": BadRequestError("too long"), "b": None}, {"a": NotFoundError("gone")}):
+        with pytest.raises((BadRequestError, NotFoundError)):
+            model(**answers)[0].parse_structured("s", "u", shape)
+    refused = {"output": [{"content": [{"type": "refusal", "refusal": "not that"}]}]}
+    with pytest.raises(M.ProviderError, match="refused: not that"):
+        model(a=refused)[0].parse_structured("s", "u", shape)
+    with pytest.raises(M.ProviderError, match="without content"):
+        model(a={"output": [], "status": "done"})[0].complete_text("s", "u")
+
+
+def test_completions_are_short_and_think_little_on_the_first_model():
+    asker, client = model(a=NotFoundError("gone"), b={"output_text": " fits \n the need "})
+    assert asker.complete_text("s", "u") == "fits the need"
+    assert [c.get("reasoning") for c in client.calls] == [{"effort": "minimal"}, None]
+    assert all(c["store"] is False and c["max_output_tokens"] == 200 for c in client.calls)
+
+
+def test_clients_behind_the_interfaces():
+    parsed = SimpleNamespace(occasion="party", season=None, garment_types=["dress"], attributes=[], audience=None, price_preference=None, retrieval_text="party dress")
+    asker, client = model(a=SimpleNamespace(output_parsed=parsed))
+    assert M.ModelParser(asker, "s").parse("a dress")["garment_types"] == ["dress"] and client.calls[0]["input"][1]["content"] == "Shopper query: a dress"
+    asker, _ = model(a={"output_parsed": {"explanations": [{"rank": 2, "why_this_matches": "w"}]}})
+    assert M.ModelExplainer(asker, "s").explain("p", [2]) == [(2, "w")]
+    data = [SimpleNamespace(index=1, embedding=[0.0, 2.0]), SimpleNamespace(index=0, embedding=[3.0, 4.0])]
+    client = Client({"m": SimpleNamespace(data=data, usage=SimpleNamespace(prompt_tokens=5, total_tokens=6))})
+    rows, *usage = M.ask_vectors(M.ClientEmbedder("m", 2, lambda: client), ["x", "y"], 9.0)
+    assert np_close(rows, [[0.6, 0.8], [0.0, 1.0]]) and usage == [5, 6] and client.calls[0]["timeout"] == 9.0
+
+
+def np_close(a, b):
+    import numpy as np
+
+    return np.allclose(a, b)
