@@ -31,8 +31,10 @@ def positive_int(value: str) -> int:
 
 
 def run_ingest(spark: SparkSession, source: str, output: str) -> DataFrame:
-    silvered = ingest.silver(ingest.bronze(files.indexed(files.raw_lines(spark, source)))).persist()
-    silvered.filter("status = 'ok'").select("row_index", *ingest.PRODUCT_COLUMNS).write.parquet(output)
+    silvered = ingest.silver(ingest.bronze(files.indexed_lines(spark, source))).persist()
+    # The rows that stay are counted anew, so that row_index has no gaps.
+    kept = files.renumbered(silvered.filter("status = 'ok'").withColumnRenamed("row_index", "line"), "line", "row_index")
+    kept.select("row_index", *ingest.PRODUCT_COLUMNS).write.parquet(output)
     return ingest.reject_counts(silvered)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.numbers import at_least, percent
+from quern.operators import ingest as I
 from quern.operators import profile as P
 from quern.plans import catalog as C
 
@@ -67,6 +68,14 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.products(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+def catalog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest's own rules over all products, with titles, images, features and keys absent by fixture."""
+    k = F.col("product_id")
+    rows = C.products(spark, sf_dir)
+    eligible = I.eligible_column(T.has_text(F.when(k % 11 != 0, F.col("title"))), k % 7 != 0, k % 5 != 0, F.col("rating_number"), F.col("average_rating"))
+    return rows.select("product_id", eligible.alias("eligible"), I.status_column(k % 17 == 0, eligible, k % 13 != 0).alias("status"))
+
+
 def store_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = F.when(F.col("p_partkey") % 13 == 0, F.lit("")).otherwise(F.col("p_brand"))
     return P.top_groups(C.table(spark, sf_dir, "part"), F.coalesce(F.nullif(store, F.lit("")), F.lit("Unknown")), 10)
@@ -173,6 +182,12 @@ QUERIES = {
         f"""WITH {C.PRODUCTS_SQL} SELECT CASE WHEN product_id % 11 = 0 THEN 'no_title' WHEN product_id % 7 = 0 THEN 'no_image' WHEN NOT {_OK} THEN 'few_ratings'
         WHEN NOT {_GOOD} THEN 'low_rating' ELSE 'ok' END AS reason, count(*) AS n FROM products GROUP BY 1""",
     ),
+    "catalog_status": (
+        catalog_status,
+        f"""WITH {C.PRODUCTS_SQL}, e AS (SELECT product_id, product_id % 11 <> 0 AND product_id % 7 <> 0 AND product_id % 5 <> 0 AND coalesce(rating_number >= 10, false)
+          AND coalesce(average_rating >= 4.0, false) AS eligible FROM products)
+        SELECT product_id, eligible, CASE WHEN product_id % 17 = 0 THEN 'malformed' WHEN NOT eligible THEN 'ineligible' WHEN product_id % 13 = 0 THEN 'missing_key' ELSE 'ok' END AS status FROM e""",
+    ),
     "store_topn": (
         store_topn,
         """SELECT coalesce(nullif(CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_brand END, ''), 'Unknown') AS key, count(*) AS count FROM part GROUP BY 1

@@ -25,7 +25,31 @@ def raw_lines(spark: SparkSession, path: str, partitions: int | None = None) ->
     """``value``: the lines of plain or gzipped files. A gzipped file is read by one task, so its
     lines are dealt out before they are parsed."""
     lines = spark.read.text(path)
-    return lines.repartition(partitions) if partitions else lines
+    return lines.repartition(partitions) if partitions else dealt(lines, path)
+
+
+def dealt(lines: DataFrame, path: str) -> DataFrame:
+    """``lines`` in as many partitions as the session has cores at least, where the files at ``path`` are
+    gzipped: Spark cannot split those. Rows are dealt out in turn."""
+    if not any(f.endswith(".gz") for f in lines.inputFiles()):
+        return lines
+    return lines.repartition(max(lines.sparkSession.sparkContext.defaultParallelism, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def renumbered(df: DataFrame, order: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """``df`` with ``name``: the rank of every row by the whole number ``order``, from 0. Rows are ranked within
+    blocks of ``block`` numbers; what meets in one task is a row for each block."""
+    at = F.floor(F.col(order) / block).cast("bigint")
+    sizes = df.groupBy(at.alias("_block")).agg(F.count("*").alias("_rows"))
+    before = sizes.select("_block", (F.sum("_rows").over(Window.orderBy("_block")) - F.col("_rows")).alias("_before"))
+    ranked = df.withColumn("_block", at).withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1)
+    return ranked.join(before, "_block").withColumn(name, F.col("_before") + F.col("_rank")).drop("_block", "_rank", "_before")
+
+
+def indexed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``raw_lines`` with row_index, their place in the files."""
+    lines = spark.read.text(path)
+    return dealt(indexed(lines), path)
 
 
 def indexed(df: DataFrame, name: str = "row_index") -> DataFrame:
@@ -40,15 +64,21 @@ def indexed(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """Typed product lines; a line that does not fit the schema, or an empty file, raises."""
-    found = spark.read.schema(PRODUCT_DDL).option("mode", "FAILFAST").json(path)
-    if found.isEmpty():
+    """Typed product lines; an empty file raises, and so does a line that does not fit the schema when it is read."""
+    lines = indexed(spark.read.text(path), "line").filter(has_text("value"))
+    if lines.isEmpty():
         raise ValueError(f"{path} has no products")
-    return found
+    row = F.from_json("value", f"{PRODUCT_DDL}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    told = F.concat(F.lit(f"{path}, line "), (F.col("line") + 1).cast("string"), F.lit(" is no product"))
+    kind = "struct<" + ",".join(f.strip().replace(" ", ":", 1) for f in f"{PRODUCT_DDL}, _broken string".split(", ")) + ">"
+    wrong = row.isNull() | row["_broken"].isNotNull()
+    return lines.select(F.when(wrong, F.raise_error(told).cast(kind)).otherwise(row).alias("r")).select("r.*").drop("_broken")
 
 
 def write_products(products: DataFrame, path: str) -> None:
-    """JSON lines with nulls kept and fields in order."""
+    """JSON lines with nulls kept and fields in order; with a row_index, rows are in its order from file to file."""
+    if "row_index" in products.columns:
+        products = products.repartitionByRange("row_index").sortWithinPartitions("row_index")
     products.select(*PRODUCT_COLUMNS).write.mode("error").option("ignoreNullFields", "false").json(path)
 
 
@@ -108,9 +138,21 @@ def file_sha256(path: str, block: int = 1 << 20) -> str:
     return h.hexdigest()
 
 
-def settings(env: dict[str, str] | None = None, required: bool = False) -> dict:
-    """Settings of the environment; blank values count as absent. The key never enters a plan."""
-    env = dict(os.environ) if env is None else env
+def dotenv(path: str) -> dict[str, str]:
+    """NAME=value lines of a file; comments, blank lines and a missing file give nothing."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            lines = f.read().splitlines()
+    except FileNotFoundError:
+        return {}
+    pairs = (line.strip().removeprefix("export ").partition("=") for line in lines if "=" in line and not line.lstrip().startswith("#"))
+    return {name.strip(): value.strip().strip("\"'") for name, _, value in pairs}
+
+
+def settings(env: dict[str, str] | None = None, required: bool = False, path: str | None = None) -> dict:
+    """Settings of the environment, and of a file at ``path`` for what it lacks; blank values count as
+    absent. The key never enters a plan."""
+    env = (dotenv(path) if path else {}) | {k: v for k, v in (dict(os.environ) if env is None else env).items() if v.strip()}
     key = (env.get("OPENAI_API_KEY") or "").strip() or None
     if required and key is None:
         raise ValueError("OPENAI_API_KEY is not set")

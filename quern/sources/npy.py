@@ -2,18 +2,25 @@
 
     spark.dataSource.register(NpyDataSource)
     spark.read.format("npy").load(path)  # row_index, embedding
+    write_npy(vectors, path, dimensions)
 
-The header is read on the driver; every partition maps its own rows. Files lie on a file
-system that driver and executors share. Parquet is the native form; this is for exchange.
+The header is read on the driver; every partition maps its own rows, to read as to write.
+Files lie on a file system that driver and executors share. Parquet is the native form; this
+is for exchange.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from quern.sources.files import renumbered
 
 SCHEMA = "row_index bigint, embedding array<float>"
 
@@ -44,6 +51,39 @@ class NpyReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n, dtype=np.int64)), vectors], ["row_index", "embedding"])
 
 
+class Written(WriterCommitMessage):
+    def __init__(self, rows: int):
+        self.rows = rows
+
+
+class NpyWriter(DataSourceArrowWriter):
+    """Every task maps the partial file and sets its own rows, so a repeated task sets the same ones;
+    the file gets its name when all rows are there."""
+
+    def __init__(self, path: str, rows: int, dimensions: int):
+        self.path, self.rows, self.partial = path, rows, f"{path}.partial"
+        np.lib.format.open_memmap(self.partial, mode="w+", dtype=np.float32, shape=(rows, dimensions)).flush()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        matrix = np.lib.format.open_memmap(self.partial, mode="r+")
+        n = 0
+        for batch in iterator:
+            at = batch.column("row_index").to_numpy()
+            matrix[at] = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            n += len(at)
+        matrix.flush()
+        return Written(n)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        if (n := sum(m.rows for m in messages if m)) != self.rows:
+            raise ValueError(f"{n} rows were written of {self.rows}")
+        os.replace(self.partial, self.path)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        if os.path.exists(self.partial):
+            os.remove(self.partial)
+
+
 class NpyDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -52,24 +92,24 @@ class NpyDataSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def writer(self, schema, overwrite: bool) -> NpyWriter:
+        return NpyWriter(self.options["path"].removeprefix("file://"), int(self.options["matrix_rows"]), int(self.options["dimensions"]))
+
     def reader(self, schema) -> NpyReader:
         return NpyReader(self.options["path"].removeprefix("file://"), int(self.options.get("rows", 65_536)))
 
 
-def write_npy(vectors, path: str, dimensions: int, order: str = "row_index") -> int:
+def write_npy(vectors: DataFrame, path: str, dimensions: int, order: str = "row_index") -> int:
     """Rows of ``vectors`` (order, embedding) as one float32 file in order; returns their number.
 
-    Rows stream through the driver into a memory-mapped partial file, which is renamed at the
-    end, so a half-written file never has the final name.
+    Rows go to their places: by ``order`` itself where that counts them from 0, else by their
+    rank in it. No row passes through the driver.
     """
-    import os
-
-    n = vectors.count()
-    partial = f"{path}.partial"
-    matrix = np.lib.format.open_memmap(partial, mode="w+", dtype=np.float32, shape=(n, dimensions))
-    for i, row in enumerate(vectors.orderBy(order).toLocalIterator(prefetchPartitions=True)):
-        matrix[i] = row["embedding"]
-    matrix.flush()
-    del matrix
-    os.replace(partial, path)
+    spark = vectors.sparkSession
+    spark.dataSource.register(NpyDataSource)
+    rows = vectors.select(F.col(order).cast("bigint").alias("row_index"), F.col("embedding").cast("array<float>").alias("embedding"))
+    n, low, high, kinds = rows.agg(F.count("*"), F.min("row_index"), F.max("row_index"), F.countDistinct("row_index")).first()
+    if n and (low, high, kinds) != (0, n - 1, n):
+        rows = renumbered(rows.withColumnRenamed("row_index", "at"), "at", "row_index")
+    rows.select("row_index", "embedding").write.format("npy").option("matrix_rows", n).option("dimensions", dimensions).mode("append").save(path)
     return n
