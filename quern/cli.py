@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import providers as M
@@ -35,33 +35,64 @@ def run_ingest(spark: SparkSession, source: str, output: str) -> DataFrame:
     # The rows that stay are counted anew, so that row_index has no gaps.
     kept = files.renumbered(silvered.filter("status = 'ok'").withColumnRenamed("row_index", "line"), "line", "row_index")
     kept.select("row_index", *ingest.PRODUCT_COLUMNS).write.parquet(output)
-    return ingest.reject_counts(silvered)
+    first = ingest.reject_samples(silvered, "row_index").select(F.format_string("%s: first at %d", "status", "row_index").alias("reason"), F.lit(1).cast("bigint").alias("n"))
+    return ingest.reject_counts(silvered).unionByName(first).orderBy("reason")
+
+
+PREFERRED = "preferred_rn10_avg4_features"
+SAMPLES, SIZED_ROWS, EMPTY_BYTES, DIMENSIONS = 8, 500, 900, 1536
+
+
+def _profiled(raw: DataFrame) -> DataFrame:
+    """The fields of bronze lines that a profile reads."""
+    lists = [F.try_variant_get("v", f"$.{k}", "array<variant>").alias(k) for k in ("features", "description", "images")]
+    texts = [F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("title", "store", "price", "parent_asin")]
+    numbers = [F.try_variant_get("v", "$.rating_number", "bigint").alias("rating_number"), F.try_variant_get("v", "$.average_rating", "double").alias("average_rating")]
+    return raw.select("row_index", *lists, *texts, *numbers)
+
+
+def size_estimates(members: DataFrame, pools: DataFrame) -> DataFrame:
+    """pool, rows, metadata_mib, vectors_mib and startup_mib: what a service holds that loads the whole pool. The mean
+    bytes of a row's metadata are taken over the pool's first rows."""
+    shown = F.to_json(F.struct("parent_asin", "title", "store", "average_rating", "rating_number", "price", "features"))
+    place = F.row_number().over(Window.partitionBy("pool").orderBy("row_index"))
+    first = members.withColumn("_place", place).filter(F.col("_place") <= SIZED_ROWS)
+    means = first.groupBy("pool").agg(F.avg(F.octet_length(shown)).alias("mean"))
+    mib = lambda c: F.round(c / (1 << 20), 1)
+    metadata, vectors = F.coalesce("mean", F.lit(float(EMPTY_BYTES))) * F.col("n"), F.col("n") * DIMENSIONS * 4
+    joined = pools.select("pool", "n").join(means, "pool", "left")
+    return joined.select("pool", F.col("n").alias("rows"), mib(metadata).alias("metadata_mib"), mib(vectors).alias("vectors_mib"), mib(metadata + vectors).alias("startup_mib"))
 
 
 def run_profile(spark: SparkSession, source: str) -> str:
-    """A Markdown report: presence, quantiles, pools, largest stores and categories."""
-    raw = ingest.bronze(files.raw_lines(spark, source))
-    rows = ingest.silver(raw)
-    v = raw.select(
-        *[F.try_variant_get("v", f"$.{k}", "array<variant>").alias(k) for k in ("features", "description", "images")],
-        F.try_variant_get("v", "$.title", "string").alias("title"), F.try_variant_get("v", "$.store", "string").alias("store"),
-        F.try_variant_get("v", "$.price", "string").alias("price"), F.try_variant_get("v", "$.parent_asin", "string").alias("key"),
-        F.try_variant_get("v", "$.rating_number", "bigint").alias("rating_number"), F.try_variant_get("v", "$.average_rating", "double").alias("average_rating"),
-    ).persist()
+    """A Markdown report: rows, presence, quantiles, pools and their sizes, and of the preferred pool the
+    largest stores and categories and a sample."""
+    raw = ingest.bronze(files.indexed_lines(spark, source))
+    status = ingest.silver(raw).groupBy("status").agg(F.count("*").alias("n")).orderBy("status")
+    v = _profiled(raw).persist()
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     rules = {"title": T.has_text("title"), "features": some("features"), "description": some("description"), "images": some("images")}
-    rules |= {c: F.col(c).isNotNull() for c in ("price", "average_rating", "rating_number")} | {c: F.coalesce(F.col(c) != "", F.lit(False)) for c in ("store", "key")}
+    rules |= {c: F.col(c).isNotNull() for c in ("price", "average_rating", "rating_number")} | {c: F.coalesce(F.col(c) != "", F.lit(False)) for c in ("store", "parent_asin")}
     present = profile.presence(v, rules).withColumn("share", percent(F.col("present"), F.col("total")))
     sizes = {c: F.coalesce(F.size(c), F.lit(0)) for c in ("features", "description", "images")}
     spread = profile.quantiles(v, {"rating_number": F.col("rating_number"), "average_rating": F.col("average_rating"), **sizes})
-    pools = profile.pool_rules(rules["title"], rules["images"], rules["features"], rules["description"], F.col("rating_number"), F.col("average_rating"))
-    members = profile.pool_members(v, pools)
+    members = profile.pool_members(v, profile.pool_rules(rules["title"], rules["images"], rules["features"], rules["description"], F.col("rating_number"), F.col("average_rating")))
+    total = v.count()
     summary = profile.pool_summary(members, F.col("price"), F.col("store"), T.normalize_title(F.coalesce("title", F.lit(""))))
-    stores = profile.top_groups(v, F.coalesce(F.nullif("store", F.lit("")), F.lit("Unknown")), 10)
-    labels = profile.top_groups(v.select(F.explode(T.categories("title")).alias("label")), F.col("label"), 10)
-    status = rows.groupBy("status").agg(F.count("*").alias("n")).orderBy("status")
-    parts = (("Rows", status), ("Presence", present), ("Quantiles", spread.orderBy("measure", "p")), ("Pools", summary.orderBy("pool")), ("Stores", stores), ("Categories", labels))
-    return "\n\n".join(f"## {name}\n\n{files.markdown_table(df)}" for name, df in parts) + "\n"
+    summary = summary.withColumn("share", percent(F.col("n"), F.lit(total))).withColumn("priced_share", percent(F.col("priced"), F.col("n"))).persist()
+    chosen = members.filter(F.col("pool") == PREFERRED)
+    stores = profile.top_groups(chosen, F.coalesce(F.nullif("store", F.lit("")), F.lit("Unknown")), 10)
+    labels = profile.top_groups(chosen.select(F.explode(T.categories("title")).alias("label")), F.col("label"), 10)
+    sample = profile.bottom_sample(chosen, "parent_asin", SAMPLES, "profile").select("parent_asin", "title", "average_rating", "rating_number", "store")
+    parts = (
+        ("Rows", status), ("Presence", present), ("Quantiles", spread.orderBy("measure", "p")), ("Pools", summary.orderBy("pool")), ("Sizes", size_estimates(members, summary).orderBy("pool")),
+        ("Stores", stores), ("Categories", labels), ("Sample", sample),
+    )
+    policy = (
+        f"## Policy\n\nThe pool `{PREFERRED}` is kept whole: title, images and features present, at least {ingest.MIN_COUNT} ratings of {ingest.MIN_AVERAGE} or more on average. "
+        "The pools above show what a looser or stricter rule would keep; price is optional, since few rows have one."
+    )
+    return "\n\n".join([*(f"## {name}\n\n{files.markdown_table(df)}" for name, df in parts), policy]) + "\n"
 
 
 def main(args: list[str] | None = None) -> int:
@@ -70,7 +101,7 @@ def main(args: list[str] | None = None) -> int:
     for name in ("ingest", "profile", "embed"):
         one = sub.add_parser(name)
         one.add_argument("--input", required=True)
-        one.add_argument("--output", required=True)
+        one.add_argument("--output", required=name != "embed", default=embed_job.DEFAULT_OUTPUT)
     one.add_argument("--manifest")
     one.add_argument("--max-inputs-per-request", type=positive_int, default=MAX_INPUTS)
     one.add_argument("--max-estimated-tokens-per-request", type=positive_int, default=MAX_TOKENS)
@@ -89,7 +120,8 @@ def main(args: list[str] | None = None) -> int:
             f.write(run_profile(spark, a.input))
     elif a.command == "embed":
         texts = files.product_texts(spark.read.parquet(a.input), a.limit)
-        print(embed_job.run(spark, texts, M.HashEmbedder(), a.output, "row_index", a.max_inputs_per_request, a.max_estimated_tokens_per_request, a.manifest, a.request_timeout_seconds))
+        limits = (a.max_inputs_per_request, a.max_estimated_tokens_per_request, a.manifest, a.request_timeout_seconds)
+        print(embed_job.run(spark, texts, M.HashEmbedder(), a.output, "row_index", *limits, input_path=a.input, limit=a.limit))
     else:
         products = spark.read.parquet(a.products)
         rec = Recommender(products, spark.read.parquet(a.vectors), M.HashEmbedder(), M.LexiconParser(), M.TemplateExplainer())

@@ -74,7 +74,7 @@ def check_checkpoint(found: dict, now: dict, rows_done: int, rows: int) -> None:
 
 def requests(texts: DataFrame, key: str, max_inputs: int, max_tokens: int, serve: Callable[[list[str]], tuple[list, list[int]]]) -> DataFrame:
     """key, embedding, request (its number within the task), estimated_tokens, prompt_tokens, total_tokens: the rows of
-    ``texts`` (key, text), taken in order by requests that next-fit fills up to ``max_inputs`` texts
+    ``texts`` (key, text, and tokens where they are known), taken in order by requests that next-fit fills up to ``max_inputs`` texts
     and ``max_tokens`` estimated tokens. A request's usage stands on its first row. What is held is
     one request's texts, whatever the size of a task."""
     kind = texts.schema[key].dataType.simpleString()
@@ -105,7 +105,8 @@ def requests(texts: DataFrame, key: str, max_inputs: int, max_tokens: int, serve
             yield send()
 
     ddl = f"{key} {kind}, embedding array<float>, request bigint, estimated_tokens bigint, prompt_tokens bigint, total_tokens bigint"
-    slim = texts.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", token_estimate("text").cast("bigint"))
+    tokens = F.col("tokens") if "tokens" in texts.columns else token_estimate(F.coalesce("text", F.lit("")))
+    slim = texts.select(key, F.coalesce("text", F.lit("")).alias("text"), tokens.cast("bigint").alias("tokens"))
     return slim.mapInArrow(run, ddl)
 
 

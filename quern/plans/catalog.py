@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import normalize_title
 from quern.operators.curation import store_key, title_key
+from quern.session import bounded, stash
+
+#: Ids of pools that are broadcast to parts and ratings.
+POOL_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +34,11 @@ def _within(rows: DataFrame, key: str, only: DataFrame | list[int]) -> DataFrame
 def products(spark: SparkSession, sf_dir: str, pool: DataFrame | list[int] | None = None) -> DataFrame:
     """product_id, title, store, price, average_rating, rating_number of every part, or of those in
     ``pool``: the ids of one pool, or the pools of a request batch, whose size the batch bounds.
-    Pools of a batch are broadcast; in both cases only their ratings are grouped and no large
-    table is shuffled."""
+    Pools of a batch are broadcast up to POOL_ROWS ids, and joined by shuffles beyond; only their
+    ratings are grouped."""
     part, only = table(spark, sf_dir, "part"), pool
     if isinstance(pool, DataFrame):
-        only = F.broadcast(pool.select("product_id").distinct())
+        only = bounded(stash(pool.select("product_id").distinct(), "pool-ids"), POOL_ROWS)
     if only is not None:
         part = _within(part, "p_partkey", only)
     rated = part.join(ratings(spark, sf_dir, only), part["p_partkey"] == F.col("l_partkey"), "left")

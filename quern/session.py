@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources import shared
+
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "quern") -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
@@ -60,7 +62,18 @@ def stash(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote, when all that was made of them has been written. A table that
+    was made otherwise is left alone."""
+    for df in tables:
+        path = getattr(df, "_stashed_at", None)
+        if path:
+            shared.delete(df.sparkSession, path)
 
 
 def bounded(side: DataFrame, rows: int) -> DataFrame:

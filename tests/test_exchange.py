@@ -105,3 +105,48 @@ def test_search_in_passes_and_tiles_agrees(spark, monkeypatch):
     one = search.top_candidates(corpus, search.unit(q[3].tolist()), 7, "k")
     assert [r.k for r in one.collect()] == np.argsort(-scores[3], kind="stable")[:7].tolist()
     assert len(one._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_numbers_are_written_as_the_double_is(spark):
+    import random
+
+    from quern.functions.numbers import fixed
+
+    rng = random.Random(3)
+    values = [0.0, -0.0, 0.25, 0.35, 4.35, 2.675, 1.005, 0.5, 1.5, 2.5, -2.675, 99.995, 1e12, 123456789.125, 0.049999999999999996]
+    values += [rng.uniform(-1e4, 1e4) for _ in range(500)] + [round(rng.uniform(0, 100), 3) for _ in range(1500)] + [rng.randint(0, 10**6) / 8 for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v double")
+    for digits in (0, 1, 2):
+        got = {r.i: r.s for r in df.select("i", fixed(F.col("v"), digits).alias("s")).collect()}
+        assert got.pop(-1) is None
+        assert [got[i] for i in range(len(values))] == [f"{v:.{digits}f}" for v in values]
+
+
+def test_token_counts_are_the_tokenizer_s(spark):
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    tokenizers = pytest.importorskip("tokenizers")
+    from quern.operators import embed_job
+    from quern.operators.tokens import token_counts
+
+    tool = tokenizers.Tokenizer.from_file(path)
+    texts = ["", "one two", "Hello, world! " * 50, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_index int, text string")
+    counts = token_counts(df, "row_index", "text", path)
+    want = [len(tool.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert {r.row_index: r.tokens for r in counts.collect()} == dict(enumerate(want))
+    rows = embed_job.requests(df.join(counts, "row_index").coalesce(1), "row_index", 10, 50, lambda part: ([[1.0]] * len(part), [0, 0])).collect()
+    assert {r.row_index: r.estimated_tokens for r in rows} == dict(enumerate(want)) and len({r.request for r in rows}) > 1
+
+
+def test_request_files_are_answered_once(spark, tmp_path):
+    from quern.operators.explain import validate_requests
+    from quern.streaming.ingest import stream_requests
+
+    asked, out = tmp_path / "asked", str(tmp_path / "out")
+    asked.mkdir()
+    for i, n in enumerate((1, 1, 2)):
+        if i != 1:
+            (asked / f"{i}.json").write_text('{"query_id": %d, "query": "red dress", "max_results": 3}\n{"query_id": 9, "query": "x"}\n' % i)
+        query = stream_requests(spark, str(asked), str(tmp_path / "log"), validate_requests, out)
+        query.awaitTermination(60)
+        assert sorted(r.status for r in spark.read.parquet(out).collect()) == ["invalid_request"] * n + ["ok"] * n
