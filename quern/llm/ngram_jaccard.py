@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import words as W
 from quern.llm.components import components
-from quern.session import stash
+from quern.session import discard, stash
 
 
 @dataclass(frozen=True)
@@ -431,7 +431,9 @@ def _store(docs: DataFrame, reps: DataFrame, wanted: DataFrame, p: JaccardJoin,
     else:
         packed = texts.mapInArrow(squeeze, "id bigint, z binary")
         rows = packed.join(wanted.hint("shuffle_hash"), to).select("cls", "n", "z").mapInArrow(check, ddl)
-    return stash(rows, "jaccard-store")
+    out = stash(rows, "jaccard-store")
+    discard(wanted)
+    return out
 
 
 def _chained(pairs: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
@@ -456,7 +458,9 @@ def _chained(pairs: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
     queries = queries.join(store, F.col("x") == F.col("cls")).select("block", "part", F.lit(1).alias("role"), "cls", _null("label", "bigint"), "z", "wanted")
     index = pairs.select(F.col("y").alias("cls")).distinct().join(store, "cls").withColumn("block", block("cls")).join(parts, "block")
     index = index.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls", _null("label", "bigint"), "z", _null("wanted", "array<bigint>"))
-    return stash(_search_blocks(index, queries, p).select("a", "b", "overlap"), "jaccard-links")
+    links = stash(_search_blocks(index, queries, p).select("a", "b", "overlap"), "jaccard-links")
+    discard(asks)
+    return links
 
 
 def _null(name: str, kind: str) -> Column:
@@ -537,15 +541,19 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     near = stash(_near(lists, p), "jaccard-near")
     store = _store(docs, reps, near.select("cls"), p, key, text)
     pairs = lists.filter("pred is not null").select(F.col("cls").alias("x"), F.col("pred").alias("y"), "size").distinct()
-    first = _chained(stash(pairs, "jaccard-pairs"), store, p)
+    pairs = stash(pairs, "jaccard-pairs")
+    discard(lists)
+    first = _chained(pairs, store, p)
     labels = components(first)
     more = _residual(near, labels, store, p)
+    discard(pairs, near, store)
     joined = components(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
     links = stash(first.unionByName(more.select("a", "b", "overlap")), "jaccard-all-links")
     named = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("near"))
     named = named.join(joined, F.col("near") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "near").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = stash(named.join(smallest, "label").select("cls", "component_id"), "jaccard-classes")
+    discard(first, more, labels, joined)
     documents = rows.join(classes.withColumnRenamed("cls", "to_cls"), F.col("cls") == F.col("to_cls"), "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("cls").alias("class_id")
     )
@@ -592,7 +600,7 @@ def _residual(near: DataFrame, labels: DataFrame, store: DataFrame, p: JaccardJo
     """a, b, overlap, a_label, b_label: links between the components that ``labels`` (node, label) gives, enough to
     join all that have any. A class without a label is a component of its own."""
     rows = near.join(labels, F.col("cls") == F.col("node"), "left")
-    rows = stash(rows.select("token", "cls", "size", "pos", F.coalesce("label", "cls").alias("label")), "jaccard-labelled")
+    rows = labelled = stash(rows.select("token", "cls", "size", "pos", F.coalesce("label", "cls").alias("label")), "jaccard-labelled")
     per = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     per = per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("members"), F.count("*").alias("several"))
     rows = rows.join(per.filter("several > 1").drop("several"), "token")
@@ -620,7 +628,9 @@ def _residual(near: DataFrame, labels: DataFrame, store: DataFrame, p: JaccardJo
         shard, part = ("each", "mine") if role else ("mine", "each")
         return side.join(texts, "cls").select(F.xxhash64("home", "band", shard).alias("block"), F.col(part).alias("part"), F.lit(role).alias("role"), "cls", "label", "z", _null("wanted", "array<bigint>"))
 
-    return stash(_search_blocks(dealt(classes, 0), dealt(routes, 1), p), "jaccard-residual")
+    found = stash(_search_blocks(dealt(classes, 0), dealt(routes, 1), p), "jaccard-residual")
+    discard(labelled, rows, routes, blocks)
+    return found
 
 
 def keep_one(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.words import WORD_SQL
-from quern.session import stash
+from quern.session import discard, stash
 
 #: Fractional parts of the golden ratio and of 2^20 times it: a point keeps its precision for n up to 2^45.
 PHI = 0.6180339887498949
@@ -65,22 +65,19 @@ def targets(sizes: DataFrame, p: Mix) -> DataFrame:
 
     Weighted shares are capped at ``cap`` times the source's size; what is over is shared
     again by weight. In order of cap per weight, the sources before the first uncapped one
-    are the capped ones, and that one fixes the words per weight of all others. The two
-    windows without partition run over the sources' totals, one row per source.
+    are the capped ones, and that one fixes the words per weight of all others.
     """
-    per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy("src")) - 1
+    per = _running(sizes.groupBy("src").agg(F.sum("size").alias("source_size")), ["src"], {"rank": F.lit(1)})
     cycle = F.array(*[F.lit(w) for w in p.weights])
-    per = per.withColumn("w", F.element_at(cycle, (rank % len(p.weights) + 1).cast("int")).cast("double"))
-    ratio = F.col("source_size") * p.cap / F.col("w")
-    per = per.withColumn("ratio", ratio)
-    order = Window.orderBy("ratio", "src")
-    ahead, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(whole) * F.lit(p.share) - F.coalesce(F.sum("source_size").over(ahead), F.lit(0)) * p.cap
-    weight = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(ahead), F.lit(0.0))
-    per = per.withColumn("level", left / weight)
-    level = F.min_by(F.when(F.col("ratio") >= F.col("level"), F.col("level")), F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "src"))).over(whole)
-    per = per.withColumn("target", F.least(F.col("source_size") * F.lit(float(p.cap)), F.coalesce(F.col("w") * level, F.lit(0.0))))
+    per = per.withColumn("w", F.element_at(cycle, (F.col("rank") % len(p.weights) + 1).cast("int")).cast("double"))
+    whole = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    per = per.withColumn("ratio", F.col("source_size") * p.cap / F.col("w"))
+    per = _running(per, ["ratio", "src"], {"size_ahead": F.col("source_size"), "w_ahead": F.col("w")})
+    level = (F.lit(whole.size * p.share) - F.col("size_ahead") * p.cap) / (F.lit(whole.w) - F.col("w_ahead"))
+    per = per.withColumn("level", level)
+    level = per.filter("ratio >= level").agg(F.min_by("level", F.struct("ratio", "src"))).first()[0]
+    share = F.col("w") * F.lit(level) if level is not None else F.lit(0.0)
+    per = per.withColumn("target", F.least(F.col("source_size") * F.lit(float(p.cap)), share))
     words = F.floor("target").cast("bigint")
     blocks = F.ceil(F.col("source_size") / p.block).cast("bigint")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("bigint")
@@ -88,6 +85,18 @@ def targets(sizes: DataFrame, p: Mix) -> DataFrame:
     return stash(per.select("src", "source_size", "target", words.alias("words"), blocks.alias("blocks"), slots.alias("slots")), "mix-targets")
 
 
+def _running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name in ``sums``, that value's sum over all rows before, by ``order``. Rows are dealt out
+    by range and summed there; what meets in one task is a row for each range."""
+    ranged = stash(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mix-ranged")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    before = before.select("_range", *[F.coalesce(F.sum(f"_{name}").over(upto), F.lit(0)).alias(f"_{name}") for name in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumns({name: F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()}).join(before, "_range")
+    return placed.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_range", *[f"_{name}" for name in sums])
+
+
 def offsets(sizes: DataFrame, p: Mix, twins: bool = False) -> DataFrame:
     """doc_id, src, body, size, at (the words before a document in its source's stream), twin (its number among
     rows that share id, source and text)."""
@@ -113,9 +122,9 @@ def schedule(sources: DataFrame, p: Mix) -> DataFrame:
     """
     spark = sources.sparkSession
     n = sources.agg(F.sum("slots")).first()[0] or 0
-    hi = F.sum("slots").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)) / F.lit(float(max(1, n)))
+    hi = (F.col("ahead") + F.col("slots")) / F.lit(float(max(1, n)))
     lo = hi - F.col("slots") / F.lit(float(max(1, n)))
-    spread = sources.filter("slots > 0").select("src", "slots", lo.alias("lo"), hi.alias("hi"))
+    spread = _running(sources, ["src"], {"ahead": F.col("slots")}).filter("slots > 0").select("src", "slots", lo.alias("lo"), hi.alias("hi"))
     first, last = (F.greatest(F.lit(0), F.floor(F.col(c) * p.cells)).cast("int") for c in ("lo", "hi"))
     cells = stash(spread.select("src", "slots", "lo", "hi", F.explode(F.sequence(first, last)).alias("cell")), "mix-cells")
     if cells.count() <= p.broadcast_rows:
@@ -164,6 +173,7 @@ def _pieces(sizes: DataFrame, p: Mix, twins: bool = False) -> tuple[DataFrame, D
     """(``offsets``, ``targets``, pieces: slot, turn, doc_id, src, at, start, n)."""
     sources = targets(sizes, p)
     placed = stash(offsets(sizes, p, twins), "mix-offsets")
+    discard(sizes)
     size, at = F.col("size"), F.col("at")
     parts = (
         placed.filter("size > 0")

@@ -1,5 +1,6 @@
 """Quality rules against a plain re-statement of each base measure."""
 
+import random
 import re
 
 import pytest
@@ -42,6 +43,49 @@ def test_base_measures_match_plain(spark):
         assert not (r.base_failed and r.kept)
 
 
+def plain_verdict(text, rules):
+    """Coverage and verdict by words and sets, n-gram by n-gram."""
+    words = WORD.findall(text)
+    chars = sum(map(len, words))
+    shares = []
+    for width, limit in rules.gram_limits:
+        at = {}
+        for i in range(len(words) - width + 1):
+            at.setdefault(tuple(words[i : i + width]), []).append(i)
+        marked = {j for starts in at.values() if len(starts) > 1 for i in starts for j in range(i, i + width)}
+        shares.append((sum(len(words[j]) for j in marked) / max(1, chars), limit, f"gram{width}"))
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += sum(map(len, WORD.findall(line))) if line in seen else 0
+            seen.add(line)
+    base = plain(text)
+    if base[-1]:
+        verdict = "short" if base[0] < rules.min_words else "windows"
+    else:
+        verdict = next((name for share, limit, name in shares if share > limit), "lines" if dup > rules.max_line_share * chars else "kept")
+    return dup, max(s for s, _, _ in shares), verdict
+
+
+def test_coverage_and_verdict_match_plain():
+    rng, rules, seen = random.Random(11), Q.QualityRules(), set()
+    for _ in range(400):
+        pool = [f"{'é' if rng.random() < 0.2 else 'w'}{rng.randint(0, 10 ** rng.randint(1, 6))}" for _ in range(rng.randint(5, 60))]
+        words = [rng.choice(pool) if rng.random() < 0.2 else f"u{rng.randint(0, 10**9)}" for _ in range(rng.randint(10, 120))]
+        for _ in range(rng.randint(0, 8)):
+            at, n = rng.randrange(len(words)), rng.choice([5, 6, 7, 8, 10, 14])
+            words[at:at] = words[rng.randrange(len(words)) :][:n]
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        lines += [rng.choice(lines)] * rng.choice([0, 0, 1, 3, 9])
+        if rng.random() < 0.3:
+            lines = ["same few words"] * rng.randint(1, 60) + lines
+        text = "\n".join(lines)
+        found, want = Q.measure(text.encode(), rules), plain_verdict(text, rules)
+        assert (found[5], found[9]) == (want[0], want[2]) and abs(found[6] - want[1]) < 1e-9
+        seen.add(found[9])
+    assert {"kept", "short", "windows", "gram5"} <= seen
+
+
 def test_coverage_rejects_repeats_and_keeps_clean():
     rules = Q.QualityRules()
     clean = " ".join(f"w{i}" for i in range(300))

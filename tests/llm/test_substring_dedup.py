@@ -172,3 +172,65 @@ def test_blocks_are_counted_once():
     assert list(zip(first.tolist(), end.tolist(), strict=True)) == [(0, 2), (3, 5), (0, 3), (0, 6)] and len(set(digests.tolist())) == 4
     assert S.blocks(b"D\te", p)[2].tolist() == digests[1:2].tolist()
     assert [len(x) for x in S.blocks(b"a b", S.SubstringDedup())] == [0, 0, 0] == [len(x) for x in S.blocks(b"", p)]
+
+
+def test_whole_repeats_go_and_nothing_else_does(spark):
+    """Independent of the choice of units: every run of min_words that an earlier document has is gone, as is every
+    line, paragraph or text of block_words; and what is gone stands in a unit or block had before."""
+    rng = random.Random(21)
+    shared = [fresh(rng, n) for n in (13, 28, 29, 51, 90, 300)]
+    lines = [" ".join(fresh(rng, n)) for n in (5, 12, 20)]
+    rows = []
+    for i in range(90):
+        words = fresh(rng, rng.randint(0, 120))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choice(shared)
+        text = " ".join(words)
+        for _ in range(rng.randint(0, 2)):
+            text += "\n" * rng.randint(1, 2) + rng.choice(lines)
+        rows.append((i, text))
+    rows += [(95, rows[3][1]), (96, rows[3][1].replace(" ", "  ")), (97, None)]
+    p = S.WHOLE
+    gone = {r.doc_id: {w for s in r.removed for w in range(s.first_word, s.end_word)} for r in S.dedup_substrings(table(spark, rows).repartition(5), p).collect()}
+
+    def runs(words, n):
+        return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+    def stretches(text):
+        """(first word, words) of lines, paragraphs and the text."""
+        at, out, paragraph, whole = 0, [], [], []
+        for line in text.split("\n"):
+            words = line.split()
+            out.append((at, words))
+            at += len(words)
+            if words:
+                paragraph += words
+            else:
+                out.append((at - len(paragraph), paragraph))
+                paragraph = []
+            whole += words
+        return [(a, tuple(w)) for a, w in [*out, (at - len(paragraph), paragraph), (0, whole)] if len(w) >= p.block_words]
+
+    long_before, units_before, blocks_before = set(), set(), set()
+    for i, text in rows:
+        words = (text or "").lower().split()
+        must, may = set(), set()
+        for at, run in enumerate(runs(words, p.min_words)):
+            if run in long_before:
+                must |= set(range(at, at + p.min_words))
+        units_here = set()
+        for at, run in enumerate(runs(words, p.unit)):
+            if run in units_before or run in units_here:
+                may |= set(range(at, at + p.unit))
+            units_here.add(run)
+        blocks_here = set()
+        for at, block in sorted(stretches((text or "").lower()), key=lambda b: b[0]):
+            if block in blocks_before or (at, block) not in blocks_here and block in {b for _, b in blocks_here}:
+                must |= set(range(at, at + len(block)))
+            blocks_here.add((at, block))
+        assert must <= gone[i] <= may | must, (i, sorted(must - gone[i])[:5], sorted(gone[i] - may - must)[:5])
+        long_before |= set(runs(words, p.min_words))
+        units_before |= units_here
+        blocks_before |= {b for _, b in blocks_here}
+    assert sum(map(len, gone.values())) > 1000 and len(gone[95]) == len(rows[3][1].split()) == len(gone[96])
