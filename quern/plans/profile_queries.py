@@ -92,11 +92,6 @@ def category_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.groupBy("category").agg(F.count("*").alias("n"))
 
 
-def category_signals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog's own lexicon over the first lines of English documents."""
-    return _text_categories(C.table(spark, sf_dir, "documents").filter("lang = 'en'"))
-
-
 def category_signals_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for documents of all languages, and of none."""
     return _text_categories(C.table(spark, sf_dir, "documents"))
@@ -199,7 +194,7 @@ QUERIES = {
         SELECT sum(c)::bigint AS n, count(*) AS titles, max(c) AS largest, round(max(c) / sum(c), 6) AS share FROM t""",
     ),
     "category_signals": (category_signals, _category_sql(LEXICON, ("p_name", "part"))),
-    "category_signals_text": (category_signals_text, _category_sql(T.CATEGORY_KEYWORDS, ("string_split(text, chr(10))[1]", "documents WHERE lang = 'en'"))),
+    "category_signals_text": (category_signals_text_all, _category_sql(T.CATEGORY_KEYWORDS, ("string_split(text, chr(10))[1]", "documents"))),
     "category_signals_text_all": (category_signals_text_all, _category_sql(T.CATEGORY_KEYWORDS, ("string_split(text, chr(10))[1]", "documents"))),
     "deterministic_sample": (deterministic_sample, f"SELECT p_partkey, p_name, {_MARK.format(k='p_partkey')} AS mark FROM part ORDER BY mark, p_partkey LIMIT {SAMPLE_SIZE}"),
     "compact_samples": (

@@ -30,15 +30,7 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by outcome, with fixture results and failures chosen by conversation."""
-    requests = explain.validate_requests(_requests(spark, sf_dir)).filter("turn = 0").drop("turn")
-    results = requests.filter("conv_id % 3 <> 0").select("conv_id")
-    errors = requests.filter("conv_id % 7 = 0").select("conv_id", F.when(F.col("conv_id") % 2 == 0, "upstream_error").otherwise("missing_api_key").alias("status"))
-    return explain.outcomes(requests, results, "conv_id", errors).groupBy("status").agg(F.count("*").alias("n"))
-
-
-def request_outcomes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the requests of all turns."""
+    """Requests of all turns by outcome, with fixture results and failures chosen by conversation."""
     requests = explain.validate_requests(_requests(spark, sf_dir)).withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     results = requests.filter("conv_id % 3 <> 0").select("id")
     errors = requests.filter("conv_id % 7 = 0").select("id", F.when(F.col("conv_id") % 2 == 0, "upstream_error").otherwise("missing_api_key").alias("status"))
@@ -66,21 +58,13 @@ def query_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked_all(spark, sf_dir).filter("product_id < 400")
-
-
-def _ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 20 products in a row as the ranked products of a query."""
     k = F.col("product_id")
     return C.products(spark, sf_dir).withColumns({"query_id": F.floor(k / 20).cast("bigint"), "rank": (k % 20 + 1).cast("int")})
 
 
 def explain_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(_ranked(spark, sf_dir).filter("rank <= 8"))
-
-
-def explain_prompt_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(_ranked_all(spark, sf_dir))
+    return _prompts(_ranked(spark, sf_dir))
 
 
 def _prompts(rows: DataFrame) -> DataFrame:
@@ -96,11 +80,7 @@ def _prompts(rows: DataFrame) -> DataFrame:
 
 
 def explanation_merge_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _integrity(_ranked(spark, sf_dir).filter("rank <= 5"))
-
-
-def explanation_merge_integrity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _integrity(_ranked_all(spark, sf_dir))
+    return _integrity(_ranked(spark, sf_dir))
 
 
 def _integrity(rows: DataFrame) -> DataFrame:
@@ -217,11 +197,7 @@ def requests_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explained(_ranked(spark, sf_dir).filter("rank <= 8"))
-
-
-def explain_offline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explained(_ranked_all(spark, sf_dir))
+    return _explained(_ranked(spark, sf_dir))
 
 
 def _explained(ranked: DataFrame) -> DataFrame:
@@ -245,7 +221,7 @@ _Q = _TRIM.format(c="'  ' || text || chr(10)")
 _REQUESTS = f"""WITH r AS (SELECT conv_id, turn, {_Q} AS query, coalesce(CASE WHEN conv_id % 25 = 0 THEN 21 WHEN conv_id % 2 = 0 THEN 5 END, 8) AS max_results
   FROM conversations WHERE role = 'user'),
 v AS (SELECT *, CASE WHEN length(query) BETWEEN 3 AND 500 AND max_results BETWEEN 1 AND 20 THEN 'ok' ELSE 'invalid_request' END AS status FROM r)"""
-_RANKED = f"{C.PRODUCTS_SQL}, ranked AS (SELECT *, product_id // 20 AS query_id, (product_id % 20 + 1)::int AS rank FROM products WHERE product_id < 400)"
+_RANKED = f"{C.PRODUCTS_SQL}, ranked AS (SELECT *, product_id // 20 AS query_id, (product_id % 20 + 1)::int AS rank FROM products)"
 _ERRORS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in e) + ")" for e in ERRORS)
 _PACK = f"""WITH RECURSIVE t AS (SELECT doc_id, greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS n FROM documents),
 c AS (SELECT list(n ORDER BY doc_id) AS c, list(doc_id ORDER BY doc_id) AS d FROM t),
@@ -259,7 +235,7 @@ QUERIES = {
     "request_outcomes": (
         request_outcomes,
         f"""{_REQUESTS}, o AS (SELECT CASE WHEN status <> 'ok' THEN status WHEN conv_id % 14 = 0 THEN 'upstream_error' WHEN conv_id % 7 = 0 THEN 'missing_api_key'
-        WHEN conv_id % 3 <> 0 THEN 'ok' ELSE 'no_results' END AS status FROM v WHERE turn = 0) SELECT status, count(*) AS n FROM o GROUP BY status""",
+        WHEN conv_id % 3 <> 0 THEN 'ok' ELSE 'no_results' END AS status FROM v) SELECT status, count(*) AS n FROM o GROUP BY status""",
     ),
     "intent_clean": (
         intent_clean,
@@ -274,13 +250,13 @@ QUERIES = {
         explain_prompt,
         f"""WITH {_RANKED}, b AS (SELECT query_id, rank, array_to_string(list_filter(['Product rank ' || rank || ':', '- title: ' || title, '- average_rating: ' || printf('%.1f', average_rating),
         '- rating_number: ' || rating_number, CASE WHEN rank % 3 <> 0 THEN '- store: ' || store END, CASE WHEN rank % 2 = 0 THEN '- price: $' || printf('%.2f', price) END, '- features:',
-        array_to_string(list_transform(range(1, least(rank, 6) + 1), lambda i: '  - f' || i), chr(10))], lambda x: x IS NOT NULL), chr(10)) AS block FROM ranked WHERE rank <= 8)
+        array_to_string(list_transform(range(1, least(rank, 6) + 1), lambda i: '  - f' || i), chr(10))], lambda x: x IS NOT NULL), chr(10)) AS block FROM ranked)
         SELECT query_id, 'Shopper intent:' || chr(10) || '- original_query: query ' || query_id || chr(10) || '- occasion: party' || chr(10) || '- garment_types: dress, hat' || chr(10) || chr(10)
         || 'Products:' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) AS prompt FROM b GROUP BY query_id""",
     ),
     "explanation_merge_integrity": (
         explanation_merge_integrity,
-        f"""WITH {_RANKED}, k AS (SELECT query_id, rank FROM ranked WHERE rank <= 5),
+        f"""WITH {_RANKED}, k AS (SELECT query_id, rank FROM ranked),
         s AS (SELECT query_id, CASE WHEN query_id % 5 = 1 AND rank = 5 THEN 99 WHEN query_id % 5 = 2 AND rank = 5 THEN 4 ELSE rank END AS rank,
           CASE WHEN query_id % 5 = 3 AND rank = 2 THEN NULL ELSE 'why ' || rank END AS why FROM k WHERE NOT (query_id % 5 = 4 AND rank = 1)),
         t AS (SELECT query_id, rank, count(*) AS c, min(why) AS why FROM s WHERE why IS NOT NULL GROUP BY ALL),
@@ -334,22 +310,9 @@ QUERIES = {
           len(list_filter(w, lambda x: length(x) > 3 AND x NOT IN ({_quoted((*LEXICON.occasions, *LEXICON.seasons, *LEXICON.garments, *LEXICON.audiences))})))::int AS n_attributes,
           coalesce(nullif(array_to_string(w, ' '), ''), own) AS retrieval_text FROM q""",
     ),
-    "explain_offline": (explain_offline, f"WITH {_RANKED} SELECT query_id, rank, product_id, 'Matches the request at rank ' || rank || '.' AS why_this_matches FROM ranked WHERE rank <= 8"),
+    "explain_offline": (explain_offline, f"WITH {_RANKED} SELECT query_id, rank, product_id, 'Matches the request at rank ' || rank || '.' AS why_this_matches FROM ranked"),
 }
 
 
-def _whole(name: str, *filters: str) -> str:
-    """The twin of a query without its filters on ids, ranks or turns."""
-    sql = QUERIES[name][1]
-    for f in filters:
-        assert sql.count(f) == 1, (name, f)
-        sql = sql.replace(f, "")
-    return sql
-
-
-QUERIES |= {
-    "request_outcomes_all": (request_outcomes_all, _whole("request_outcomes", " WHERE turn = 0")),
-    "explain_prompt_all": (explain_prompt_all, _whole("explain_prompt", " WHERE product_id < 400", " WHERE rank <= 8")),
-    "explanation_merge_integrity_all": (explanation_merge_integrity_all, _whole("explanation_merge_integrity", " WHERE product_id < 400", " WHERE rank <= 5")),
-    "explain_offline_all": (explain_offline_all, _whole("explain_offline", " WHERE product_id < 400", " WHERE rank <= 8")),
-}
+#: Other names that these queries are known by.
+QUERIES |= {f"{name}_all": QUERIES[name] for name in ("request_outcomes", "explain_prompt", "explanation_merge_integrity", "explain_offline")}

@@ -11,7 +11,6 @@ from quern.plans import catalog as C
 from quern.session import stash
 
 K, POOL = 8, 40
-BATCH = 20
 #: Of all vectors one in so many is a query, in requests of at most REQUEST queries.
 EVERY, REQUEST = 50, 65_536
 
@@ -67,16 +66,6 @@ def recommend_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.quality_gate(curation.curate(rows, K, ["query_id"])).select(*RESULT)
 
 
-def recommend_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of query vectors against all products, in blocks."""
-    vectors = C.vectors(spark, sf_dir)
-    known = C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
-    asked = vectors.filter(F.col("product_id") < BATCH).select(F.col("product_id").alias("query_id"), "embedding")
-    best = stash(search.batch_candidates(vectors.join(known, "product_id", "left_semi"), asked, POOL, "product_id"), "batch-pools")
-    rows = C.keyed(best.join(C.products(spark, sf_dir, best), "product_id"))
-    return curation.quality_gate(curation.curate(rows, K, ["query_id"])).select("query_id", *RESULT)
-
-
 def recommend_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 50th vector as a query, against all products: queries grow with the table, and go in
     requests of bounded size. Their pools cover most products, so parts and ratings are read whole."""
@@ -134,11 +123,6 @@ def artifact_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_if(F.expr("e is null")).alias("no_vector"), F.count_if(F.expr("p is null")).alias("no_product"), F.count_if(F.expr("p = e")).alias("aligned"))
 
 
-def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether vectors may be queries: as they are, cut short, zeroed."""
-    return query_validation_all(spark, sf_dir).filter("vec_id < 50")
-
-
 def query_validation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = C.table(spark, sf_dir, "embeddings")
     v = F.when(F.col("vec_id") % 3 == 1, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 3 == 2, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
@@ -205,9 +189,8 @@ FROM chosen JOIN rk USING (qid, o) WHERE rating_number >= 10 AND NOT isnan(avera
 _RK_ALL = f"""sc AS (SELECT 0::bigint AS qid, vec_id, {_score('embedding', _Q0)} AS score FROM embeddings),
 tp AS (SELECT * FROM sc ORDER BY score DESC, vec_id LIMIT {POOL}),
 rk AS (SELECT qid, products.*, score, row_number() OVER (ORDER BY score DESC, product_id) AS o FROM tp JOIN products ON product_id = vec_id)"""
-_RK_BATCH = f"""sc AS (SELECT q.vec_id AS qid, cat.*, {_score('cat.embedding', 'q.embedding::double[]')} AS score FROM cat, embeddings q WHERE q.vec_id < {BATCH}),
+_RK_BATCH = f"""sc AS (SELECT q.vec_id AS qid, cat.*, {_score('cat.embedding', 'q.embedding::double[]')} AS score FROM cat, embeddings q WHERE q.vec_id % {EVERY} = 0),
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, product_id) AS o FROM sc) WHERE o <= {POOL})"""
-_RK_EVERY = _RK_BATCH.replace(f"q.vec_id < {BATCH}", f"q.vec_id % {EVERY} = 0")
 
 
 def _clamp_sql(kind: str, n: str) -> str:
@@ -220,8 +203,8 @@ _SPOT = "vec_id IN (0, n // 2, n - 1)"
 
 QUERIES = {
     "recommend_top8": (recommend_top8, _recommend_sql(_RK_ALL, "")),
-    "recommend_batch": (recommend_batch, _recommend_sql(_RK_BATCH, "qid AS query_id, ")),
-    "recommend_batch_all": (recommend_batch_all, _recommend_sql(_RK_EVERY, "qid AS query_id, ")),
+    "recommend_batch": (recommend_batch_all, _recommend_sql(_RK_BATCH, "qid AS query_id, ")),
+    "recommend_batch_all": (recommend_batch_all, _recommend_sql(_RK_BATCH, "qid AS query_id, ")),
     "vector_scores_round": (vector_scores_round, f"SELECT vec_id, {_score('embedding', _Q0)} AS score FROM embeddings"),
     "vector_topn": (vector_topn, f"SELECT vec_id AS product_id, {_score('embedding', _Q0)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {POOL}"),
     "vector_pool_clamp": (vector_pool_clamp, " UNION ALL ".join((_clamp_sql("below_k", "12"), _clamp_sql("above_n", "1000000"), _clamp_sql("usual", str(POOL))))),
@@ -250,7 +233,7 @@ QUERIES = {
         """SELECT count(*) FILTER (vec_id IS NULL) AS no_vector, count(*) FILTER (p_partkey IS NULL) AS no_product,
         count(*) FILTER (vec_id IS NOT NULL AND p_partkey IS NOT NULL) AS aligned FROM part FULL OUTER JOIN embeddings ON p_partkey = vec_id""",
     ),
-    "query_validation": (query_validation, "SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings WHERE vec_id < 50"),
+    "query_validation": (query_validation_all, "SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings"),
     "query_validation_all": (query_validation_all, "SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings"),
     "memory_estimate": (
         memory_estimate,
