@@ -140,6 +140,13 @@ def embed_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_index", F.size("embedding").alias("dimensions"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 
 
+def embed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline vectors of all texts, an entry a row where it is not zero."""
+    found = M.embed_column(_texts(spark, sf_dir), M.HashEmbedder(), "row_index", "text")
+    entries = found.select("row_index", F.posexplode("embedding").alias("axis", "value")).filter("value <> 0")
+    return entries.select("row_index", "axis", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 def parse_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = C.table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     found = explain.clean_intent(M.parse_column(turns, M.LexiconParser(), "id", "text"))
@@ -302,6 +309,15 @@ QUERIES = {
         SELECT count(*) AS product_count, sum(n)::bigint AS total_tokens, round(sum(n)::double / 1e6::double * {PRICE_PER_MILLION}::double, 6) AS estimated_cost_usd FROM t""",
     ),
     "embed_offline": (embed_offline, "SELECT doc_id AS row_index, 64 AS dimensions, 1.0::double AS norm FROM documents"),
+    "embed_vectors": (
+        embed_vectors,
+        rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+')) AS w FROM documents),
+        h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::bigint AS h, count(*) AS c FROM w GROUP BY ALL),
+        a AS (SELECT doc_id, (h % {M.HashEmbedder.dimensions})::int AS axis, sum(CASE WHEN h >> 59 = 1 THEN c ELSE -c END)::double AS n FROM h GROUP BY 1, 2),
+        v AS (SELECT *, sum(n * n) OVER (PARTITION BY doc_id) AS ss FROM a WHERE n <> 0)
+        SELECT doc_id AS row_index, axis, round((n / sqrt(ss))::float::double, 5) AS value FROM v
+        UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v)""",
+    ),
     "parse_offline": (
         parse_offline,
         rf"""WITH q AS (SELECT conv_id || ':' || turn AS id, {_TRIM.format(c='text')} AS own, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') AS w

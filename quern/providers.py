@@ -7,15 +7,16 @@ providers need no network, so plans and tests run the same everywhere.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -261,9 +262,16 @@ class ModelExplainer:
 # --- offline -----------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1 << 16)
+def _axis(word: str, dimensions: int) -> tuple[int, float]:
+    """A word's axis and sign, by the first 60 bits of its md5."""
+    h = int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
+    return h % dimensions, 1.0 if h >> 59 else -1.0
+
+
 @dataclass(frozen=True)
 class HashEmbedder:
-    """Signed feature hashing of words; a text without words has the first axis."""
+    """Signed feature hashing of words; a text without words, or whose words cancel out, has the first axis."""
 
     dimensions: int = 64
     model: str = "hashed-words"
@@ -272,8 +280,8 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dimensions), np.float64)
         for row, text in enumerate(texts):
             for word in re.findall(r"\w+", text.lower()):
-                h = xxhash.xxh3_64_intdigest(word)
-                out[row, h % self.dimensions] += 1.0 if h >> 63 else -1.0
+                axis, sign = _axis(word, self.dimensions)
+                out[row, axis] += sign
             if not out[row].any():
                 out[row, 0] = 1.0
         return out
