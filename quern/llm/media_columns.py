@@ -41,6 +41,7 @@ class Spectrum:
     fan: int = 5  # following peaks that a peak may be paired with
     reach: int = 16  # frames that a pair may span
     block: int = 4096  # frames transformed at once
+    batch_bytes: int = 8 << 20  # of stored files and fingerprints that leave a worker together
 
 
 def padded(data: bytes, unit: int) -> bytes:
@@ -151,18 +152,29 @@ def media_table(docs: DataFrame, p: Spectrum = Spectrum(), key: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, held, first = [], 0, 0
+
+            def out(keys: pa.Array) -> pa.RecordBatch:
+                arrays = [keys, *[pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields]]
+                names = ["key", *[n for n, _ in fields]]
+                if heavy:
+                    arrays += [pa.array([r["media"] for r in rows], pa.binary()), pa.array([r["marks"] for r in rows], pa.list_(pa.int64()))]
+                    names += ["media", "marks"]
+                return pa.RecordBatch.from_arrays(arrays, names)
+
             for data in binary_column(batch, "data"):
                 row = store_and_describe(data, p)
-                if not heavy:
+                if heavy:
+                    held += len(row["media"]) + row["marks"].nbytes
+                else:
                     del row["media"], row["marks"]
                 rows.append(row)
-            arrays = [batch.column("key"), *[pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields]]
-            names = ["key", *[n for n, _ in fields]]
-            if heavy:
-                arrays += [pa.array([r["media"] for r in rows], pa.binary()), pa.array([r["marks"] for r in rows], pa.list_(pa.int64()))]
-                names += ["media", "marks"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                if held > p.batch_bytes:
+                    yield out(batch.column("key").slice(first, len(rows)))
+                    first += len(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(batch.column("key").slice(first, len(rows)))
 
     inner = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("data"))
     kind = inner.schema["key"].dataType.simpleString()

@@ -23,6 +23,8 @@ def test_round_trip_and_digests(spark):
         assert int(r.feature.split(":")[1]) == len(r.marks) and r.marks == sorted(r.marks)
     assert rows[8].feature == rows[9].feature
     assert M.media_table(df.limit(0)).count() == 0
+    small = {r.doc_id: r for r in M.media_table(df, M.Spectrum(batch_bytes=100)).collect()}
+    assert small == rows
     light = M.media_table(df, heavy=False)
     assert "media" not in light.columns and {r.doc_id: r.feature for r in light.collect()} == {i: rows[i].feature for i in rows}
 
