@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import line_dedup, ngram_jaccard, quality_rules, sequence_packing, source_mixing
 from quern.llm.words import WORD_SQL
-from quern.session import stash
+from quern.session import discard, stash
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
