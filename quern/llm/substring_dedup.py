@@ -12,8 +12,8 @@ Two options take the whole repeat. ``widen`` groups, in a second round, every un
 stands next to a repeated one, chosen or not, so a repeat goes up to its true ends. With
 ``block_words`` whole lines, paragraphs and texts are units too, and go at any length from there.
 
-Only (document, digest) pairs are grouped, with a partial aggregate, so a passage that a
-third of all documents share costs a row per task. Texts move once, with ``widen`` those
+Only (document, digest) pairs are grouped, written once, with a partial aggregate, so a passage
+that a third of all documents share costs a row per task. Texts move once, with ``widen`` those
 that share a unit twice.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
-from quern.session import stash
+from quern.session import discard, stash
 
 
 @dataclass(frozen=True)
@@ -217,12 +217,14 @@ def _shared(pairs: DataFrame) -> DataFrame:
 
 def repeated_units(docs: DataFrame, p: SubstringDedup = SubstringDedup(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, digests (array): for each document, the units that an earlier document has."""
-    pairs = _digests(docs, p, key, text)
+    pairs = stash(_digests(docs, p, key, text), "substring-pairs")
     if p.widen:
-        met = pairs.join(_shared(pairs), "digest")
+        chosen, first = pairs, _shared(pairs)
+        met = pairs.join(first, "digest")
         kept = F.col("id") == F.col("keeper")
         hits = met.groupBy("id").agg(F.collect_set(F.when(~kept, F.col("digest"))).alias("later"), F.collect_set(F.when(kept, F.col("digest"))).alias("own"))
         pairs = stash(_beside(docs, hits, p, key, text), "substring-beside")
+        discard(chosen, first)
     later = pairs.join(_shared(pairs), "digest").filter("id > keeper").select("id", "digest")
     return later.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
