@@ -39,6 +39,11 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Temporary folders of local sessions without spark.checkpoint.dir, by application. The setting itself is
+#: fixed when a session starts, so it cannot be filled in later.
+_own_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -50,10 +55,12 @@ def work_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    made = tempfile.mkdtemp(prefix="quern-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        made = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, made, True)
+        _own_dirs[app] = f"file://{made}"
+    return _own_dirs[app]
 
 
 def stash(df: DataFrame, label: str, **options: str) -> DataFrame:
