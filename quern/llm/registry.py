@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fill_in_middle, language_id, line_dedup, media_columns, ngram_jaccard, quality_rules, secret_scans, sequence_packing, source_mixing, substring_dedup, warc_zstd
+from quern.llm import fill_in_middle, language_id, line_dedup, media_columns, ngram_jaccard, quality_rules, secret_scans, sequence_packing, source_mixing, substring_dedup, vector_codes, warc_zstd
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,16 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.read_archives(archives, payloads=False)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_ngram_jaccard, op3_line_dedup, op4_source_mixing, op5_sequence_packing, op6_language_id, op7_substring_dedup, op8_secret_scans, op9_quality_rules, op10_warc_zstd, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_media_columns, op2_ngram_jaccard, op3_line_dedup, op4_source_mixing, op5_sequence_packing, op6_language_id, op7_substring_dedup, op8_secret_scans, op9_quality_rules, op10_warc_zstd, op11_vector_codes, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,5 +73,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op4_source_mixing": source_mixing.ORACLE_SQL,
         "op8_secret_scans": secret_scans.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL,
         "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
