@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fill_in_middle, language_id, line_dedup, media_columns, ngram_jaccard, quality_rules, secret_scans, sequence_packing, source_mixing, substring_dedup, vector_codes, warc_zstd
+from quern.llm import fill_in_middle, language_id, line_dedup, media_columns, ngram_jaccard, quality_rules, secret_scans, sequence_packing, source_mixing, substring_dedup, toxicity, vector_codes, warc_zstd
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_ngram_jaccard, op3_line_dedup, op4_source_mixing, op5_sequence_packing, op6_language_id, op7_substring_dedup, op8_secret_scans, op9_quality_rules, op10_warc_zstd, op11_vector_codes, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_media_columns, op2_ngram_jaccard, op3_line_dedup, op4_source_mixing, op5_sequence_packing, op6_language_id, op7_substring_dedup, op8_secret_scans, op9_quality_rules, op10_warc_zstd, op11_vector_codes, op12_fill_in_middle, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
