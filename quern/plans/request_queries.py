@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quern import providers as M
 from quern.functions import text as T
 from quern.operators import batching, embed_job, explain
 from quern.plans import catalog as C
+from quern.session import work_dir
 from quern.sources.files import PRICE_PER_MILLION
 
 DONE_BELOW = 300
@@ -117,7 +120,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _texts(spark, sf_dir).select("row_index", T.token_estimate("text").alias("tokens"))
-    return batching.batch_ids(rows, "row_index", "tokens", BATCH_INPUTS, BATCH_TOKENS, single=True).select("row_index", "tokens", "batch")
+    return batching.batch_ids(rows, "row_index", "tokens", BATCH_INPUTS, BATCH_TOKENS)
 
 
 def embed_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +157,26 @@ def parse_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_job_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The requests that the embedding job forms of all turns, read in order by one task, and what they use."""
+    """The requests that the embedding job forms of all turns in order, and what they use."""
     turns = C.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), "text")
     axis = [1.0]
     serve = lambda texts: ([axis] * len(texts), [len(texts), sum(map(len, texts))])
-    found = embed_job.requests(turns.repartition(1).sortWithinPartitions("row_index"), "row_index", BATCH_INPUTS, REQUEST_TOKENS, serve)
+    found = embed_job.requests(embed_job.planned(turns, "row_index", BATCH_INPUTS, REQUEST_TOKENS), "row_index", BATCH_INPUTS, REQUEST_TOKENS, serve)
     return found.drop("embedding")
 
 
+def embed_resume_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding job over two deliveries: first the labelled documents, in waves, then all of them. Each row
+    with the run that embedded it; what the first run has is not asked for again."""
+    texts = _texts(spark, sf_dir)
+    labelled = C.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_index")).distinct()
+    output = f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    quiet = lambda line: None
+    for delivery in (texts.join(labelled, "row_index", "left_semi"), texts):
+        embed_job.run(spark, delivery, M.HashEmbedder(), output, max_inputs=BATCH_INPUTS, max_tokens=BATCH_TOKENS, log=quiet, min_waves=4)
+    return embed_job.vectors_at(spark, output).select("row_index", F.col("run").cast("int").alias("run"), "estimated_tokens")
+
+
 class FaultyParser(M.LexiconParser):
     """Fails on some queries, and has too long an intent for others."""
 
@@ -285,6 +300,11 @@ QUERIES = {
         f"""SELECT doc_id AS row_index, greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS tokens FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND (e.doc_id < {DONE_BELOW} OR e.doc_id % 10 = 0))""",
     ),
+    "embed_resume_waves": (
+        embed_resume_waves,
+        """SELECT doc_id AS row_index, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 2 END AS run,
+        greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS estimated_tokens FROM documents""",
+    ),
     "embed_job_batches": (
         embed_job_batches,
         f"""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS id, length(coalesce(text, '')) AS l, greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS n FROM conversations),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from datetime import UTC, datetime
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import has_text, strip
 from quern.operators.ingest import PRODUCT_COLUMNS
+from quern.sources import shared
 
 PRODUCT_DDL = (
     "parent_asin string, title string, store string, average_rating double, rating_number bigint, price double, image_url string, "
@@ -91,14 +91,14 @@ def product_texts(products: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.select("row_index", text.alias("text"))
 
 
-def load_manifest(path: str) -> dict:
+def load_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest at ``path``, on any file system that Spark reads."""
     try:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-    except FileNotFoundError:
-        raise ValueError(f"there is no manifest at {path}") from None
+        found = shared.read_json(spark, path)
     except json.JSONDecodeError as e:
         raise ValueError(f"the manifest at {path} is no JSON: {e}") from None
+    if found is None:
+        raise ValueError(f"there is no manifest at {path}")
     if not isinstance(found, dict):
         raise ValueError(f"the manifest at {path} is no object")
     if missing := REQUIRED_MANIFEST_KEYS - set(found):
@@ -116,13 +116,6 @@ def check_manifest(manifest: dict, rows: int, dimensions: int) -> None:
         raise ValueError("the manifest does not say that vectors are normalized")
 
 
-def write_json_atomically(value: dict, path: str) -> None:
-    partial = f"{path}.partial"
-    with open(partial, "w", encoding="utf-8") as f:
-        f.write(json.dumps(value, indent=2, sort_keys=True) + "\n")
-    os.replace(partial, path)
-
-
 def manifest_of(model: str, dimensions: int, rows: int, tokens: int, seconds: float, **more) -> dict:
     return {
         "model": model, "dimensions": dimensions, "product_count": rows, "normalized": True, "prompt_tokens": tokens, "total_tokens": tokens,
@@ -130,14 +123,6 @@ def manifest_of(model: str, dimensions: int, rows: int, tokens: int, seconds: fl
     } | more
 
 
-def file_sha256(path: str, block: int = 1 << 20) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(block):
-            h.update(part)
-    return h.hexdigest()
-
-
 def dotenv(path: str) -> dict[str, str]:
     """NAME=value lines of a file; comments, blank lines and a missing file give nothing."""
     try:

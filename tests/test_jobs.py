@@ -69,7 +69,7 @@ def test_job_resumes_and_checks(spark, tmp_path):
     assert left.count() == 50 - 17
     manifest = embed_job.run(spark, texts, Counting(8), out, manifest_path=str(tmp_path / "m.json"))
     assert manifest["product_count"] == 50 and spark.read.parquet(out).select("row_index").distinct().count() == 50
-    assert files.load_manifest(str(tmp_path / "m.json"))["dimensions"] == 8
+    assert files.load_manifest(spark, str(tmp_path / "m.json"))["dimensions"] == 8
     with pytest.raises(Exception, match="more than 8192 tokens"):
         embed_job.run(spark, spark.createDataFrame([(1, "x" * 30_000)], "row_index bigint, text string"), M.HashEmbedder(8), str(tmp_path / "v2"))
     for bad in ((300_001, 1.0), (10, 0.0)):
@@ -77,13 +77,13 @@ def test_job_resumes_and_checks(spark, tmp_path):
             batching.check_budget(*bad)
 
 
-def test_manifests(tmp_path):
+def test_manifests(spark, tmp_path):
     path = str(tmp_path / "m.json")
     for text in (None, "{", "[]", '{"product_count": 1}'):
         if text is not None:
             (tmp_path / "m.json").write_text(text)
         with pytest.raises(ValueError):
-            files.load_manifest(path)
+            files.load_manifest(spark, path)
     good = {"product_count": 3, "dimensions": 2, "normalized": True}
     files.check_manifest(good, 3, 2)
     for change in ({"product_count": 4}, {"dimensions": 3}, {"normalized": 1}, {"product_count": True}, {"product_count": "3"}):
@@ -109,7 +109,7 @@ def test_npy(spark, tmp_path):
 
 def test_batching(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([5, 5, 5, 20, 1, 1, 1, 1])], "i int, n int")
-    got = [r.batch for r in batching.batch_ids(df, "i", "n", 3, 10, single=True).orderBy("i").collect()]
+    got = [r.batch for r in batching.batch_ids(df, "i", "n", 3, 10).orderBy("i").collect()]
     assert got == [0, 0, 1, 2, 3, 3, 3, 4]
     assert batching.batch_ids(df, "i", "n", 3, 10).count() == 8
 
