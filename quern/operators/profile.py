@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import at_least
+from quern.functions.text import escape_pipes
 from quern.session import stash
 
 
@@ -83,3 +84,25 @@ def bottom_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """The ``n`` rows whose md5 of seed and key is smallest: a sample that any engine repeats."""
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
     return df.withColumn("mark", mark).orderBy("mark", key).limit(n)
+
+
+def sample_fields(title: Column, store: Column, average_rating: Column, rating_number: Column, price: Column, features: Column, description: Column, images: Column) -> dict[str, Column]:
+    """What a sample shows of a row: nine fields, lists by their size, the first image, and a title fit for a Markdown table."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return {
+        "title": escape_pipes(title), "store": store, "average_rating": average_rating, "rating_number": rating_number, "price": price,
+        "n_features": size(features), "n_description": size(description), "n_images": size(images), "first_image": F.try_element_at(images, F.lit(1)),
+    }
+
+
+def pool_samples(df: DataFrame, rules: dict[str, Column], key: str, fields: dict[str, Column], n: int, seed: str) -> DataFrame:
+    """pool, place (from 1), key and ``fields`` of the ``n`` rows of every pool with the smallest md5 of seed and key.
+
+    One pass for all pools. Spark limits a rank by task before it shuffles (a group limit below the
+    window), so n rows for each task and pool are sent, and the groups at the end have only those.
+    """
+    mark = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
+    rows = df.select(F.col(key), mark.alias("_mark"), *[c.alias(f"_{name}") for name, c in fields.items()], F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]).alias("_pools"))
+    members = rows.withColumn("pool", F.explode(F.array_compact("_pools"))).drop("_pools")
+    place = F.row_number().over(Window.partitionBy("pool").orderBy("_mark", key))
+    return members.withColumn("place", place).filter(F.col("place") <= n).select("pool", "place", key, *[F.col(f"_{name}").alias(name) for name in fields])

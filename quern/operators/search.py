@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.vectors import dot
 
@@ -17,8 +18,8 @@ from quern.functions.vectors import dot
 SCORE_DECIMALS = 6
 
 #: Bytes of the rows that a worker multiplies at once, and of their scores.
-ROW_BYTES, SCORE_BYTES = 32 << 20, 32 << 20
-#: Bytes of the query vectors that go to all tasks; more of them go in several passes over the corpus.
+ROW_BYTES, SCORE_BYTES = 4 << 20, 32 << 20
+#: Bytes of the query vectors that one worker holds: a batch up to this size goes to all tasks, a larger one is dealt out.
 QUERY_BYTES = 64 << 20
 
 
@@ -50,63 +51,161 @@ def top_candidates(corpus: DataFrame, query: list[float], n: int, key: str) -> D
     return corpus.withColumn("score", score(F.col("embedding"), query)).orderBy(F.desc("score"), F.asc(key)).limit(n)
 
 
-def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", max_queries: int = 65_536, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, key, score and place (from 1) of the ``n`` best rows for each query.
-
-    Queries are a request batch, checked to be at most ``max_queries`` vectors. They go to all
-    tasks, ``query_bytes`` of them at once: a batch that has more is dealt out by hash to several
-    passes over the corpus. Blocks of rows and queries of fixed size are multiplied in numpy, and
-    a block gives up to n rows for each query. Only those are shuffled; Spark limits them per
-    task again before the window.
-    """
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
-    if size.n > max_queries:
-        raise ValueError(f"a batch holds at most {max_queries} queries")
-    passes = max(1, -(-size.n * size.d * 8 // query_bytes))
-    found = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(passes)) == i)
-        one = _scored(corpus, part, n, key, query_key)
-        found = one if found is None else found.unionByName(one)
+class Best:
+    """The ``n`` best (score, key) of each of several queries over all rows seen so far, ties by the smaller key."""
+
+    def __init__(self, queries: int, n: int):
+        self.n = n
+        self.scores = np.full((queries, n), -np.inf)
+        self.keys: np.ndarray | None = None
+
+    def see(self, scores: np.ndarray, keys: np.ndarray, first: int = 0) -> None:
+        """``scores`` (queries from ``first`` on, rows) of rows whose ``keys`` rise."""
+        if self.keys is None:
+            self.keys = np.zeros(self.scores.shape, keys.dtype)
+        elif keys.dtype.itemsize > self.keys.dtype.itemsize:  # texts grow longer
+            self.keys = self.keys.astype(keys.dtype)
+        mine = slice(first, first + len(scores))
+        hit = scores >= self.scores[mine, -1][:, None]
+        counts = hit.sum(axis=1)
+        some = np.flatnonzero(counts)
+        if not len(some):
+            return
+        many = some[counts[some] > self.n]
+        if len(many):  # the rows are in the order of their keys, so a stable sort breaks ties by them
+            top = np.argsort(-scores[many], axis=1, kind="stable")[:, : self.n]
+            hit[many] = False
+            hit[many[:, None], top] = True
+            counts[many] = np.minimum(self.n, scores.shape[1])
+        rows, columns = np.nonzero(hit[some])
+        held = counts[some]
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(held) - held, held)
+        new, new_keys = np.full((len(some), int(held.max())), -np.inf), np.zeros((len(some), int(held.max())), keys.dtype)
+        new[rows, place], new_keys[rows, place] = scores[some[rows], columns], keys[columns]
+        both = np.concatenate([self.scores[first + some], new], axis=1)
+        both_keys = np.concatenate([self.keys[first + some], new_keys], axis=1)
+        order = np.lexsort((both_keys, -both), axis=-1)[:, : self.n]
+        self.scores[first + some] = np.take_along_axis(both, order, axis=1)
+        self.keys[first + some] = np.take_along_axis(both_keys, order, axis=1)
+
+    def batches(self, ids: pa.Array, key_type: pa.DataType, names: list[str], together: int = 4096) -> Iterator[pa.RecordBatch]:
+        """query, key and score of what is held."""
+        for at in range(0, len(self.scores) if self.keys is not None else 0, together):
+            query, place = np.nonzero(np.isfinite(self.scores[at : at + together]))
+            if len(query):
+                keys = self.keys[at + query, place]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + query)), pa.array(keys.tolist(), key_type), pa.array(self.scores[at + query, place])], names)
+
+
+def _plain_keys(keys: pa.Array) -> np.ndarray:
+    """Whole numbers as they are, texts as an array that sorts by code points."""
+    return np.array(keys.to_pylist(), str) if pa.types.is_string(keys.type) or pa.types.is_large_string(keys.type) else keys.to_numpy(zero_copy_only=False)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    return np.array([unit(v) for v in vectors]) if len(vectors) else vectors
+
+
+def _scan(best: Best, queries: np.ndarray, keys: pa.Array, vectors: pa.Array) -> None:
+    """Rows against all queries, in tiles of bounded bytes."""
+    step = max(1, ROW_BYTES // (8 * queries.shape[1]))
+    for first in range(0, len(keys), step):
+        block, names = _matrix(vectors.slice(first, step)), _plain_keys(keys.slice(first, step))
+        order = np.argsort(names, kind="stable")
+        block, names = block[order], names[order]
+        together = max(1, SCORE_BYTES // (8 * len(names)))
+        for begin in range(0, len(queries), together):
+            best.see(np.round(queries[begin : begin + together] @ block.T, SCORE_DECIMALS) + 0.0, names, begin)
+
+
+def _ranked(found: DataFrame, n: int, key: str, query_key: str) -> DataFrame:
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
-def _scored(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str) -> DataFrame:
-    """query_id, key, score: the ``n`` best rows of every block for each query."""
+def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, key, score and place (from 1) of the ``n`` best rows for each query (ids differ).
+
+    A batch of at most ``query_bytes`` goes to all tasks, which read the corpus where it lies; a larger one is
+    dealt out (``blocked_candidates``). A task keeps the n best rows of each query over all its rows,
+    so that at most (tasks x queries x n) rows are shuffled.
+    """
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    if size.n * size.d * 8 > query_bytes:
+        return blocked_candidates(corpus, queries, n, key, query_key, query_bytes)
     rows = queries.select(query_key, "embedding").collect()
-    names = [r[0] for r in rows]
-    matrix = np.array([unit(r[1]) for r in rows], np.float64) if rows else np.zeros((0, 0))
     types = {f.name: f.dataType.simpleString() for f in corpus.schema}
-    query_type = queries.schema[query_key].dataType.simpleString()
-    shared = corpus.sparkSession.sparkContext.broadcast((names, matrix))
+    query_type = queries.schema[query_key].dataType
+    sent = corpus.sparkSession.sparkContext.broadcast((pa.array([r[0] for r in rows], to_arrow_type(query_type)), _units(np.array([r[1] for r in rows], np.float64))))
 
-    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = sent.value
+        best, kind = Best(len(ids), n), None
         for batch in batches:
+            kind = batch.column(key).type
             if batch.num_rows and len(ids):
-                step = max(1, ROW_BYTES // (8 * vectors.shape[1]))
-                for first in range(0, batch.num_rows, step):
-                    yield from best_of(batch.slice(first, step), ids, vectors)
-
-    def best_of(batch: pa.RecordBatch, ids: list, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = batch.column(key)
-        flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-        block = flat.reshape(batch.num_rows, -1).astype(np.float64)
-        order_key = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"))
-        together = max(1, SCORE_BYTES // (8 * batch.num_rows))
-        for begin in range(0, len(ids), together):
-            scores = np.round(vectors[begin : begin + together] @ block.T, SCORE_DECIMALS) + 0.0
-            picked, query_at = [], []
-            for q, s in enumerate(scores):
-                rows = np.arange(len(s))
-                if len(s) > n:
-                    floor = np.partition(s, len(s) - n)[len(s) - n]
-                    rows = np.flatnonzero(s >= floor)
-                rows = rows[np.lexsort((order_key[rows], -s[rows]))][:n]
-                picked.append(rows)
-                query_at.append(np.full(len(rows), q))
-            at, query = np.concatenate(picked), np.concatenate(query_at)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[begin + q] for q in query]), keys.take(pa.array(at)), pa.array(scores[query, at])], [query_key, key, "score"])
-
-    return corpus.select(key, "embedding").mapInArrow(best, f"{query_key} {query_type}, {key} {types[key]}, score double")
+                _scan(best, vectors, batch.column(key), batch.column("embedding"))
+        yield from best.batches(ids, kind, [query_key, key, "score"])
+
+    found = corpus.select(key, "embedding").mapInArrow(run, f"{query_key} {query_type.simpleString()}, {key} {types[key]}, score double")
+    return _ranked(found, n, key, query_key)
+
+
+def blocked_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The same for any number of queries: nothing is collected or broadcast.
+
+    Queries are dealt out to groups that fit in ``query_bytes``, and the corpus to stripes; each pair of a
+    group and a stripe is a cell, and a task. A cell reads its queries first and then its stripe, row by row,
+    with the best rows of its queries so far. The corpus is sent once for each group and the queries once for each
+    stripe; there are only as many stripes as it takes to have a task for each partition. Rows are
+    dealt out by the place they are read at, so that neither equal keys nor equal vectors meet in one cell.
+    """
+    spark = corpus.sparkSession
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    # Dealt out by hash, groups differ a little in size.
+    groups = max(1, -(-size.n * size.d * 8 * 10 // (query_bytes * 9)))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stripes = max(1, -(-tasks // groups))
+    types = {f.name: f.dataType.simpleString() for f in corpus.schema}
+    query_type = queries.schema[query_key].dataType.simpleString()
+    place = F.xxhash64(F.monotonically_increasing_id())
+    one = queries.select(F.pmod(place, F.lit(groups)).alias("g"), F.col(query_key).alias("q"), F.lit(None).cast(types[key]).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    one = one.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    two = corpus.select(F.pmod(place, F.lit(stripes)).alias("s"), F.lit(None).cast(query_type).alias("q"), F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    two = two.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cell = (F.col("g") * stripes + F.col("s")).cast("int").alias("cell")
+    rows = one.select(cell, F.lit(0).alias("side"), "q", "k", "v").unionByName(two.select(cell, F.lit(1).alias("side"), "q", "k", "v"))
+    dealt = rows.repartitionById(groups * stripes, "cell").sortWithinPartitions("cell", "side")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kind = [query_key, key, "score"], None
+        cell, ids, held, vectors, best = None, [], [], None, None
+        for whole in batches:
+            kind = whole.column("k").type
+            at = whole.column("cell").to_numpy() * 2 + whole.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for first, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if first == stop:
+                    continue
+                part = whole.slice(first, stop - first)
+                if at[first] // 2 != cell:
+                    if best is not None:
+                        yield from best.batches(pa.concat_arrays(ids), kind, names)
+                    cell, ids, held, vectors, best = at[first] // 2, [], [], None, None
+                if at[first] % 2 == 0:
+                    ids.append(part.column("q"))
+                    held.append(_units(_matrix(part.column("v"))))
+                elif held:
+                    if best is None:
+                        vectors = np.concatenate(held)
+                        best = Best(len(vectors), n)
+                    _scan(best, vectors, part.column("k"), part.column("v"))
+        if best is not None:
+            yield from best.batches(pa.concat_arrays(ids), kind, names)
+
+    found = dealt.mapInArrow(run, f"{query_key} {query_type}, {key} {types[key]}, score double")
+    return _ranked(found, n, key, query_key)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.numbers import at_least, percent
+from quern.functions.numbers import percent
 from quern.operators import ingest as I
 from quern.operators import profile as P
 from quern.plans import catalog as C
@@ -54,18 +54,18 @@ def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest's own rule over all products, which have images and features alike."""
     rows = C.products(spark, sf_dir)
-    ok = F.coalesce(F.col("rating_number") >= 30, F.lit(False)) & at_least(F.col("average_rating"), 4.0)
+    ok = I.eligible_column(T.has_text("title"), F.lit(True), F.lit(True), F.col("rating_number"), F.col("average_rating"))
     return rows.select("product_id", ok.alias("eligible"))
 
 
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by the ingest's own status, with titles, images and keys absent by fixture."""
     k = F.col("product_id")
-    reason = (
-        F.when(k % 11 == 0, "no_title").when(k % 7 == 0, "no_image").when(~F.coalesce(F.col("rating_number") >= 30, F.lit(False)), "few_ratings")
-        .when(~at_least(F.col("average_rating"), 4.0), "low_rating").otherwise("ok")
-    )
-    return C.products(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    eligible = I.eligible_column(T.has_text(F.when(k % 11 != 0, F.col("title"))), k % 7 != 0, F.lit(True), F.col("rating_number"), F.col("average_rating"))
+    status = I.status_column(F.lit(False), eligible, k % 13 != 0)
+    return C.products(spark, sf_dir).groupBy(status.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def catalog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,14 +92,10 @@ def category_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.groupBy("category").agg(F.count("*").alias("n"))
 
 
-def category_signals_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for documents of all languages, and of none."""
-    return _text_categories(C.table(spark, sf_dir, "documents"))
-
-
-def _text_categories(docs: DataFrame) -> DataFrame:
-    lines = docs.select(F.element_at(T.first_lines("text"), 1).alias("line"))
-    return lines.select(F.explode(T.categories("line")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+def category_signals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the whole texts of all documents."""
+    texts = C.table(spark, sf_dir, "documents").select(F.explode(T.categories("text")).alias("category"))
+    return texts.groupBy("category").agg(F.count("*").alias("n"))
 
 
 def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +110,19 @@ def compact_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("product_id", title.alias("title"), "average_rating", "rating_number", "price")
 
 
+def pool_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of each candidate pool with all fields that a report shows."""
+    rows, rules = _pool_rows(spark, sf_dir)
+    k = F.col("product_id")
+    features = F.filter(F.array(F.col("title"), F.when(k % 2 == 0, F.lit(" soft "))), lambda x: x.isNotNull())
+    shown = P.sample_fields(
+        title=F.concat(F.col("title"), F.lit(" | "), F.col("store")), store=F.col("store"), average_rating=F.col("average_rating"), rating_number=F.col("rating_number"),
+        price=F.when(k % 2 == 0, F.col("price")), features=F.when(k % 5 != 0, features), description=F.when(k % 3 != 0, F.array(F.col("title"))),
+        images=F.when(k % 7 != 0, F.array(F.concat(F.lit("https://img.example/"), k.cast("string")))),
+    )
+    return P.pool_samples(rows, rules, "product_id", shown, SAMPLE_SIZE, SAMPLE_SEED)
+
+
 def metadata_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean bytes of the first 500 products' title, store and price as text; 900 without any."""
     size = F.octet_length(F.concat_ws("|", "title", "store", F.format_string("%.2f", F.col("price"))))
@@ -156,7 +165,7 @@ def _category_sql(lexicon: dict, source: tuple[str, str]) -> str:
     SELECT unnest(CASE WHEN len(c) > 0 THEN c ELSE ['{T.UNCATEGORIZED}'] END) AS category, count(*) AS n FROM l GROUP BY 1"""
 
 
-_OK = "coalesce(rating_number >= 30, false)"
+_OK = "coalesce(rating_number >= 10, false)"
 _GOOD = "coalesce(average_rating >= 4.0, false)"
 _MARK = f"md5('{SAMPLE_SEED}|' || {{k}}::varchar)"
 
@@ -174,8 +183,8 @@ QUERIES = {
     "catalog_eligibility": (catalog_eligibility, f"WITH {C.PRODUCTS_SQL} SELECT product_id, {_OK} AND {_GOOD} AS eligible FROM products"),
     "reject_reasons": (
         reject_reasons,
-        f"""WITH {C.PRODUCTS_SQL} SELECT CASE WHEN product_id % 11 = 0 THEN 'no_title' WHEN product_id % 7 = 0 THEN 'no_image' WHEN NOT {_OK} THEN 'few_ratings'
-        WHEN NOT {_GOOD} THEN 'low_rating' ELSE 'ok' END AS reason, count(*) AS n FROM products GROUP BY 1""",
+        f"""WITH {C.PRODUCTS_SQL} SELECT CASE WHEN product_id % 11 = 0 OR product_id % 7 = 0 OR NOT ({_OK} AND {_GOOD}) THEN 'ineligible'
+        WHEN product_id % 13 = 0 THEN 'missing_key' ELSE 'ok' END AS reason, count(*) AS n FROM products GROUP BY 1""",
     ),
     "catalog_status": (
         catalog_status,
@@ -194,14 +203,21 @@ QUERIES = {
         SELECT sum(c)::bigint AS n, count(*) AS titles, max(c) AS largest, round(max(c) / sum(c), 6) AS share FROM t""",
     ),
     "category_signals": (category_signals, _category_sql(LEXICON, ("p_name", "part"))),
-    "category_signals_text": (category_signals_text_all, _category_sql(T.CATEGORY_KEYWORDS, ("string_split(text, chr(10))[1]", "documents"))),
-    "category_signals_text_all": (category_signals_text_all, _category_sql(T.CATEGORY_KEYWORDS, ("string_split(text, chr(10))[1]", "documents"))),
+    "category_signals_text": (category_signals_text, _category_sql(T.CATEGORY_KEYWORDS, ("text", "documents"))),
     "deterministic_sample": (deterministic_sample, f"SELECT p_partkey, p_name, {_MARK.format(k='p_partkey')} AS mark FROM part ORDER BY mark, p_partkey LIMIT {SAMPLE_SIZE}"),
     "compact_samples": (
         compact_samples,
         f"""WITH {C.PRODUCTS_SQL} SELECT product_id, replace(title || ' | ' || store, '|', '\\|') AS title, average_rating, rating_number, price FROM products
         ORDER BY {_MARK.format(k='product_id')}, product_id LIMIT {SAMPLE_SIZE}""",
     ),
+    "pool_samples": (
+        pool_samples,
+        f"""{_POOLS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY {_MARK.format(k='product_id')}, product_id) AS place FROM m)
+        SELECT pool, place::int AS place, product_id, replace(title || ' | ' || store, '|', '\\|') AS title, store, average_rating, rating_number,
+        CASE WHEN product_id % 2 = 0 THEN price END AS price, CASE WHEN product_id % 5 = 0 THEN 0 WHEN product_id % 2 = 0 THEN 2 ELSE 1 END::int AS n_features,
+        CASE WHEN product_id % 3 = 0 THEN 0 ELSE 1 END::int AS n_description, CASE WHEN product_id % 7 = 0 THEN 0 ELSE 1 END::int AS n_images,
+        CASE WHEN product_id % 7 <> 0 THEN 'https://img.example/' || product_id END AS first_image FROM o WHERE place <= {SAMPLE_SIZE}""",
+    ),
     "metadata_bytes": (
         metadata_bytes,
         f"""WITH {C.PRODUCTS_SQL}, f AS (SELECT * FROM products ORDER BY product_id LIMIT 500)

@@ -11,6 +11,7 @@ from quern import providers as M
 from quern.functions import text as T
 from quern.operators import batching, embed_job, explain
 from quern.plans import catalog as C
+from quern.plans import search_queries as S
 from quern.session import work_dir
 from quern.sources.files import PRICE_PER_MILLION
 
@@ -106,12 +107,19 @@ ERRORS = (
 
 
 def transient_error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(ERRORS), "id int, status int, name string, message string")
-    return rows.select("id", M.transient_column(F.col("status"), F.col("name")).alias("transient"), M.fallback_column(F.col("name"), F.col("message")).alias("fallback"))
+    """All events as failures of a request: status, class and message by the number in their properties, or a status of their own."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    one = lambda i, kind: F.element_at(F.array(*[F.lit(e[i]).cast(kind) for e in ERRORS]), (k % len(ERRORS) + 1).cast("int"))
+    status = F.when(F.col("user_id") % 2 == 0, (400 + F.col("event_id") % 120).cast("int")).otherwise(one(1, "int"))
+    rows = C.table(spark, sf_dir, "events").select("event_id", status.alias("status"), one(2, "string").alias("name"), one(3, "string").alias("message"))
+    return rows.select("event_id", M.transient_column(F.col("status"), F.col("name")).alias("transient"), M.fallback_column(F.col("name"), F.col("message")).alias("fallback"))
 
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(8).select(F.col("id").alias("attempt"), M.backoff_column(F.col("id")).alias("seconds"))
+    """How long each user's next attempt waits, by the errors that they have had within the hour."""
+    hour = F.date_trunc("hour", "ts")
+    errors = C.table(spark, sf_dir, "events").groupBy("user_id", hour.alias("hour")).agg(F.count_if(F.col("event_type") == "error").alias("attempt"))
+    return errors.select("user_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "attempt", M.backoff_column(F.col("attempt")).alias("seconds"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,47 +174,19 @@ def embed_job_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_resume_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embedding job over two deliveries: first the labelled documents, in waves, then all of them. Each row
+    """The embedding job over two deliveries: first what users say, in waves, then all turns. Each row
     with the run that embedded it; what the first run has is not asked for again."""
-    texts = _texts(spark, sf_dir)
-    labelled = C.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_index")).distinct()
+    turns = C.table(spark, sf_dir, "conversations")
+    texts = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), F.coalesce("text", F.lit("")).alias("text"), "role")
     output = f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}"
     quiet = lambda line: None
-    for delivery in (texts.join(labelled, "row_index", "left_semi"), texts):
-        embed_job.run(spark, delivery, M.HashEmbedder(), output, max_inputs=BATCH_INPUTS, max_tokens=BATCH_TOKENS, log=quiet, min_waves=4)
+    for delivery in (texts.filter("role = 'user'"), texts):
+        embed_job.run(spark, delivery.select("row_index", "text"), M.HashEmbedder(), output, max_inputs=BATCH_INPUTS, max_tokens=BATCH_TOKENS, log=quiet, min_waves=4)
     return embed_job.vectors_at(spark, output).select("row_index", F.col("run").cast("int").alias("run"), "estimated_tokens")
 
 
-class FaultyParser(M.LexiconParser):
-    """Fails on some queries, and has too long an intent for others."""
-
-    def parse(self, query: str) -> dict:
-        if query.startswith("a"):
-            raise M.ProviderError("no intent")
-        if query.startswith("b"):
-            raise M.MissingKeyError("no key")
-        return super().parse(query) | ({"retrieval_text": "long " * 300} if query.startswith("c") else {})
-
-
-class FaultyEmbedder(M.HashEmbedder):
-    """One vector for all texts; a request with a text that begins with d fails whole."""
-
-    def embed(self, texts: list[str]):
-        if any(t.startswith("d") for t in texts):
-            raise M.ProviderError("no vectors")
-        return [[1.0] + [0.0] * (self.dimensions - 1)] * len(texts)
-
-
-class FaultyExplainer(M.TemplateExplainer):
-    def explain(self, prompt: str, ranks: list[int]) -> list[tuple[int, str]]:
-        if "original_query: e" in prompt:
-            raise M.ProviderError("no explanations")
-        return super().explain(prompt, ranks if "original_query: f" not in prompt else [r + 1 for r in ranks])
-
-
 def requests_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All user turns as one batch of requests, with providers that fail on some of them: query_id, status and
-    whether there are results."""
+    """All user turns as one batch of requests, answered offline: query_id, status, number of results and the first one's product."""
     from quern.pipeline import Recommender
 
     rows = C.products(spark, sf_dir).withColumnsRenamed({"product_id": "row_index"})
@@ -214,8 +194,9 @@ def requests_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"image_url": F.lit(None).cast("string"), "features": F.array(F.lit("soft"))})
     vectors = C.vectors(spark, sf_dir).withColumnRenamed("product_id", "row_index")
     asked = _requests(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.lower("query").alias("query"), "max_results")
-    answers = Recommender(rows, vectors, FaultyEmbedder(), FaultyParser(), FaultyExplainer()).answer(asked)
-    return answers.select("query_id", "status", F.col("results").isNotNull().alias("answered"))
+    answers = Recommender(rows, vectors, M.HashEmbedder(), M.LexiconParser(), M.TemplateExplainer()).answer(asked)
+    first = F.try_element_at("results", F.lit(1))
+    return answers.select("query_id", "status", F.coalesce(F.size("results"), F.lit(0)).alias("n_results"), first["product"]["parent_asin"].alias("first_asin"))
 
 
 def explain_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,13 +225,30 @@ _REQUESTS = f"""WITH r AS (SELECT conv_id, turn, {_Q} AS query, coalesce(CASE WH
   FROM conversations WHERE role = 'user'),
 v AS (SELECT *, CASE WHEN length(query) BETWEEN 3 AND 500 AND max_results BETWEEN 1 AND 20 THEN 'ok' ELSE 'invalid_request' END AS status FROM r)"""
 _RANKED = f"{C.PRODUCTS_SQL}, ranked AS (SELECT *, product_id // 20 AS query_id, (product_id % 20 + 1)::int AS rank FROM products)"
-_ERRORS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in e) + ")" for e in ERRORS)
+_LISTED = [", ".join("NULL" if e[i] is None else repr(e[i]) for e in ERRORS) for i in range(4)]
+_AT = f"[1 + json_extract_string(props, '$.k')::bigint % {len(ERRORS)}]"
 _PACK = f"""WITH RECURSIVE t AS (SELECT doc_id, greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS n FROM documents),
 c AS (SELECT list(n ORDER BY doc_id) AS c, list(doc_id ORDER BY doc_id) AS d FROM t),
 f(i, b, k, s) AS (SELECT 0::bigint, 0::bigint, 0::bigint, 0::bigint UNION ALL
   SELECT i + 1, CASE WHEN new THEN b + 1 ELSE b END, CASE WHEN new THEN 1 ELSE k + 1 END, CASE WHEN new THEN n ELSE s + n END
   FROM (SELECT *, k >= {BATCH_INPUTS} OR (k > 0 AND s + n > {BATCH_TOKENS}) AS new FROM (SELECT f.*, c[i + 1] AS n, len(c) AS total FROM f, c) g WHERE i < total) h)
 SELECT d[i] AS row_index, c[i] AS tokens, b AS batch FROM f, c WHERE i > 0"""
+# Offline answers from end to end: words hashed to a vector, the best of all vectors, curation by each request's own number, the gate.
+_WORDS = r"""w AS (SELECT qid, unnest(regexp_extract_all(lower(query), '[\pL\pN_]+')) AS w FROM k),
+h AS (SELECT qid, ('0x' || substr(md5(w), 1, 15))::bigint AS h, count(*) AS c FROM w GROUP BY ALL),
+a AS (SELECT qid, h % 64 AS axis, sum(CASE WHEN h >> 59 = 1 THEN c ELSE -c END)::double AS n FROM h GROUP BY 1, 2),
+z AS (SELECT k.qid, r.axis, coalesce(a.n, 0) AS n FROM k CROSS JOIN (SELECT unnest(range(64)) AS axis) r LEFT JOIN a ON a.qid = k.qid AND a.axis = r.axis),
+y AS (SELECT qid, axis, n, sum(n * n) OVER (PARTITION BY qid) AS ss FROM z),
+q AS (SELECT qid, list(CASE WHEN ss > 0 THEN (n / sqrt(ss))::float::double WHEN axis = 0 THEN 1.0 ELSE 0.0 END ORDER BY axis) AS q FROM y GROUP BY qid)"""
+_ANSWERED = f"""{_REQUESTS.replace("WITH r AS", "WITH RECURSIVE r AS")}, {C.PRODUCTS_SQL},
+k AS (SELECT conv_id || ':' || turn || '|' || max_results AS qid, query FROM v WHERE status = 'ok'), {_WORDS},
+sc AS (SELECT qid, vec_id, {S.score_sql("embedding", "q")} AS score FROM q, embeddings),
+tp AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 40),
+rk AS (SELECT qid, products.*, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, product_id) AS o FROM tp JOIN products ON product_id = vec_id),
+{S.fold_sql("split_part(qid, '|', 2)::int", 2, S.TITLE_KEY_SQL, "rk")},
+g AS (SELECT qid, count(*) AS n, min_by(product_id, rank) AS first FROM chosen JOIN rk USING (qid, o) WHERE rating_number >= 10 AND NOT isnan(average_rating) AND average_rating >= 4.0 GROUP BY qid)
+SELECT conv_id || ':' || turn AS query_id, CASE WHEN status <> 'ok' THEN status WHEN n IS NULL THEN 'no_results' ELSE 'ok' END AS status, coalesce(n, 0)::int AS n_results, first::varchar AS first_asin
+FROM v LEFT JOIN g ON g.qid = conv_id || ':' || turn || '|' || max_results"""
 
 QUERIES = {
     "request_validation": (request_validation, f"{_REQUESTS} SELECT conv_id, turn, length(query)::int AS n, max_results, status FROM v"),
@@ -289,11 +287,16 @@ QUERIES = {
     ),
     "transient_error_classify": (
         transient_error_classify,
-        f"""SELECT id, coalesce(status IN (408, 409, 429, 500, 502, 503, 504), false) OR coalesce(name IN ('APITimeoutError', 'APIConnectionError', 'RateLimitError', 'InternalServerError'), false) AS transient,
+        f"""WITH r AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 400 + event_id % 120 ELSE [{_LISTED[1]}]{_AT} END AS status, [{_LISTED[2]}]{_AT} AS name, [{_LISTED[3]}]{_AT} AS message FROM events)
+        SELECT event_id, coalesce(status IN (408, 409, 429, 500, 502, 503, 504), false) OR coalesce(name IN ('APITimeoutError', 'APIConnectionError', 'RateLimitError', 'InternalServerError'), false) AS transient,
         coalesce(name IN ('NotFoundError', 'PermissionDeniedError') OR (name = 'BadRequestError' AND contains(lower(message), 'model')
-        AND regexp_matches(lower(message), '{"|".join(M.MODEL_HINTS)}')), false) AS fallback FROM (VALUES {_ERRORS}) t(id, status, name, message)""",
+        AND regexp_matches(lower(message), '{"|".join(M.MODEL_HINTS)}')), false) AS fallback FROM r""",
+    ),
+    "backoff_schedule": (
+        backoff_schedule,
+        """WITH e AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) FILTER (event_type = 'error') AS attempt FROM events GROUP BY ALL)
+        SELECT user_id, strftime(h, '%Y-%m-%d %H') AS hour, attempt, least(pow(2, attempt), 30)::int AS seconds FROM e""",
     ),
-    "backoff_schedule": (backoff_schedule, "SELECT range AS attempt, least(pow(2, range), 30)::int AS seconds FROM range(8)"),
     "batch_packing": (batch_packing, _PACK),
     "embed_resume": (
         embed_resume,
@@ -302,8 +305,8 @@ QUERIES = {
     ),
     "embed_resume_waves": (
         embed_resume_waves,
-        """SELECT doc_id AS row_index, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 2 END AS run,
-        greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS estimated_tokens FROM documents""",
+        """SELECT conv_id * 1000 + turn AS row_index, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS run,
+        greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS estimated_tokens FROM conversations""",
     ),
     "embed_job_batches": (
         embed_job_batches,
@@ -316,13 +319,7 @@ QUERIES = {
         SELECT row_index, request, estimated_tokens, CASE WHEN k = 1 THEN count(*) OVER (PARTITION BY request) ELSE 0 END::bigint AS prompt_tokens,
           CASE WHEN k = 1 THEN sum(chars) OVER (PARTITION BY request) ELSE 0 END::bigint AS total_tokens FROM r""",
     ),
-    "requests_answered": (
-        requests_answered,
-        rf"""{_REQUESTS}, s AS (SELECT conv_id || ':' || turn AS query_id, CASE WHEN status <> 'ok' THEN status ELSE CASE left(lower(query), 1)
-          WHEN 'a' THEN 'upstream_error' WHEN 'b' THEN 'missing_api_key' WHEN 'c' THEN 'internal_error' WHEN 'e' THEN 'upstream_error' WHEN 'f' THEN 'upstream_error'
-          ELSE CASE WHEN regexp_matches(lower(query), '^[^\pL\pN_]*d') THEN 'upstream_error' ELSE 'ok' END END END AS status FROM v)
-        SELECT query_id, status, status = 'ok' AS answered FROM s""",
-    ),
+    "requests_answered": (requests_answered, _ANSWERED),
     "manifest_stats": (
         manifest_stats,
         f"""WITH t AS (SELECT greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS n FROM documents)
@@ -348,7 +345,3 @@ QUERIES = {
     ),
     "explain_offline": (explain_offline, f"WITH {_RANKED} SELECT query_id, rank, product_id, 'Matches the request at rank ' || rank || '.' AS why_this_matches FROM ranked"),
 }
-
-
-#: Other names that these queries are known by.
-QUERIES |= {f"{name}_all": QUERIES[name] for name in ("request_outcomes", "explain_prompt", "explanation_merge_integrity", "explain_offline")}

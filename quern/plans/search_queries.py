@@ -11,8 +11,8 @@ from quern.plans import catalog as C
 from quern.session import stash
 
 K, POOL = 8, 40
-#: Of all vectors one in so many is a query, in requests of at most REQUEST queries.
-EVERY, REQUEST = 50, 65_536
+#: Of all vectors one in so many is a query.
+EVERY = 50
 
 
 def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -66,20 +66,14 @@ def recommend_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.quality_gate(curation.curate(rows, K, ["query_id"])).select(*RESULT)
 
 
-def recommend_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th vector as a query, against all products: queries grow with the table, and go in
-    requests of bounded size. Their pools cover most products, so parts and ratings are read whole."""
+def recommend_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector as a query, against all products: queries grow with the table, so they are dealt out in
+    groups. Their pools cover most products, so parts and ratings are read whole."""
     vectors = C.vectors(spark, sf_dir)
     known = C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
-    corpus, query = vectors.join(known, "product_id", "left_semi"), F.col("product_id") % EVERY == 0
-    asked = vectors.filter(query).select(F.col("product_id").alias("query_id"), "embedding")
-    n = asked.count()
-    # Dealt out by hash: twice as many requests as would just hold all.
-    requests = 1 if n <= REQUEST else 2 * -(-n // REQUEST)
-    best = None
-    for i in range(requests):
-        one = search.batch_candidates(corpus, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(requests)) == i), POOL, "product_id", max_queries=REQUEST)
-        best = one if best is None else best.unionByName(one)
+    corpus = vectors.join(known, "product_id", "left_semi")
+    asked = vectors.filter(F.col("product_id") % EVERY == 0).select(F.col("product_id").alias("query_id"), "embedding")
+    best = search.blocked_candidates(corpus, asked, POOL, "product_id")
     rows = C.keyed(stash(best, "batch-pools").join(C.products(spark, sf_dir), "product_id"))
     return curation.quality_gate(curation.curate(rows, K, ["query_id"])).select("query_id", *RESULT)
 
@@ -123,10 +117,17 @@ def artifact_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_if(F.expr("e is null")).alias("no_vector"), F.count_if(F.expr("p is null")).alias("no_product"), F.count_if(F.expr("p = e")).alias("aligned"))
 
 
-def query_validation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = C.table(spark, sf_dir, "embeddings")
-    v = F.when(F.col("vec_id") % 3 == 1, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 3 == 2, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
-    return e.select("vec_id", V.is_query(v, 64).alias("valid"))
+def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which vectors can be queries, of vectors that are cut short, scaled down, or made zero, infinite or null at one place, by
+    what they hold: the first component's size and sign."""
+    e, first = C.table(spark, sf_dir, "embeddings"), F.element_at("embedding", 1).cast("double")
+    size = F.floor(F.abs(first) * 1000) % 6
+    changed = lambda put: F.transform("embedding", lambda x, i: F.when(i == size, put).otherwise(x))
+    v = (
+        F.when(size == 0, F.slice("embedding", 2, 63)).when(size == 1, F.transform("embedding", lambda x: x * 0)).when(size == 2, changed(F.lit(float("inf")).cast("float")))
+        .when(size == 3, changed(F.lit(None).cast("float"))).when(size == 4, F.transform("embedding", lambda x: x * 1000)).otherwise(F.filter("embedding", lambda x: x * first < 10))
+    )
+    return e.select("vec_id", size.cast("int").alias("size"), V.is_query(v, 64).alias("valid"))
 
 
 def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +154,11 @@ _Q0 = "(SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)"
 _SCORE = "round(list_inner_product({e}::double[], {q}) / sqrt(list_inner_product({q}, {q})), 6)"
 
 
-def _score(e: str, q: str) -> str:
+def score_sql(e: str, q: str) -> str:
     return _SCORE.format(e=e, q=q)
 
 
-def _fold(k: int, cap: int, title: str, rk: str) -> str:
+def fold_sql(k: int | str, cap: int, title: str, rk: str) -> str:
     """Curation over ``rk`` (qid, o, product_id, title, store, ...) as a recursive list."""
     x = "c[1 + i % len(c)]"
     return f"""base AS (SELECT qid, list({{'o': o, 't': {title}, 'st': coalesce(trim(store), '')}} ORDER BY o) AS c FROM {rk} GROUP BY qid),
@@ -172,49 +173,54 @@ f(qid, c, i, sel, seen, sts) AS (
 chosen AS (SELECT qid, unnest(sel) AS o, unnest(range(1, len(sel) + 1)) AS rank FROM f WHERE i = 2 * len(c))"""
 
 
-_TITLE_KEY = f"coalesce(nullif(trim({C.title_sql('title')}), ''), product_id::varchar)"
-_RK_ONE = f"""sc AS (SELECT 0::bigint AS qid, cat.*, {_score('embedding', _Q0)} AS score FROM cat),
+TITLE_KEY_SQL = f"coalesce(nullif(trim({C.title_sql('title')}), ''), product_id::varchar)"
+_RK_ONE = f"""sc AS (SELECT 0::bigint AS qid, cat.*, {score_sql('embedding', _Q0)} AS score FROM cat),
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, product_id) AS o FROM sc) WHERE o <= {POOL})"""
 
 
 def _recommend_sql(scores: str, first: str) -> str:
     return f"""WITH RECURSIVE {C.CATALOG_SQL},
 {scores},
-{_fold(K, 2, _TITLE_KEY, 'rk')}
+{fold_sql(K, 2, TITLE_KEY_SQL, 'rk')}
 SELECT {first}rank::int AS rank, product_id, title, store, score, rating_number, average_rating
 FROM chosen JOIN rk USING (qid, o) WHERE rating_number >= 10 AND NOT isnan(average_rating) AND average_rating >= 4.0"""
 
 
 # The flagship takes its pool from all vectors and then keeps those with a product.
-_RK_ALL = f"""sc AS (SELECT 0::bigint AS qid, vec_id, {_score('embedding', _Q0)} AS score FROM embeddings),
+_RK_ALL = f"""sc AS (SELECT 0::bigint AS qid, vec_id, {score_sql('embedding', _Q0)} AS score FROM embeddings),
 tp AS (SELECT * FROM sc ORDER BY score DESC, vec_id LIMIT {POOL}),
 rk AS (SELECT qid, products.*, score, row_number() OVER (ORDER BY score DESC, product_id) AS o FROM tp JOIN products ON product_id = vec_id)"""
-_RK_BATCH = f"""sc AS (SELECT q.vec_id AS qid, cat.*, {_score('cat.embedding', 'q.embedding::double[]')} AS score FROM cat, embeddings q WHERE q.vec_id % {EVERY} = 0),
+_RK_BATCH = f"""sc AS (SELECT q.vec_id AS qid, cat.*, {score_sql('cat.embedding', 'q.embedding::double[]')} AS score FROM cat, embeddings q WHERE q.vec_id % {EVERY} = 0),
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, product_id) AS o FROM sc) WHERE o <= {POOL})"""
 
 
 def _clamp_sql(kind: str, n: str) -> str:
-    return f"(SELECT '{kind}' AS kind, vec_id AS product_id, {_score('embedding', _Q0)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {n})"
+    return f"(SELECT '{kind}' AS kind, vec_id AS product_id, {score_sql('embedding', _Q0)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {n})"
 
 
+# What can be a query, from the rule itself: 64 components, all finite, and one that is not zero.
+_VALID_SQL = """WITH s AS (SELECT vec_id, embedding AS e, (floor(abs(embedding[1]::double) * 1000) % 6)::int AS size FROM embeddings),
+v AS (SELECT vec_id, size, CASE size WHEN 0 THEN e[2:64] WHEN 1 THEN list_transform(e, lambda x: (x * 0)::float)
+  WHEN 2 THEN list_concat(e[1:2], ['inf'::float], e[4:64]) WHEN 3 THEN list_concat(e[1:3], [NULL::float], e[5:64]) WHEN 4 THEN list_transform(e, lambda x: (x * 1000)::float)
+  ELSE list_filter(e, lambda x: x * e[1] < 10) END AS v FROM s)
+SELECT vec_id, size, len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 AS valid FROM v"""
 _UNIT = "abs(sqrt(list_inner_product(embedding::double[], embedding::double[])) - 1) <= 0.00101"
 _FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 _SPOT = "vec_id IN (0, n // 2, n - 1)"
 
 QUERIES = {
     "recommend_top8": (recommend_top8, _recommend_sql(_RK_ALL, "")),
-    "recommend_batch": (recommend_batch_all, _recommend_sql(_RK_BATCH, "qid AS query_id, ")),
-    "recommend_batch_all": (recommend_batch_all, _recommend_sql(_RK_BATCH, "qid AS query_id, ")),
-    "vector_scores_round": (vector_scores_round, f"SELECT vec_id, {_score('embedding', _Q0)} AS score FROM embeddings"),
-    "vector_topn": (vector_topn, f"SELECT vec_id AS product_id, {_score('embedding', _Q0)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {POOL}"),
+    "recommend_batch": (recommend_batch, _recommend_sql(_RK_BATCH, "qid AS query_id, ")),
+    "vector_scores_round": (vector_scores_round, f"SELECT vec_id, {score_sql('embedding', _Q0)} AS score FROM embeddings"),
+    "vector_topn": (vector_topn, f"SELECT vec_id AS product_id, {score_sql('embedding', _Q0)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {POOL}"),
     "vector_pool_clamp": (vector_pool_clamp, " UNION ALL ".join((_clamp_sql("below_k", "12"), _clamp_sql("above_n", "1000000"), _clamp_sql("usual", str(POOL))))),
     "dedup_by_key": (
         dedup_by_key,
-        f"WITH RECURSIVE {C.CATALOG_SQL},\n{_RK_ONE},\n{_fold(POOL, POOL, _TITLE_KEY, 'rk')}\nSELECT rank::int AS rank, product_id, title FROM chosen JOIN rk USING (qid, o)",
+        f"WITH RECURSIVE {C.CATALOG_SQL},\n{_RK_ONE},\n{fold_sql(POOL, POOL, TITLE_KEY_SQL, 'rk')}\nSELECT rank::int AS rank, product_id, title FROM chosen JOIN rk USING (qid, o)",
     ),
     "store_cap": (
         store_cap,
-        f"WITH RECURSIVE {C.CATALOG_SQL},\n{_RK_ONE},\n{_fold(30, 2, 'product_id::varchar', 'rk')}\nSELECT rank::int AS rank, product_id, store FROM chosen JOIN rk USING (qid, o)",
+        f"WITH RECURSIVE {C.CATALOG_SQL},\n{_RK_ONE},\n{fold_sql(30, 2, 'product_id::varchar', 'rk')}\nSELECT rank::int AS rank, product_id, store FROM chosen JOIN rk USING (qid, o)",
     ),
     "vector_norm_audit": (
         vector_norm_audit,
@@ -233,8 +239,7 @@ QUERIES = {
         """SELECT count(*) FILTER (vec_id IS NULL) AS no_vector, count(*) FILTER (p_partkey IS NULL) AS no_product,
         count(*) FILTER (vec_id IS NOT NULL AND p_partkey IS NOT NULL) AS aligned FROM part FULL OUTER JOIN embeddings ON p_partkey = vec_id""",
     ),
-    "query_validation": (query_validation_all, "SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings"),
-    "query_validation_all": (query_validation_all, "SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings"),
+    "query_validation": (query_validation, _VALID_SQL),
     "memory_estimate": (
         memory_estimate,
         f"""WITH {C.CATALOG_SQL}, m AS (SELECT count(*) AS n, sum(len(embedding) * 4) / 1048576.0::double AS v,

@@ -33,21 +33,32 @@ def first_six_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("features"))
 
 
+#: Lists of images as lines have them, and the address that each gives; # stands for the event.
 IMAGES = (
-    '[{"large": "L", "hi_res": "H", "thumb": "T"}]', '[{"large": "", "hi_res": "H"}]', '[{"large": null, "thumb": "T"}, {"large": "X"}]', "[{}, {\"large\": \"X\"}]",
-    '["text"]', "[null]", "[]", '{"large": ["L"]}', "null",
+    '[{"large": "L#", "hi_res": "H#", "thumb": "T#"}]', '[{"large": "", "hi_res": "H#"}]', '[{"large": null, "thumb": "T#"}, {"large": "X#"}]', "[{}, {\"large\": \"X#\"}]",
+    '["text"]', "[null]", "[]", '{"large": ["L#"]}', "null", "{broken",
 )
-IMAGE_ANSWERS = ("L", "H", "T", None, None, None, None, None, None)
+IMAGE_ANSWERS = ("L#", "H#", "T#", None, None, None, None, None, None, None)
+
+
+def _k(props: str = "props") -> F.Column:
+    return F.try_variant_get(F.try_parse_json(props), "$.k", "bigint")
 
 
 def first_image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(IMAGES)), "case_id int, images string")
-    images = F.coalesce(F.try_variant_get(F.try_parse_json("images"), "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))
-    return rows.select("case_id", ingest.first_image_url(images).alias("url"))
+    """Of all events, with a list of images by the number in their properties."""
+    shape = F.element_at(F.array(*[F.lit(x) for x in IMAGES]), (_k() % len(IMAGES) + 1).cast("int"))
+    text = F.replace(shape, F.lit("#"), F.col("event_id").cast("string"))
+    images = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    return C.table(spark, sf_dir, "events").select("event_id", ingest.first_image_url(images).alias("url"))
 
 
 def json_props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.try_parse_json("props")
+    """Properties with a name (blank for views) and a list, of one type or another, joined to them."""
+    name = F.when(F.col("event_type") == "view", "  ").otherwise(F.col("event_type"))
+    listed = F.when(F.col("user_id") % 4 == 0, F.lit('"text"')).otherwise(F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("1"), (F.col("user_id") % 4).cast("int")), ","), F.lit("]")))
+    text = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "name": "'), name, F.lit('", "list": '), listed, F.lit("}"))
+    v = F.try_parse_json(text)
     return C.table(spark, sf_dir, "events").select(
         "event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), T.has_text(F.try_variant_get(v, "$.name", "string")).alias("has_name"),
         F.coalesce(F.size(F.try_variant_get(v, "$.list", "array<variant>")), F.lit(0)).alias("n_list"),
@@ -83,7 +94,9 @@ def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIM = r"regexp_replace({c}, '^[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')"
 _CLEAN = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_TRIM.format(c='x')}), lambda x: x <> '')"
 _NOISY = "p_name || ' (Medium) Size ' || p_size || ' XL 2.5'"
-_IMAGE_ROWS = ", ".join(f"({i}, {'NULL' if a is None else repr(a)})" for i, a in enumerate(IMAGE_ANSWERS))
+_IMAGE_LIST = ", ".join("NULL" if a is None else repr(a) for a in IMAGE_ANSWERS)
+_PROPS = """(regexp_replace(props, '\\}\\s*$', '') || ', "name": "' || CASE WHEN event_type = 'view' THEN '  ' ELSE event_type END || '", "list": '
+  || CASE WHEN user_id % 4 = 0 THEN '"text"' ELSE '[' || array_to_string(list_transform(range(user_id % 4), lambda i: '1'), ',') || ']' END || '}')"""
 _STATUS = f"""WITH {C.PRODUCTS_SQL}, s AS (SELECT *, CASE WHEN product_id % 17 = 0 THEN 'malformed'
   WHEN product_id % 8 = 0 OR NOT coalesce(rating_number >= 10 AND average_rating >= 4.0, false) THEN 'ineligible'
   WHEN product_id % 10 = 0 THEN 'missing_key' ELSE 'ok' END AS status FROM products)"""
@@ -97,11 +110,15 @@ QUERIES = {
     ),
     "clean_features": (clean_features, f"SELECT doc_id, len({_CLEAN}) AS n, array_to_string({_CLEAN}, chr(10)) AS features FROM documents"),
     "first_six_features": (first_six_features, f"SELECT doc_id, array_to_string(({_CLEAN})[1:6], chr(10)) AS features FROM documents"),
-    "first_image_url": (first_image_url, f"SELECT * FROM (VALUES {_IMAGE_ROWS}) t(case_id, url)"),
+    "first_image_url": (
+        first_image_url,
+        f"SELECT event_id, replace([{_IMAGE_LIST}][1 + json_extract_string(props, '$.k')::bigint % {len(IMAGES)}], '#', event_id::varchar) AS url FROM events",
+    ),
     "json_props_extract": (
         json_props_extract,
-        """SELECT event_id, try_cast(json_extract_string(props, '$.k') AS bigint) AS k, coalesce(trim(json_extract_string(props, '$.name')) <> '', false) AS has_name,
-        coalesce(json_array_length(props, '$.list'), 0)::int AS n_list FROM events""",
+        f"""WITH t AS (SELECT event_id, {_PROPS} AS p FROM events)
+        SELECT event_id, try_cast(json_extract_string(p, '$.k') AS bigint) AS k, coalesce(trim(json_extract_string(p, '$.name')) <> '', false) AS has_name,
+        coalesce(json_array_length(p, '$.list'), 0)::int AS n_list FROM t""",
     ),
     "token_estimate": (token_estimate, "SELECT doc_id, greatest(1, (length(coalesce(text, '')) + 2) // 3)::bigint AS tokens FROM documents"),
     "ingest_products": (

@@ -31,6 +31,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()) if fs.exists(where) else []
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in ``path``, sorted; none where it is not there."""
+    fs, where = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isFile()) if fs.exists(where) else []
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     """Moves a file or folder, whose new parents are made; raises where ``to`` is there already, or the move fails."""
     fs, where = _at(spark, path)

@@ -96,12 +96,15 @@ def test_search_in_passes_and_tiles_agrees(spark, monkeypatch):
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 16)))], "query_id bigint, embedding array<double>")
     rows = lambda df: sorted(map(tuple, df.select("query_id", "k", "score", "place").collect()))
     want = rows(search.batch_candidates(corpus, queries, 7, "k"))
+    for query_bytes in (16 * 8 * 9, 16 * 8 * 40, 1 << 30):
+        assert rows(search.blocked_candidates(corpus, queries, 7, "k", query_bytes=query_bytes)) == want
     assert rows(search.batch_candidates(corpus, queries, 7, "k", query_bytes=16 * 8 * 9)) == want
+    monkeypatch.setattr(search, "ROW_BYTES", 8 * 16 * 5)
+    monkeypatch.setattr(search, "SCORE_BYTES", 8 * 5 * 3)
+    assert rows(search.batch_candidates(corpus, queries, 7, "k")) == want
     v, q = np.array([r.embedding for r in corpus.orderBy("k").collect()]), np.array([r.embedding for r in queries.orderBy("query_id").collect()])
     scores = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ v.T, 6)
     assert [r[1] for r in want if r[0] == 3] == sorted(np.argsort(-scores[3], kind="stable")[:7].tolist())
-    with pytest.raises(ValueError, match="at most 39"):
-        search.batch_candidates(corpus, queries, 7, "k", max_queries=39)
     one = search.top_candidates(corpus, search.unit(q[3].tolist()), 7, "k")
     assert [r.k for r in one.collect()] == np.argsort(-scores[3], kind="stable")[:7].tolist()
     assert len(one._jdf.queryExecution().optimizedPlan().toString()) < 20_000

@@ -6,7 +6,7 @@ import pytest
 
 from quern import providers as M
 from quern.pipeline import Recommender
-from quern.plans.request_queries import FaultyEmbedder, FaultyExplainer, FaultyParser
+from tests.faulty import FaultyEmbedder, FaultyExplainer, FaultyParser
 
 QUERIES = ["anything", "blue dress", "coat", "dotted dress", "every dress", "fine dress", "green dress", "x", "", None]
 STATUSES = ["upstream_error", "missing_api_key", "internal_error", "upstream_error", "upstream_error", "upstream_error", "ok", *["invalid_request"] * 3]
