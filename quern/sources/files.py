@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import has_text, strip
 from quern.operators.ingest import PRODUCT_COLUMNS
-from quern.sources import shared
+from quern.sources import gzip_members, shared
 
 PRODUCT_DDL = (
     "parent_asin string, title string, store string, average_rating double, rating_number bigint, price double, image_url string, "
@@ -46,10 +46,31 @@ def renumbered(df: DataFrame, order: str, name: str, block: int = 1 << 16) -> Da
     return ranked.join(before, "_block").withColumn(name, F.col("_before") + F.col("_rank")).drop("_block", "_rank", "_before")
 
 
+def in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """value and row_index: the lines of the files at ``path``, numbered without gaps by file name and place in the file.
+    Spark reads larger splits first, so partitions are no guide: a split's lines are counted, and what lies before it is
+    added to their places in it. One small row for each split; lines are not shuffled."""
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), at.alias("_at"))
+    splits = lines.groupBy("_path", "_start").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_path", "_start")) - F.col("_rows")
+    splits = splits.select("_path", "_start", (before - F.col("_first")).alias("_shift"))
+    return lines.join(F.broadcast(splits), ["_path", "_start"]).select("value", (F.col("_at") + F.col("_shift")).alias("row_index"))
+
+
 def indexed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``raw_lines`` with row_index, their place in the files."""
-    lines = spark.read.text(path)
-    return dealt(indexed(lines), path)
+    """``raw_lines`` with row_index, their place in the files, by name."""
+    return dealt(in_file_order(spark, path), path)
+
+
+def gzip_lines(spark: SparkSession, path: str, range_bytes: int = gzip_members.RANGE) -> DataFrame:
+    """row_index and value of the lines of gzipped files, whose members are inflated by as many tasks as there are
+    ranges of ``range_bytes``. Numbering counts the lines of each range first."""
+    spark.dataSource.register(gzip_members.GzipMembers)
+    lines = spark.read.format("gzip_members").option("bytes", range_bytes).load(path)
+    sizes = lines.groupBy("part").agg(F.count("*").alias("_rows"))
+    before = sizes.select("part", (F.sum("_rows").over(Window.orderBy("part")) - F.col("_rows")).alias("_before"))
+    return lines.join(F.broadcast(before), "part").select((F.col("line") + F.col("_before")).alias("row_index"), "value")
 
 
 def indexed(df: DataFrame, name: str = "row_index") -> DataFrame:
