@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import curation, explain, search
@@ -90,4 +90,30 @@ def load_checked(vectors: DataFrame, manifest: dict, dimensions: int) -> DataFra
     return vectors
 
 
-__all__ = ["Recommender", "load_checked", "SHOWN"]
+def load_aligned(spark: SparkSession, products_path: str, matrix_path: str, manifest: dict) -> DataFrame:
+    """row_index, the product columns and embedding: product lines and the rows of a matrix, each at its place.
+
+    Lines are numbered by file and place and take their matrix row in the task that reads them, so nothing is shuffled. That they belong together is
+    checked first: rows and dimensions against the manifest, every vector's length, and the two digests that the embedding job
+    left, of texts and of vectors with their places. A line or a row that is missing, added, changed or shifted by one raises.
+    """
+    from quern.operators.embed_job import digest
+    from quern.sources import npy
+    from quern.sources.files import placed_products, product_texts
+
+    rows, dimensions = npy.shape_of(matrix_path)
+    products = placed_products(spark, products_path)
+    if (n := products.count()) != rows:
+        raise ValueError(f"{n} product lines and {rows} matrix rows do not go together")
+    if missing := {"texts_digest", "vectors_digest"} - set(manifest):
+        raise ValueError(f"the manifest lacks {', '.join(sorted(missing))}")
+    if digest(product_texts(products).select("row_index", F.col("text").alias("embedding")), "row_index") != manifest["texts_digest"]:
+        raise ValueError(f"the lines at {products_path} are not those that were embedded, in their order")
+    zipped = npy.with_rows(products, matrix_path)
+    load_checked(zipped, manifest, dimensions)
+    if digest(zipped, "row_index") != manifest["vectors_digest"]:
+        raise ValueError(f"the rows at {matrix_path} are not the vectors of the manifest, in their order")
+    return zipped
+
+
+__all__ = ["Recommender", "load_aligned", "load_checked", "SHOWN"]

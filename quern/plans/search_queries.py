@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
+from quern.functions.text import normalize_title
 from quern.operators import curation, search
 from quern.plans import catalog as C
-from quern.session import stash
+from quern.session import stash, work_dir
 
 K, POOL = 8, 40
 #: Of all vectors one in so many is a query.
@@ -117,6 +120,31 @@ def artifact_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_if(F.expr("e is null")).alias("no_vector"), F.count_if(F.expr("p is null")).alias("no_product"), F.count_if(F.expr("p = e")).alias("aligned"))
 
 
+def ordered_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products written as lines and their vectors as a matrix, zipped by place when they are loaded: each product with the first
+    component and the length of the vector that it has got. Both files go to the shared folder, which is mounted where a matrix is used."""
+    from quern.operators.embed_job import digest
+    from quern.pipeline import load_aligned
+    from quern.sources import files, npy
+
+    rows = files.renumbered(C.catalog(spark, sf_dir), "product_id", "row_index")
+    title = F.coalesce("title", F.lit(""))
+    lines = rows.select(
+        "row_index", F.col("product_id").cast("string").alias("parent_asin"), title.alias("title"), "store", "average_rating", "rating_number", "price", F.lit(None).cast("string").alias("image_url"),
+        F.array(title).alias("features"), normalize_title(title).alias("normalized_title"), F.concat(title, F.lit(" by "), F.col("store")).alias("retrieval_text"), "embedding",
+    )
+    rows = stash(lines, "zip-rows")
+    at = f"{work_dir(spark)}/zip-{uuid.uuid4().hex}"
+    files.write_products(rows.drop("embedding"), f"{at}/products")
+    vectors = rows.select("row_index", F.col("embedding").cast("array<float>").alias("embedding"))
+    npy.write_npy(vectors, f"{at}/matrix.npy".removeprefix("file://"), len(rows.first()["embedding"]))
+    texts = rows.select("row_index", F.trim("retrieval_text").alias("embedding"))
+    manifest = {"product_count": rows.count(), "dimensions": 64, "normalized": True, "vectors_digest": digest(vectors, "row_index"), "texts_digest": digest(texts, "row_index")}
+    zipped = load_aligned(spark, f"{at}/products", f"{at}/matrix.npy", manifest)
+    v = F.col("embedding")
+    return zipped.select(F.col("parent_asin").cast("bigint").alias("product_id"), "row_index", F.round(F.element_at(v, 1).cast("double"), 6).alias("first"), F.round(V.norm(v), 4).alias("norm"))
+
+
 def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which vectors can be queries, of vectors that are cut short, scaled down, or made zero, infinite or null at one place, by
     what they hold: the first component's size and sign."""
@@ -239,6 +267,11 @@ QUERIES = {
         """SELECT count(*) FILTER (vec_id IS NULL) AS no_vector, count(*) FILTER (p_partkey IS NULL) AS no_product,
         count(*) FILTER (vec_id IS NOT NULL AND p_partkey IS NOT NULL) AS aligned FROM part FULL OUTER JOIN embeddings ON p_partkey = vec_id""",
     ),
+    "ordered_zip": (
+        ordered_zip,
+        f"""WITH {C.CATALOG_SQL} SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS row_index, round(embedding[1]::double, 6) AS first,
+        round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 4) AS norm FROM cat""",
+    ),
     "query_validation": (query_validation, _VALID_SQL),
     "memory_estimate": (
         memory_estimate,

@@ -86,7 +86,7 @@ def indexed(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
     """Typed product lines; an empty file raises, and so does a line that does not fit the schema when it is read."""
-    lines = indexed(spark.read.text(path), "line").filter(has_text("value"))
+    lines = in_file_order(spark, path).withColumnRenamed("row_index", "line").filter(has_text("value"))
     if lines.isEmpty():
         raise ValueError(f"{path} has no products")
     row = F.from_json("value", f"{PRODUCT_DDL}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
@@ -96,6 +96,17 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.when(wrong, F.raise_error(told).cast(kind)).otherwise(row).alias("r")).select("r.*").drop("_broken")
 
 
+def placed_products(spark: SparkSession, path: str) -> DataFrame:
+    """``read_products`` with row_index, the place of each line in the files by name; none of the lines may be blank, or places
+    would not be those of products."""
+    lines = in_file_order(spark, path)
+    row = F.from_json("value", f"{PRODUCT_DDL}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    kind = "struct<" + ",".join(f.strip().replace(" ", ":", 1) for f in f"{PRODUCT_DDL}, _broken string".split(", ")) + ">"
+    told = F.concat(F.lit(f"{path}, line "), (F.col("row_index") + 1).cast("string"), F.lit(" is no product"))
+    wrong = row.isNull() | row["_broken"].isNotNull() | ~has_text("value")
+    return lines.select("row_index", F.when(wrong, F.raise_error(told).cast(kind)).otherwise(row).alias("r")).select("row_index", "r.*").drop("_broken")
+
+
 def write_products(products: DataFrame, path: str) -> None:
     """JSON lines with nulls kept and fields in order; with a row_index, rows are in its order from file to file."""
     if "row_index" in products.columns:

@@ -99,6 +99,37 @@ class NpyDataSource(DataSource):
         return NpyReader(self.options["path"].removeprefix("file://"), int(self.options.get("rows", 65_536)))
 
 
+def shape_of(path: str) -> tuple[int, int]:
+    """Rows and columns of a matrix, from its header."""
+    matrix = np.load(path.removeprefix("file://"), mmap_mode="r", allow_pickle=False)
+    if matrix.ndim != 2 or matrix.dtype != np.float32:
+        raise ValueError(f"{path} holds {matrix.dtype} of shape {matrix.shape}, not rows of float32")
+    return matrix.shape
+
+
+def with_rows(df: DataFrame, path: str, place: str = "row_index", name: str = "embedding") -> DataFrame:
+    """``df`` with ``name``: the matrix row at each row's ``place``, taken by the task that has the row. Nothing is shuffled;
+    a place beyond the matrix raises."""
+    at = path.removeprefix("file://")
+    carried = [c for c in df.columns if c != name]
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{place}`").cast("bigint").alias("at"))
+    kind = given.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.load(at, mmap_mode="r", allow_pickle=False)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                rows = part.column("at").to_numpy()
+                if len(rows) and not 0 <= rows.min() <= rows.max() < len(matrix):
+                    raise IndexError(f"row {rows.max()} of {len(matrix)} at {at}")
+                block = np.ascontiguousarray(matrix[rows])
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(block.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("row"), vectors], ["row", "vector"])
+
+    return given.mapInArrow(run, f"row {kind}, vector array<float>").select("row.*", F.col("vector").alias(name))
+
+
 def write_npy(vectors: DataFrame, path: str, dimensions: int, order: str = "row_index") -> int:
     """Rows of ``vectors`` (order, embedding) as one float32 file in order; returns their number.
 
