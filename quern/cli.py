@@ -4,6 +4,9 @@
     python -m quern.cli profile --input raw.jsonl.gz --output report.md
     python -m quern.cli embed --input products --output vectors --manifest manifest.json [--limit N]
     python -m quern.cli recommend --products products --vectors vectors --query "linen dress"
+
+``embed`` and ``recommend`` use offline models, or with --connect module:function a client's: the function gets the key of
+the environment (or of --env-file) in the process that asks. Gzipped input of several members is inflated by many tasks with --gzip-members.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ def positive_int(value: str) -> int:
     return n
 
 
-def run_ingest(spark: SparkSession, source: str, output: str) -> DataFrame:
-    silvered = ingest.silver(ingest.bronze(files.indexed_lines(spark, source))).persist()
+def run_ingest(spark: SparkSession, source: str, output: str, members: bool = False) -> DataFrame:
+    lines = files.gzip_lines(spark, source) if members else files.indexed_lines(spark, source)
+    silvered = ingest.silver(ingest.bronze(lines)).persist()
     # The rows that stay are counted anew, so that row_index has no gaps.
     kept = files.renumbered(silvered.filter("status = 'ok'").withColumnRenamed("row_index", "line"), "line", "row_index")
     kept.select("row_index", *ingest.PRODUCT_COLUMNS).write.parquet(output)
@@ -95,6 +99,11 @@ def run_profile(spark: SparkSession, source: str) -> str:
     return "\n\n".join([*(f"## {name}\n\n{files.markdown_table(df)}" for name, df in parts), policy]) + "\n"
 
 
+def providers(a: argparse.Namespace) -> M.Providers:
+    models = tuple(m.strip() for m in a.text_models.split(",") if m.strip())
+    return M.providers_of(a.connect, a.env_file, a.embedding_model, a.dimensions, models, a.intent_shape, a.explanations_shape)
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quern")
     sub = p.add_subparsers(dest="command", required=True)
@@ -107,24 +116,32 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("--max-estimated-tokens-per-request", type=positive_int, default=MAX_TOKENS)
     one.add_argument("--request-timeout-seconds", type=float, default=60.0)
     one.add_argument("--limit", type=positive_int)
+    sub.choices["ingest"].add_argument("--gzip-members", action="store_true")
     ask = sub.add_parser("recommend")
     for name in ("--products", "--vectors", "--query"):
         ask.add_argument(name, required=True)
     ask.add_argument("--max-results", type=positive_int, default=explain.RESULTS_DEFAULT)
+    for command in (one, ask):
+        for name in ("--connect", "--env-file", "--intent-shape", "--explanations-shape"):
+            command.add_argument(name)
+        command.add_argument("--embedding-model", default="")
+        command.add_argument("--dimensions", type=positive_int, default=DIMENSIONS)
+        command.add_argument("--text-models", default="")
     a = p.parse_args(args)
     spark = SparkSession.getActiveSession() or local_session()
     if a.command == "ingest":
-        print(files.markdown_table(run_ingest(spark, a.input, a.output)))
+        print(files.markdown_table(run_ingest(spark, a.input, a.output, a.gzip_members)))
     elif a.command == "profile":
         with open(a.output, "w", encoding="utf-8") as f:
             f.write(run_profile(spark, a.input))
     elif a.command == "embed":
         texts = files.product_texts(spark.read.parquet(a.input), a.limit)
         limits = (a.max_inputs_per_request, a.max_estimated_tokens_per_request, a.manifest, a.request_timeout_seconds)
-        print(embed_job.run(spark, texts, M.HashEmbedder(), a.output, "row_index", *limits, input_path=a.input, limit=a.limit))
+        print(embed_job.run(spark, texts, providers(a).embedder, a.output, "row_index", *limits, input_path=a.input, limit=a.limit))
     else:
         products = spark.read.parquet(a.products)
-        rec = Recommender(products, spark.read.parquet(a.vectors), M.HashEmbedder(), M.LexiconParser(), M.TemplateExplainer())
+        models, limits = providers(a), files.settings(path=a.env_file)
+        rec = Recommender(products, spark.read.parquet(a.vectors), models.embedder, models.parser, models.explainer, limits["pool"], limits["min_count"], limits["min_average"])
         asked = spark.createDataFrame([(0, a.query, a.max_results)], "query_id bigint, query string, max_results int")
         for row in rec.answer(asked).toJSON().collect():
             print(row)

@@ -8,6 +8,7 @@ providers need no network, so plans and tests run the same everywhere.
 from __future__ import annotations
 
 import hashlib
+import importlib
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -182,6 +183,37 @@ def status_of(error: Exception) -> str:
 # --- clients -----------------------------------------------------------------------------
 
 
+def named(spec: str) -> Any:
+    """What ``module:name`` names."""
+    module, _, name = spec.partition(":")
+    if not name:
+        raise ValueError(f"{spec!r} is not module:name")
+    return getattr(importlib.import_module(module), name)
+
+
+@lru_cache(maxsize=8)
+def _client(factory: str, key: str) -> Any:
+    return named(factory)(key)
+
+
+@dataclass(frozen=True)
+class Connection:
+    """Makes a client in the process that asks: ``factory`` (module:function) is called with the key that this process finds in
+    its environment or in ``env_file``. A plan carries the names alone, never the key."""
+
+    factory: str
+    env_file: str | None = None
+
+    def __call__(self) -> Any:
+        from quern.sources.files import settings
+
+        try:
+            key = settings(required=True, path=self.env_file)["api_key"]
+        except ValueError as e:
+            raise MissingKeyError(str(e)) from None
+        return _client(self.factory, key)
+
+
 @dataclass(frozen=True)
 class ClientEmbedder:
     """Embeds through a client with ``embeddings.create``; ``connect`` makes one in each process."""
@@ -317,6 +349,29 @@ class TemplateExplainer:
         return [(r, self.template.format(rank=r)) for r in ranks]
 
 
+@dataclass(frozen=True)
+class Providers:
+    """The three models that requests need."""
+
+    embedder: Embedder
+    parser: IntentParser
+    explainer: Explainer
+
+
+PARSER_PROMPT = "Turn the shopper's query into the fields asked for. Leave out what it does not say; retrieval_text is one sentence for finding products."
+EXPLAINER_PROMPT = "For every ranked product say in one sentence how it meets the shopper's intent, by what is given about it alone. Answer each rank once."
+
+
+def providers_of(connect: str | None, env_file: str | None = None, embedding_model: str = "", dimensions: int = 1536, text_models: tuple[str, ...] = (), intent_shape: str | None = None, explanations_shape: str | None = None) -> Providers:
+    """Models behind the client that ``connect`` (module:function) makes; the offline ones without it."""
+    if connect is None:
+        return Providers(HashEmbedder(), LexiconParser(), TemplateExplainer())
+    client = Connection(connect, env_file)
+    text = TextModel(text_models, client)
+    shapes = [named(s) if s else None for s in (intent_shape, explanations_shape)]
+    return Providers(ClientEmbedder(embedding_model, dimensions, client), ModelParser(text, PARSER_PROMPT, shapes[0]), ModelExplainer(text, EXPLAINER_PROMPT, shapes[1]))
+
+
 # --- plans -------------------------------------------------------------------------------
 
 INTENT_DDL = (

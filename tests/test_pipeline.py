@@ -8,6 +8,7 @@ from quern import cli
 from quern import providers as M
 from quern.operators import ingest
 from quern.pipeline import Recommender, load_checked
+from quern.sources import shared
 from quern.streaming.ingest import committed, stream_products
 
 
@@ -93,3 +94,37 @@ def test_contract(spark):
     queries, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 40
     assert e.entry(spark).count() > 0
+
+
+def test_the_command_line_asks_a_client(spark, raw, tmp_path, monkeypatch, capsys):
+    """Models behind a client, whose key stands in a file that the asking process reads."""
+    from tests import fake_client
+
+    log, env = tmp_path / "log", tmp_path / "env"
+    env.write_text("OPENAI_API_KEY=secret-1\n")
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    connect = M.Connection("tests.fake_client:connect", str(env))
+    monkeypatch.setenv(fake_client.ASKED, str(log))
+    # Workers get the environment that the context names.
+    spark.sparkContext.environment[fake_client.ASKED] = str(log)
+    flags = ["--connect", "tests.fake_client:connect", "--env-file", str(env), "--embedding-model", "small", "--dimensions", "64", "--text-models", "one, two"]
+    flags += ["--intent-shape", "tests.fake_client:Intent", "--explanations-shape", "tests.fake_client:Explanations"]
+    if not (raw / "products").exists():
+        cli.main(["ingest", "--input", str(raw / "raw.jsonl"), "--output", str(raw / "products")])
+    out = str(tmp_path / "v")
+    assert cli.main(["embed", "--input", str(raw / "products"), "--output", out, *flags]) == 0
+    assert shared.read_json(spark, f"{out}.manifest.json")["model"] == "small"
+    capsys.readouterr()
+    assert cli.main(["recommend", "--products", str(raw / "products"), "--vectors", out, "--query", "red linen dress", *flags]) == 0
+    answer = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert answer["status"] == "ok" and answer["results"][0]["why_this_matches"] == "by one" and answer["intent"]["garment_types"] == ["dress"]
+    told = log.read_text().splitlines()
+    assert {line.split()[1] for line in told} == {"embed", "parse"} and all(line.startswith("secret-1 ") for line in told)
+    assert "secret-1" not in repr(connect)
+    env.write_text("")
+    with pytest.raises(M.MissingKeyError):
+        connect()
+    offline = M.providers_of(None)
+    assert isinstance(offline.embedder, M.HashEmbedder)
+    with pytest.raises(ValueError, match="module:name"):
+        M.named("nothing")
