@@ -8,15 +8,18 @@ T(s, t) = ceil(percent * (s + t) / (100 + percent)) of them. The join finds them
 2. Shingles are ordered by rising frequency, from a fixed-size sketch of all documents. A pair
    must meet in the first s - T + 1 shingles of either set, so only these are shuffled, as
    inverted lists. Frequent shingles (boilerplate) stand last and seldom lead a list.
-3. Within a list, sorted by size, each class is held against the one before it alone: a list
-   of n near copies gives n - 1 pairs, not n * n. These links give components.
-4. What they leave apart is searched for (``_residual``). On a list of several components all but
-   the largest one's classes become queries. Every class is indexed once, in the block of its most
-   populated list and its band of sizes, and a query goes once to each block that its lists, sizes
-   and positions point to. There DivideSkip (``divide_skip``) merges the short inverted lists of
-   the query with a heap, skipping what cannot reach the required overlap, probes the long ones by
-   binary search, and returns every document of another component that reaches it. A link between
-   two components is given once in a block. No pair is ever built as a row.
+3. Every class with another one of fitting size on one of its lists is indexed once, in the block of its
+   most populated list and its band of sizes; and all but one class of each list ask, once in each
+   block that their lists, sizes and positions point to. There DivideSkip (``divide_skip``) merges the
+   short inverted lists of the query with a heap, skipping what cannot reach the required overlap,
+   probes the long ones by binary search, and returns every document that reaches it.
+4. In a block, what links count as one component from then on: a query is held against the most
+   central document of each large component and then searches among all documents of other
+   components. So a group of n near copies makes about n rows and not n * n pairs, and no pair of one component
+   is looked at twice. Links of all blocks give the components.
+
+``count_links`` has every class search among all others instead, and gives the number of classes that each one
+links with: exact, without a row for any pair, in time that grows with the square of a group.
 
 Texts are read three times: for the sketch, for the leading shingles, and to store, compressed,
 those of classes that share a leading shingle with a class of fitting size. Only stored texts move.
@@ -48,7 +51,9 @@ class JaccardJoin:
     block_shingles: int = 1_500_000  # of an index block, about
     block_queries: int = 20_000  # beyond which a block is split
     long_list: int = 64  # entries beyond which a list is probed rather than merged, as far as the threshold allows
-    central: int = 8  # documents of a component in a block from which on its most central one is tried first
+    central: int = 8  # documents of a component from which on its most central one is tried first
+    hot_list: int = 50_000  # occurrences from which on a shingle's list may be dealt out in parts
+    salts: int = 64  # parts of such a list
     broadcast_rows: int = 200_000  # classes whose texts are wanted are broadcast up to this many
 
     def overlap(self, s, t):
@@ -202,46 +207,65 @@ def divide_skip(index: BlockIndex, query: np.ndarray, wanted: np.ndarray, p: Jac
     return out
 
 
-class Elsewhere:
-    """Searches of a block for what links with a query from another component. Components that a
-    link joins count as one from then on, in this block."""
+class Search:
+    """Searches of a block. Documents that a link joins are one component from then on."""
 
-    def __init__(self, index: BlockIndex, labels: list[int], p: JaccardJoin):
+    def __init__(self, index: BlockIndex, p: JaccardJoin):
         self.index, self.p = index, p
-        values, of = np.unique(np.array(labels, np.int64), return_inverse=True)
-        self.label_of = values
-        self.number = {label: i for i, label in enumerate(values.tolist())}
-        self.root = np.arange(len(values) + 1)  # the last stands for a query's own, where the block has none of it
-        self.of = of
-        # The document of a component on the most populated lists, for components of some size.
+        n = len(index.names)
+        self.root = np.arange(n + 1)  # the last stands for a query that the block has not
+        self.members, self.centre = np.ones(n + 1, np.int64), np.arange(n + 1)
         length = np.diff(index.bounds)
-        weight = np.bincount(index.docs, weights=np.repeat(length, length), minlength=len(labels)) / np.maximum(1, index.sizes)
-        order = np.lexsort((-weight, of))
-        first = order[np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))]
-        self.centres = first[np.bincount(of)[of[first]] >= p.central]
-
-    def links(self, query: np.ndarray, label: int) -> list[tuple[int, int]]:
+        #: How populated the lists of a document are: a component's centre is the one with most company.
+        self.weight = np.append(np.bincount(index.docs, weights=np.repeat(length, length), minlength=n) / np.maximum(1, index.sizes), 0.0)
+
+    def _fits(self, n: int) -> np.ndarray:
+        sizes, p = self.index.sizes, self.p
+        return (p.percent * sizes <= 100 * n) & (p.percent * n <= 100 * sizes)
+
+    def _join(self, one: int, two: int) -> None:
+        """One component of two; the larger one's name stays, and never that of an outsider alone."""
+        here, there = (one, two) if self.members[one] < self.members[two] or one == len(self.index.names) else (two, one)
+        self.root[self.root == here] = there
+        self.members[there] += self.members[here]
+        if self.weight[self.centre[here]] > self.weight[self.centre[there]]:
+            self.centre[there] = self.centre[here]
+
+    def links(self, query: np.ndarray, cls: int) -> list[tuple[int, int]]:
         """(document, overlap): a link to each component that has any with the query."""
         index, p, n = self.index, self.p, len(query)
-        own = self.number.get(label, len(self.label_of))
-        self.root[-1] = len(self.label_of)
-        fits = (p.percent * index.sizes <= 100 * n) & (p.percent * n <= 100 * index.sizes)
+        own = index.place.get(cls, len(index.names))
+        if own == len(index.names):
+            # An outsider joins what it links with, and leaves no mark but those links.
+            if self.root[-1] != own:
+                self.members[self.root[-1]] -= 1
+            self.root[-1], self.members[-1] = own, 1
+        fits = self._fits(n)
         out = []
 
         def join(docs: list[tuple[int, int]]) -> None:
             for doc, count in docs:
-                here, there = self.root[own], self.root[self.of[doc]]
-                if here != there:
-                    self.root[self.root == here] = there
+                if self.root[own] != self.root[doc]:
+                    self._join(self.root[own], self.root[doc])
                     out.append((doc, count))
 
-        centres = self.centres[fits[self.centres] & (self.root[self.of[self.centres]] != self.root[own])]
+        roots = np.unique(self.root[:-1])
+        centres = self.centre[roots[self.members[roots] >= p.central]]
+        centres = centres[centres < len(index.names)]
+        centres = centres[fits[centres] & (self.root[centres] != self.root[own])]
         if len(centres):
             counts = index.probe(index.lists(query), centres)
             join([(d, c) for d, c in zip(centres.tolist(), counts.tolist(), strict=True) if c >= p.overlap(n, index.sizes[d])])
-        join(divide_skip(index, query, np.flatnonzero(fits & (self.root[self.of] != self.root[own])), p))
+        join(divide_skip(index, query, np.flatnonzero(fits & (self.root[:-1] != self.root[own])), p))
         return out
 
+    def count(self, query: np.ndarray, cls: int) -> int:
+        """How many documents other than the query's own class link with it."""
+        wanted = self._fits(len(query))
+        if (own := self.index.place.get(cls)) is not None:
+            wanted[own] = False
+        return len(divide_skip(self.index, query, np.flatnonzero(wanted), self.p))
+
 
 # --- passes over texts -------------------------------------------------------------------
 
@@ -299,17 +323,20 @@ def _levels(profile: DataFrame, p: JaccardJoin) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, levels: np.ndarray, p: JaccardJoin, key: str, text: str) -> DataFrame:
-    """token, cls, sp (size << 32 | position): the leading shingles of every class, once per task that has it."""
+    """token, salt, cls, sp (size << 32 | position): the leading shingles of every class, once per task that has it. Shingles
+    whose counter is beyond ``hot_list`` have one of ``salts`` by their class; a counter has at least the true number."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2 bytes a counter
+    counts = np.exp2(levels / 2048.0)
+    hot = np.log2(max(p.hot_list, 64 * float(counts.mean()))) * 2048
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, classes, places, held = [], [], [], 0
+            tokens, salts, classes, places, held = [], [], [], [], 0
 
             def out() -> pa.RecordBatch:
-                arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(places)]
-                return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "cls", "sp"])
+                arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(salts), np.concatenate(classes), np.concatenate(places)]
+                return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "salt", "cls", "sp"])
 
             for data in W.binary_column(batch, "data"):
                 found = shingles(data, p.width)
@@ -318,76 +345,50 @@ def _postings(docs: DataFrame, levels: np.ndarray, p: JaccardJoin, key: str, tex
                 seen.add(cls)
                 first = leading(found, shared.value, p.sketch_bits, p.probe(len(found)))
                 tokens.append(first)
+                salts.append(np.where(shared.value[slot_of(first, p.sketch_bits)] > hot, 1 + cls % p.salts, 0))
                 classes.append(np.full(len(first), cls, np.int64))
                 places.append((len(found) << 32) + np.arange(len(first), dtype=np.int64))
                 held += len(first)
                 if held > 1 << 17:
                     yield out()
-                    tokens, classes, places, held = [], [], [], 0
+                    tokens, salts, classes, places, held = [], [], [], [], 0
             if held:
                 yield out()
 
-    return _texts(docs, key, text).select("data").mapInArrow(run, "token bigint, cls bigint, sp bigint")
+    return _texts(docs, key, text).select("data").mapInArrow(run, "token bigint, salt bigint, cls bigint, sp bigint")
 
 
-LIST_DDL = "token bigint, cls bigint, size bigint, pos bigint, pred bigint, pred_size bigint"
+LIST_DDL = "token bigint, cls bigint, size bigint, pos bigint"
 
 
-def _lists(postings: DataFrame, p: JaccardJoin) -> DataFrame:
-    """LIST_DDL: the rows of all lists with more than one class, each with the class before it that it
-    may link with (null where there is none). Rows stream; two at most are held between batches."""
+def _lists(postings: DataFrame) -> DataFrame:
+    """LIST_DDL: the rows of all lists with more than one class, each class once. Rows stream; one is held between
+    batches. A list with a salt is dealt out in parts, all of whose rows are given, though a part may have one class."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)  # the open list's last leading row, and its last row
-        shown = False  # the held last row belongs to a list with other rows
-
-        def rows(table: np.ndarray, start: int, stop: int, more: bool) -> pa.RecordBatch | None:
-            token, cls, sp = table.T
-            n = len(token)
-            size, pos = sp >> 32, sp & 0xFFFFFFFF
-            at = np.arange(n)
-            opens = np.concatenate([[True], token[1:] != token[:-1]])
-            group = np.maximum.accumulate(np.where(opens, at, 0))
-            lead = pos < p.index(size)
-            before = np.concatenate([[-1], np.maximum.accumulate(np.where(lead, at, -1))[:-1]])
-            has = before >= group
-            y = np.where(has, before, 0)
-            s, t = size, size[y]
-            may = has & (100 * t >= p.percent * s) & (1 + np.minimum(s - pos - 1, t - pos[y] - 1) >= p.overlap(s, t))
-            several = ~opens | np.concatenate([~opens[1:], [False]])
-            if more:
-                several[start] = True
-            pick = at[start:stop][several[start:stop]]
-            if not len(pick):
-                return None
-            empty = ~may[pick]
-            arrays = [pa.array(a[pick]) for a in (token, cls, size, pos)]
-            arrays += [pa.array(cls[y][pick], mask=empty), pa.array(size[y][pick], mask=empty)]
-            return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in LIST_DDL.split(", ")])
+        held = np.zeros((0, 4), np.int64)
+        shown = False  # the held row's list has other rows
+
+        def out(table: np.ndarray) -> pa.RecordBatch:
+            arrays = [table[:, 0], table[:, 3], table[:, 2] >> 32, table[:, 2] & 0xFFFFFFFF]
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [f.split()[0] for f in LIST_DDL.split(", ")])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(c).to_numpy() for c in ("token", "cls", "sp")])
-            table = np.concatenate([held, table])
+            table = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in ("token", "salt", "sp", "cls")])])
             # A class that several tasks have is adjacent to itself.
-            fresh = np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])
-            lead_kept = len(held) == 2
-            table = table[fresh]
-            start = 1 if lead_kept and len(table) > 1 and fresh[1] else 0
+            table = table[np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])]
+            same = (table[1:, :2] == table[:-1, :2]).all(axis=1)
+            several = np.concatenate([[shown], same]) | np.concatenate([same, [False]]) | (table[:, 1] > 0)
             # All rows but the last are shown; the last may still get company.
-            if len(table) - 1 > start and (got := rows(table, start, len(table) - 1, shown)):
-                yield got
-            last = table[-1]
-            same = table[:-1][table[:-1, 0] == last[0]]
-            moved = len(table) - 1 > start
-            shown = (len(same) > 0) if moved else shown
-            leads = same[(same[:, 2] & 0xFFFFFFFF) < p.index(same[:, 2] >> 32)]
-            held = np.concatenate([leads[-1:], last[None]])
-        if shown and (got := rows(held, len(held) - 1, len(held), True)):
-            yield got
-
-    ordered = postings.repartition("token").sortWithinPartitions("token", "sp", "cls")
+            if several[:-1].any():
+                yield out(table[:-1][several[:-1]])
+            held, shown = table[-1:], bool(several[-1])
+        if len(held) and shown:
+            yield out(held)
+
+    ordered = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "sp", "cls")
     return stash(ordered.mapInArrow(run, LIST_DDL), "jaccard-lists")
 
 
@@ -436,63 +437,29 @@ def _store(docs: DataFrame, reps: DataFrame, wanted: DataFrame, p: JaccardJoin,
     return out
 
 
-def _chained(pairs: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
-    """a, b, overlap: the ``pairs`` (x, y: classes, size: of x) that link.
-
-    Index documents are spread over blocks by hash; a query goes to the blocks of its
-    candidates once each, with their names. A block with very many queries is split, its
-    index repeated in each part.
-    """
-    spark = pairs.sparkSession
-    asked = pairs.select("y").distinct().join(store.select(F.col("cls").alias("y"), "n"), "y")
-    total = asked.agg(F.sum("n")).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // p.block_shingles))
-
-    def block(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(blocks))
-
-    asks = pairs.select("x", "y", "size", block("y").alias("block")).groupBy("x", "block").agg(F.first("size").alias("n"), F.collect_set("y").alias("wanted"))
-    asks = stash(asks, "jaccard-asks")
-    parts = asks.groupBy("block").agg(_query_parts(p))
-    queries = asks.drop("n").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    queries = queries.join(store, F.col("x") == F.col("cls")).select("block", "part", F.lit(1).alias("role"), "cls", _null("label", "bigint"), "z", "wanted")
-    index = pairs.select(F.col("y").alias("cls")).distinct().join(store, "cls").withColumn("block", block("cls")).join(parts, "block")
-    index = index.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls", _null("label", "bigint"), "z", _null("wanted", "array<bigint>"))
-    links = stash(_search_blocks(index, queries, p).select("a", "b", "overlap"), "jaccard-links")
-    discard(asks)
-    return links
-
-
-def _null(name: str, kind: str) -> Column:
-    return F.lit(None).cast(kind).alias(name)
-
-
 def _query_parts(p: JaccardJoin) -> Column:
     """Into how many parts the queries (n: their sizes) of a block go."""
     return (F.greatest(F.floor(F.count("*") / p.block_queries), F.floor(F.sum("n") / p.block_shingles)) + 1).cast("int").alias("parts")
 
 
-def _search_blocks(index: DataFrame, queries: DataFrame, p: JaccardJoin) -> DataFrame:
-    """a, b, overlap, a_label, b_label: what the queries link with in their blocks: those in ``wanted``,
-    or where that is null one document of each other component. Both tables have block, part,
-    role (0: index, 1: query), cls, label, z, wanted."""
+def _search_blocks(index: DataFrame, queries: DataFrame, p: JaccardJoin, exact: bool) -> DataFrame:
+    """a, b, overlap: what queries (a) link with in their blocks, a document (b) of each component; or, ``exact``, a, null and the
+    number of documents that it links with there. Both tables have block, part, role (0: index, 1: query), cls, z."""
     rows = index.unionByName(queries).repartition("block", "part").sortWithinPartitions("block", "part", "role")
     width = p.width
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, here = zstandard.ZstdDecompressor(), None
         names: list[int] = []
-        labels: list[int] = []
         sets: list[np.ndarray] = []
         known: set[int] = set()
-        index: BlockIndex | None = None
-        other: Elsewhere | None = None
+        search: Search | None = None
         for batch in batches:
             found: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("block", "part", "role", "cls", "label", "z", "wanted")]
-            for at_block, part, role, cls, label, z, wanted in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("block", "part", "role", "cls", "z")]
+            for at_block, part, role, cls, z in zip(*columns, strict=True):
                 if (at_block, part) != here:
-                    here, names, labels, sets, known, index, other = (at_block, part), [], [], [], set(), None, None
+                    here, names, sets, known, search = (at_block, part), [], [], set(), None
                 if role == 1 and not names:
                     continue
                 own = shingles(reader.decompress(z), width)
@@ -500,33 +467,41 @@ def _search_blocks(index: DataFrame, queries: DataFrame, p: JaccardJoin) -> Data
                     if cls not in known:
                         known.add(cls)
                         names.append(cls)
-                        labels.append(label)
                         sets.append(own)
                     continue
-                if index is None:
-                    index = BlockIndex(names, sets)
+                if search is None:
+                    search = Search(BlockIndex(names, sets), p)
                     sets = []
-                if wanted is not None:
-                    numbers = np.array(sorted(index.place[w] for w in wanted if w in index.place), np.int64)
-                    found += [(cls, names[doc], count, None, None) for doc, count in divide_skip(index, own, numbers, p)]
+                if exact:
+                    found.append((cls, None, search.count(own, cls)))
                 else:
-                    other = other or Elsewhere(index, labels, p)
-                    found += [(cls, names[doc], count, label, labels[doc]) for doc, count in other.links(own, label)]
-            columns = list(zip(*found, strict=True)) if found else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "overlap", "a_label", "b_label"])
+                    found += [(cls, names[doc], count) for doc, count in search.links(own, cls)]
+            columns = list(zip(*found, strict=True)) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "overlap"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint, overlap bigint, a_label bigint, b_label bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint, overlap bigint")
 
 
 # --- the join ----------------------------------------------------------------------------
 
 
+def _prepared(docs: DataFrame, p: JaccardJoin, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(id, n, cls of all rows; cls, n, smallest id of all classes; rows of lists that another class fits; stored texts of those)."""
+    profile = _profile(docs, p, key, text)
+    rows = profile.filter("sketch is null").drop("sketch")
+    reps = rows.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("rep"))
+    lists = _lists(_postings(docs, _levels(profile, p), p, key, text))
+    near = stash(_near(lists, p), "jaccard-near")
+    discard(lists)
+    return rows, reps, near, _store(docs, reps, near.select("cls"), p, key, text)
+
+
 def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, links).
 
     Documents: doc_id, n_shingles, component_id (the smallest id that links lead to), class_id of
-    every row. Links: a, b (classes), overlap; enough of them to connect every component, and
-    all that were verified: of a group of many near copies that is a small part of all.
+    every row. Links: a, b (classes), overlap; enough of them to connect every component: of a group
+    of many near copies that is a small part of all (``count_links`` has their number).
 
     A text that is null or has no word has no shingle and links with nothing: its component is
     its own id. Rows with equal sets are one class, whatever their ids; rows may repeat. Ids
@@ -534,32 +509,31 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", t
     columns are not read; an empty table gives an empty one. Sets are compared by 64-bit
     hashes of their shingles.
     """
-    profile = _profile(docs, p, key, text)
-    rows = profile.filter("sketch is null").drop("sketch")
-    reps = rows.filter("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("rep"))
-    lists = _lists(_postings(docs, _levels(profile, p), p, key, text), p)
-    near = stash(_near(lists, p), "jaccard-near")
-    store = _store(docs, reps, near.select("cls"), p, key, text)
-    pairs = lists.filter("pred is not null").select(F.col("cls").alias("x"), F.col("pred").alias("y"), "size").distinct()
-    pairs = stash(pairs, "jaccard-pairs")
-    discard(lists)
-    first = _chained(pairs, store, p)
-    labels = components(first)
-    more = _residual(near, labels, store, p)
-    discard(pairs, near, store)
-    joined = components(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
-    links = stash(first.unionByName(more.select("a", "b", "overlap")), "jaccard-all-links")
-    named = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("near"))
-    named = named.join(joined, F.col("near") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "near").alias("label"))
+    rows, reps, near, store = _prepared(docs, p, key, text)
+    links = _searched(near, store, p)
+    discard(near, store)
+    labels = components(links.select("a", "b"))
+    named = reps.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = stash(named.join(smallest, "label").select("cls", "component_id"), "jaccard-classes")
-    discard(first, more, labels, joined)
+    discard(labels)
     documents = rows.join(classes.withColumnRenamed("cls", "to_cls"), F.col("cls") == F.col("to_cls"), "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("cls").alias("class_id")
     )
     return documents, links
 
 
+def count_links(docs: DataFrame, p: JaccardJoin = JaccardJoin(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id and n_links of every row: the number of other classes that its class links with, every one
+    searched for and verified. Nulls, repeats and empty tables as in ``join``."""
+    rows, _, near, store = _prepared(docs, p, key, text)
+    found = _searched(near, store, p, exact=True)
+    discard(near, store)
+    counts = found.groupBy("a").agg(F.sum("overlap").alias("n_links"))
+    counted = rows.join(counts, F.col("cls") == F.col("a"), "left")
+    return counted.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 #: Sizes of a band differ by less than a quarter.
 _BAND = "cast(floor(ln(size) / ln(1.25)) as int)"
 
@@ -596,24 +570,21 @@ def _near(lists: DataFrame, p: JaccardJoin) -> DataFrame:
     return rows.join(groups, F.expr(others) & _fits(p), "left_semi")
 
 
-def _residual(near: DataFrame, labels: DataFrame, store: DataFrame, p: JaccardJoin) -> DataFrame:
-    """a, b, overlap, a_label, b_label: links between the components that ``labels`` (node, label) gives, enough to
-    join all that have any. A class without a label is a component of its own."""
-    rows = near.join(labels, F.col("cls") == F.col("node"), "left")
-    rows = labelled = stash(rows.select("token", "cls", "size", "pos", F.coalesce("label", "cls").alias("label")), "jaccard-labelled")
-    per = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
-    per = per.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("members"), F.count("*").alias("several"))
-    rows = rows.join(per.filter("several > 1").drop("several"), "token")
-    home = rows.groupBy("cls").agg(F.max_by("token", F.struct("members", "token")).alias("home"))
-    rows = rows.drop("members").join(home, "cls").withColumn("band", F.expr(_BAND))
+def _searched(near: DataFrame, store: DataFrame, p: JaccardJoin, exact: bool = False) -> DataFrame:
+    """a, b, overlap: links enough to join all classes that links connect; or, ``exact``, the links of each class in each of its blocks."""
+    per = near.groupBy("token").agg(F.max("cls").alias("asked"), F.count("*").alias("members"))
+    home = near.join(per, "token").groupBy("cls").agg(F.max_by("token", F.struct("members", "token")).alias("home"))
+    rows = near.join(home, "cls").withColumn("band", F.expr(_BAND))
     rows = stash(rows, "jaccard-open")
-    groups = rows.groupBy("token", "home", "band").agg(*_groups(p), F.min("label").alias("lo_label"), F.max("label").alias("hi_label"))
+    groups = rows.groupBy("token", "home", "band").agg(*_groups(p), F.min("cls").alias("lo_cls"), F.max("cls").alias("hi_cls"))
     groups = groups.withColumnsRenamed({"token": "to_token", "home": "to_home", "band": "to_band"})
-    others = "token = to_token and (lo_label <> label or hi_label <> label)"
-    routes = rows.filter("label <> major").join(groups, F.expr(others) & _fits(p))
-    routes = routes.select("cls", F.col("size").alias("n"), "label", F.col("to_home").alias("home"), F.col("to_band").alias("band")).distinct()
+    others = "token = to_token and (lo_cls <> cls or hi_cls <> cls)"
+    # A list's last class need not ask: all others ask for it. To count, it has to.
+    asking = rows if exact else rows.join(per.select(F.col("token").alias("at"), "asked"), F.expr("token = at and cls = asked"), "left_anti")
+    routes = asking.join(groups, F.expr(others) & _fits(p))
+    routes = routes.select("cls", F.col("size").alias("n"), F.col("to_home").alias("home"), F.col("to_band").alias("band")).distinct()
     routes = stash(routes, "jaccard-routes")
-    classes = rows.select("cls", F.col("size").alias("n"), "label", "home", "band").distinct()
+    classes = rows.select("cls", F.col("size").alias("n"), "home", "band").distinct()
     blocks = routes.groupBy("home", "band").agg(_query_parts(p)).join(
         classes.groupBy("home", "band").agg((F.floor(F.sum("n") / p.block_shingles) + 1).cast("int").alias("shards")), ["home", "band"]
     )
@@ -624,12 +595,12 @@ def _residual(near: DataFrame, labels: DataFrame, store: DataFrame, p: JaccardJo
         """A query goes to one part of every shard of its block, an index document to every part of its shard."""
         own, every = ("parts", "shards") if role else ("shards", "parts")
         mine = F.pmod(F.xxhash64("cls"), F.col(own)).cast("int").alias("mine")
-        side = side.join(blocks, ["home", "band"]).select("cls", "label", "home", "band", mine, F.explode(F.sequence(F.lit(0), F.col(every) - 1)).alias("each"))
+        side = side.join(blocks, ["home", "band"]).select("cls", "home", "band", mine, F.explode(F.sequence(F.lit(0), F.col(every) - 1)).alias("each"))
         shard, part = ("each", "mine") if role else ("mine", "each")
-        return side.join(texts, "cls").select(F.xxhash64("home", "band", shard).alias("block"), F.col(part).alias("part"), F.lit(role).alias("role"), "cls", "label", "z", _null("wanted", "array<bigint>"))
+        return side.join(texts, "cls").select(F.xxhash64("home", "band", shard).alias("block"), F.col(part).alias("part"), F.lit(role).alias("role"), "cls", "z")
 
-    found = stash(_search_blocks(dealt(classes, 0), dealt(routes, 1), p), "jaccard-residual")
-    discard(labelled, rows, routes, blocks)
+    found = stash(_search_blocks(dealt(classes, 0), dealt(routes, 1), p, exact), "jaccard-links")
+    discard(rows, routes, blocks)
     return found
 
 

@@ -163,33 +163,67 @@ def test_components_match_union_find(spark):
 def test_lists_do_not_depend_on_batches(spark, rows_per_batch):
     rng = random.Random(9)
     p = J.JaccardJoin()
-    classes = {c: rng.randint(4, 40) for c in range(60)}
     rows = set()
-    for c, s in classes.items():
+    for c in range(60):
+        s = rng.randint(4, 40)
         for token in rng.sample(range(40), 6):
-            rows.add((token, c, (s << 32) + rng.randint(0, p.probe(s) - 1)))
-    rows = list({(t, c): (t, c, sp) for t, c, sp in rows}.values())
-    rows += rng.choices(rows, k=50) + [(100 + i, 5, (10 << 32)) for i in range(9)]
+            # Tokens from 30 on are dealt out in parts.
+            rows.add((token, 1 + c % 4 if token >= 30 else 0, c, (s << 32) + rng.randint(0, p.probe(s) - 1)))
+    rows = list(rows)
+    rows += rng.choices(rows, k=50) + [(100 + i, 0, 5, (10 << 32)) for i in range(9)] + [(200, 3, 5, 10 << 32)]
     want = {}
-    for token in {t for t, _, _ in rows}:
-        group = sorted({(sp, c) for t, c, sp in rows if t == token})
-        lead = None
-        for at, (sp, c) in enumerate(group):
-            s, i = sp >> 32, sp & 0xFFFFFFFF
-            if len(group) > 1:
-                pred = None
-                if lead:
-                    t, j = lead[0] >> 32, lead[0] & 0xFFFFFFFF
-                    if 100 * t >= 80 * s and 1 + min(s - i - 1, t - j - 1) >= p.overlap(s, t):
-                        pred = lead[1]
-                want[token, c] = (s, i, pred)
-            if i < p.index(s):
-                lead = (sp, c)
+    for token in {r[0] for r in rows}:
+        group = {(salt, c, sp) for t, salt, c, sp in rows if t == token}
+        if len(group) > 1 or token >= 200:
+            want |= {(token, c): (sp >> 32, sp & 0xFFFFFFFF) for _, c, sp in group}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
     try:
-        got = J._lists(spark.createDataFrame(rows, "token bigint, cls bigint, sp bigint"), p).collect()
+        got = J._lists(spark.createDataFrame(rows, "token bigint, salt bigint, cls bigint, sp bigint")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(want)
-    assert {(r.token, r.cls): (r.size, r.pos, r.pred) for r in got} == want
-    assert all(r.pred is None or r.pred_size == next(s for (t, c), (s, _, _) in want.items() if (t, c) == (r.token, r.pred)) for r in got)
+    assert {(r.token, r.cls): (r.size, r.pos) for r in got} == want
+
+
+def linked(rows):
+    """How many other sets the set of each row links with, over all pairs."""
+    sets = {frozenset(shingle_set(t)) for _, t in rows} - {frozenset()}
+    count = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets}
+    return sorted((name, count.get(frozenset(shingle_set(t)), 0)) for name, t in rows)
+
+
+def test_links_are_counted_exactly(spark):
+    rows = corpus(4, 200)
+    base = [f"w{i}" for i in range(60)]
+    rng = random.Random(1)
+    for i in range(80):  # one group, with links of every strength
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"e{rng.randint(0, 9)}"
+        rows.append((10_000 + i, " ".join(words)))
+    rows += [(20_000, None), (20_001, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for p in (J.JaccardJoin(), replace(J.JaccardJoin(), block_queries=5, block_shingles=400, long_list=4, hot_list=3, sketch_bits=8, salts=3)):
+        assert sorted((r.doc_id, r.n_links) for r in J.count_links(df, p).collect()) == linked(rows)
+        assert got(df, p) == brute(rows)
+    assert J.count_links(df.limit(0)).count() == 0
+
+
+def test_outsiders_do_not_stand_for_each_other():
+    p = J.JaccardJoin()
+    two = [np.arange(a, a + 40, dtype=np.uint64) for a in (0, 1000)]
+    search = J.Search(J.BlockIndex([5, 6], two), p)
+    for cls, own, doc in ((7, two[0], 0), (8, two[1], 1), (9, two[1], 1), (10, two[0], 0)):
+        assert search.links(own, cls) == [(doc, 40)]
+    both = np.concatenate([two[0], two[1][:9]])
+    assert search.links(both, 11) == [(0, 40)] and search.links(two[0][:5], 12) == []
+
+
+def test_every_link_is_one(spark):
+    rows = corpus(5, 200)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    documents, links = J.join(df)
+    sets = {r.class_id: shingle_set(t) for r in documents.collect() for name, t in rows if name == r.doc_id}
+    for r in links.collect():
+        a, b = sets[r.a], sets[r.b]
+        assert r.overlap == len(a & b) and 100 * len(a & b) >= 80 * len(a | b)
