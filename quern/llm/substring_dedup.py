@@ -209,10 +209,25 @@ def _id(key: str) -> F.Column:
 
 
 def _shared(pairs: DataFrame) -> DataFrame:
-    """digest, keeper (its earliest document) of the digests that several documents have."""
-    return stash(
-        pairs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "substring-firsts"
-    )
+    """digest, keeper (its earliest document) and pairs of the digests that several documents have."""
+    firsts = pairs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count("*").alias("n"))
+    return stash(firsts.filter("keeper < last").drop("last"), "substring-firsts")
+
+
+#: A digest with one in so many pairs is a hot one; there are no more such digests than this.
+HOT_ONE_IN = 2000
+
+
+def _met(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """id, digest, keeper of the pairs whose digest is in ``first``. Hot digests, at most HOT_ONE_IN, go to all tasks, so that the
+    pairs of a passage that many documents share stay where they lie; the others, none of which is large, are joined by a shuffle."""
+    hot = first.filter(F.col("n") * HOT_ONE_IN >= pairs.count())
+    names = first.select("digest", "keeper")
+    if hot.isEmpty():
+        return pairs.join(names, "digest")
+    hot = F.broadcast(hot.select("digest", "keeper"))
+    rest = pairs.join(hot.select("digest"), "digest", "left_anti").join(names, "digest")
+    return pairs.join(hot, "digest").unionByName(rest)
 
 
 def repeated_units(docs: DataFrame, p: SubstringDedup = SubstringDedup(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,12 +235,12 @@ def repeated_units(docs: DataFrame, p: SubstringDedup = SubstringDedup(), key: s
     pairs = stash(_digests(docs, p, key, text), "substring-pairs")
     if p.widen:
         chosen, first = pairs, _shared(pairs)
-        met = pairs.join(first, "digest")
+        met = _met(pairs, first)
         kept = F.col("id") == F.col("keeper")
         hits = met.groupBy("id").agg(F.collect_set(F.when(~kept, F.col("digest"))).alias("later"), F.collect_set(F.when(kept, F.col("digest"))).alias("own"))
         pairs = stash(_beside(docs, hits, p, key, text), "substring-beside")
         discard(chosen, first)
-    later = pairs.join(_shared(pairs), "digest").filter("id > keeper").select("id", "digest")
+    later = _met(pairs, _shared(pairs)).filter("id > keeper").select("id", "digest")
     return later.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
 

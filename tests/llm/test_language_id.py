@@ -80,3 +80,53 @@ def test_sample_is_bounded_and_leaves_out(spark):
         assert zlib.crc32(str(i).encode()) % 3 != 1 and i % 2
     assert L.fit(df.limit(0)) is None
     assert L.predict(df, None).filter("lang_pred <> 'und'").count() == 0
+
+
+def plain_probabilities(net, window):
+    """The network's answer for one window, position by position and filter by filter."""
+    emb = [net.emb[b].astype(np.float64) for b in window]
+    feats = []
+    for width, conv, bias in zip(net.p.widths, net.conv, net.bias, strict=True):
+        for k in range(net.p.filters):
+            best = -np.inf
+            for at in range(len(emb) - width + 1):
+                value = sum(emb[at + j][d] * float(conv[j * net.p.dim + d, k]) for j in range(width) for d in range(net.p.dim))
+                best = max(best, value)
+            feats.append(max(0.0, best + float(bias[k])))
+    logits = [sum(f * float(net.out[i, c]) for i, f in enumerate(feats)) + float(net.out_bias[c]) for c in range(len(net.langs))]
+    e = [np.exp(x - max(logits)) for x in logits]
+    return [x / sum(e) for x in e]
+
+
+def plain_prediction(net, data):
+    """Windows cut one after another, the last filled with zeros, and the mean of their probabilities."""
+    size = net.p.window
+    if data is None or not any(c.isalpha() for c in data.decode()):
+        return "und", 0.0
+    rows = [plain_probabilities(net, list(data[a : a + size].ljust(size, b"\0"))) for a in range(0, max(1, len(data)), size)]
+    mean = [sum(r[c] for r in rows) / len(rows) for c in range(len(net.langs))]
+    best = max(range(len(mean)), key=lambda c: (mean[c], -c))
+    return net.langs[best], mean[best]
+
+
+def test_predictions_against_a_plain_forward_pass(spark):
+    p = replace(L.LangParams(), window=16, dim=3, filters=4, widths=(2, 3), predict_batch=4)
+    net = L.ByteCNN(["aa", "bb", "cc"], p)
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "é", "12 !", "the quick brown fox", "x" * 16, "y" * 17, "größer als " * 20, "ñandú " * 40, None, "a\x00b", "日本語" * 9]
+    texts += ["".join(chr(int(c)) for c in rng.integers(32, 400, n)) for n in (5, 40, 200)]
+    got = L.predict_batch(net, [None if t is None else t.encode() for t in texts])
+    for t, (lang, score) in zip(texts, got, strict=True):
+        want = plain_prediction(net, None if t is None else t.encode())
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-5), t
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    rows = {r.doc_id: (r.lang_pred, round(r.score, 4)) for r in L.predict(df, net).collect()}
+    assert rows == {i: (lang, round(score, 4)) for i, (lang, score) in enumerate(got)}
+
+
+def test_a_tie_goes_to_the_first_language():
+    p = replace(L.LangParams(), window=16, dim=3, filters=4, widths=(2, 3))
+    net = L.ByteCNN(["aa", "bb", "cc"], p)
+    net.out[:] = 0
+    assert [lang for lang, _ in L.predict_batch(net, [b"word", b"other words " * 9])] == ["aa", "aa"]
+    assert L.predict_text(net, b"word")[0] == "aa"

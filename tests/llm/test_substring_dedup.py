@@ -234,3 +234,16 @@ def test_whole_repeats_go_and_nothing_else_does(spark):
         units_before |= units_here
         blocks_before |= {b for _, b in blocks_here}
     assert sum(map(len, gone.values())) > 1000 and len(gone[95]) == len(rows[3][1].split()) == len(gone[96])
+
+
+def test_hot_digests_are_met_where_they_lie(spark, monkeypatch):
+    rows = [(i, d) for i in range(300) for d in ([7] if i % 3 == 0 else []) + [1000 + i // 2, 5000 + i]]
+    pairs = spark.createDataFrame(rows, "id bigint, digest bigint").repartition(5)
+    first = {}
+    for i, d in rows:
+        first.setdefault(d, []).append(i)
+    want = sorted((i, d, min(first[d])) for i, d in rows if len(first[d]) > 1)
+    for one_in in (1, 20, 10**9):  # none is hot, the common one is, all are
+        monkeypatch.setattr(S, "HOT_ONE_IN", one_in)
+        got = S._met(pairs, S._shared(pairs))
+        assert sorted((r.id, r.digest, r.keeper) for r in got.collect()) == want
