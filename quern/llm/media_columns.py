@@ -5,9 +5,10 @@ A payload is stored as an 8-bit mono WAV file held in a binary column, read back
 of every frame are paired with the peaks that follow, and every pair becomes one long whose
 upper half is the time of its first peak and whose lower half codes (f1, f2, dt).
 
-One narrow pass without a shuffle; the query writes its columns to the shared folder and takes
-the digests from what it reads back. A payload is transformed block by block, so memory is a
-few MB plus the payload and its fingerprints, whatever its length.
+Narrow passes without a shuffle. The query writes the files to the shared folder, computes peaks and fingerprints
+from the files that it reads there, writes these too, and takes the features from the arrays that it reads
+back. A payload is transformed block by block, so memory is a few MB plus the payload and its
+fingerprints, whatever its length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import binary_column
-from quern.session import stash
+from quern.session import discard, stash
 
 
 @dataclass(frozen=True)
@@ -111,27 +112,23 @@ def fingerprints(times: np.ndarray, freqs: np.ndarray, p: Spectrum) -> np.ndarra
     return np.sort(np.concatenate(found))
 
 
-def store_and_describe(data: bytes, p: Spectrum) -> dict:
-    """All columns of one text: its stored form, and what reading that back gives."""
-    stored = to_wav(padded(data, p.unit), p.rate)
+def described(stored: bytes, p: Spectrum) -> tuple[dict, int, np.ndarray]:
+    """(digests of a stored file and of what it gives back, number of its peaks, its fingerprints)."""
     back = from_wav(stored)
     times, freqs = peaks_of(np.frombuffer(back, np.uint8), p)
-    marks = fingerprints(times, freqs, p)
-    return describe(len(data), stored, len(times), marks, p) | {"media": stored, "marks": marks}
-
-
-def describe(n_bytes: int, stored: bytes, n_peaks: int, marks: np.ndarray, p: Spectrum) -> dict:
-    """The digests of a stored file and its fingerprints."""
-    back = from_wav(stored)
-    return {
-        "n_bytes": n_bytes,
+    digests = {
         "payload_bytes": len(back),
         "payload_sha256": hashlib.sha256(back).hexdigest(),
         "tail_crc32": zlib.crc32(back[-p.unit :]),
         "media_bytes": len(stored),
         "media_sha256": hashlib.sha256(stored).hexdigest(),
-        "feature": f"{n_peaks}:{len(marks)}:{xxhash.xxh3_64_hexdigest(marks.tobytes())}",
     }
+    return digests, len(times), fingerprints(times, freqs, p)
+
+
+def feature(n_peaks: int, marks: np.ndarray) -> str:
+    """Peaks, pairs, and a digest of the pairs."""
+    return f"{n_peaks}:{len(marks)}:{xxhash.xxh3_64_hexdigest(marks.tobytes())}"
 
 
 DIGESTS = (
@@ -140,59 +137,75 @@ DIGESTS = (
 _TYPES = {"bigint": pa.int64(), "string": pa.string()}
 
 
-def media_table(docs: DataFrame, p: Spectrum = Spectrum(), key: str = "doc_id", text: str = "text", heavy: bool = True) -> DataFrame:
-    """``key`` and the media columns of every row's whole text.
+def _batches(keys: pa.Array, rows: Iterable[tuple[list, int]], fields: list[tuple[str, pa.DataType]], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of key and ``fields`` from rows of (values, bytes), of about ``most`` bytes each."""
+    held, size, first = [], 0, 0
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([keys.slice(first, len(held)), *[pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]], ["key", *[n for n, _ in fields]])
 
-    With ``heavy`` the stored file (``media``) and the fingerprint array (``marks``) come
-    too; without, only their digests leave the worker. A null text is stored as an empty
-    one (one unit of zero bytes). Repeated rows give repeated, equal results; an empty table
-    gives an empty one; other columns are not read.
+    for values, weight in rows:
+        held.append(values)
+        size += weight
+        if size > most:
+            yield out()
+            first, held, size = first + len(held), [], 0
+    if held:
+        yield out()
+
+
+def store_media(docs: DataFrame, p: Spectrum = Spectrum(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key (under that name), n_bytes and media: the whole text of every row, in UTF-8 and padded, as a WAV file.
+
+    A null text is stored as an empty one (one unit of zero bytes). Repeated rows give repeated,
+    equal results; an empty table gives an empty one; other columns are not read.
     """
-    fields = [f.split() for f in DIGESTS.split(", ")]
+    fields = [("n_bytes", pa.int64()), ("media", pa.binary())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held, first = [], 0, 0
-
-            def out(keys: pa.Array) -> pa.RecordBatch:
-                arrays = [keys, *[pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields]]
-                names = ["key", *[n for n, _ in fields]]
-                if heavy:
-                    arrays += [pa.array([r["media"] for r in rows], pa.binary()), pa.array([r["marks"] for r in rows], pa.list_(pa.int64()))]
-                    names += ["media", "marks"]
-                return pa.RecordBatch.from_arrays(arrays, names)
-
-            for data in binary_column(batch, "data"):
-                row = store_and_describe(data, p)
-                if heavy:
-                    held += len(row["media"]) + row["marks"].nbytes
-                else:
-                    del row["media"], row["marks"]
-                rows.append(row)
-                if held > p.batch_bytes:
-                    yield out(batch.column("key").slice(first, len(rows)))
-                    first += len(rows)
-                    rows, held = [], 0
-            if rows:
-                yield out(batch.column("key").slice(first, len(rows)))
+            files = ((len(d), to_wav(padded(d, p.unit), p.rate)) for d in binary_column(batch, "data"))
+            yield from _batches(batch.column("key"), (([n, f], len(f)) for n, f in files), fields, p.batch_bytes)
 
     inner = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("data"))
-    kind = inner.schema["key"].dataType.simpleString()
-    out = inner.mapInArrow(run, f"key {kind}, {DIGESTS}" + (", media binary, marks array<bigint>" if heavy else ""))
-    return out.withColumnRenamed("key", key)
+    return inner.mapInArrow(run, f"key {inner.schema['key'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
-def media_report(docs: DataFrame, p: Spectrum = Spectrum(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the digests, of the media and marks columns as they are stored."""
-    fields = [f.split() for f in DIGESTS.split(", ")]
-    built = media_table(docs, p, key, text)
-    n_peaks = F.split_part("feature", F.lit(":"), F.lit(1)).cast("bigint").alias("n_peaks")
-    stored = stash(built.select(F.col(f"`{key}`").alias("key"), "n_bytes", n_peaks, "media", "marks"), "media-columns", compression="zstd")
+MARKED = [(f.split()[0], _TYPES[f.split()[1]]) for f in DIGESTS.split(", ") if not f.startswith("feature")]
+
+
+def mark_media(stored: DataFrame, p: Spectrum = Spectrum()) -> DataFrame:
+    """The digests, n_peaks and marks (the fingerprints) of every stored file, from the file."""
+    fields = [*MARKED, ("n_peaks", pa.int64()), ("marks", pa.list_(pa.int64()))]
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[list, int]]:
+        for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
+            digests, n_peaks, marks = described(media.as_py(), p)
+            yield [n, *[digests[name] for name, _ in MARKED[1:]], n_peaks, marks], marks.nbytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("n_bytes", "media", "n_peaks", "marks")]
-            rows = [describe(n.as_py(), m.as_py(), k.as_py(), np.array(x.values, np.int64), p) for n, m, k, x in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields]], ["key", *[n for n, _ in fields]])
+            yield from _batches(batch.column("key"), rows(batch), fields, p.batch_bytes)
+
+    ddl = DIGESTS.replace(", feature string", "")
+    return stored.mapInArrow(run, f"key {stored.schema['key'].dataType.simpleString()}, {ddl}, n_peaks bigint, marks array<bigint>")
 
-    return stored.mapInArrow(run, f"key {stored.schema['key'].dataType.simpleString()}, {DIGESTS}").withColumnRenamed("key", key)
+
+def featured(marked: DataFrame, key: str) -> DataFrame:
+    """``key``, the digests, and the feature of the marks as they stand in their column."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [feature(n, np.array(x.values, np.int64)) for n, x in zip(batch.column("n_peaks").to_pylist(), batch.column("marks"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *[batch.column(n) for n, _ in MARKED], pa.array(found, pa.string())], ["key", *[n for n, _ in MARKED], "feature"])
+
+    return marked.mapInArrow(run, f"key {marked.schema['key'].dataType.simpleString()}, {DIGESTS}").withColumnRenamed("key", key)
+
+
+def media_report(docs: DataFrame, p: Spectrum = Spectrum(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and the digests of every row's text, of the media and marks columns as they are stored."""
+    stored = stash(store_media(docs, p, key, text), "media-files", compression="zstd")
+    marked = stash(mark_media(stored, p), "media-marks", compression="zstd")
+    discard(stored)
+    return featured(marked, key)

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import media_columns as M
 
@@ -9,8 +10,12 @@ TEXTS = [None, "", "a", "x" * 63, "y" * 64, "z" * 65, "é" * 1000, "words and mo
 
 
 def test_round_trip_and_digests(spark):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").selectExpr("*", "1 as key", "2 as media")
-    rows = {r.doc_id: r for r in M.media_table(df).collect()}
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").selectExpr("*", "1 as key", "2 as media", "3 as n_bytes")
+    stored = M.store_media(df)
+    assert stored.columns == ["key", "n_bytes", "media"]
+    files = {r.key: bytes(r.media) for r in stored.collect()}
+    marked = {r.key: r for r in M.mark_media(stored).collect()}
+    rows = {r.doc_id: r for r in M.media_report(df).collect()}
     for i, t in enumerate(TEXTS):
         data = (t or "").encode()
         full = data + b"\0" * (64 if not data else -len(data) % 64)
@@ -18,15 +23,14 @@ def test_round_trip_and_digests(spark):
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(full))
         assert r.payload_sha256 == hashlib.sha256(full).hexdigest()
         assert r.tail_crc32 == zlib.crc32(full[-64:])
-        assert M.from_wav(bytes(r.media)) == full and r.media_bytes == len(r.media)
-        assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
-        assert int(r.feature.split(":")[1]) == len(r.marks) and r.marks == sorted(r.marks)
+        assert M.from_wav(files[i]) == full and r.media_bytes == len(files[i])
+        assert r.media_sha256 == hashlib.sha256(files[i]).hexdigest()
+        times, freqs = M.peaks_of(np.frombuffer(full, np.uint8), M.Spectrum())
+        marks = M.fingerprints(times, freqs, M.Spectrum())
+        assert marked[i].marks == marks.tolist() == sorted(marks.tolist()) and r.feature == M.feature(len(times), marks)
     assert rows[8].feature == rows[9].feature
-    assert M.media_table(df.limit(0)).count() == 0
-    small = {r.doc_id: r for r in M.media_table(df, M.Spectrum(batch_bytes=100)).collect()}
-    assert small == rows
-    light = M.media_table(df, heavy=False)
-    assert "media" not in light.columns and {r.doc_id: r.feature for r in light.collect()} == {i: rows[i].feature for i in rows}
+    assert M.media_report(df.limit(0)).count() == 0
+    assert {r.doc_id: r for r in M.media_report(df, M.Spectrum(batch_bytes=100)).collect()} == rows
 
 
 def test_tone_gives_its_bin_and_blocks_agree():
@@ -99,17 +103,19 @@ def test_query_reads_stored_columns(spark, tmp_path, monkeypatch):
 
     written = []
 
-    def kept(df, label, **options):
-        written.append(stash(df, label, **options))
-        return written[-1]
-
-    monkeypatch.setattr(media_columns, "stash", kept, raising=False)
     docs = spark.createDataFrame([(1, "some text " * 90), (2, None), (None, "é"), (1, "some text " * 90)], "doc_id bigint, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.op1_media_columns(spark, str(tmp_path))
-    want = media_columns.media_table(docs, heavy=False)
-    assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
-    assert len(written) == 1
-    heavy = media_columns.media_table(docs)
-    columns = ["doc_id", "media", "marks"]
-    assert sorted(map(repr, written[0].withColumnRenamed("key", "doc_id").select(columns).collect())) == sorted(map(repr, heavy.select(columns).collect()))
+    # Files are changed between the first pass and the second, and arrays between the second and the third.
+    changed = bytes(range(256)) * 10
+    put = {"media-files": ("media", M.to_wav(changed, 8000)), "media-marks": ("marks", [5, 6])}
+
+    def tampered(df, label, **options):
+        written.append(label)
+        name, value = put[label]
+        return stash(df.withColumn(name, F.lit(bytearray(value)) if isinstance(value, bytes) else F.array(*map(F.lit, value)).cast("array<bigint>")), label, **options)
+
+    monkeypatch.setattr(media_columns, "stash", tampered)
+    got = registry.op1_media_columns(spark, str(tmp_path)).collect()
+    assert written == ["media-files", "media-marks"] and len(got) == 4
+    assert {r.payload_sha256 for r in got} == {hashlib.sha256(changed).hexdigest()}
+    assert {r.feature.split(":", 1)[1] for r in got} == {M.feature(0, np.array([5, 6])).split(":", 1)[1]}
