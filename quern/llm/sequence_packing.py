@@ -73,7 +73,9 @@ class WordIds:
         #: Word to entry; an entry has two runs of the pool, the second often empty.
         self.index: dict[bytes, int] = {}
         self.runs = array("q")
-        self.pool = array("H")
+        #: Ids take two bytes as far as the vocabulary's largest allows, else four.
+        self.code, self.kind = id_type(max(self.full.get_vocab().values(), default=0))
+        self.pool = array(self.code)
         self.used = np.zeros(0, np.int64)  # how often an entry has been looked up
 
     def shrink(self) -> None:
@@ -92,9 +94,9 @@ class WordIds:
         n = flat[:, 1]
         ends = np.cumsum(n)
         at = np.repeat(flat[:, 0] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        pool = np.frombuffer(self.pool, np.uint16)[at]
+        pool = np.frombuffer(self.pool, self.kind)[at]
         table = np.column_stack([ends - n, n])
-        self.runs, self.pool = array("q", table.tobytes()), array("H", pool.tobytes())
+        self.runs, self.pool = array("q", table.tobytes()), array(self.code, pool.tobytes())
         self.used = self.used[keep] // 2
 
     def _add(self, keys: list[bytes], tool, texts: list[str]) -> None:
@@ -138,14 +140,14 @@ class WordIds:
             self.runs.frombytes(table.tobytes())
 
     def many(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """The ids of each text (uint16), with ``end_id`` after them."""
+        """The ids of each text, with ``end_id`` after them."""
         if len(self.index) > self.limits[0] or len(self.pool) > self.limits[1]:
             self.shrink()
         whole: dict[int, np.ndarray] = {}
         cut: list[list[bytes]] = []
         for i, data in enumerate(texts):
             if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
-                whole[i] = np.array(self.full.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint16)
+                whole[i] = np.array(self.full.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
                 cut.append([])
             else:
                 cut.append(data.lower().split())
@@ -163,15 +165,20 @@ class WordIds:
         met = np.bincount(at, minlength=len(self.runs) // 4) if len(at) else np.zeros(len(self.runs) // 4, np.int64)
         met[: len(self.used)] += self.used
         self.used = met
-        runs, pool = np.frombuffer(self.runs, np.int64).reshape(-1, 4)[at].reshape(-1, 2), np.frombuffer(self.pool, np.uint16)
+        runs, pool = np.frombuffer(self.runs, np.int64).reshape(-1, 4)[at].reshape(-1, 2), np.frombuffer(self.pool, self.kind)
         n = runs[:, 1]
         ends = np.cumsum(n)
-        flat = pool[np.repeat(runs[:, 0] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(n) else np.zeros(0, np.uint16)
+        flat = pool[np.repeat(runs[:, 0] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(n) else np.zeros(0, self.kind)
         edges = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
-        end = np.uint16(end_id)
+        end = id_type(end_id)[1](end_id)  # a wider one widens the text's
         return [np.append(whole[i] if i in whole else flat[edges[i] : edges[i + 1]], end) for i in range(len(texts))]
 
 
+def id_type(largest: int) -> tuple[str, type]:
+    """Type code and numpy type of ids up to ``largest``."""
+    return ("H", np.uint16) if largest < 1 << 16 else ("I", np.uint32)
+
+
 def _byte_letters() -> dict[int, int]:
     """The printable letters that byte-level vocabularies write bytes with: printable Latin-1
     stands for itself, all other bytes follow from 256 on."""

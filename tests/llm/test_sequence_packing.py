@@ -146,3 +146,28 @@ def test_step_groups_balance():
     for n, g in zip(lengths, of, strict=True):
         cost[g] += n[0] ** 2
     assert len(cost) == 10 and max(cost.values()) < 1.1 * min(cost.values())
+
+
+def test_ids_beyond_two_bytes(spark, library, tmp_path):
+    """A vocabulary of the same pieces under larger numbers."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        given = json.load(f)
+    by = 60_000
+    given["model"]["vocab"] = {k: v + by for k, v in given["model"]["vocab"].items()}
+    for t in given["added_tokens"]:
+        t["id"] += by
+    path = str(tmp_path / "wide.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(given, f)
+    texts = ["some plain words", "größer, ñandú & 日本語!", "", "e\u0301 <|x|> combined", "42 " * 900]
+    for p, end, more in ((path, 1, by), (PATH, 70_000, 0)):
+        found = P.WordIds(p, 1000, 100_000).many([t.encode() for t in texts], end)
+        for t, ids in zip(texts, found, strict=True):
+            assert ids.tolist() == [i + more for i in library.encode(t, add_special_tokens=False).ids] + [end]
+    rows = P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([x + by for x in library.encode(t, add_special_tokens=False).ids] + [1], "<u4")
+        for r in (r for r in rows if r.doc_id == i):
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids)
