@@ -152,7 +152,15 @@ def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, qu
         yield from best.batches(ids, kind, [query_key, key, "score"])
 
     found = corpus.select(key, "embedding").mapInArrow(run, f"{query_key} {query_type.simpleString()}, {key} {types[key]}, score double")
-    return _ranked(found, n, key, query_key)
+    out = _ranked(found, n, key, query_key)
+    out._sent = sent
+    return out
+
+
+def release(candidates: DataFrame) -> None:
+    """Frees the query vectors that all tasks have, when the candidates have been written."""
+    if (sent := getattr(candidates, "_sent", None)) is not None:
+        sent.destroy()
 
 
 def blocked_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", query_bytes: int = QUERY_BYTES) -> DataFrame:

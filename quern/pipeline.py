@@ -58,6 +58,7 @@ class Recommender:
         failed = failed.unionByName(asked.filter("error is not null").select("query_id", F.col("error").alias("status")))
         best = search.batch_candidates(self.vectors, asked.filter("error is null"), max(self.pool, explain.RESULTS_MAX), "row_index")
         found = stash(best, "pools")
+        search.release(best)
         rows = bounded(found, self.broadcast_rows).join(self.products, "row_index")
         keys = {"title_key": curation.title_key(F.col("normalized_title"), F.col("parent_asin")), "store_key": curation.store_key(F.col("store"))}
         rows = rows.withColumns(keys).join(checked.select("query_id", F.col("max_results").alias("k")), "query_id")

@@ -38,10 +38,13 @@ def dealt(lines: DataFrame, path: str) -> DataFrame:
 
 def renumbered(df: DataFrame, order: str, name: str, block: int = 1 << 16) -> DataFrame:
     """``df`` with ``name``: the rank of every row by the whole number ``order``, from 0. Rows are ranked within
-    blocks of ``block`` numbers; what meets in one task is a row for each block."""
+    blocks of ``block`` numbers, and blocks counted within groups of as many; what meets in one task is a row for each group."""
     at = F.floor(F.col(order) / block).cast("bigint")
-    sizes = df.groupBy(at.alias("_block")).agg(F.count("*").alias("_rows"))
-    before = sizes.select("_block", (F.sum("_rows").over(Window.orderBy("_block")) - F.col("_rows")).alias("_before"))
+    sizes = df.groupBy(at.alias("_block")).agg(F.count("*").alias("_rows")).withColumn("_group", F.floor(F.col("_block") / block).cast("bigint"))
+    groups = sizes.groupBy("_group").agg(F.sum("_rows").alias("_held"))
+    groups = groups.select("_group", (F.sum("_held").over(Window.orderBy("_group")) - F.col("_held")).alias("_before_group"))
+    within = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_block")) - F.col("_rows")
+    before = sizes.withColumn("_within", within).join(groups, "_group").select("_block", (F.col("_within") + F.col("_before_group")).alias("_before"))
     ranked = df.withColumn("_block", at).withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1)
     return ranked.join(before, "_block").withColumn(name, F.col("_before") + F.col("_rank")).drop("_block", "_rank", "_before")
 
