@@ -197,7 +197,10 @@ def batch_ids(df: DataFrame, order: str, tokens: str, max_inputs: int = MAX_INPU
         raise ValueError("a batch holds at least one input")
     slim = df.select(F.col(order).alias("order"), F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("tokens"))
     kind = slim.schema["order"].dataType.simpleString()
+    # Read from a table, equal rows are numbered alike whenever a task is repeated.
+    slim = stash(slim, "fit-rows")
     blocks = stash(_blocks(slim, max(block_rows, max_inputs)), "fit-blocks")
+    discard(slim)
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

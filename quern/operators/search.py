@@ -170,7 +170,7 @@ def blocked_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str,
     group and a stripe is a cell, and a task. A cell reads its queries first and then its stripe, row by row,
     with the best rows of its queries so far. The corpus is sent once for each group and the queries once for each
     stripe; there are only as many stripes as it takes to have a task for each partition. Rows are
-    dealt out by the place they are read at, so that neither equal keys nor equal vectors meet in one cell.
+    dealt out by the hash of their key, so a task that is repeated deals alike, and equal vectors do not meet in one cell.
     """
     spark = corpus.sparkSession
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
@@ -180,10 +180,9 @@ def blocked_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str,
     stripes = max(1, -(-tasks // groups))
     types = {f.name: f.dataType.simpleString() for f in corpus.schema}
     query_type = queries.schema[query_key].dataType.simpleString()
-    place = F.xxhash64(F.monotonically_increasing_id())
-    one = queries.select(F.pmod(place, F.lit(groups)).alias("g"), F.col(query_key).alias("q"), F.lit(None).cast(types[key]).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    one = queries.select(F.pmod(F.xxhash64(query_key), F.lit(groups)).alias("g"), F.col(query_key).alias("q"), F.lit(None).cast(types[key]).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
     one = one.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    two = corpus.select(F.pmod(place, F.lit(stripes)).alias("s"), F.lit(None).cast(query_type).alias("q"), F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    two = corpus.select(F.pmod(F.xxhash64(key), F.lit(stripes)).alias("s"), F.lit(None).cast(query_type).alias("q"), F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
     two = two.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     cell = (F.col("g") * stripes + F.col("s")).cast("int").alias("cell")
     rows = one.select(cell, F.lit(0).alias("side"), "q", "k", "v").unionByName(two.select(cell, F.lit(1).alias("side"), "q", "k", "v"))
