@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import bounded, discard, stash
+from quern.session import discard, stash
 
 MAX_INPUT_TOKENS, MAX_REQUEST_TOKENS = 8192, 300_000
 MAX_INPUTS, MAX_TOKENS = 256, 200_000
@@ -158,8 +158,8 @@ def numbered(tokens: np.ndarray, count: int, open_tokens: int, open_batch: int,
 # --- tables ------------------------------------------------------------------------------
 
 
-def _blocks(slim: DataFrame, block_rows: int) -> DataFrame:
-    """part, block, keys, tokens: ranges of the order, and in each its rows in order, ``block_rows`` to a row. Rows that
+def _blocks(slim: DataFrame, block_rows: int, limits: tuple[int, int]) -> DataFrame:
+    """part, block, summary, keys, tokens: ranges of the order, and in each its rows in order, ``block_rows`` to a row. Rows that
     agree in order and tokens can change places, so a key of many rows is dealt out like others."""
     kind = slim.schema["order"].dataType.simpleString()
     ranged = slim.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("order", "tokens", "tie").sortWithinPartitions("order", "tokens").drop("tie")
@@ -171,7 +171,9 @@ def _blocks(slim: DataFrame, block_rows: int) -> DataFrame:
 
         def out(table: pa.Table) -> pa.RecordBatch:
             lists = [pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(c).combine_chunks()) for c in ("order", "tokens")]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), *lists], ["part", "block", "keys", "tokens"])
+            summary = Summary.of(table.column("tokens").to_numpy(), *limits).packed()
+            arrays = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([summary], pa.binary()), *lists]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "block", "summary", "keys", "tokens"])
 
         for b in batches:
             held.append(b)
@@ -185,7 +187,7 @@ def _blocks(slim: DataFrame, block_rows: int) -> DataFrame:
         if rows:
             yield out(pa.Table.from_batches(held).combine_chunks())
 
-    return ranged.mapInArrow(run, f"part int, block int, keys array<{kind}>, tokens array<bigint>")
+    return ranged.mapInArrow(run, f"part int, block int, summary binary, keys array<{kind}>, tokens array<bigint>")
 
 
 def batch_ids(df: DataFrame, order: str, tokens: str, max_inputs: int = MAX_INPUTS, max_tokens: int = MAX_TOKENS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -199,15 +201,9 @@ def batch_ids(df: DataFrame, order: str, tokens: str, max_inputs: int = MAX_INPU
     kind = slim.schema["order"].dataType.simpleString()
     # Read from a table, equal rows are numbered alike whenever a task is repeated.
     slim = stash(slim, "fit-rows")
-    blocks = stash(_blocks(slim, max(block_rows, max_inputs)), "fit-blocks")
+    blocks = stash(_blocks(slim, max(block_rows, max_inputs), limits), "fit-blocks")
     discard(slim)
-
-    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [Summary.of(t.values.to_numpy(), *limits).packed() for t in b.column("tokens")]
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("block"), pa.array(found, pa.binary())], ["part", "block", "summary"])
-
-    summaries = stash(blocks.select("part", "block", "tokens").mapInArrow(summed, "part int, block int, summary binary"), "fit-summaries")
+    summaries = blocks.select("part", "block", "summary")
 
     def in_order(table: pa.Table) -> Iterator[tuple[int, Summary]]:
         for row in sorted(table.select(["block", "summary"]).to_pylist(), key=lambda r: r["block"]):
@@ -217,10 +213,10 @@ def batch_ids(df: DataFrame, order: str, tokens: str, max_inputs: int = MAX_INPU
         whole = None
         for _, s in in_order(table):
             whole = s if whole is None else whole.then(s, limits)
-        return pa.table({"part": table.column("part").slice(0, 1), "summary": pa.array([whole.packed()], pa.binary())})
+        return pa.table({"part": table.column("part").slice(0, 1), "blocks": pa.array([table.num_rows], pa.int64()), "summary": pa.array([whole.packed()], pa.binary())})
 
     # A row for each partition, of at most max_inputs numbers in four lists.
-    ranges = summaries.groupBy("part").applyInArrow(composed, "part int, summary binary").collect()
+    ranges = summaries.groupBy("part").applyInArrow(composed, "part int, blocks bigint, summary binary").collect()
     entries, state, batch = [], (0, 0), -1
     for r in sorted(ranges, key=lambda r: r.part):
         entries.append((r.part, *state, batch))
@@ -241,8 +237,9 @@ def batch_ids(df: DataFrame, order: str, tokens: str, max_inputs: int = MAX_INPU
         out = {"part": pa.array([table.column("part")[0].as_py()] * len(rows), pa.int32()), "block": pa.array(columns.pop("block"), pa.int32())}
         return pa.table(out | {c: pa.array(v, pa.int64()) for c, v in columns.items()})
 
-    starts = stash(summaries.join(F.broadcast(given), "part").groupBy("part").applyInArrow(entered, f"part int, block int, {opened}"), "fit-starts")
-    discard(summaries)
+    starts = summaries.join(F.broadcast(given), "part").groupBy("part").applyInArrow(entered, f"part int, block int, {opened}")
+    if sum(r.blocks for r in ranges) <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,5 +248,5 @@ def batch_ids(df: DataFrame, order: str, tokens: str, max_inputs: int = MAX_INPU
                 found = numbered(values.to_numpy(), *(b.column(c)[i].as_py() for c in ("count", "open_tokens", "batch")), limits)
                 yield pa.RecordBatch.from_arrays([keys, values, pa.array(found)], ["order", "tokens", "batch"])
 
-    placed = blocks.join(bounded(starts, BROADCAST_BLOCKS), ["part", "block"]).select("keys", "tokens", "count", "open_tokens", "batch")
+    placed = blocks.join(starts, ["part", "block"]).select("keys", "tokens", "count", "open_tokens", "batch")
     return placed.mapInArrow(run, f"order {kind}, tokens bigint, batch bigint").withColumnsRenamed({"order": order, "tokens": tokens})
