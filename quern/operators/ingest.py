@@ -55,11 +55,16 @@ def first_image_url(images: Column) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(first, f"$.{k}", "string"), F.lit("")) for k in ("large", "hi_res", "thumb")])
 
 
+def reason_column(title: Column, images: Column, features: Column, count: Column, average: Column, min_count: int = MIN_COUNT, min_average: float = MIN_AVERAGE) -> Column:
+    """The first rule that a row fails: no_title, no_image, no_features, few_ratings, low_rating; null where it
+    fails none. An average that is NaN passes, as it is not below."""
+    rules = {"no_title": title, "no_image": images, "no_features": features, "few_ratings": count >= min_count, "low_rating": average >= min_average}
+    return F.coalesce(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
+
+
 def eligible_column(title: Column, images: Column, features: Column, count: Column, average: Column) -> Column:
-    """Whether a row has a title, images and features (the first three), and ratings enough; never null.
-    An average that is NaN passes, as it is not below."""
-    rated = F.coalesce(count >= MIN_COUNT, F.lit(False)) & F.coalesce(average >= MIN_AVERAGE, F.lit(False))
-    return F.coalesce(title & images & features, F.lit(False)) & rated
+    """Whether a row has a title, images and features (the first three), and ratings enough; never null."""
+    return reason_column(title, images, features, count, average).isNull()
 
 
 def status_column(malformed: Column, eligible: Column, key: Column) -> Column:

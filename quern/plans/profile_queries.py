@@ -12,6 +12,8 @@ from quern.operators import profile as P
 from quern.plans import catalog as C
 
 SAMPLE_SEED, SAMPLE_SIZE = "20260506", 8
+#: Ratings below which a product counts as having few, in the report of reasons.
+WELL_RATED = 30
 #: Labels and keywords that occur in the tables' part names.
 LEXICON = {"warm": ("red", "orange", "gold"), "cold": ("blue", "green"), "small": ("bolt", "nut", "ring"), "large": ("frame", "gear", "plate")}
 
@@ -61,11 +63,13 @@ def catalog_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products by the ingest's own status, with titles, images and keys absent by fixture."""
+    """Products by the first rule that they fail, of a report that asks for WELL_RATED ratings, and by the ingest's
+    own status, with titles, images and keys absent by fixture."""
     k = F.col("product_id")
-    eligible = I.eligible_column(T.has_text(F.when(k % 11 != 0, F.col("title"))), k % 7 != 0, F.lit(True), F.col("rating_number"), F.col("average_rating"))
-    status = I.status_column(F.lit(False), eligible, k % 13 != 0)
-    return C.products(spark, sf_dir).groupBy(status.alias("reason")).agg(F.count("*").alias("n"))
+    given = (T.has_text(F.when(k % 11 != 0, F.col("title"))), k % 7 != 0, F.lit(True), F.col("rating_number"), F.col("average_rating"))
+    reason = F.coalesce(I.reason_column(*given, min_count=WELL_RATED), F.lit("ok"))
+    status = I.status_column(F.lit(False), I.eligible_column(*given), k % 13 != 0)
+    return C.products(spark, sf_dir).groupBy(reason.alias("reason"), status.alias("status")).agg(F.count("*").alias("n"))
 
 
 def catalog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +187,10 @@ QUERIES = {
     "catalog_eligibility": (catalog_eligibility, f"WITH {C.PRODUCTS_SQL} SELECT product_id, {_OK} AND {_GOOD} AS eligible FROM products"),
     "reject_reasons": (
         reject_reasons,
-        f"""WITH {C.PRODUCTS_SQL} SELECT CASE WHEN product_id % 11 = 0 OR product_id % 7 = 0 OR NOT ({_OK} AND {_GOOD}) THEN 'ineligible'
-        WHEN product_id % 13 = 0 THEN 'missing_key' ELSE 'ok' END AS reason, count(*) AS n FROM products GROUP BY 1""",
+        f"""WITH {C.PRODUCTS_SQL} SELECT CASE WHEN product_id % 11 = 0 THEN 'no_title' WHEN product_id % 7 = 0 THEN 'no_image'
+          WHEN NOT coalesce(rating_number >= {WELL_RATED}, false) THEN 'few_ratings' WHEN NOT {_GOOD} THEN 'low_rating' ELSE 'ok' END AS reason,
+        CASE WHEN product_id % 11 = 0 OR product_id % 7 = 0 OR NOT ({_OK} AND {_GOOD}) THEN 'ineligible'
+          WHEN product_id % 13 = 0 THEN 'missing_key' ELSE 'ok' END AS status, count(*) AS n FROM products GROUP BY 1, 2""",
     ),
     "catalog_status": (
         catalog_status,
