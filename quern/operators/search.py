@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -18,9 +18,13 @@ from quern.functions.vectors import dot
 SCORE_DECIMALS = 6
 
 #: Bytes of the rows that a worker multiplies at once, and of their scores.
-ROW_BYTES, SCORE_BYTES = 4 << 20, 32 << 20
+ROW_BYTES, SCORE_BYTES = 4 << 20, 4 << 20
 #: Bytes of the query vectors that one worker holds: a batch up to this size goes to all tasks, a larger one is dealt out.
 QUERY_BYTES = 64 << 20
+#: Bytes of the best rows that tasks may return for a batch that goes to all of them, and of one such row.
+FOUND_BYTES, FOUND_ROW = 256 << 20, 20
+#: Pairs of a query and a row that one task scores at most, on average.
+CELL_PAIRS = 1 << 35
 
 
 def pool_size(pool: int, k: int, n: int) -> int:
@@ -60,28 +64,26 @@ class Best:
         self.keys: np.ndarray | None = None
 
     def see(self, scores: np.ndarray, keys: np.ndarray, first: int = 0) -> None:
-        """``scores`` (queries from ``first`` on, rows) of rows whose ``keys`` rise."""
+        """``scores`` (queries from ``first`` on, rows), not yet rounded, of rows whose ``keys`` rise."""
         if self.keys is None:
             self.keys = np.zeros(self.scores.shape, keys.dtype)
         elif keys.dtype.itemsize > self.keys.dtype.itemsize:  # texts grow longer
             self.keys = self.keys.astype(keys.dtype)
-        mine = slice(first, first + len(scores))
-        hit = scores >= self.scores[mine, -1][:, None]
-        counts = hit.sum(axis=1)
+        # What rounds up to the last score held is less than a unit below it; only what comes so near is rounded.
+        hit = scores >= (self.scores[first : first + len(scores), -1] - 10.0**-SCORE_DECIMALS)[:, None]
+        counts = np.count_nonzero(hit, axis=1)
+        many = np.flatnonzero(counts > self.n)
+        if len(many):
+            hit[many] = _highest(np.where(hit[many], _rounded(scores[many]), -np.inf), self.n) & hit[many]
+            counts[many] = np.count_nonzero(hit[many], axis=1)
         some = np.flatnonzero(counts)
         if not len(some):
             return
-        many = some[counts[some] > self.n]
-        if len(many):  # the rows are in the order of their keys, so a stable sort breaks ties by them
-            top = np.argsort(-scores[many], axis=1, kind="stable")[:, : self.n]
-            hit[many] = False
-            hit[many[:, None], top] = True
-            counts[many] = np.minimum(self.n, scores.shape[1])
         rows, columns = np.nonzero(hit[some])
         held = counts[some]
         place = np.arange(len(rows)) - np.repeat(np.cumsum(held) - held, held)
         new, new_keys = np.full((len(some), int(held.max())), -np.inf), np.zeros((len(some), int(held.max())), keys.dtype)
-        new[rows, place], new_keys[rows, place] = scores[some[rows], columns], keys[columns]
+        new[rows, place], new_keys[rows, place] = _rounded(scores[some[rows], columns]), keys[columns]
         both = np.concatenate([self.scores[first + some], new], axis=1)
         both_keys = np.concatenate([self.keys[first + some], new_keys], axis=1)
         order = np.lexsort((both_keys, -both), axis=-1)[:, : self.n]
@@ -89,12 +91,25 @@ class Best:
         self.keys[first + some] = np.take_along_axis(both_keys, order, axis=1)
 
     def batches(self, ids: pa.Array, key_type: pa.DataType, names: list[str], together: int = 4096) -> Iterator[pa.RecordBatch]:
-        """query, key and score of what is held."""
+        """query, key, score and place (from 1) of what is held, or the first of these that ``names`` has names for."""
         for at in range(0, len(self.scores) if self.keys is not None else 0, together):
-            query, place = np.nonzero(np.isfinite(self.scores[at : at + together]))
+            held = np.isfinite(self.scores[at : at + together])
+            query, place = np.nonzero(held)
             if len(query):
-                keys = self.keys[at + query, place]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + query)), pa.array(keys.tolist(), key_type), pa.array(self.scores[at + query, place])], names)
+                keys, order = self.keys[at + query, place], np.cumsum(held, axis=1, dtype=np.int32)[query, place]
+                arrays = [ids.take(pa.array(at + query)), pa.array(keys.tolist(), key_type), pa.array(self.scores[at + query, place]), pa.array(order)]
+                yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores, SCORE_DECIMALS) + 0.0
+
+
+def _highest(scores: np.ndarray, n: int) -> np.ndarray:
+    """Where the ``n`` highest of each row are, ties by the smaller column."""
+    edge = np.partition(scores, -n, axis=1)[:, -n][:, None]
+    above, level = scores > edge, scores == edge
+    return above | (level & (np.cumsum(level, axis=1) <= n - np.count_nonzero(above, axis=1)[:, None]))
 
 
 def _plain_keys(keys: pa.Array) -> np.ndarray:
@@ -119,7 +134,7 @@ def _scan(best: Best, queries: np.ndarray, keys: pa.Array, vectors: pa.Array) ->
         block, names = block[order], names[order]
         together = max(1, SCORE_BYTES // (8 * len(names)))
         for begin in range(0, len(queries), together):
-            best.see(np.round(queries[begin : begin + together] @ block.T, SCORE_DECIMALS) + 0.0, names, begin)
+            best.see(queries[begin : begin + together] @ block.T, names, begin)
 
 
 def _ranked(found: DataFrame, n: int, key: str, query_key: str) -> DataFrame:
@@ -127,15 +142,20 @@ def _ranked(found: DataFrame, n: int, key: str, query_key: str) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
+def _size(queries: DataFrame) -> Row:
+    """Number and dimensions of the queries."""
+    return queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+
+
 def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, key, score and place (from 1) of the ``n`` best rows for each query (ids differ).
 
-    A batch of at most ``query_bytes`` goes to all tasks, which read the corpus where it lies; a larger one is
-    dealt out (``blocked_candidates``). A task keeps the n best rows of each query over all its rows,
-    so that at most (tasks x queries x n) rows are shuffled.
+    A batch of at most ``query_bytes`` goes to all tasks, which read the corpus where it lies; a larger one, or one whose
+    best rows of all tasks would pass FOUND_BYTES, is dealt out (``blocked_candidates``). A task keeps the n best
+    rows of each query over all its rows, so that at most (tasks x queries x n) rows are shuffled.
     """
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
-    if size.n * size.d * 8 > query_bytes:
+    size, tasks = _size(queries), corpus.sparkSession.sparkContext.defaultParallelism
+    if size.n * size.d * 8 > query_bytes or tasks * size.n * n * FOUND_ROW > FOUND_BYTES:
         return blocked_candidates(corpus, queries, n, key, query_key, query_bytes)
     rows = queries.select(query_key, "embedding").collect()
     types = {f.name: f.dataType.simpleString() for f in corpus.schema}
@@ -151,7 +171,7 @@ def batch_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, qu
                 _scan(best, vectors, batch.column(key), batch.column("embedding"))
         yield from best.batches(ids, kind, [query_key, key, "score"])
 
-    found = corpus.select(key, "embedding").mapInArrow(run, f"{query_key} {query_type.simpleString()}, {key} {types[key]}, score double")
+    found = corpus.select(key, "embedding").coalesce(tasks).mapInArrow(run, f"{query_key} {query_type.simpleString()}, {key} {types[key]}, score double")
     out = _ranked(found, n, key, query_key)
     out._sent = sent
     return out
@@ -163,33 +183,48 @@ def release(candidates: DataFrame) -> None:
         sent.destroy()
 
 
+def grid(queries: int, rows: int, n: int, vector: int, cells: int, least: int = 1) -> tuple[int, int]:
+    """(groups, stripes) with ``cells`` cells or more, and ``least`` groups or more, that move the fewest bytes: the rows go out
+    once for each group; the queries once for each stripe, with the n best rows of each if there is more than one."""
+
+    def groups(stripes: int) -> int:
+        return max(least, -(-cells // stripes))
+
+    def moved(stripes: int) -> int:
+        return rows * groups(stripes) * vector + queries * stripes * (vector + (n * FOUND_ROW if stripes > 1 else 0))
+
+    stripes = min(range(1, cells + 1), key=moved)
+    return groups(stripes), stripes
+
+
 def blocked_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str, query_key: str = "query_id", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The same for any number of queries: nothing is collected or broadcast.
 
     Queries are dealt out to groups that fit in ``query_bytes``, and the corpus to stripes; each pair of a
     group and a stripe is a cell, and a task. A cell reads its queries first and then its stripe, row by row,
-    with the best rows of its queries so far. The corpus is sent once for each group and the queries once for each
-    stripe; there are only as many stripes as it takes to have a task for each partition. Rows are
+    with the best rows of its queries so far. There are as many cells as the session has cores, and more only where a cell
+    would have more than CELL_PAIRS pairs or a group would not fit, so that what moves does not grow with the number of
+    shuffle partitions; ``grid`` says of what shape. In a single stripe a cell's best rows are final. Rows are
     dealt out by the hash of their key, so a task that is repeated deals alike, and equal vectors do not meet in one cell.
     """
-    spark = corpus.sparkSession
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    size, total = _size(queries), corpus.count()
     # Dealt out by hash, groups differ a little in size.
-    groups = max(1, -(-size.n * size.d * 8 * 10 // (query_bytes * 9)))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stripes = max(1, -(-tasks // groups))
+    least = max(1, -(-size.n * size.d * 8 * 10 // (query_bytes * 9)))
+    cells = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-size.n * total // CELL_PAIRS))
     types = {f.name: f.dataType.simpleString() for f in corpus.schema}
-    query_type = queries.schema[query_key].dataType.simpleString()
-    one = queries.select(F.pmod(F.xxhash64(query_key), F.lit(groups)).alias("g"), F.col(query_key).alias("q"), F.lit(None).cast(types[key]).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    query_type, query_vector = (queries.schema[c].dataType.simpleString() for c in (query_key, "embedding"))
+    vector = "array<float>" if types["embedding"] == query_vector == "array<float>" else "array<double>"
+    groups, stripes = grid(size.n, total, n, 8 + size.d * (4 if vector == "array<float>" else 8), cells, least)
+    one = queries.select(F.pmod(F.xxhash64(query_key), F.lit(groups)).alias("g"), F.col(query_key).alias("q"), F.lit(None).cast(types[key]).alias("k"), F.col("embedding").cast(vector).alias("v"))
     one = one.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    two = corpus.select(F.pmod(F.xxhash64(key), F.lit(stripes)).alias("s"), F.lit(None).cast(query_type).alias("q"), F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    two = corpus.select(F.pmod(F.xxhash64(key), F.lit(stripes)).alias("s"), F.lit(None).cast(query_type).alias("q"), F.col(key).alias("k"), F.col("embedding").cast(vector).alias("v"))
     two = two.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     cell = (F.col("g") * stripes + F.col("s")).cast("int").alias("cell")
     rows = one.select(cell, F.lit(0).alias("side"), "q", "k", "v").unionByName(two.select(cell, F.lit(1).alias("side"), "q", "k", "v"))
     dealt = rows.repartitionById(groups * stripes, "cell").sortWithinPartitions("cell", "side")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kind = [query_key, key, "score"], None
+        names, kind = [query_key, key, "score", "place"][: 4 if stripes == 1 else 3], None
         cell, ids, held, vectors, best = None, [], [], None, None
         for whole in batches:
             kind = whole.column("k").type
@@ -214,5 +249,5 @@ def blocked_candidates(corpus: DataFrame, queries: DataFrame, n: int, key: str,
         if best is not None:
             yield from best.batches(pa.concat_arrays(ids), kind, names)
 
-    found = dealt.mapInArrow(run, f"{query_key} {query_type}, {key} {types[key]}, score double")
-    return _ranked(found, n, key, query_key)
+    ddl = f"{query_key} {query_type}, {key} {types[key]}, score double"
+    return dealt.mapInArrow(run, f"{ddl}, place int") if stripes == 1 else _ranked(dealt.mapInArrow(run, ddl), n, key, query_key)
